@@ -20,33 +20,29 @@ def guarded_pct(num, den, places: int = 2) -> F.Column:
     return F.when(den > 0, F.round(num.cast("double") / den.cast("double") * 100, places)).otherwise(F.lit(0.0))
 
 
-def policy_kpis(decisions: DataFrame) -> DataFrame:
-    a = F.col("action")
-    return decisions.agg(
-        F.count(F.lit(1)).alias("records_evaluated"),
-        F.count(F.lit(1)).alias("policy_decisions"),
+def final_metrics(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """AGG-6 / QRY-1: one row of KPIs from ONE aggregate pass.
+
+    Decisions and outcomes are stacked into one narrow tagged stream (a union,
+    no join) and reduced by a single global aggregate with conditional counts;
+    partial aggregation runs in every map task."""
+    d = decisions.select(F.lit(1).alias("__src"), F.col("action"))
+    o = outcomes.select(F.lit(2).alias("__src"), "outcome", "amount", "recovered_amount")
+    u = d.unionByName(o, allowMissingColumns=True)
+    a, o_, src = F.col("action"), F.col("outcome"), F.col("__src")
+    m = u.agg(
+        F.count_if(src == 1).alias("records_evaluated"),
+        F.count_if(src == 1).alias("policy_decisions"),
         F.count_if(a == "retry_now").alias("retry_now"),
         F.count_if(a == "retry_later").alias("retry_later"),
         F.count_if(a == "send_reminder").alias("send_reminder"),
         F.count_if(a == "escalate_human").alias("human_escalations"),
-    )
-
-
-def outcome_kpis(outcomes: DataFrame) -> DataFrame:
-    o = F.col("outcome")
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("recovery_attempts"),
-        F.count_if(o == "recovered").alias("successful_recoveries"),
-        F.count_if(o == "failed").alias("failed_recoveries"),
+        F.count_if(src == 2).alias("recovery_attempts"),
+        F.count_if(o_ == "recovered").alias("successful_recoveries"),
+        F.count_if(o_ == "failed").alias("failed_recoveries"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("revenue_at_risk"),
         F.coalesce(F.sum("recovered_amount"), F.lit(0)).cast(MONEY).alias("revenue_recovered"),
     )
-
-
-def final_metrics(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """AGG-6 / QRY-1: one row of KPIs. Both inputs reduce to one row each
-    before they meet, so the combine is a 1x1 join of two global aggregates."""
-    m = policy_kpis(decisions).join(outcome_kpis(outcomes), how="inner")  # 1 row x 1 row
     return m.select(
         "records_evaluated", "policy_decisions", "retry_now", "retry_later", "send_reminder",
         "human_escalations", "recovery_attempts", "successful_recoveries", "failed_recoveries",

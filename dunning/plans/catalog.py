@@ -196,3 +196,286 @@ FROM (
 def revenue_long(spark, sf_dir):
     L = Layers(spark, sf_dir)
     return metrics.revenue_long(metrics.final_metrics(L.decisions, L.outcomes))
+
+
+# --- attempts log: first / latest per payment (WIN-4/5, JON-6) ------------------------
+from dunning.operators import audit as A  # noqa: E402
+from dunning.operators import cases as C  # noqa: E402
+from dunning.operators import evaluation as EV  # noqa: E402
+from dunning.operators.joins import first_per_key  # noqa: E402
+
+_LOG = (*_DEC, O.cte_attempts_log())
+_ATT_COLS = "payment_id, action_taken, execution_status, recovered_amount, notes, execution_timestamp"
+
+
+@register("first_attempt", O.with_ctes(*_LOG, select=f"""
+SELECT {_ATT_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY execution_timestamp ASC NULLS FIRST,
+                               notes ASC NULLS FIRST, action_taken ASC NULLS FIRST,
+                               execution_status ASC NULLS FIRST) AS rn
+  FROM attempts_log) WHERE rn = 1"""))
+def first_attempt(spark, sf_dir):
+    return first_per_key(Layers(spark, sf_dir).attempts_log, "payment_id", A.ATTEMPT_ORDER)
+
+
+@register("latest_attempt", O.with_ctes(*_LOG, select="SELECT * FROM latest_attempt"))
+def latest_attempt(spark, sf_dir):
+    return A.latest_attempts(Layers(spark, sf_dir).attempts_log)
+
+
+# --- audit (JON-2, AGG-7..10) -----------------------------------------------------------
+_AUD = (*_LOG, """
+audit AS (
+  SELECT f.*, d.* EXCLUDE (payment_id), a.* EXCLUDE (payment_id)
+  FROM failed f LEFT JOIN decisions d ON f.payment_id = d.payment_id
+                LEFT JOIN attempts_log a ON f.payment_id = a.payment_id)""")
+
+
+def _audit(spark, sf_dir, mode="all"):
+    L = Layers(spark, sf_dir)
+    return A.audit_table(L.failed, L.decisions, L.attempts_log, attempts_mode=mode)
+
+
+@register("audit_table", O.with_ctes(*_AUD, select=f"""
+SELECT * EXCLUDE ("timestamp"), {O.ts_text('"timestamp"')} AS "timestamp" FROM audit"""))
+def audit_table(spark, sf_dir):
+    return _audit(spark, sf_dir).withColumn("timestamp", ts_text("timestamp"))
+
+
+_AUDIT_METRICS_SQL = """
+SELECT total_failed_events, total_events_with_decision, total_attempts_executed, total_recovered_count,
+       CASE WHEN total_attempts_executed > 0 THEN round(CAST(total_recovered_count AS DOUBLE)
+            / CAST(total_attempts_executed AS DOUBLE) * 100, 2) ELSE 0.0 END AS recovery_rate_pct_of_executed,
+       total_amount_at_risk, total_amount_recovered,
+       CASE WHEN total_amount_at_risk > 0 THEN round(CAST(total_amount_recovered AS DOUBLE)
+            / CAST(total_amount_at_risk AS DOUBLE) * 100, 2) ELSE 0.0 END AS pct_of_at_risk_amount_recovered
+FROM (
+  SELECT count(*) AS total_failed_events,
+         count(*) FILTER (WHERE action IS NOT NULL) AS total_events_with_decision,
+         count(*) FILTER (WHERE execution_status IS NOT NULL) AS total_attempts_executed,
+         count(*) FILTER (WHERE execution_status IN ('success')) AS total_recovered_count,
+         CAST(COALESCE(sum(amount), 0) AS DECIMAL(38,2)) AS total_amount_at_risk,
+         CAST(COALESCE(sum(CASE WHEN execution_status IN ('success') THEN recovered_amount END), 0)
+              AS DECIMAL(38,2)) AS total_amount_recovered
+  FROM audit)"""
+
+
+@register("audit_metrics", O.with_ctes(*_AUD, select=_AUDIT_METRICS_SQL))
+def audit_metrics(spark, sf_dir):
+    return A.audit_metrics(_audit(spark, sf_dir))
+
+
+@register("audit_metrics_latest", O.with_ctes(*_LOG, """
+audit AS (
+  SELECT f.*, d.* EXCLUDE (payment_id), a.* EXCLUDE (payment_id)
+  FROM failed f LEFT JOIN decisions d ON f.payment_id = d.payment_id
+                LEFT JOIN latest_attempt a ON f.payment_id = a.payment_id)""", select=_AUDIT_METRICS_SQL))
+def audit_metrics_latest(spark, sf_dir):
+    return A.audit_metrics(_audit(spark, sf_dir, "latest"))
+
+
+_GROUP_SQL = """
+SELECT {k}, count(*) AS events, count(*) FILTER (WHERE execution_status IN ('success')) AS recovered
+FROM audit WHERE {k} IS NOT NULL GROUP BY {k}"""
+
+
+@register("audit_by_cause", O.with_ctes(*_AUD, select=_GROUP_SQL.format(k="root_cause_bucket")))
+def audit_by_cause(spark, sf_dir):
+    return A.audit_by_cause(_audit(spark, sf_dir))
+
+
+@register("audit_by_action", O.with_ctes(*_AUD, select=_GROUP_SQL.format(k="action")))
+def audit_by_action(spark, sf_dir):
+    return A.audit_by_action(_audit(spark, sf_dir))
+
+
+def _json_map_sql(k: str) -> str:
+    return (f"(SELECT '{{' || string_agg('\"' || {k} || '\":{{\"events\":' || events || ',\"recovered\":' "
+            f"|| recovered || '}}', ',' ORDER BY {k}) || '}}' FROM ({_GROUP_SQL.format(k=k)}))")
+
+
+@register("audit_summary", O.with_ctes(*_AUD, select=f"""
+SELECT m.*, {_json_map_sql('root_cause_bucket')} AS by_root_cause, {_json_map_sql('action')} AS by_action
+FROM ({_AUDIT_METRICS_SQL}) m"""))
+def audit_summary(spark, sf_dir):
+    s = A.audit_summary(_audit(spark, sf_dir))
+    return s.withColumn("by_root_cause", F.to_json("by_root_cause")).withColumn("by_action", F.to_json("by_action"))
+
+
+# --- cases (JON-7/10, QRY-6) --------------------------------------------------------------
+_CASE = (*_LOG, O.cte_outcomes(), f"""
+universe AS (
+  SELECT *, 'failed' AS source FROM failed
+  UNION ALL
+  SELECT *, 'succeeded' AS source FROM payments
+  WHERE status <> 'failed' AND payment_id NOT IN (SELECT payment_id FROM failed)),
+cases AS (
+  SELECT u.*, d.* EXCLUDE (payment_id), a.* EXCLUDE (payment_id),
+         o.recovery_probability, o.outcome AS recovery_outcome,
+         o.recovered_amount AS recovery_recovered_amount, o.reason AS recovery_reason,
+         true AS found,
+         CASE WHEN u.source = 'succeeded' THEN {O.q(C.SUCCEEDED_NOTE)} END AS note
+  FROM universe u LEFT JOIN decisions d ON u.payment_id = d.payment_id
+                  LEFT JOIN latest_attempt a ON u.payment_id = a.payment_id
+                  LEFT JOIN outcomes o ON u.payment_id = o.payment_id)""")
+
+
+def _cases(spark, sf_dir):
+    L = Layers(spark, sf_dir)
+    return C.payment_cases(L.universe, L.decisions, L.attempts_log, L.outcomes)
+
+
+@register("payment_cases", O.with_ctes(*_CASE, select=f"""
+SELECT * EXCLUDE ("timestamp"), {O.ts_text('"timestamp"')} AS "timestamp" FROM cases"""))
+def payment_cases(spark, sf_dir):
+    return _cases(spark, sf_dir).withColumn("timestamp", ts_text("timestamp"))
+
+
+@register("case_text", O.with_ctes(*_CASE, select=f"""
+SELECT payment_id, found,
+  CASE WHEN source = 'succeeded' THEN
+    'Payment ' || payment_id || ' succeeded: captured for ' || {O.fmt_inr('amount')} || ' via '
+    || COALESCE(method, 'an unknown payment method')
+    || '. It is not in the failed-payments data, so there is no failure to explain.'
+  ELSE
+    'Payment ' || payment_id || ' of ' || {O.fmt_inr('amount')} || ' failed with '
+    || COALESCE(error_code, 'an unknown error') || '. Diagnosis: ' || COALESCE(diagnosed_bucket, 'not available')
+    || ' at ' || {O.fmt_percent('confidence')} || ' confidence. Decision: ' || COALESCE(action, 'none')
+    || '. Execution: ' || COALESCE(execution_status, 'not executed') || '. Recovery: '
+    || COALESCE(recovery_outcome, 'not available yet') || '.'
+  END AS explanation,
+  CASE WHEN source = 'failed' THEN CAST(json_object(
+    'payment_id', payment_id, 'customer_id', customer_id, 'amount', CAST(amount AS VARCHAR),
+    'method', method, 'error_code', error_code, 'diagnosed_bucket', diagnosed_bucket,
+    'confidence', confidence, 'action', action, 'reason', reason, 'execution_status', execution_status,
+    'recovery_outcome', recovery_outcome) AS VARCHAR) END AS case_json
+FROM cases"""))
+def case_text(spark, sf_dir):
+    return C.case_text(_cases(spark, sf_dir))
+
+
+# --- evaluation (EVL-1..4, AGG-13, ML-3) ------------------------------------------------------
+_PRED = (O.cte_payments(), O.cte_history(), O.cte_predictions())
+
+
+@register("eval_accuracy", O.with_ctes(*_PRED, select="""
+SELECT n, correct, CASE WHEN n > 0 THEN round(CAST(correct AS DOUBLE) / CAST(n AS DOUBLE), 6) ELSE 0.0 END AS accuracy
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE actual_bucket = predicted_bucket) AS correct FROM preds)"""))
+def eval_accuracy(spark, sf_dir):
+    return EV.accuracy(Layers(spark, sf_dir).predictions)
+
+
+@register("eval_report", O.with_ctes(*_PRED, """
+pc AS (SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM preds GROUP BY 1, 2),
+labels AS (SELECT actual AS label FROM pc WHERE actual IS NOT NULL UNION SELECT predicted FROM pc WHERE predicted IS NOT NULL),
+per0 AS (
+  SELECT l.label,
+         COALESCE((SELECT sum(n) FROM pc WHERE actual = l.label AND predicted = l.label), 0) AS tp,
+         COALESCE((SELECT sum(n) FROM pc WHERE actual = l.label), 0) AS support,
+         COALESCE((SELECT sum(n) FROM pc WHERE predicted = l.label), 0) AS predicted_n
+  FROM labels l),
+per1 AS (
+  SELECT label, support,
+         CASE WHEN predicted_n > 0 THEN CAST(tp AS DOUBLE) / CAST(predicted_n AS DOUBLE) ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) ELSE 0.0 END AS recall
+  FROM per0),
+per AS (
+  SELECT label, precision, recall,
+         CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+         CAST(support AS BIGINT) AS support
+  FROM per1),
+agg AS (
+  SELECT sum(precision) / count(*) AS mp, sum(recall) / count(*) AS mr, sum(f1) / count(*) AS mf,
+         sum(support) AS s, sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf
+  FROM per)""", select="""
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM per
+UNION ALL
+SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(s AS BIGINT) FROM agg
+UNION ALL
+SELECT 'weighted avg', round(CASE WHEN s > 0 THEN wp / s ELSE 0.0 END, 6),
+       round(CASE WHEN s > 0 THEN wr / s ELSE 0.0 END, 6), round(CASE WHEN s > 0 THEN wf / s ELSE 0.0 END, 6),
+       CAST(s AS BIGINT) FROM agg"""))
+def eval_report(spark, sf_dir):
+    return EV.classification_report(Layers(spark, sf_dir).predictions)
+
+
+def _confusion_sql() -> str:
+    labels = sorted(O.R.BUCKETS)
+    cols = ", ".join(f"CAST(COALESCE(sum(n) FILTER (WHERE predicted = {O.q(x)}), 0) AS BIGINT) AS {x}"
+                     for x in labels)
+    dim = " UNION ALL ".join(f"SELECT {O.q(x)} AS actual" for x in labels)
+    return f"""
+SELECT d.actual, {", ".join(f"COALESCE(w.{x}, 0) AS {x}" for x in labels)}
+FROM ({dim}) d LEFT JOIN (
+  SELECT actual, {cols} FROM (
+    SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM preds GROUP BY 1, 2)
+  GROUP BY actual) w ON d.actual = w.actual"""
+
+
+@register("eval_confusion", O.with_ctes(*_PRED, select=_confusion_sql()))
+def eval_confusion(spark, sf_dir):
+    return EV.confusion_matrix(spark, Layers(spark, sf_dir).predictions)
+
+
+_RISK_SQL = O.with_ctes(O.cte_payments(), """
+feat AS (
+  SELECT payment_id, status,
+    CASE WHEN txn > 0 THEN CAST(fails AS DOUBLE) / CAST(txn AS DOUBLE) ELSE 0.0 END AS customer_prior_fail_rate
+  FROM (
+    SELECT *, count(*) OVER w AS txn,
+      COALESCE(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w, 0) AS fails
+    FROM payments
+    WINDOW w AS (PARTITION BY customer_id ORDER BY "timestamp", payment_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+risk AS (
+  SELECT payment_id, CAST(status = 'failed' AS INTEGER) AS actual_at_risk,
+         0.5 * customer_prior_fail_rate + 0.5 * ((""" + O.h8("'risk|' || payment_id") + """ % 1000) / 1000.0)
+           AS risk_score
+  FROM feat),
+scored AS (SELECT *, CAST(risk_score >= 0.5 AS INTEGER) AS flagged_at_risk FROM risk)""", select="{select}")
+
+
+def _risk(spark, sf_dir):
+    f = features.customer_risk_features(Layers(spark, sf_dir).payments)
+    return EV.stored_style_risk_scores(f)
+
+
+@register("detection_scores", _RISK_SQL.format(select="SELECT * FROM scored"))
+def detection_scores(spark, sf_dir):
+    return _risk(spark, sf_dir).select("payment_id", "actual_at_risk", "risk_score", "flagged_at_risk")
+
+
+@register("detection_confusion", _RISK_SQL.format(select="""
+SELECT tn, fp, fn, tp,
+  round(CASE WHEN tn + fp + fn + tp > 0 THEN CAST(tn + tp AS DOUBLE) / CAST(tn + fp + fn + tp AS DOUBLE) ELSE 0.0 END, 6) AS accuracy,
+  round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END, 6) AS recall
+FROM (SELECT count(*) FILTER (WHERE actual_at_risk <> 1 AND flagged_at_risk <> 1) AS tn,
+             count(*) FILTER (WHERE actual_at_risk <> 1 AND flagged_at_risk = 1) AS fp,
+             count(*) FILTER (WHERE actual_at_risk = 1 AND flagged_at_risk <> 1) AS fn,
+             count(*) FILTER (WHERE actual_at_risk = 1 AND flagged_at_risk = 1) AS tp FROM scored)"""))
+def detection_confusion(spark, sf_dir):
+    return EV.binary_confusion(_risk(spark, sf_dir))
+
+
+def _split_sql(expr_only=False) -> str:
+    u = f"(({O.h8(O.q(f'split|{EV.SPLIT_SEED}|') + ' || payment_id')} % {EV.SPLIT_BUCKETS}) / {float(EV.SPLIT_BUCKETS)})"
+    return f"CASE WHEN {u} < {EV.TEST_FRACTION} THEN 'test' ELSE 'train' END"
+
+
+@register("stratified_split", O.with_ctes(*_PRED, select=f"""
+SELECT actual_bucket AS label, count(*) FILTER (WHERE split = 'train') AS n_train,
+       count(*) FILTER (WHERE split = 'test') AS n_test
+FROM (SELECT *, {_split_sql()} AS split FROM preds) GROUP BY actual_bucket"""))
+def stratified_split(spark, sf_dir):
+    return EV.split_summary(Layers(spark, sf_dir).predictions)
+
+
+@register("class_weights", O.with_ctes(*_PRED, select=f"""
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
+FROM (SELECT actual_bucket AS label, count(*) AS n_c
+      FROM (SELECT *, {_split_sql()} AS split FROM preds) WHERE split = 'train' GROUP BY actual_bucket)"""))
+def class_weights(spark, sf_dir):
+    p = Layers(spark, sf_dir).predictions
+    return EV.class_weights(p.filter(EV.split_assignment(p) == "train"))

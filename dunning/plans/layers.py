@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from dunning.operators import diagnosis, execution, outcomes, policy
 from dunning.operators.rules import OutcomeParams, PolicyParams
 from dunning.sources import payments as P
@@ -24,6 +26,9 @@ class Layers:
     policy_params: PolicyParams = field(default_factory=PolicyParams)
     outcome_params: OutcomeParams = field(default_factory=OutcomeParams)
     execution_mode: str = "link"
+    # a second execution run one day later re-sends every retry_now decision;
+    # its rows are appended to the same attempts log (reference F10)
+    rerun_at: str = "2024-06-02 00:00:00"
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -48,3 +53,13 @@ class Layers:
     @cached_property
     def outcomes(self) -> DataFrame:
         return outcomes.label_outcomes(self.decisions, self.payments, self.outcome_params)
+
+    @cached_property
+    def attempts_log(self) -> DataFrame:
+        rerun = execution.route(self.decisions.filter(F.col("action") == "retry_now"), self.payments,
+                                mode=self.execution_mode, executed_at=self.rerun_at)
+        return self.attempts.unionByName(rerun)
+
+    @cached_property
+    def universe(self) -> DataFrame:
+        return P.payments_universe(self.failed, P.successful_payments(self.payments))

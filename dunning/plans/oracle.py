@@ -172,18 +172,20 @@ decisions AS (
   FROM dec_f)"""
 
 
-def cte_attempts() -> str:
-    link = f"'plink_' || substr(sha256('link|' || payment_id), 1, 14)"
-    return f"""
+def cte_lookup() -> str:
+    return """
 lookup AS (
   SELECT payment_id, amount, customer_id FROM (
     SELECT payment_id, amount, customer_id,
            row_number() OVER (PARTITION BY payment_id ORDER BY "timestamp", amount, customer_id) AS rn
-    FROM payments) WHERE rn = 1),
-routed AS (
-  SELECT trim(CAST(d.payment_id AS VARCHAR)) AS payment_id, trim(CAST(d.action AS VARCHAR)) AS action
-  FROM decisions d),
-attempts AS (
+    FROM payments) WHERE rn = 1)"""
+
+
+def cte_attempts(name: str = "attempts", executed_at: str = ex.DEFAULT_EXECUTED_AT,
+                 where: str = "TRUE", with_lookup: bool = True) -> str:
+    link = "'plink_' || substr(sha256('link|' || r.payment_id), 1, 14)"
+    return (cte_lookup() + "," if with_lookup else "") + f"""
+{name} AS (
   SELECT r.payment_id,
          r.action AS action_taken,
          CASE WHEN l.payment_id IS NULL THEN 'failed'
@@ -199,15 +201,29 @@ attempts AS (
                      WHEN l.amount IS NULL THEN {q(ex.NOTE_MISSING_AMOUNT)}
                      WHEN l.amount <= 0 THEN 'Invalid amount: ' || CAST(l.amount AS VARCHAR)
                      WHEN round(l.amount * 100) <= 0 THEN {q(ex.NOTE_ZERO_MINOR)}
-                     ELSE 'payment_link_id=' || {link.replace('payment_id', 'r.payment_id')}
+                     ELSE 'payment_link_id=' || {link}
                           || '; reference_id=recovery_' || r.payment_id || '; amount=' || {dec2_text('l.amount')}
                 END
               WHEN r.action = 'retry_later' THEN {q(ex.NOTE_RETRY_LATER)}
               WHEN r.action = 'send_reminder' THEN {q(ex.NOTE_REMINDER)}
               WHEN r.action = 'escalate_human' THEN {q(ex.NOTE_HUMAN)}
               ELSE 'Unknown action: ' || COALESCE(r.action, 'None') END AS notes,
-         {q(ex.DEFAULT_EXECUTED_AT)} AS execution_timestamp
-  FROM routed r LEFT JOIN lookup l ON r.payment_id = l.payment_id)"""
+         {q(executed_at)} AS execution_timestamp
+  FROM (SELECT trim(CAST(payment_id AS VARCHAR)) AS payment_id, trim(CAST(action AS VARCHAR)) AS action
+        FROM decisions WHERE {where}) r
+  LEFT JOIN lookup l ON r.payment_id = l.payment_id)"""
+
+
+def cte_attempts_log(rerun_at: str = "2024-06-02 00:00:00") -> str:
+    return (cte_attempts() + "," + cte_attempts("attempts_rerun", rerun_at, "action = 'retry_now'", False)
+            + """,
+attempts_log AS (SELECT * FROM attempts UNION ALL SELECT * FROM attempts_rerun),
+latest_attempt AS (
+  SELECT payment_id, action_taken, execution_status, recovered_amount, notes, execution_timestamp FROM (
+    SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY execution_timestamp DESC NULLS LAST,
+                                 notes DESC NULLS LAST, action_taken DESC NULLS LAST,
+                                 execution_status DESC NULLS LAST) AS rn
+    FROM attempts_log) WHERE rn = 1)""")
 
 
 def cte_outcomes(threshold: float = R.OUTCOME_THRESHOLD) -> str:
