@@ -479,3 +479,47 @@ FROM (SELECT actual_bucket AS label, count(*) AS n_c
 def class_weights(spark, sf_dir):
     p = Layers(spark, sf_dir).predictions
     return EV.class_weights(p.filter(EV.split_assignment(p) == "train"))
+
+
+# --- webhook consumer (STR-1..6, JON-8/9, FN-9/10/20) -----------------------------------------
+from dunning.sources.tables import read_table  # noqa: E402
+from dunning.streaming import webhook as W  # noqa: E402
+
+
+def _classified(spark, sf_dir):
+    return W.classify(W.envelopes_from_events(read_table(spark, sf_dir, "events")))
+
+
+@register("webhook_envelopes", O.with_ctes(O.cte_webhook(), select=f"""
+SELECT delivery_id, {O.ts_text('received_at')} AS received_at, event_id, signature, body FROM envelopes"""))
+def webhook_envelopes(spark, sf_dir):
+    e = W.envelopes_from_events(read_table(spark, sf_dir, "events"))
+    return e.withColumn("received_at", ts_text("received_at"))
+
+
+@register("webhook_status", O.with_ctes(O.cte_webhook(), select="""
+SELECT status, count(*) AS count FROM classified GROUP BY status"""))
+def webhook_status(spark, sf_dir):
+    return W.status_counts(_classified(spark, sf_dir))
+
+
+@register("webhook_recoveries", O.with_ctes(O.cte_webhook(), select="SELECT * FROM recovered"))
+def webhook_recoveries(spark, sf_dir):
+    return W.recoveries(_classified(spark, sf_dir))
+
+
+@register("webhook_match", O.with_ctes(*_LOG, O.cte_webhook(), """
+links AS (
+  SELECT link_id, payment_id, execution_timestamp FROM (
+    SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY execution_timestamp ASC NULLS FIRST,
+                                 notes ASC NULLS FIRST, action_taken ASC NULLS FIRST,
+                                 execution_status ASC NULLS FIRST) AS rn
+    FROM (SELECT *, regexp_extract(notes, 'payment_link_id=([^;]+)', 1) AS link_id FROM attempts_log)
+    WHERE link_id <> '') WHERE rn = 1)""", select="""
+SELECT r.*, l.payment_id AS matched_payment_id, l.execution_timestamp AS matched_execution_timestamp,
+       l.payment_id IS NOT NULL AS matched
+FROM recovered r LEFT JOIN links l ON r.payment_link_id = l.link_id"""))
+def webhook_match(spark, sf_dir):
+    L = Layers(spark, sf_dir)
+    rec = W.recoveries(_classified(spark, sf_dir))
+    return W.match_recoveries(rec, L.attempts_log)

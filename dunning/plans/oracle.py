@@ -270,3 +270,96 @@ metrics AS (
 
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + select
+
+
+def hmac_sql(secret: str, body: str) -> str:
+    from dunning.functions.expr import hmac_pads
+    ipad, opad = hmac_pads(secret)
+    inner = f"sha256(unhex('{ipad.hex()}') || encode({body}))"
+    return f"sha256(unhex('{opad.hex()}') || unhex({inner}))"
+
+
+def cte_webhook() -> str:
+    from dunning.streaming import webhook as W
+
+    def rng(col, r):
+        return f"({col} >= {r[0]} AND {col} < {r[1]})"
+
+    name = case_map("event_type", W.EVENT_NAMES, "'payment_link.unknown'")
+    link = "'plink_' || substr(sha256('link|' || pid), 1, 14)"
+    pay_entity = ("json_object('entity', json_object('id', 'pay_evt_' || s_eid, 'amount', paise, "
+                  "'currency', 'INR', 'status', 'captured'))")
+    full = (f"CAST(json_object('event', name, 'payload', json_object('payment_link', json_object('entity', "
+            f"json_object('id', {link}, 'amount', paise, 'amount_paid', paise, 'currency', 'INR', "
+            f"'reference_id', 'recovery_' || pid)), 'payment', {pay_entity})) AS VARCHAR)")
+    no_entity = f"CAST(json_object('event', name, 'payload', json_object('payment', {pay_entity})) AS VARCHAR)"
+    good_sig = hmac_sql(W.TEST_SECRET, "body")
+    bad_sig = hmac_sql(W.TEST_SECRET + "-wrong", "body")
+    return f"""
+wev AS (
+  SELECT event_id AS eid, CAST(ts AS TIMESTAMP) AS ts, CAST(event_id AS VARCHAR) AS s_eid,
+         {h8("'deliv|' || CAST(event_id AS VARCHAR)")} % 100 AS fault,
+         'pay_' || CAST(event_id AS VARCHAR) AS pid, {name} AS name,
+         CAST(round(value * 100) AS BIGINT) AS paise
+  FROM events),
+wbody AS (
+  SELECT eid, ts, s_eid, fault,
+         CASE WHEN {rng('fault', W.FAULT_EMPTY_BODY)} THEN ''
+              WHEN {rng('fault', W.FAULT_BAD_JSON)} THEN substr({full}, 1, {W.TRUNCATED_BODY_CHARS})
+              WHEN {rng('fault', W.FAULT_NO_ENTITY)} THEN {no_entity}
+              ELSE {full} END AS body
+  FROM wev),
+wonce AS (
+  SELECT eid * 2 AS delivery_id, ts AS received_at,
+         CASE WHEN {rng('fault', W.FAULT_NO_EVENT_ID)} THEN NULL ELSE 'evt_' || s_eid END AS event_id,
+         CASE WHEN {rng('fault', W.FAULT_NO_SIGNATURE)} THEN NULL
+              WHEN {rng('fault', W.FAULT_BAD_SIGNATURE)} THEN {bad_sig}
+              ELSE {good_sig} END AS signature,
+         body, fault
+  FROM wbody),
+envelopes AS (
+  SELECT delivery_id, received_at, event_id, signature, body FROM wonce
+  UNION ALL
+  SELECT delivery_id + 1, received_at + to_seconds({W.DUPLICATE_DELAY_SECONDS}), event_id, signature, body
+  FROM wonce WHERE fault >= {W.FAULT_DUPLICATE_FROM}),
+wparsed AS (
+  SELECT *, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS pbody FROM envelopes),
+wg AS (
+  SELECT *,
+    CASE WHEN body IS NULL OR body = '' THEN 'rejected_empty_body'
+         WHEN signature IS NULL OR signature = '' THEN 'rejected_missing_signature'
+         WHEN {good_sig} <> signature THEN 'rejected_bad_signature'
+         WHEN pbody IS NULL THEN 'rejected_bad_json' END AS guard,
+    json_extract_string(pbody, '$.event') AS event,
+    json_extract(pbody, '$.payload.payment_link.entity') AS entity
+  FROM wparsed),
+wg2 AS (
+  SELECT *,
+    CASE WHEN guard IS NULL THEN COALESCE(CASE WHEN trim(event_id) <> '' THEN event_id END,
+                                          'local_' || sha256(body)) END AS ev_id,
+    COALESCE(guard IS NULL AND event = '{W.PAID_EVENT}' AND entity IS NOT NULL, false) AS would
+  FROM wg),
+wfirst AS (
+  SELECT ev_id, received_at AS f_ts, delivery_id AS f_id FROM (
+    SELECT ev_id, received_at, delivery_id,
+           row_number() OVER (PARTITION BY ev_id ORDER BY received_at, delivery_id) AS rn
+    FROM wg2 WHERE would) WHERE rn = 1),
+classified AS (
+  SELECT w.delivery_id, w.received_at, w.ev_id AS event_id, w.event,
+    CASE WHEN w.guard IS NOT NULL THEN w.guard
+         WHEN f.ev_id IS NOT NULL AND (f.f_ts < w.received_at OR (f.f_ts = w.received_at AND f.f_id < w.delivery_id))
+           THEN 'already_processed'
+         WHEN COALESCE(w.event, '') <> '{W.PAID_EVENT}' THEN 'ignored'
+         WHEN w.entity IS NULL THEN 'rejected_missing_entity'
+         ELSE 'recovered' END AS status,
+    json_extract_string(w.pbody, '$.payload.payment_link.entity.id') AS payment_link_id,
+    COALESCE(json_extract_string(w.pbody, '$.payload.payment.entity.id'), '') AS payment_id,
+    CAST(COALESCE(CAST(json_extract(w.pbody, '$.payload.payment_link.entity.amount_paid') AS BIGINT), 0) AS DOUBLE)
+      / 100.0 AS amount,
+    COALESCE(json_extract_string(w.pbody, '$.payload.payment_link.entity.currency'), 'INR') AS currency,
+    COALESCE(json_extract_string(w.pbody, '$.payload.payment_link.entity.reference_id'), '') AS reference_id
+  FROM wg2 w LEFT JOIN wfirst f ON w.ev_id = f.ev_id),
+recovered AS (
+  SELECT event_id, payment_link_id, payment_id, amount, currency, reference_id, 'recovered' AS status,
+         {ts_text('received_at')} AS recovered_at
+  FROM classified WHERE status = 'recovered')"""
