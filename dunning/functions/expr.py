@@ -28,8 +28,9 @@ def hash_fraction(x, buckets: int = 100) -> Column:
 
 
 def to_minor_units(amount) -> Column:
-    """Major -> minor currency units (paise), half-up, as long."""
-    return F.round(_c(amount) * 100, 0).cast("long")
+    """Major -> minor currency units (paise) as long, like Python's
+    int(round(a * 100)): nearest integer of the binary value, ties to even."""
+    return F.rint(_c(amount).cast("double") * 100).cast("long")
 
 
 def from_minor_units(minor) -> Column:

@@ -523,3 +523,41 @@ def webhook_match(spark, sf_dir):
     L = Layers(spark, sf_dir)
     rec = W.recoveries(_classified(spark, sf_dir))
     return W.match_recoveries(rec, L.attempts_log)
+
+
+# --- Spark ML (ML-4..10): rows-only checks (no SQL oracle for a fitted model) ---------------
+from dunning.operators import diagnosis as D  # noqa: E402
+from dunning.operators import models as M  # noqa: E402
+
+
+def _diag_features(spark, sf_dir):
+    return D.diagnosis_features(Layers(spark, sf_dir).failed)
+
+
+@register("diagnosis_scores")
+def diagnosis_scores(spark, sf_dir):
+    fitted, test = M.fit_diagnosis(_diag_features(spark, sf_dir))
+    return M.score_diagnosis(fitted, test)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    fitted, _ = M.fit_diagnosis(_diag_features(spark, sf_dir))
+    return M.importance_frame(spark, M.feature_importance(fitted, 10))
+
+
+@register("model_accuracy")
+def model_accuracy(spark, sf_dir):
+    feats = _diag_features(spark, sf_dir)
+    rows = []
+    for kind in ("forest", "logistic"):
+        fitted, test = M.fit_diagnosis(feats, model=kind)
+        rows.append(EV.accuracy(M.score_diagnosis(fitted, test)).withColumn("model", F.lit(kind)))
+    return rows[0].unionByName(rows[1])
+
+
+@register("risk_scores")
+def risk_scores(spark, sf_dir):
+    f = features.customer_risk_features(Layers(spark, sf_dir).payments)
+    fitted, test = M.fit_risk(f)
+    return M.score_risk(fitted, test)
