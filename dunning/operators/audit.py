@@ -84,25 +84,44 @@ def audit_by_action(audit: DataFrame, success_statuses=SUCCESS_STATUSES) -> Data
     return _group_summary(audit, "action", success_statuses)
 
 
-def summary_map(key: str, tag: int) -> F.Column:
-    """AGG-10: group rows -> one key-sorted map<key, struct<events, recovered>>.
-    The number of groups is the number of buckets/actions (a handful)."""
-    entry = F.when(F.col("__tag") == tag, F.struct(F.col(key).alias("k"),
-                                                   F.struct("events", "recovered").alias("v")))
-    return F.map_from_entries(F.array_sort(F.collect_list(entry)))
-
-
 def audit_summary(audit: DataFrame, success_statuses=SUCCESS_STATUSES) -> DataFrame:
     """Nested document: KPIs + by_root_cause + by_action maps, one row.
 
-    The three parts are stacked as tagged rows (union) and folded by one
-    global aggregate — no join between the one-row pieces."""
-    kpis = audit_metrics(audit, success_statuses)
-    parts = (kpis.withColumn("__tag", F.lit(0))
-             .unionByName(audit_by_cause(audit, success_statuses).withColumn("__tag", F.lit(1)),
-                          allowMissingColumns=True)
-             .unionByName(audit_by_action(audit, success_statuses).withColumn("__tag", F.lit(2)),
-                          allowMissingColumns=True))
-    return parts.agg(*[F.max(c).alias(c) for c in kpis.columns],
-                     summary_map("root_cause_bucket", 1).alias("by_root_cause"),
-                     summary_map("action", 2).alias("by_action"))
+    ONE pass over the audit table: GROUPING SETS ((root_cause_bucket),
+    (action), ()) computes the per-cause groups, the per-action groups and
+    the global KPIs in a single Expand + aggregate; a second aggregate over
+    those few rows folds them into the document."""
+    ok = F.col("execution_status").isin(*success_statuses)
+    g = audit.groupingSets(
+        [["root_cause_bucket"], ["action"], []], "root_cause_bucket", "action"
+    ).agg(
+        F.grouping_id().alias("__gid"),
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(ok).alias("recovered"),
+        F.count_if(F.col("action").isNotNull()).alias("total_events_with_decision"),
+        F.count_if(F.col("execution_status").isNotNull()).alias("total_attempts_executed"),
+        F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("total_amount_at_risk"),
+        F.coalesce(F.sum(F.when(ok, F.col("recovered_amount"))), F.lit(0)).cast(MONEY).alias("total_amount_recovered"),
+    )
+    # grouping_id bits: (root_cause_bucket, action); 1 = rolled up
+    by_cause = (F.col("__gid") == 1) & F.col("root_cause_bucket").isNotNull()
+    by_action = (F.col("__gid") == 2) & F.col("action").isNotNull()
+    glob = F.col("__gid") == 3
+
+    def pick(c):
+        return F.max(F.when(glob, F.col(c)))
+
+    entry = lambda k: F.struct(F.col(k).alias("k"), F.struct("events", "recovered").alias("v"))
+    doc = g.agg(
+        pick("events").alias("total_failed_events"), pick("total_events_with_decision").alias("total_events_with_decision"),
+        pick("total_attempts_executed").alias("total_attempts_executed"), pick("recovered").alias("total_recovered_count"),
+        pick("total_amount_at_risk").alias("total_amount_at_risk"),
+        pick("total_amount_recovered").alias("total_amount_recovered"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_cause, entry("root_cause_bucket"))))).alias("by_root_cause"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_action, entry("action"))))).alias("by_action"))
+    return doc.select(
+        "total_failed_events", "total_events_with_decision", "total_attempts_executed", "total_recovered_count",
+        guarded_pct("total_recovered_count", "total_attempts_executed").alias("recovery_rate_pct_of_executed"),
+        "total_amount_at_risk", "total_amount_recovered",
+        guarded_pct("total_amount_recovered", "total_amount_at_risk").alias("pct_of_at_risk_amount_recovered"),
+        "by_root_cause", "by_action")

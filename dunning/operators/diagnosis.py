@@ -45,7 +45,9 @@ def stored_style_predictions(failed: DataFrame) -> DataFrame:
     right = F.pmod(salted_hash8("diag|", pid), F.lit(100)) < RIGHT_BUCKET_PERCENT
     shift = F.pmod(salted_hash8("shift|", pid), F.lit(len(BUCKETS) - 1)) + 1
     wrong = F.element_at(buckets, (F.pmod(actual_idx + shift, F.lit(len(BUCKETS))) + 1).cast("int"))
-    predicted = F.when(right, F.col("actual_bucket")).otherwise(wrong)
+    predicted = (F.when(right, F.col("actual_bucket"))
+                  .when(F.col("actual_bucket").isin(*BUCKETS), wrong)
+                  .otherwise(F.lit(None).cast("string")))
     confidence = (F.lit(CONFIDENCE_FLOOR_MILLI)
                   + F.pmod(salted_hash8("conf|", pid), F.lit(CONFIDENCE_SPAN_MILLI))) / F.lit(1000.0)
     return feats.select(*[c for c in PREDICTION_COLUMNS if c not in ("predicted_bucket", "confidence")],

@@ -46,7 +46,7 @@ _PAY_SQL = ", ".join(O.ts_text('"timestamp"') + ' AS "timestamp"' if c == "times
 # --- sources / set ops -------------------------------------------------------
 @register("payments_failed", O.with_ctes(O.cte_payments(), select=f"SELECT {_PAY_SQL} FROM failed"))
 def payments_failed(spark, sf_dir):
-    return _payment_text(Layers(spark, sf_dir).failed)
+    return _payment_text(Layers.of(spark, sf_dir).failed)
 
 
 @register("payments_universe", O.with_ctes(O.cte_payments(), select=f"""
@@ -55,7 +55,7 @@ UNION ALL
 SELECT {_PAY_SQL}, 'succeeded' AS source FROM payments
 WHERE status <> 'failed' AND payment_id NOT IN (SELECT payment_id FROM failed)"""))
 def payments_universe(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     u = P.payments_universe(L.failed, P.successful_payments(L.payments))
     return _payment_text(u, ("source",))
 
@@ -64,7 +64,7 @@ def payments_universe(spark, sf_dir):
 @register("customer_fail_history", O.with_ctes(O.cte_payments(), O.cte_history(), select="""
 SELECT payment_id, customer_id, customer_fail_count, hour_of_day, day_of_week FROM history"""))
 def customer_fail_history(spark, sf_dir):
-    h = features.customer_fail_history(Layers(spark, sf_dir).failed)
+    h = features.customer_fail_history(Layers.of(spark, sf_dir).failed)
     return h.select("payment_id", "customer_id", "customer_fail_count", "hour_of_day", "day_of_week")
 
 
@@ -84,7 +84,7 @@ FROM (
   WINDOW w AS (PARTITION BY customer_id ORDER BY "timestamp", payment_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def customer_risk_features(spark, sf_dir):
-    f = features.customer_risk_features(Layers(spark, sf_dir).payments)
+    f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
     return f.select("payment_id", "customer_id", "amount", "method", "hour_of_day", "day_of_week",
                     "customer_prior_fail_rate", "customer_txn_count_so_far", "actual_at_risk")
 
@@ -93,7 +93,7 @@ def customer_risk_features(spark, sf_dir):
 @register("diagnosis_predictions", O.with_ctes(O.cte_payments(), O.cte_history(), O.cte_predictions(),
                                                select="SELECT * FROM preds"))
 def diagnosis_predictions(spark, sf_dir):
-    return Layers(spark, sf_dir).predictions
+    return Layers.of(spark, sf_dir).predictions
 
 
 _DEC = (O.cte_payments(), O.cte_history(), O.cte_predictions(), O.cte_decisions())
@@ -101,13 +101,13 @@ _DEC = (O.cte_payments(), O.cte_history(), O.cte_predictions(), O.cte_decisions(
 
 @register("policy_decisions", O.with_ctes(*_DEC, select="SELECT * FROM decisions"))
 def policy_decisions(spark, sf_dir):
-    return Layers(spark, sf_dir).decisions
+    return Layers.of(spark, sf_dir).decisions
 
 
 @register("policy_action_summary", O.with_ctes(*_DEC, select="""
 SELECT action, count(*) AS count FROM decisions WHERE action IS NOT NULL GROUP BY action"""))
 def policy_action_summary(spark, sf_dir):
-    return policy.action_summary(Layers(spark, sf_dir).decisions)
+    return policy.action_summary(Layers.of(spark, sf_dir).decisions)
 
 
 @register("policy_action_labels", O.with_ctes(*_DEC, select="""
@@ -115,13 +115,13 @@ SELECT action, count, replace(action, '_', ' ') AS label FROM (
   SELECT COALESCE(action, 'unknown') AS action, count(*) AS count FROM decisions
   GROUP BY COALESCE(action, 'unknown'))"""))
 def policy_action_labels(spark, sf_dir):
-    return policy.action_labels(Layers(spark, sf_dir).decisions)
+    return policy.action_labels(Layers.of(spark, sf_dir).decisions)
 
 
 @register("escalation_share", O.with_ctes(*_DEC, select="""
 SELECT count(*) FILTER (WHERE escalate) AS escalated, count(*) AS decisions FROM decisions"""))
 def escalation_share(spark, sf_dir):
-    return policy.escalation_share(Layers(spark, sf_dir).decisions)
+    return policy.escalation_share(Layers.of(spark, sf_dir).decisions)
 
 
 # --- execution -------------------------------------------------------------------
@@ -130,7 +130,7 @@ _ATT = (*_DEC, O.cte_attempts())
 
 @register("execution_routing", O.with_ctes(*_ATT, select="SELECT * FROM attempts"))
 def execution_routing(spark, sf_dir):
-    return Layers(spark, sf_dir).attempts
+    return Layers.of(spark, sf_dir).attempts
 
 
 @register("execution_tally", O.with_ctes(*_ATT, select="""
@@ -141,7 +141,7 @@ UNION ALL
 SELECT execution_status, count(*) AS count FROM attempts
 WHERE execution_status NOT IN ('sent', 'failed', 'skipped') GROUP BY 1"""))
 def execution_tally(spark, sf_dir):
-    return execution.tally(spark, Layers(spark, sf_dir).attempts)
+    return execution.tally(spark, Layers.of(spark, sf_dir).attempts)
 
 
 @register("retry_requests", O.with_ctes(*_ATT, select="""
@@ -157,7 +157,7 @@ SELECT a.payment_id,
 FROM attempts a LEFT JOIN lookup l ON a.payment_id = l.payment_id
 WHERE a.action_taken = 'retry_now' AND a.execution_status = 'sent'"""))
 def retry_requests(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     return execution.retry_requests(L.attempts, L.payments)
 
 
@@ -167,13 +167,13 @@ _OUT = (*_DEC, O.cte_outcomes())
 
 @register("recovery_outcomes", O.with_ctes(*_OUT, select="SELECT * FROM outcomes"))
 def recovery_outcomes(spark, sf_dir):
-    return Layers(spark, sf_dir).outcomes
+    return Layers.of(spark, sf_dir).outcomes
 
 
 @register("recovery_exceptions", O.with_ctes(*_OUT, select="""
 SELECT * FROM outcomes WHERE lower(CAST(outcome AS VARCHAR)) = 'failed'"""))
 def recovery_exceptions(spark, sf_dir):
-    return outcomes.failed_outcomes(Layers(spark, sf_dir).outcomes)
+    return outcomes.failed_outcomes(Layers.of(spark, sf_dir).outcomes)
 
 
 _MET = (*_OUT, O.cte_metrics())
@@ -181,7 +181,7 @@ _MET = (*_OUT, O.cte_metrics())
 
 @register("final_metrics", O.with_ctes(*_MET, select="SELECT * FROM metrics"))
 def final_metrics(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     return metrics.final_metrics(L.decisions, L.outcomes)
 
 
@@ -194,7 +194,7 @@ FROM (
   UNION ALL SELECT 2, 'Recovered', revenue_recovered, revenue_at_risk FROM metrics
   UNION ALL SELECT 3, 'Unrecovered', revenue_unrecovered, revenue_at_risk FROM metrics)"""))
 def revenue_long(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     return metrics.revenue_long(metrics.final_metrics(L.decisions, L.outcomes))
 
 
@@ -215,12 +215,12 @@ SELECT {_ATT_COLS} FROM (
                                execution_status ASC NULLS FIRST) AS rn
   FROM attempts_log) WHERE rn = 1"""))
 def first_attempt(spark, sf_dir):
-    return first_per_key(Layers(spark, sf_dir).attempts_log, "payment_id", A.ATTEMPT_ORDER)
+    return first_per_key(Layers.of(spark, sf_dir).attempts_log, "payment_id", A.ATTEMPT_ORDER)
 
 
 @register("latest_attempt", O.with_ctes(*_LOG, select="SELECT * FROM latest_attempt"))
 def latest_attempt(spark, sf_dir):
-    return A.latest_attempts(Layers(spark, sf_dir).attempts_log)
+    return A.latest_attempts(Layers.of(spark, sf_dir).attempts_log)
 
 
 # --- audit (JON-2, AGG-7..10) -----------------------------------------------------------
@@ -232,7 +232,7 @@ audit AS (
 
 
 def _audit(spark, sf_dir, mode="all"):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     return A.audit_table(L.failed, L.decisions, L.attempts_log, attempts_mode=mode)
 
 
@@ -321,7 +321,7 @@ cases AS (
 
 
 def _cases(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     return C.payment_cases(L.universe, L.decisions, L.attempts_log, L.outcomes)
 
 
@@ -362,7 +362,7 @@ _PRED = (O.cte_payments(), O.cte_history(), O.cte_predictions())
 SELECT n, correct, CASE WHEN n > 0 THEN round(CAST(correct AS DOUBLE) / CAST(n AS DOUBLE), 6) ELSE 0.0 END AS accuracy
 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE actual_bucket = predicted_bucket) AS correct FROM preds)"""))
 def eval_accuracy(spark, sf_dir):
-    return EV.accuracy(Layers(spark, sf_dir).predictions)
+    return EV.accuracy(Layers.of(spark, sf_dir).predictions)
 
 
 @register("eval_report", O.with_ctes(*_PRED, """
@@ -397,7 +397,7 @@ SELECT 'weighted avg', round(CASE WHEN s > 0 THEN wp / s ELSE 0.0 END, 6),
        round(CASE WHEN s > 0 THEN wr / s ELSE 0.0 END, 6), round(CASE WHEN s > 0 THEN wf / s ELSE 0.0 END, 6),
        CAST(s AS BIGINT) FROM agg"""))
 def eval_report(spark, sf_dir):
-    return EV.classification_report(Layers(spark, sf_dir).predictions)
+    return EV.classification_report(Layers.of(spark, sf_dir).predictions)
 
 
 def _confusion_sql() -> str:
@@ -415,7 +415,7 @@ FROM ({dim}) d LEFT JOIN (
 
 @register("eval_confusion", O.with_ctes(*_PRED, select=_confusion_sql()))
 def eval_confusion(spark, sf_dir):
-    return EV.confusion_matrix(spark, Layers(spark, sf_dir).predictions)
+    return EV.confusion_matrix(spark, Layers.of(spark, sf_dir).predictions)
 
 
 _RISK_SQL = O.with_ctes(O.cte_payments(), """
@@ -437,7 +437,7 @@ scored AS (SELECT *, CAST(risk_score >= 0.5 AS INTEGER) AS flagged_at_risk FROM
 
 
 def _risk(spark, sf_dir):
-    f = features.customer_risk_features(Layers(spark, sf_dir).payments)
+    f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
     return EV.stored_style_risk_scores(f)
 
 
@@ -469,7 +469,7 @@ SELECT actual_bucket AS label, count(*) FILTER (WHERE split = 'train') AS n_trai
        count(*) FILTER (WHERE split = 'test') AS n_test
 FROM (SELECT *, {_split_sql()} AS split FROM preds) GROUP BY actual_bucket"""))
 def stratified_split(spark, sf_dir):
-    return EV.split_summary(Layers(spark, sf_dir).predictions)
+    return EV.split_summary(Layers.of(spark, sf_dir).predictions)
 
 
 @register("class_weights", O.with_ctes(*_PRED, select=f"""
@@ -477,7 +477,7 @@ SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weig
 FROM (SELECT actual_bucket AS label, count(*) AS n_c
       FROM (SELECT *, {_split_sql()} AS split FROM preds) WHERE split = 'train' GROUP BY actual_bucket)"""))
 def class_weights(spark, sf_dir):
-    p = Layers(spark, sf_dir).predictions
+    p = Layers.of(spark, sf_dir).predictions
     return EV.class_weights(p.filter(EV.split_assignment(p) == "train"))
 
 
@@ -487,13 +487,13 @@ from dunning.streaming import webhook as W  # noqa: E402
 
 
 def _classified(spark, sf_dir):
-    return W.classify(W.envelopes_from_events(read_table(spark, sf_dir, "events")))
+    return W.classify(W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id")))
 
 
 @register("webhook_envelopes", O.with_ctes(O.cte_webhook(), select=f"""
 SELECT delivery_id, {O.ts_text('received_at')} AS received_at, event_id, signature, body FROM envelopes"""))
 def webhook_envelopes(spark, sf_dir):
-    e = W.envelopes_from_events(read_table(spark, sf_dir, "events"))
+    e = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id"))
     return e.withColumn("received_at", ts_text("received_at"))
 
 
@@ -520,7 +520,7 @@ SELECT r.*, l.payment_id AS matched_payment_id, l.execution_timestamp AS matched
        l.payment_id IS NOT NULL AS matched
 FROM recovered r LEFT JOIN links l ON r.payment_link_id = l.link_id"""))
 def webhook_match(spark, sf_dir):
-    L = Layers(spark, sf_dir)
+    L = Layers.of(spark, sf_dir)
     rec = W.recoveries(_classified(spark, sf_dir))
     return W.match_recoveries(rec, L.attempts_log)
 
@@ -531,7 +531,7 @@ from dunning.operators import models as M  # noqa: E402
 
 
 def _diag_features(spark, sf_dir):
-    return D.diagnosis_features(Layers(spark, sf_dir).failed)
+    return D.diagnosis_features(Layers.of(spark, sf_dir).failed)
 
 
 @register("diagnosis_scores")
@@ -558,6 +558,6 @@ def model_accuracy(spark, sf_dir):
 
 @register("risk_scores")
 def risk_scores(spark, sf_dir):
-    f = features.customer_risk_features(Layers(spark, sf_dir).payments)
+    f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
     fitted, test = M.fit_risk(f)
     return M.score_risk(fitted, test)

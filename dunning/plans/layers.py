@@ -19,6 +19,9 @@ from dunning.operators.rules import OutcomeParams, PolicyParams
 from dunning.sources import payments as P
 
 
+_CACHE: dict = {}
+
+
 @dataclass
 class Layers:
     spark: SparkSession
@@ -30,6 +33,16 @@ class Layers:
     # its rows are appended to the same attempts log (reference F10)
     rerun_at: str = "2024-06-02 00:00:00"
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Layers":
+        """One layer graph per (session, data dir, parameters): queries served
+        from the same run share the already-analyzed sub-plans."""
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
+        hit = _CACHE.get(key)
+        if hit is None:
+            hit = _CACHE[key] = cls(spark, sf_dir, **params)
+        return hit
+
     @cached_property
     def payments(self) -> DataFrame:
         return P.payments(self.spark, self.sf_dir)

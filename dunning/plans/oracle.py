@@ -121,7 +121,8 @@ preds AS (
   SELECT payment_id, error_code, amount, method, hour_of_day, day_of_week, customer_fail_count,
          root_cause_bucket AS actual_bucket,
          CASE WHEN {h8(q('diag|') + ' || payment_id')} % 100 < {RIGHT_BUCKET_PERCENT}
-              THEN root_cause_bucket ELSE {wrong} END AS predicted_bucket,
+              THEN root_cause_bucket
+              WHEN root_cause_bucket IN ({", ".join(q(x) for x in b)}) THEN {wrong} END AS predicted_bucket,
          ({CONFIDENCE_FLOOR_MILLI} + {h8(q('conf|') + ' || payment_id')} % {CONFIDENCE_SPAN_MILLI}) / 1000.0
            AS confidence
   FROM history)"""

@@ -71,26 +71,33 @@ def _lookup(mapping: dict, key: F.Column) -> F.Column:
 
 
 def payments_from_orders(orders: DataFrame) -> DataFrame:
-    """orders -> payments (schema PAYMENT_SCHEMA). Narrow: no shuffle."""
+    """orders -> payments (schema PAYMENT_SCHEMA). Narrow: no shuffle.
+    The reason bucket (one SHA-256 per failed row) is computed once as a
+    column; the four reason fields then index fixed arrays with it."""
     o = require_columns(orders, ORDER_COLUMNS, "orders").select(*ORDER_COLUMNS)
     pid = F.concat(F.lit("pay_"), F.col("o_orderkey").cast("string"))
     failed = F.col("o_orderstatus") == F.lit(FAILED_ORDER_STATUS)
-    idx = (F.pmod(salted_hash8("reason|", pid), F.lit(len(FAILURE_REASONS))) + 1).cast("int")
-
-    def reason_part(i: int) -> F.Column:
-        arr = F.array(*[F.lit(r[i]) for r in FAILURE_REASONS])
-        return F.when(failed, F.element_at(arr, idx))
-
     ts = F.timestamp_seconds(
         F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
         + F.pmod(F.col("o_orderkey") * F.lit(SECONDS_STRIDE), F.lit(86400)))
-    return o.select(
+    s1 = o.select(
         pid.alias("payment_id"),
         F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("customer_id"),
         F.col("o_totalprice").cast(T.DecimalType(18, 2)).alias("amount"),
         F.coalesce(_lookup(METHOD_BY_PRIORITY, F.col("o_orderpriority")), F.lit("other")).alias("method"),
         ts.alias("timestamp"),
-        F.when(failed, F.lit("failed")).otherwise(F.lit("captured")).alias("status"),
+        failed.alias("__failed"))
+    s2 = s1.select("*", F.when(F.col("__failed"), (F.pmod(salted_hash8("reason|", F.col("payment_id")),
+                                                         F.lit(len(FAILURE_REASONS))) + 1).cast("int")).alias("__idx"))
+
+    def reason_part(i: int) -> F.Column:
+        # guarded: element_at over a literal array must never see a NULL index
+        return F.when(F.col("__failed"),
+                      F.element_at(F.array(*[F.lit(r[i]) for r in FAILURE_REASONS]), F.col("__idx")))
+
+    return s2.select(
+        "payment_id", "customer_id", "amount", "method", "timestamp",
+        F.when(F.col("__failed"), F.lit("failed")).otherwise(F.lit("captured")).alias("status"),
         reason_part(0).alias("error_code"),
         reason_part(1).alias("error_reason"),
         reason_part(2).alias("error_description"),
@@ -99,7 +106,7 @@ def payments_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payments_from_orders(read_table(spark, sf_dir, "orders"))
+    return payments_from_orders(read_table(spark, sf_dir, "orders", ORDER_COLUMNS))
 
 
 def failed_payments(pay: DataFrame) -> DataFrame:

@@ -20,10 +20,33 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread_key: str | None = None) -> DataFrame:
     """Parquet scan of a driver table; projections/filters applied later are
-    pushed into the scan by Catalyst (ReadSchema / PushedFilters)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    pushed into the scan by Catalyst (ReadSchema / PushedFilters).
+
+    ``spread_key``: see ``spread``."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if columns:
+        df = df.select(*columns)
+    return spread(df, spread_key) if spread_key else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row stages (SHA-256, HMAC, JSON) every core.
+
+    A scan yields one task per file split; a table stored as a few small
+    single-row-group files therefore runs its row functions on a few cores.
+    Only in that case the scan is hash-partitioned on its (unique) key to the
+    cluster's default parallelism — deterministic on retry, balanced. A large
+    table already has at least that many splits and is left untouched (no
+    extra shuffle)."""
+    if os.environ.get("DUNNING_NO_SPREAD"):
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
 
 
 def require_columns(df: DataFrame, required, table: str) -> DataFrame:
@@ -35,8 +58,35 @@ def require_columns(df: DataFrame, required, table: str) -> DataFrame:
     return df
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_table(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:
+    """A small fixed table as an inline VALUES relation (a LocalRelation in the
+    JVM): no Python RDD, no job to broadcast it. For rule tables only."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    names = [f.name for f in schema.fields]
+    casts = ", ".join(f"CAST(col{i + 1} AS {f.dataType.simpleString()}) AS `{f.name}`"
+                      for i, f in enumerate(schema.fields))
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+        return spark.sql(f"SELECT {nulls} WHERE FALSE")
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    df = spark.sql(f"SELECT {casts} FROM VALUES {values}")
+    assert df.columns == names
+    return df
+
+
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return literal_table(spark, [], schema)
 
 
 def optional_table(spark: SparkSession, path: str | None, schema: T.StructType,

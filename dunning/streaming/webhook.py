@@ -79,6 +79,7 @@ BODY_SCHEMA = T.StructType([
     ])),
 ])
 
+EVENT_COLUMNS = ["event_id", "ts", "event_type", "value"]
 RECOVERY_COLUMNS = ["event_id", "payment_link_id", "payment_id", "amount", "currency", "reference_id",
                     "status", "recovered_at"]
 
@@ -89,36 +90,43 @@ def _in(b: F.Column, rng: tuple[int, int]) -> F.Column:
 
 def envelopes_from_events(events: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
     """SRC-6 stand-in: one signed delivery per ``events`` row (a second copy for
-    the duplicate bucket), each about payment 'pay_<event_id>'."""
-    e = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    the duplicate bucket), each about payment 'pay_<event_id>'.
+
+    Staged projections: every hash, JSON text and HMAC is computed once as a
+    column and later stages only reference it."""
     eid = F.col("event_id").cast("string")
     pid = F.concat(F.lit("pay_"), eid)
-    fault = F.pmod(salted_hash8("deliv|", eid), F.lit(100))
     name = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])[F.col("event_type")],
                       F.lit("payment_link.unknown"))
-    paise = F.round(F.col("value") * 100, 0).cast("long")
-    link_entity = F.struct(payment_link_id(pid).alias("id"), paise.alias("amount"), paise.alias("amount_paid"),
+    s1 = events.select(
+        F.col("event_id").alias("eid"), F.col("ts").cast("timestamp").alias("ts"), pid.alias("pid"),
+        eid.alias("s_eid"), name.alias("name"),
+        F.round(F.col("value") * 100, 0).cast("long").alias("paise"),
+        F.pmod(salted_hash8("deliv|", eid), F.lit(100)).alias("fault"))
+    paise = F.col("paise")
+    link_entity = F.struct(payment_link_id("pid").alias("id"), paise.alias("amount"), paise.alias("amount_paid"),
                            F.lit(DEFAULT_CURRENCY).alias("currency"),
-                           F.concat(F.lit("recovery_"), pid).alias("reference_id"))
-    pay_entity = F.struct(F.concat(F.lit("pay_evt_"), eid).alias("id"), paise.alias("amount"),
+                           F.concat(F.lit("recovery_"), F.col("pid")).alias("reference_id"))
+    pay_entity = F.struct(F.concat(F.lit("pay_evt_"), F.col("s_eid")).alias("id"), paise.alias("amount"),
                           F.lit(DEFAULT_CURRENCY).alias("currency"), F.lit("captured").alias("status"))
-    full = F.to_json(F.struct(name.alias("event"), F.struct(
+    s2 = s1.select("eid", "ts", "s_eid", "fault", F.to_json(F.struct(F.col("name").alias("event"), F.struct(
         F.struct(link_entity.alias("entity")).alias("payment_link"),
-        F.struct(pay_entity.alias("entity")).alias("payment")).alias("payload")))
-    no_entity = F.to_json(F.struct(name.alias("event"), F.struct(
-        F.struct(pay_entity.alias("entity")).alias("payment")).alias("payload")))
+        F.struct(pay_entity.alias("entity")).alias("payment")).alias("payload"))).alias("full"))
+    fault = F.col("fault")
+    # the no-entity variant is the full text with the payment_link member cut out
+    no_entity = F.regexp_replace("full", r'"payment_link":\{"entity":\{[^}]*\}\},', "")
     body = (F.when(_in(fault, FAULT_EMPTY_BODY), F.lit(""))
-             .when(_in(fault, FAULT_BAD_JSON), F.substring(full, 1, TRUNCATED_BODY_CHARS))
+             .when(_in(fault, FAULT_BAD_JSON), F.substring("full", 1, TRUNCATED_BODY_CHARS))
              .when(_in(fault, FAULT_NO_ENTITY), no_entity)
-             .otherwise(full))
-    d = e.select(fault.alias("fault"), F.col("event_id").alias("eid"), F.col("ts"), body.alias("body"))
-    sig = (F.when(_in(F.col("fault"), FAULT_NO_SIGNATURE), F.lit(None).cast("string"))
-            .when(_in(F.col("fault"), FAULT_BAD_SIGNATURE), hmac_sha256_hex(secret + "-wrong", F.col("body")))
+             .otherwise(F.col("full")))
+    s3 = s2.select("eid", "ts", "s_eid", "fault", body.alias("body"))
+    sig = (F.when(_in(fault, FAULT_NO_SIGNATURE), F.lit(None).cast("string"))
+            .when(_in(fault, FAULT_BAD_SIGNATURE), hmac_sha256_hex(secret + "-wrong", F.col("body")))
             .otherwise(hmac_sha256_hex(secret, F.col("body"))))
-    header = F.when(_in(F.col("fault"), FAULT_NO_EVENT_ID), F.lit(None).cast("string"))\
-              .otherwise(F.concat(F.lit("evt_"), F.col("eid").cast("string")))
-    once = d.select((F.col("eid") * 2).alias("delivery_id"), F.col("ts").alias("received_at"),
-                    header.alias("event_id"), sig.alias("signature"), "body", "fault")
+    header = F.when(_in(fault, FAULT_NO_EVENT_ID), F.lit(None).cast("string"))\
+              .otherwise(F.concat(F.lit("evt_"), F.col("s_eid")))
+    once = s3.select((F.col("eid") * 2).alias("delivery_id"), F.col("ts").alias("received_at"),
+                     header.alias("event_id"), sig.alias("signature"), "body", "fault")
     again = once.filter(F.col("fault") >= FAULT_DUPLICATE_FROM).select(
         (F.col("delivery_id") + 1).alias("delivery_id"),
         F.timestamp_seconds(F.unix_seconds("received_at") + DUPLICATE_DELAY_SECONDS).alias("received_at"),
@@ -129,30 +137,47 @@ def envelopes_from_events(events: DataFrame, secret: str = TEST_SECRET) -> DataF
 def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame | None = None) -> DataFrame:
     """STR-1..3, STR-6: status per delivery + the parsed fields.
 
-    ``processed_ids`` (column ``event_id``) is the recovery log so far (JON-8)."""
+    ``processed_ids`` (column ``event_id``) is the recovery log so far (JON-8).
+    Each body is parsed once and signed once (staged projections)."""
     body = F.col("body")
-    valid_json = F.json_object_keys(body).isNotNull()
-    parsed = F.when(valid_json, F.from_json(body, BODY_SCHEMA))
-    d = env.select("*", parsed.alias("__p"))
+    s1 = env.select("delivery_id", "received_at", "event_id", "signature", "body",
+                    F.json_object_keys(body).isNotNull().alias("__valid"),
+                    (hmac_sha256_hex(secret, body) == F.col("signature")).alias("__sig_ok"))
+    s2 = s1.select("*", F.when(F.col("__valid"), F.from_json(body, BODY_SCHEMA)).alias("__p"))
     guard = (F.when(body.isNull() | (body == ""), F.lit("rejected_empty_body"))
               .when(F.col("signature").isNull() | (F.col("signature") == ""), F.lit("rejected_missing_signature"))
-              .when(hmac_sha256_hex(secret, body) != F.col("signature"), F.lit("rejected_bad_signature"))
-              .when(~valid_json, F.lit("rejected_bad_json")))
+              .when(~F.col("__sig_ok"), F.lit("rejected_bad_signature"))
+              .when(~F.col("__valid"), F.lit("rejected_bad_json")))
     ev = F.coalesce(F.when(F.trim(F.col("event_id")) != "", F.col("event_id")),
                     F.concat(F.lit("local_"), F.sha2(body, 256)))
-    entity = F.col("__p.payload.payment_link.entity")
-    d = (d.withColumn("__guard", guard)
-          .withColumn("event_id", F.when(F.col("__guard").isNull(), ev))
-          .withColumn("event", F.col("__p.event"))
-          .withColumn("__would_recover", F.col("__guard").isNull() & (F.col("event") == PAID_EVENT)
-                      & entity.isNotNull()))
+    ent = "__p.payload.payment_link.entity"
+    s3 = s2.select(
+        "delivery_id", "received_at", guard.alias("__guard"),
+        F.col("__p.event").alias("event"),
+        F.col(ent).isNotNull().alias("__has_entity"),
+        F.col(f"{ent}.id").alias("payment_link_id"),
+        F.coalesce(F.col("__p.payload.payment.entity.id"), F.lit("")).alias("payment_id"),
+        (F.coalesce(F.col(f"{ent}.amount_paid"), F.lit(0)).cast("double") / 100.0).alias("amount"),
+        F.coalesce(F.col(f"{ent}.currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
+        F.coalesce(F.col(f"{ent}.reference_id"), F.lit("")).alias("reference_id"),
+        "event_id", "body")
+    # The dedupe key is never NULL (a rejected delivery gets its own key), so
+    # Catalyst infers no IS NOT NULL filter on it; such a filter would be
+    # pushed to the scan with the whole guard expression inlined.
+    key = F.coalesce(F.when(F.col("__guard").isNull(), ev),
+                     F.concat(F.lit("rejected#"), F.col("delivery_id").cast("string")), F.lit("rejected#"))
+    d = s3.select("*", key.alias("__key")).drop("event_id", "body")
+    d = d.withColumn("__would_recover", F.coalesce(
+        F.col("__guard").isNull() & (F.col("event") == PAID_EVENT) & F.col("__has_entity"), F.lit(False)))
     # earliest would-be recovery per event id: a partial aggregate (hot ids are cheap)
-    firsts = (d.filter("__would_recover").groupBy("event_id")
-              .agg(F.min(F.struct("received_at", "delivery_id")).alias("__first")))
-    d = d.join(firsts, "event_id", "left")
+    # (a conditional aggregate, not filter + aggregate: a filter here would be
+    # pushed down and inline the HMAC/JSON expressions into its predicate)
+    firsts = (d.groupBy("__key")
+              .agg(F.min(F.when(F.col("__would_recover"), F.struct("received_at", "delivery_id"))).alias("__first")))
+    d = d.join(firsts, "__key", "left")
     if processed_ids is not None:
-        seen = processed_ids.select("event_id").distinct().withColumn("__seen", F.lit(True))
-        d = d.join(seen, "event_id", "left")
+        seen = processed_ids.select(F.col("event_id").alias("__key")).distinct().withColumn("__seen", F.lit(True))
+        d = d.join(seen, "__key", "left")
     else:
         d = d.withColumn("__seen", F.lit(None).cast("boolean"))
     me = F.struct("received_at", "delivery_id")
@@ -160,15 +185,11 @@ def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame
     status = (F.when(F.col("__guard").isNotNull(), F.col("__guard"))
                .when(dup, F.lit("already_processed"))
                .when(F.coalesce(F.col("event"), F.lit("")) != PAID_EVENT, F.lit("ignored"))
-               .when(entity.isNull(), F.lit("rejected_missing_entity"))
+               .when(~F.col("__has_entity"), F.lit("rejected_missing_entity"))
                .otherwise(F.lit("recovered")))
-    return d.select(
-        "delivery_id", "received_at", "event_id", "event", status.alias("status"),
-        entity.getField("id").alias("payment_link_id"),
-        F.coalesce(F.col("__p.payload.payment.entity.id"), F.lit("")).alias("payment_id"),
-        (F.coalesce(entity.getField("amount_paid"), F.lit(0)).cast("double") / 100.0).alias("amount"),
-        F.coalesce(entity.getField("currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
-        F.coalesce(entity.getField("reference_id"), F.lit("")).alias("reference_id"))
+    return d.select("delivery_id", "received_at",
+                    F.when(F.col("__guard").isNull(), F.col("__key")).alias("event_id"), "event", status.alias("status"),
+                    "payment_link_id", "payment_id", "amount", "currency", "reference_id")
 
 
 def recoveries(classified: DataFrame) -> DataFrame:
