@@ -69,10 +69,20 @@ def not_found_text(payment_id: str) -> str:
             "successful payments data, so there is nothing to explain.")
 
 
-def case_for_payment(spark: SparkSession, cases_builder, payment_id: str) -> DataFrame:
-    """FLT-5: single-id lookup = the bulk plan + a filter (Catalyst pushes it
-    below the joins; ``cases_builder`` may push it into the scan)."""
-    return cases_builder(payment_id).filter(F.col("payment_id") == payment_id)
+def case_for_payment(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
+    """QRY-6 for one id (the API's lookup): the bulk case plan restricted to
+    one key. The order-key filter is pushed into the orders scan, and the
+    payment_id filter is pushed by Catalyst into the decision / attempt /
+    outcome sides (join-key constraint propagation), so only one id's rows
+    flow through the joins. An unknown id gives zero rows (not found)."""
+    from dunning.plans.layers import Layers
+    from dunning.sources import payments as P
+    L = Layers.of(spark, sf_dir)
+    one = P.payment_by_id(spark, sf_dir, payment_id)
+    universe = P.payments_universe(P.failed_payments(one), P.successful_payments(one))
+    return payment_cases(universe, L.decisions.filter(F.col("payment_id") == payment_id),
+                         L.attempts_log.filter(F.col("payment_id") == payment_id),
+                         L.outcomes.filter(F.col("payment_id") == payment_id))
 
 
 def case_rows_text(cases: DataFrame) -> DataFrame:

@@ -41,3 +41,9 @@ def label_outcomes(decisions: DataFrame, payments: DataFrame, params: OutcomePar
 def failed_outcomes(outcomes: DataFrame) -> DataFrame:
     """QRY-3 / FLT-3: case-insensitive outcome == 'failed'."""
     return outcomes.filter(F.lower(F.col("outcome").cast("string")) == "failed")
+
+
+def first_ids(df: DataFrame, n: int = 10, col: str = "payment_id") -> DataFrame:
+    """SRT-4: the first n non-empty ids (ordered), e.g. for an exceptions card."""
+    c = F.trim(F.col(col).cast("string"))
+    return df.select(c.alias(col)).filter(c.isNotNull() & (c != "")).orderBy(col).limit(n)

@@ -116,3 +116,10 @@ def escalation_share(decisions: DataFrame) -> DataFrame:
     """AGG-12: escalated / total."""
     return decisions.agg(F.count_if(F.col("escalate")).alias("escalated"),
                          F.count(F.lit(1)).alias("decisions"))
+
+
+def decision_preview(decisions: DataFrame, n: int = 8) -> DataFrame:
+    """SRT-3: first n decisions by id with the chosen columns (a top-k report:
+    TakeOrderedAndProject, no full sort)."""
+    return (decisions.select("payment_id", "diagnosed_bucket", "confidence", "action", "reason")
+            .orderBy("payment_id").limit(n))

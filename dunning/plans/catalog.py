@@ -561,3 +561,34 @@ def risk_scores(spark, sf_dir):
     f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
     fitted, test = M.fit_risk(f)
     return M.score_risk(fitted, test)
+
+
+# --- previews / top-k reports (SRT-3/4/5) -------------------------------------------------------
+@register("policy_preview", O.with_ctes(*_DEC, select="""
+SELECT payment_id, diagnosed_bucket, confidence, action, reason FROM decisions ORDER BY payment_id LIMIT 8"""))
+def policy_preview(spark, sf_dir):
+    return policy.decision_preview(Layers.of(spark, sf_dir).decisions, 8)
+
+
+@register("exception_ids", O.with_ctes(*_OUT, select="""
+SELECT trim(CAST(payment_id AS VARCHAR)) AS payment_id FROM outcomes
+WHERE lower(CAST(outcome AS VARCHAR)) = 'failed' AND trim(CAST(payment_id AS VARCHAR)) <> ''
+ORDER BY 1 LIMIT 10"""))
+def exception_ids(spark, sf_dir):
+    return outcomes.first_ids(outcomes.failed_outcomes(Layers.of(spark, sf_dir).outcomes), 10)
+
+
+@register("eval_labels", O.with_ctes(*_PRED, select="""
+SELECT DISTINCT actual_bucket AS label FROM preds WHERE actual_bucket IS NOT NULL"""))
+def eval_labels(spark, sf_dir):
+    return EV.sorted_labels(Layers.of(spark, sf_dir).predictions)
+
+
+@register("action_counts_long", O.with_ctes(*_MET, select="""
+SELECT 'Retry now' AS label, retry_now AS count FROM metrics
+UNION ALL SELECT 'Retry later', retry_later FROM metrics
+UNION ALL SELECT 'Send reminder', send_reminder FROM metrics
+UNION ALL SELECT 'Human escalations', human_escalations FROM metrics"""))
+def action_counts_long(spark, sf_dir):
+    L = Layers.of(spark, sf_dir)
+    return metrics.action_counts_long(metrics.final_metrics(L.decisions, L.outcomes))

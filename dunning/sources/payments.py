@@ -129,3 +129,52 @@ def payments_universe(failed: DataFrame, succeeded: DataFrame) -> DataFrame:
     s = (succeeded.join(failed.select("payment_id"), "payment_id", "left_anti")
          .withColumn("source", F.lit("succeeded")))
     return f.unionByName(s, allowMissingColumns=True)
+
+
+def parse_timestamp(col: str) -> F.Column:
+    """FN-1: text -> timestamp (ISO forms with 'T' or space, optional fraction);
+    unparseable text gives NULL instead of failing the job."""
+    t = F.regexp_replace(F.trim(F.col(col)), "T", " ")
+    return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")),
+                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")),
+                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm")),
+                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
+
+
+CSV_SCHEMA = T.StructType([
+    T.StructField("payment_id", T.StringType()), T.StructField("customer_id", T.StringType()),
+    T.StructField("amount", T.StringType()), T.StructField("method", T.StringType()),
+    T.StructField("timestamp", T.StringType()), T.StructField("status", T.StringType()),
+    T.StructField("error_code", T.StringType()), T.StructField("error_reason", T.StringType()),
+    T.StructField("error_description", T.StringType()), T.StructField("root_cause_bucket", T.StringType()),
+])
+
+
+def payments_from_csv(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1: a raw payments CSV with header, declared schema (no inference),
+    typed at the source: amount -> DECIMAL (NaN / bad text -> NULL, trap T1),
+    timestamp text -> TIMESTAMP (FN-1). Same output schema as the orders view."""
+    raw = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
+    amt = F.col("amount").try_cast("double")
+    amt = F.when(F.isnan(amt), F.lit(None)).otherwise(amt)
+    return raw.select(
+        "payment_id", "customer_id", amt.cast(T.DecimalType(18, 2)).alias("amount"), "method",
+        parse_timestamp("timestamp").alias("timestamp"), "status", "error_code", "error_reason",
+        "error_description", "root_cause_bucket")
+
+
+def orderkey_of(payment_id: str) -> int | None:
+    """'pay_123' -> 123 (ids of the orders view); None for other ids."""
+    if payment_id.startswith("pay_") and payment_id[4:].isdigit():
+        return int(payment_id[4:])
+    return None
+
+
+def payment_by_id(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
+    """FLT-5: one payment, with the key filter on the raw order key so it
+    reaches the Parquet scan (PushedFilters) instead of a derived column."""
+    key = orderkey_of(payment_id)
+    orders = read_table(spark, sf_dir, "orders", ORDER_COLUMNS)
+    if key is None:
+        return payments_from_orders(orders.limit(0))
+    return payments_from_orders(orders.filter(F.col("o_orderkey") == F.lit(key)))

@@ -122,3 +122,12 @@ def with_typed_nulls(df: DataFrame, schema: T.StructType) -> DataFrame:
         if f.name not in out.columns:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
     return out
+
+
+def union_all_columns(*dfs: DataFrame) -> DataFrame:
+    """SET-2: union of differently shaped record sets; every column kept,
+    missing ones NULL."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
