@@ -49,7 +49,7 @@ class Layers:
 
     @cached_property
     def failed(self) -> DataFrame:
-        return P.failed_payments(self.payments)
+        return P.failed_payments_scan(self.spark, self.sf_dir)
 
     @cached_property
     def predictions(self) -> DataFrame:
