@@ -18,6 +18,12 @@ def hash8(x) -> Column:
     return F.conv(F.substring(F.sha2(_c(x).cast("string"), 256), 1, 8), 16, 10).cast("long")
 
 
+def hex_slice_int(hex_col, part: int) -> Column:
+    """The ``part``-th 8-hex-digit slice (0-based) of a SHA-256 hex column as an
+    unsigned 32-bit integer: several independent buckets from ONE hash."""
+    return F.conv(F.substring(_c(hex_col), part * 8 + 1, 8), 16, 10).cast("long")
+
+
 def salted_hash8(salt: str, x) -> Column:
     return hash8(F.concat(F.lit(salt), _c(x).cast("string")))
 

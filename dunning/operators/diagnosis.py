@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunning.functions.expr import salted_hash8
+from dunning.functions.expr import hex_slice_int
 from dunning.operators.features import customer_fail_history
 from dunning.operators.rules import BUCKETS
 
@@ -38,17 +38,19 @@ def diagnosis_features(failed: DataFrame) -> DataFrame:
 
 
 def stored_style_predictions(failed: DataFrame) -> DataFrame:
-    feats = diagnosis_features(failed)
-    pid = F.col("payment_id")
+    """One SHA-256 of 'diag|' || id per row; its first three 8-hex-digit slices
+    decide right/wrong bucket, the wrong-bucket shift and the confidence."""
+    feats = diagnosis_features(failed).withColumn(
+        "__h", F.sha2(F.concat(F.lit("diag|"), F.col("payment_id")), 256))
     buckets = F.array(*[F.lit(b) for b in BUCKETS])
-    actual_idx = F.array_position(buckets, F.col("actual_bucket")) - 1  # -1 when unknown
-    right = F.pmod(salted_hash8("diag|", pid), F.lit(100)) < RIGHT_BUCKET_PERCENT
-    shift = F.pmod(salted_hash8("shift|", pid), F.lit(len(BUCKETS) - 1)) + 1
+    actual_idx = F.array_position(buckets, F.col("actual_bucket")) - 1
+    right = F.pmod(hex_slice_int("__h", 0), F.lit(100)) < RIGHT_BUCKET_PERCENT
+    shift = F.pmod(hex_slice_int("__h", 1), F.lit(len(BUCKETS) - 1)) + 1
     wrong = F.element_at(buckets, (F.pmod(actual_idx + shift, F.lit(len(BUCKETS))) + 1).cast("int"))
     predicted = (F.when(right, F.col("actual_bucket"))
                   .when(F.col("actual_bucket").isin(*BUCKETS), wrong)
                   .otherwise(F.lit(None).cast("string")))
     confidence = (F.lit(CONFIDENCE_FLOOR_MILLI)
-                  + F.pmod(salted_hash8("conf|", pid), F.lit(CONFIDENCE_SPAN_MILLI))) / F.lit(1000.0)
+                  + F.pmod(hex_slice_int("__h", 2), F.lit(CONFIDENCE_SPAN_MILLI))) / F.lit(1000.0)
     return feats.select(*[c for c in PREDICTION_COLUMNS if c not in ("predicted_bucket", "confidence")],
                         predicted.alias("predicted_bucket"), confidence.alias("confidence"))

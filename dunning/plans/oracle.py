@@ -110,22 +110,25 @@ history AS (
   FROM failed)"""
 
 
+def hex_slice(hex_expr: str, part: int) -> str:
+    return f"CAST(('0x' || substr({hex_expr}, {part * 8 + 1}, 8)) AS BIGINT)"
+
+
 def cte_predictions() -> str:
     b = R.BUCKETS
     k = len(b)
     pos = f"(COALESCE(list_position({list_lit(b)}, root_cause_bucket), 0) - 1)"
-    shift = f"(({h8(q('shift|') + ' || payment_id')} % {k - 1}) + 1)"
+    shift = f"(({hex_slice('h', 1)} % {k - 1}) + 1)"
     wrong = f"{list_lit(b)}[((({pos} + {shift}) % {k}) + {k}) % {k} + 1]"
     return f"""
 preds AS (
   SELECT payment_id, error_code, amount, method, hour_of_day, day_of_week, customer_fail_count,
          root_cause_bucket AS actual_bucket,
-         CASE WHEN {h8(q('diag|') + ' || payment_id')} % 100 < {RIGHT_BUCKET_PERCENT}
+         CASE WHEN {hex_slice('h', 0)} % 100 < {RIGHT_BUCKET_PERCENT}
               THEN root_cause_bucket
               WHEN root_cause_bucket IN ({", ".join(q(x) for x in b)}) THEN {wrong} END AS predicted_bucket,
-         ({CONFIDENCE_FLOOR_MILLI} + {h8(q('conf|') + ' || payment_id')} % {CONFIDENCE_SPAN_MILLI}) / 1000.0
-           AS confidence
-  FROM history)"""
+         ({CONFIDENCE_FLOOR_MILLI} + {hex_slice('h', 2)} % {CONFIDENCE_SPAN_MILLI}) / 1000.0 AS confidence
+  FROM (SELECT *, sha256('diag|' || payment_id) AS h FROM history))"""
 
 
 def cte_decisions(attempt_count: str = "0") -> str:
