@@ -205,7 +205,10 @@ def status_counts(classified: DataFrame) -> DataFrame:
 
 def link_index(attempts: DataFrame) -> DataFrame:
     """JON-9 made an equi join: the link id is extracted from each attempt's
-    notes once; the first attempt per link id (log order) wins."""
+    notes once; the first attempt per link id (log order) wins. (The literal
+    rule — link id occurs anywhere inside the notes — is a theta join over all
+    pairs; the tests keep it as a brute-force check on a small fixture. Both
+    agree unless one link id is a prefix of another; ours have fixed length.)"""
     a = attempts.withColumn("link_id", F.regexp_extract("notes", r"payment_link_id=([^;]+)", 1))
     a = a.filter(F.col("link_id") != "")
     return first_per_key(a.select("link_id", *ATTEMPT_ORDER, "payment_id"), "link_id", ATTEMPT_ORDER)
@@ -220,19 +223,6 @@ def match_recoveries(recovered: DataFrame, attempts: DataFrame) -> DataFrame:
             .withColumn("matched", F.col("matched_payment_id").isNotNull()))
 
 
-def match_by_contains(recovered: DataFrame, attempts: DataFrame) -> DataFrame:
-    """The reference's literal rule (link id occurs inside the notes): a theta
-    join, kept for tests on small inputs; ``match_recoveries`` is the scalable
-    equi-join form and agrees unless one link id is a prefix of another."""
-    a = attempts.select(F.col("notes"), F.col("payment_id").alias("matched_payment_id"), *[
-        F.col(c).alias("__" + c) for c in ATTEMPT_ORDER])
-    j = recovered.join(a, F.col("notes").contains(F.col("payment_link_id")), "left")
-    first = first_per_key(j.drop("notes"), ["event_id"], ["__" + c for c in ATTEMPT_ORDER])
-    return first.select(*recovered.columns, "matched_payment_id",
-                        F.col("__execution_timestamp").alias("matched_execution_timestamp"))\
-                .withColumn("matched", F.col("matched_payment_id").isNotNull())
-
-
 def dedupe_within_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """STR-3, bounded state: duplicates arriving within ``delay`` are dropped."""
     return stream.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])

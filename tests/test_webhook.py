@@ -78,12 +78,25 @@ def test_stream_replay_changes_nothing(spark):
     assert m.count() == log1 and m.filter("matched").count() > 0
 
 
+def _brute_force_contains(recovered, attempts):
+    """The literal rule on the driver (small fixture only): scan the log in
+    (execution_timestamp, notes, action, status) order, first row whose notes
+    contain the link id wins."""
+    log = sorted(attempts.collect(), key=lambda r: (r.execution_timestamp, r.notes, r.action_taken,
+                                                    r.execution_status))
+    out = {}
+    for r in recovered.collect():
+        hit = next((a for a in log if r.payment_link_id and r.payment_link_id in (a.notes or "")), None)
+        out[r.event_id] = hit.payment_id if hit else None
+    return out
+
+
 def test_equi_match_equals_contains_match(spark):
-    L = Layers(spark, SF_SMALL)
+    L = Layers.of(spark, SF_SMALL)
     rec = W.recoveries(W.classify(W.envelopes_from_events(read_table(spark, SF_SMALL, "events"))))
-    a = W.match_recoveries(rec, L.attempts_log).select("event_id", "matched_payment_id", "matched")
-    b = W.match_by_contains(rec, L.attempts_log).select("event_id", "matched_payment_id", "matched")
-    assert sorted(a.collect()) == sorted(b.collect())
+    a = {r.event_id: r.matched_payment_id for r in W.match_recoveries(rec, L.attempts_log).collect()}
+    assert a == _brute_force_contains(rec, L.attempts_log)
+    assert any(v is not None for v in a.values())
 
 
 def test_watermark_dedupe_is_a_stream_op(spark):
