@@ -592,3 +592,10 @@ UNION ALL SELECT 'Human escalations', human_escalations FROM metrics"""))
 def action_counts_long(spark, sf_dir):
     L = Layers.of(spark, sf_dir)
     return metrics.action_counts_long(metrics.final_metrics(L.decisions, L.outcomes))
+
+
+@register("first_per_payment", O.with_ctes(O.cte_payments(), O.cte_lookup(), select="""
+SELECT payment_id, amount, customer_id FROM lookup"""))
+def first_per_payment(spark, sf_dir):
+    """WIN-4 / JON-3 lookup side: first payment row per id (by time, then amount, customer)."""
+    return execution.payment_lookup(Layers.of(spark, sf_dir).payments).drop("__found")

@@ -110,3 +110,19 @@ def test_watermark_dedupe_is_a_stream_op(spark):
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(d, "out"))
     assert got.count() == env.select("event_id").distinct().count()
+
+
+def test_hot_event_id_dedupes_exactly(spark):
+    """One event id delivered 600 times (a retry storm holding most rows):
+    exactly one recovery, every other delivery already_processed."""
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    ok = _body()
+    rows = [(i, t + dt.timedelta(seconds=i % 50), "hot", _sign(ok), ok) for i in range(600)]
+    rows += [(1000 + i, t, f"e{i}", _sign(ok), ok) for i in range(200)]
+    c = W.classify(_env(spark, rows))
+    got = {r.status: r["count"] for r in c.filter(F.col("event_id") == "hot").groupBy("status").count().collect()}
+    assert got == {"recovered": 1, "already_processed": 599}
+    first = c.filter((F.col("event_id") == "hot") & (F.col("status") == "recovered")).first()
+    assert first.delivery_id == 0
+    assert c.filter(F.col("event_id") != "hot").filter("status = 'recovered'").count() == 200
