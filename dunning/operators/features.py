@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_UNIT = "day"
+DEFAULT_BLOCK_UNIT = "hour"
 
 
 def prior_totals(df: DataFrame, key: str, order_by: list[str], values: dict[str, Column],
