@@ -12,10 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunning.functions.expr import ts_text
+from dunning.operators import audit as A
+from dunning.operators import cases as C
+from dunning.operators import diagnosis as D
+from dunning.operators import evaluation as EV
 from dunning.operators import execution, features, metrics, outcomes, policy
+from dunning.operators import models as M
+from dunning.operators.joins import first_per_key
 from dunning.plans import oracle as O
 from dunning.plans.layers import Layers
 from dunning.sources import payments as P
+from dunning.sources.tables import read_table
+from dunning.streaming import webhook as W
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -199,10 +207,6 @@ def revenue_long(spark, sf_dir):
 
 
 # --- attempts log: first / latest per payment (WIN-4/5, JON-6) ------------------------
-from dunning.operators import audit as A  # noqa: E402
-from dunning.operators import cases as C  # noqa: E402
-from dunning.operators import evaluation as EV  # noqa: E402
-from dunning.operators.joins import first_per_key  # noqa: E402
 
 _LOG = (*_DEC, O.cte_attempts_log())
 _ATT_COLS = "payment_id, action_taken, execution_status, recovered_amount, notes, execution_timestamp"
@@ -482,8 +486,6 @@ def class_weights(spark, sf_dir):
 
 
 # --- webhook consumer (STR-1..6, JON-8/9, FN-9/10/20) -----------------------------------------
-from dunning.sources.tables import read_table  # noqa: E402
-from dunning.streaming import webhook as W  # noqa: E402
 
 
 def _classified(spark, sf_dir):
@@ -526,8 +528,6 @@ def webhook_match(spark, sf_dir):
 
 
 # --- Spark ML (ML-4..10): rows-only checks (no SQL oracle for a fitted model) ---------------
-from dunning.operators import diagnosis as D  # noqa: E402
-from dunning.operators import models as M  # noqa: E402
 
 
 def _diag_features(spark, sf_dir):

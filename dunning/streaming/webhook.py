@@ -134,11 +134,12 @@ def envelopes_from_events(events: DataFrame, secret: str = TEST_SECRET) -> DataF
     return once.unionByName(again).drop("fault")
 
 
-def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame | None = None) -> DataFrame:
-    """STR-1..3, STR-6: status per delivery + the parsed fields.
-
-    ``processed_ids`` (column ``event_id``) is the recovery log so far (JON-8).
-    Each body is parsed once and signed once (staged projections)."""
+def guard_stage(env: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
+    """Stateless part of the rules (checks 1-5, 7, 8) per delivery: one HMAC
+    and one JSON parse per body (staged projections). Adds ``__key`` (the
+    event id, or a unique key for a rejected delivery — never NULL, so
+    Catalyst infers no IS NOT NULL filter that would be pushed to the scan
+    with the guard tree inlined) and ``__would_recover``."""
     body = F.col("body")
     s1 = env.select("delivery_id", "received_at", "event_id", "signature", "body",
                     F.json_object_keys(body).isNotNull().alias("__valid"),
@@ -161,14 +162,18 @@ def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame
         F.coalesce(F.col(f"{ent}.currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
         F.coalesce(F.col(f"{ent}.reference_id"), F.lit("")).alias("reference_id"),
         "event_id", "body")
-    # The dedupe key is never NULL (a rejected delivery gets its own key), so
-    # Catalyst infers no IS NOT NULL filter on it; such a filter would be
-    # pushed to the scan with the whole guard expression inlined.
     key = F.coalesce(F.when(F.col("__guard").isNull(), ev),
                      F.concat(F.lit("rejected#"), F.col("delivery_id").cast("string")), F.lit("rejected#"))
     d = s3.select("*", key.alias("__key")).drop("event_id", "body")
-    d = d.withColumn("__would_recover", F.coalesce(
+    return d.withColumn("__would_recover", F.coalesce(
         F.col("__guard").isNull() & (F.col("event") == PAID_EVENT) & F.col("__has_entity"), F.lit(False)))
+
+
+def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame | None = None) -> DataFrame:
+    """STR-1..3, STR-6: status per delivery + the parsed fields.
+
+    ``processed_ids`` (column ``event_id``) is the recovery log so far (JON-8)."""
+    d = guard_stage(env, secret)
     # earliest would-be recovery per event id: a partial aggregate (hot ids are cheap)
     # (a conditional aggregate, not filter + aggregate: a filter here would be
     # pushed down and inline the HMAC/JSON expressions into its predicate)
@@ -228,6 +233,28 @@ def dedupe_within_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFra
     return stream.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def start_recovery_log_stream(spark: SparkSession, landing_dir: str, log_dir: str, checkpoint: str,
+                              secret: str = TEST_SECRET, available_now: bool = True):
+    """SNK-3 with the dedupe state in Spark's state store: stateless guards,
+    then ``dropDuplicates(event_id)`` (exact across restarts — the seen ids
+    live in the checkpointed state, like the reference's ever-growing log), then
+    an append-mode file sink (exactly-once via the sink's commit log).
+
+    Among duplicates that arrive in the same micro-batch, which copy is kept is
+    not defined (true duplicates carry the same body; only received_at differs).
+    ``start_stream`` is the variant that also reports every delivery's status."""
+    src = spark.readStream.schema(ENVELOPE_SCHEMA).json(landing_dir)
+    g = guard_stage(src, secret).filter(F.col("__would_recover"))
+    rec = (g.select(F.col("__key").alias("event_id"), "payment_link_id", "payment_id", "amount", "currency",
+                    "reference_id", F.lit("recovered").alias("status"),
+                    ts_text("received_at").alias("recovered_at"))
+           .dropDuplicates(["event_id"]))
+    w = (rec.writeStream.format("parquet").option("path", log_dir).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 # ---------------------------------------------------------------------------
 # Structured Streaming query
 # ---------------------------------------------------------------------------

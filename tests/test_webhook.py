@@ -126,3 +126,17 @@ def test_hot_event_id_dedupes_exactly(spark):
     first = c.filter((F.col("event_id") == "hot") & (F.col("status") == "recovered")).first()
     assert first.delivery_id == 0
     assert c.filter(F.col("event_id") != "hot").filter("status = 'recovered'").count() == 200
+
+
+def test_state_store_dedupe_stream(spark):
+    base = tempfile.mkdtemp(prefix="dunning-ss-")
+    landing, log, ckpt = (os.path.join(base, x) for x in ("landing", "log", "ckpt"))
+    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    W.write_landing(env, landing)
+    W.start_recovery_log_stream(spark, landing, log, ckpt).awaitTermination()
+    want = W.recoveries(W.classify(env)).select("event_id").distinct().count()
+    assert spark.read.parquet(log).count() == want > 0
+    W.write_landing(env, landing)                      # every delivery again
+    W.start_recovery_log_stream(spark, landing, log, ckpt).awaitTermination()
+    got = spark.read.parquet(log)
+    assert got.count() == want and got.select("event_id").distinct().count() == want
