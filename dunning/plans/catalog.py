@@ -489,13 +489,13 @@ def class_weights(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    return W.classify(W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id")))
+    return Layers.of(spark, sf_dir).classified
 
 
 @register("webhook_envelopes", O.with_ctes(O.cte_webhook(), select=f"""
 SELECT delivery_id, {O.ts_text('received_at')} AS received_at, event_id, signature, body FROM envelopes"""))
 def webhook_envelopes(spark, sf_dir):
-    e = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id"))
+    e = Layers.of(spark, sf_dir).envelopes
     return e.withColumn("received_at", ts_text("received_at"))
 
 

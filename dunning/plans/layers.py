@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from dunning.sources import payments as P
 _CACHE: dict = {}
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass
 class Layers:
     spark: SparkSession
@@ -53,11 +58,15 @@ class Layers:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return diagnosis.stored_style_predictions(self.failed)
+        return _keep(diagnosis.stored_style_predictions(self.failed))
 
+    # The layer products read by several stages/queries are persisted
+    # (MEMORY_AND_DISK: spills instead of failing; a lost block is recomputed
+    # from lineage). They are small next to the inputs: one row per failed
+    # payment / attempt / retry.
     @cached_property
     def decisions(self) -> DataFrame:
-        return policy.decide(self.spark, self.predictions.drop("attempt_count"), self.policy_params)
+        return _keep(policy.decide(self.spark, self.predictions.drop("attempt_count"), self.policy_params))
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -65,14 +74,28 @@ class Layers:
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return outcomes.label_outcomes(self.decisions, self.payments, self.outcome_params)
+        return _keep(outcomes.label_outcomes(self.decisions, self.payments, self.outcome_params))
 
     @cached_property
     def attempts_log(self) -> DataFrame:
         rerun = execution.route(self.decisions.filter(F.col("action") == "retry_now"), self.payments,
                                 mode=self.execution_mode, executed_at=self.rerun_at)
-        return self.attempts.unionByName(rerun)
+        return _keep(self.attempts.unionByName(rerun))
 
     @cached_property
     def universe(self) -> DataFrame:
         return P.payments_universe(self.failed, P.successful_payments(self.payments))
+
+    @cached_property
+    def envelopes(self) -> DataFrame:
+        from dunning.sources.tables import read_table
+        from dunning.streaming import webhook as W
+        events = read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id")
+        return W.envelopes_from_events(events)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        """One status row per delivery of the derived envelope stream (the
+        batch form of the webhook consumer); persisted like the other products."""
+        from dunning.streaming import webhook as W
+        return _keep(W.classify(self.envelopes))
