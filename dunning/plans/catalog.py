@@ -536,30 +536,39 @@ def _diag_features(spark, sf_dir):
 
 @register("diagnosis_scores")
 def diagnosis_scores(spark, sf_dir):
-    fitted, test = M.fit_diagnosis(_diag_features(spark, sf_dir))
-    return M.score_diagnosis(fitted, test)
+    return Layers.of(spark, sf_dir).diagnosis_scores
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    fitted, _ = M.fit_diagnosis(_diag_features(spark, sf_dir))
+    fitted, _ = Layers.of(spark, sf_dir).diagnosis_fit
     return M.importance_frame(spark, M.feature_importance(fitted, 10))
 
 
 @register("model_accuracy")
 def model_accuracy(spark, sf_dir):
-    feats = _diag_features(spark, sf_dir)
-    rows = []
-    for kind in ("forest", "logistic"):
-        fitted, test = M.fit_diagnosis(feats, model=kind)
-        rows.append(EV.accuracy(M.score_diagnosis(fitted, test)).withColumn("model", F.lit(kind)))
-    return rows[0].unionByName(rows[1])
+    L = Layers.of(spark, sf_dir)
+    forest = EV.accuracy(L.diagnosis_scores).withColumn("model", F.lit("forest"))
+    fitted, test = M.fit_diagnosis(_diag_features(spark, sf_dir), model="logistic")
+    logistic = EV.accuracy(M.score_diagnosis(fitted, test)).withColumn("model", F.lit("logistic"))
+    return forest.unionByName(logistic)
+
+
+@register("model_report")
+def model_report(spark, sf_dir):
+    """EVL-2 on the forest's held-out predictions."""
+    return EV.classification_report(Layers.of(spark, sf_dir).diagnosis_scores)
+
+
+@register("model_confusion")
+def model_confusion(spark, sf_dir):
+    """EVL-3 on the forest's held-out predictions."""
+    return EV.confusion_matrix(spark, Layers.of(spark, sf_dir).diagnosis_scores)
 
 
 @register("risk_scores")
 def risk_scores(spark, sf_dir):
-    f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
-    fitted, test = M.fit_risk(f)
+    fitted, test = Layers.of(spark, sf_dir).risk_fit
     return M.score_risk(fitted, test)
 
 

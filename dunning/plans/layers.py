@@ -99,3 +99,21 @@ class Layers:
         batch form of the webhook consumer); persisted like the other products."""
         from dunning.streaming import webhook as W
         return _keep(W.classify(self.envelopes))
+
+    # --- fitted models (fit once per session / data dir) -------------------
+    @cached_property
+    def diagnosis_fit(self):
+        """(PipelineModel, held-out test rows) of the 200-tree forest."""
+        from dunning.operators import models
+        return models.fit_diagnosis(diagnosis.diagnosis_features(self.failed))
+
+    @cached_property
+    def diagnosis_scores(self) -> DataFrame:
+        from dunning.operators import models
+        fitted, test = self.diagnosis_fit
+        return _keep(models.score_diagnosis(fitted, test))
+
+    @cached_property
+    def risk_fit(self):
+        from dunning.operators import features, models
+        return models.fit_risk(features.customer_risk_features(self.payments))
