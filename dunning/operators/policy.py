@@ -102,7 +102,8 @@ def decide(spark: SparkSession, preds: DataFrame, params: PolicyParams | None =
 def action_summary(decisions: DataFrame) -> DataFrame:
     """AGG-1 / QRY-5: action frequency, descending, ties by action."""
     return (decisions.filter(F.col("action").isNotNull()).groupBy("action")
-            .agg(F.count(F.lit(1)).alias("count")))
+            .agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), F.asc("action")))  # T8: ties by key (a handful of rows)
 
 
 def action_labels(decisions: DataFrame) -> DataFrame:

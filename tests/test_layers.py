@@ -106,3 +106,21 @@ def test_sinks_roundtrip(spark):
     assert sinks.records_with_count(nan).first()[0] == '{"v":null,"s":"x"}'
     outs = outcomes.failed_outcomes(L.outcomes.withColumn("outcome", F.upper("outcome")))
     assert outs.count() == L.outcomes.filter("outcome = 'failed'").count()
+
+
+def test_null_keys_and_frequency_order(spark):
+    """T2: group summaries drop NULL keys, the client view counts them as
+    'unknown'; T8: frequency table ordered by count desc, then key."""
+    from dunning.operators import policy as pol
+    dec = spark.createDataFrame([("a", "retry_now"), ("b", None), ("c", "escalate_human"),
+                                 ("d", "escalate_human"), ("e", "retry_later"), ("f", None)],
+                                "payment_id string, action string")
+    summ = [(r.action, r["count"]) for r in pol.action_summary(dec).collect()]
+    assert summ == [("escalate_human", 2), ("retry_later", 1), ("retry_now", 1)]
+    labels = {r.action: (r["count"], r.label) for r in pol.action_labels(dec).collect()}
+    assert labels["unknown"] == (2, "unknown") and labels["retry_now"] == (1, "retry now")
+    aud = spark.createDataFrame([("x", None, None, Decimal("1.00")), ("y", "non_retryable", None, Decimal("2.00"))],
+                                "payment_id string, root_cause_bucket string, execution_status string, "
+                                "amount decimal(18,2)").withColumn("action", F.lit(None).cast("string"))
+    assert [r.root_cause_bucket for r in audit.audit_by_cause(aud).collect()] == ["non_retryable"]
+    assert audit.audit_by_action(aud).count() == 0
