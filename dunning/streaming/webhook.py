@@ -181,7 +181,12 @@ def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame
               .agg(F.min(F.when(F.col("__would_recover"), F.struct("received_at", "delivery_id"))).alias("__first")))
     d = d.join(firsts, "__key", "left")
     if processed_ids is not None:
-        seen = processed_ids.select(F.col("event_id").alias("__key")).distinct().withColumn("__seen", F.lit(True))
+        # only the log entries whose id occurs in this batch matter: a semi
+        # join against the batch's distinct keys (small per micro-batch, so
+        # broadcast) turns the check into a scan of the log without shuffling it
+        batch_keys = d.select("__key").distinct()
+        seen = (processed_ids.select(F.col("event_id").alias("__key"))
+                .join(batch_keys, "__key", "left_semi").distinct().withColumn("__seen", F.lit(True)))
         d = d.join(seen, "__key", "left")
     else:
         d = d.withColumn("__seen", F.lit(None).cast("boolean"))
