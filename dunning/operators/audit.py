@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.operators.execution import ATTEMPT_SCHEMA
 from dunning.operators.joins import latest_per_key, skew_safe_left_join, suffix_clashes
 from dunning.operators.metrics import MONEY, guarded_pct
 

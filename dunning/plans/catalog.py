@@ -22,7 +22,6 @@ from dunning.operators.joins import first_per_key
 from dunning.plans import oracle as O
 from dunning.plans.layers import Layers
 from dunning.sources import payments as P
-from dunning.sources.tables import read_table
 from dunning.streaming import webhook as W
 
 Builder = Callable[[SparkSession, str], DataFrame]
