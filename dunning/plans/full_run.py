@@ -18,13 +18,15 @@ from dunning.operators import audit, cases, diagnosis, execution, metrics, model
 from dunning.operators.rules import OutcomeParams, PolicyParams
 from dunning.sources import payments as P
 from dunning.sources import sinks
+from dunning.sources.tables import read_table
+from dunning.streaming import webhook as W
 
 
-def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
+def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False, with_webhook: bool = True,
         policy_params: PolicyParams | None = None, outcome_params: OutcomeParams | None = None,
         executed_at: str = execution.DEFAULT_EXECUTED_AT) -> dict:
     pay = P.payments(spark, sf_dir)
-    failed = P.failed_payments(pay)
+    failed = P.failed_payments_scan(spark, sf_dir)  # status filter pushed into the scan
     if use_model:
         feats = diagnosis.diagnosis_features(failed)
         fitted, test = models.fit_diagnosis(feats)
@@ -54,4 +56,16 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
     sinks.write_table(aud, os.path.join(out_dir, "audit_log"))
     universe = P.payments_universe(failed, P.successful_payments(pay))
     sinks.write_table(cases.payment_cases(universe, decisions, attempts_log, out), os.path.join(out_dir, "cases"))
+
+    if with_webhook:
+        # entry B in batch form: the event stream of this data set, classified
+        # against the recovery log so far, matched to the attempts just written
+        env = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id"))
+        log_dir = os.path.join(out_dir, "recovery_log")
+        res_dir = os.path.join(out_dir, "webhook_results")
+        sinks.write_table(W.classify(env, processed_ids=W.read_log(spark, log_dir)), res_dir)
+        results = spark.read.parquet(res_dir)
+        rec = W.recoveries(results)
+        rec.write.mode("append").parquet(log_dir)
+        sinks.write_table(W.match_recoveries(rec, attempts_log), os.path.join(out_dir, "webhook_matches"))
     return sinks.metrics_document(spark.read.json(os.path.join(out_dir, "final_metrics")))

@@ -284,7 +284,7 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         sp = batch.sparkSession
-        prior = _read_log(sp, log_dir, exclude_epoch=epoch_id)
+        prior = read_log(sp, log_dir, exclude_epoch=epoch_id)
         c = classify(batch, secret, prior).persist()
         try:
             rec = recoveries(c)
@@ -301,7 +301,7 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
     return w.start()
 
 
-def _read_log(spark: SparkSession, log_dir: str, exclude_epoch: int | None = None) -> DataFrame | None:
+def read_log(spark: SparkSession, log_dir: str, exclude_epoch: int | None = None) -> DataFrame | None:
     from dunning.sources.tables import _exists
     if not _exists(spark, log_dir):
         return None

@@ -64,3 +64,7 @@ def test_full_run_writes_products(spark):
     assert spark.read.parquet(os.path.join(out, "cases")).count() == L.payments.count()
     parts = [p for p in os.listdir(os.path.join(out, "attempts_log")) if p.startswith("execution_date=")]
     assert parts == ["execution_date=2024-06-01"]
+    log = spark.read.parquet(os.path.join(out, "recovery_log"))
+    assert log.count() == spark.read.parquet(os.path.join(out, "webhook_results")).filter(
+        "status = 'recovered'").count() > 0
+    assert spark.read.parquet(os.path.join(out, "webhook_matches")).count() == log.count()
