@@ -23,10 +23,21 @@ def _rows(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _spark_type(t) -> str:
+    s = t.simpleString()
+    return s.upper() if s.startswith("decimal") else _TYPES.get(s, s)
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    assert {f.name: _spark_type(f.dataType) for f in df.schema.fields} == \
+        {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = duck.execute(E.oracle_sql()[name])
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
