@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tools.plan_text import live_plan
 
 ML = {"diagnosis_scores", "feature_importance", "model_accuracy", "model_report", "model_confusion", "risk_scores"}
 NAMES = sorted(n for n in E.queries() if n not in ML)
@@ -12,33 +13,6 @@ UNPARTITIONED_WINDOW_OK = {"class_weights"}      # a window over the k-row class
 MAX_SHA2 = 60                                     # the webhook plans carry ~40-50
 
 
-def _live_plan(plan: str) -> str:
-    """Plan text with every persisted product's subtree kept once.
-
-    A materialised ``InMemoryRelation`` prints its cached plan again wherever it
-    is read (and inside every product built on it); that work is done once per
-    session, so later copies are cut to the relation line. A finished adaptive
-    plan also prints its initial plan, which is not run."""
-    out, seen, skip_depth = [], set(), None
-    for line in plan.split("\n"):
-        depth = re.match(r"^[\s:+\-|]*", line).end()
-        if skip_depth is not None:
-            if depth > skip_depth:
-                continue
-            skip_depth = None
-        body = line[depth:]
-        if body.startswith("== Initial Plan =="):   # AQE prints the pre-runtime plan as well;
-            skip_depth = depth - 1                  # its root sits at the marker's depth
-            continue
-        if body.startswith("InMemoryRelation"):
-            key = re.sub(r"#\d+", "", body)
-            if key in seen:
-                skip_depth = depth
-            seen.add(key)
-        out.append(line)
-    return "\n".join(out)
-
-
 def _partition_of(window_line: str) -> str:
     """'Window [exprs], [partition keys], [order keys]' -> partition keys ('' if none)."""
     m = re.search(r"\], \[([^\[\]]*)\], \[[^\[\]]*\]\s*$", window_line)
@@ -57,5 +31,5 @@ def test_plan_properties(spark, name):
         assert len(unpartitioned) == 1
     else:
         assert not unpartitioned, f"{name}: window without PARTITION BY: {unpartitioned[0][:200]}"
-    live = _live_plan(plan)
+    live = live_plan(plan)
     assert live.count("sha2(") <= MAX_SHA2, f"{name}: {live.count('sha2(')} sha2 calls"
