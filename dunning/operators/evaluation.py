@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dunning.functions.expr import salted_hash8
+from dunning.operators.features import prior_totals
 from dunning.operators.rules import BUCKETS
 from dunning.sources.tables import literal_table
 
 SPLIT_SEED = 42
-TEST_FRACTION = 0.25
-SPLIT_BUCKETS = 10000
+TEST_PERCENT = 25          # per class, ceil(25 % of its rows) go to test
+SPLIT_BLOCK_BITS = 16      # rank blocks: the leading 16 of the 32 hash bits
 RISK_FLAG_THRESHOLD = 0.5
 METRIC_PLACES = 6
 
@@ -91,18 +92,34 @@ def sorted_labels(df: DataFrame, col: str = "actual_bucket") -> DataFrame:
     return df.select(F.col(col).alias("label")).filter(F.col("label").isNotNull()).distinct()
 
 
-def split_assignment(df: DataFrame, seed: int = SPLIT_SEED, test_fraction: float = TEST_FRACTION) -> F.Column:
-    """ML-3: repeatable split per row from a salted SHA-256 bucket of the id.
-
-    Each class is cut independently by the same hash rule, so every class keeps
-    ~test_fraction of its rows in test (stratified in expectation) and the
-    assignment needs no shuffle, no window over a class, and no driver state."""
-    u = F.pmod(salted_hash8(f"split|{seed}|", F.col("payment_id")), F.lit(SPLIT_BUCKETS)) / F.lit(float(SPLIT_BUCKETS))
-    return F.when(u < F.lit(test_fraction), F.lit("test")).otherwise(F.lit("train"))
+def with_split(df: DataFrame, label: str = "actual_bucket", seed: int = SPLIT_SEED,
+               test_percent: int = TEST_PERCENT) -> DataFrame:
+    """ML-3: exact, repeatable stratified split; adds ``split`` = test / train.
+
+    Within each class the rows are ordered by a salted SHA-256 bucket of the id
+    (then the id); the first ceil(test_percent % of n_c) rows are the test set,
+    so every class keeps its exact share (integer arithmetic, no sampling).
+
+    The rank inside a class is ``prior_totals`` over hash blocks, not a window
+    ``PARTITION BY class``: with five classes such a window would put a fifth
+    (or, for a dominant class, most) of the data into one task. Blocks are the
+    leading ``SPLIT_BLOCK_BITS`` bits of the hash, so a class is spread over
+    65,536 window partitions, and the per-block counts are a partial
+    aggregate. Class sizes come from one more partial aggregate (k rows)."""
+    h = salted_hash8(f"split|{seed}|", F.col("payment_id"))
+    cls = "__cls"   # null labels form their own class (the join keys must not be NULL)
+    src = df.withColumns({"__h": h, cls: F.coalesce(F.col(label), F.lit("\u0000null"))})
+    ranked = prior_totals(src, cls, ["__h", "payment_id"], {"__rank": F.lit(1)}, ts="__h",
+                          block=F.shiftright(F.col("__h"), 32 - SPLIT_BLOCK_BITS))
+    sizes = src.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
+    n_test = F.floor((F.col("__n") * F.lit(test_percent) + F.lit(99)) / F.lit(100))
+    out = ranked.join(sizes, cls, "inner")
+    return out.select(*df.columns, F.when(F.col("__rank") < n_test, F.lit("test")).otherwise(F.lit("train"))
+                      .alias("split"))
 
 
 def split_summary(df: DataFrame, label: str = "actual_bucket") -> DataFrame:
-    s = df.withColumn("split", split_assignment(df))
+    s = with_split(df, label)
     return (s.groupBy(F.col(label).alias("label"))
             .agg(F.count_if(F.col("split") == "train").alias("n_train"),
                  F.count_if(F.col("split") == "test").alias("n_test")))

@@ -25,14 +25,17 @@ DEFAULT_BLOCK_UNIT = "hour"
 
 
 def prior_totals(df: DataFrame, key: str, order_by: list[str], values: dict[str, Column],
-                 ts: str, block_unit: str = DEFAULT_BLOCK_UNIT) -> DataFrame:
+                 ts: str, block_unit: str = DEFAULT_BLOCK_UNIT, block: Column | None = None) -> DataFrame:
     """Add, per row, the sum of each ``values`` column over the rows of the same
     ``key`` that come strictly earlier in ``order_by`` order (0 if none).
 
-    ``order_by[0]`` must be ``ts`` (blocks are time ranges of ``ts``)."""
+    ``order_by[0]`` must be ``ts``. Blocks are time ranges of ``ts``
+    (``block_unit``), or the given ``block`` expression, which must never
+    decrease along ``order_by`` (e.g. a leading slice of a hash that is
+    ``order_by[0]``)."""
     assert order_by and order_by[0] == ts
     blk = "__blk"
-    src = df.withColumn(blk, F.date_trunc(block_unit, F.col(ts)))
+    src = df.withColumn(blk, block if block is not None else F.date_trunc(block_unit, F.col(ts)))
     for name, expr in values.items():
         src = src.withColumn(f"__v_{name}", expr.cast("long"))
 

@@ -65,7 +65,10 @@ def diagnosis_pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, s
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = df.withColumn("split", EV.split_assignment(df))
+    """ML-3 train / test. The split table (one row per labelled row, like the
+    other layer products) is persisted once, so the exact per-class ranking
+    runs once for both sides and for every scoring pass over the test rows."""
+    s = EV.with_split(df).persist(StorageLevel.MEMORY_AND_DISK)
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 

@@ -462,15 +462,19 @@ def detection_confusion(spark, sf_dir):
     return EV.binary_confusion(_risk(spark, sf_dir))
 
 
-def _split_sql(expr_only=False) -> str:
-    u = f"(({O.h8(O.q(f'split|{EV.SPLIT_SEED}|') + ' || payment_id')} % {EV.SPLIT_BUCKETS}) / {float(EV.SPLIT_BUCKETS)})"
-    return f"CASE WHEN {u} < {EV.TEST_FRACTION} THEN 'test' ELSE 'train' END"
+def _split_sql() -> str:
+    """preds + split: the plain-SQL form (a window per class; fine for the oracle)."""
+    h = O.h8(O.q(f'split|{EV.SPLIT_SEED}|') + ' || payment_id')
+    return f"""(SELECT * EXCLUDE (__h), CASE WHEN row_number() OVER (PARTITION BY actual_bucket ORDER BY __h, payment_id) - 1
+                 < (count(*) OVER (PARTITION BY actual_bucket) * {EV.TEST_PERCENT} + 99) // 100
+               THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT *, {h} AS __h FROM preds))"""
 
 
 @register("stratified_split", O.with_ctes(*_PRED, select=f"""
 SELECT actual_bucket AS label, count(*) FILTER (WHERE split = 'train') AS n_train,
        count(*) FILTER (WHERE split = 'test') AS n_test
-FROM (SELECT *, {_split_sql()} AS split FROM preds) GROUP BY actual_bucket"""))
+FROM {_split_sql()} GROUP BY actual_bucket"""))
 def stratified_split(spark, sf_dir):
     return EV.split_summary(Layers.of(spark, sf_dir).predictions)
 
@@ -478,10 +482,10 @@ def stratified_split(spark, sf_dir):
 @register("class_weights", O.with_ctes(*_PRED, select=f"""
 SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
 FROM (SELECT actual_bucket AS label, count(*) AS n_c
-      FROM (SELECT *, {_split_sql()} AS split FROM preds) WHERE split = 'train' GROUP BY actual_bucket)"""))
+      FROM {_split_sql()} WHERE split = 'train' GROUP BY actual_bucket)"""))
 def class_weights(spark, sf_dir):
     p = Layers.of(spark, sf_dir).predictions
-    return EV.class_weights(p.filter(EV.split_assignment(p) == "train"))
+    return EV.class_weights(EV.with_split(p).filter(F.col("split") == "train"))
 
 
 # --- webhook consumer (STR-1..6, JON-8/9, FN-9/10/20) -----------------------------------------

@@ -32,10 +32,34 @@ def test_forest_invariants(spark):
     assert sorted(again.collect()) == sorted(scored.collect())
 
 
-def test_split_is_stratified_and_repeatable(spark):
+def test_split_is_exact_per_class_and_repeatable(spark):
     p = Layers(spark, SF_SMALL).predictions
     s = evaluation.split_summary(p).collect()
     for r in s:
         n = r.n_train + r.n_test
-        assert abs(r.n_test / n - 0.25) < 0.12
+        assert r.n_test == -(-n * evaluation.TEST_PERCENT // 100)      # ceil, exactly
     assert sorted(evaluation.split_summary(p).collect()) == sorted(s)
+
+
+def test_split_rows_equal_sql_window_form(spark, duck):
+    """Row by row, the block-ranked split equals the plain per-class window."""
+    from dunning.plans.catalog import ORACLE
+    p = Layers(spark, SF_SMALL).predictions
+    got = sorted((r.payment_id, r.split) for r in evaluation.with_split(p).select("payment_id", "split").collect())
+    sql = ORACLE["stratified_split"]
+    ctes, _ = sql.rsplit("\nSELECT actual_bucket AS label", 1)
+    from dunning.plans.catalog import _split_sql
+    want = sorted(duck.execute(f"{ctes}\nSELECT payment_id, split FROM {_split_sql()}").fetchall())
+    assert got == want and len(got) > 0
+
+
+def test_split_with_a_dominant_class(spark):
+    """One class holds 90 % of the rows (and one label is NULL): still exact."""
+    rows = [(f"pay_{i}", "big" if i % 10 else ("small" if i % 20 else None)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "payment_id string, actual_bucket string")
+    got = {(r.actual_bucket, r.split): r.n for r in
+           evaluation.with_split(df).groupBy("actual_bucket", "split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("big", "test"): 900, ("big", "train"): 2700, ("small", "test"): 50, ("small", "train"): 150,
+                   (None, "test"): 50, (None, "train"): 150}
+    plan = evaluation.with_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert "__blk" in plan     # the per-class rank runs in (class, hash block) partitions
