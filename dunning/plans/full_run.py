@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from dunning.operators import audit, cases, diagnosis, execution, metrics, models, outcomes, policy
@@ -63,7 +64,11 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
         env = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id"))
         log_dir = os.path.join(out_dir, "recovery_log")
         res_dir = os.path.join(out_dir, "webhook_results")
-        sinks.write_table(W.classify(env, processed_ids=W.read_log(spark, log_dir)), res_dir)
+        guarded = W.guard_stage(env).persist(StorageLevel.MEMORY_AND_DISK)   # read 3x by classify
+        try:
+            sinks.write_table(W.classify_guarded(guarded, processed_ids=W.read_log(spark, log_dir)), res_dir)
+        finally:
+            guarded.unpersist()
         results = spark.read.parquet(res_dir)
         rec = W.recoveries(results)
         rec.write.mode("append").parquet(log_dir)

@@ -93,12 +93,19 @@ class Layers:
         events = read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id")
         return W.envelopes_from_events(events)
 
+    @cached_property
+    def guarded(self) -> DataFrame:
+        """Per-delivery guard results (one HMAC and one JSON parse per delivery,
+        no body column); read twice by ``classified``."""
+        from dunning.streaming import webhook as W
+        return _keep(W.guard_stage(self.envelopes))
+
     @cached_property
     def classified(self) -> DataFrame:
         """One status row per delivery of the derived envelope stream (the
         batch form of the webhook consumer); persisted like the other products."""
         from dunning.streaming import webhook as W
-        return _keep(W.classify(self.envelopes))
+        return _keep(W.classify_guarded(self.guarded))
 
     # --- fitted models (fit once per session / data dir) -------------------
     @cached_property
