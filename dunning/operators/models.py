@@ -64,11 +64,11 @@ def diagnosis_pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, s
     return Pipeline(stages=[*_features(CATEGORICAL, NUMERIC), label, clf])
 
 
-def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, label: str = "actual_bucket") -> tuple[DataFrame, DataFrame]:
     """ML-3 train / test. The split table (one row per labelled row, like the
     other layer products) is persisted once, so the exact per-class ranking
     runs once for both sides and for every scoring pass over the test rows."""
-    s = EV.with_split(df).persist(StorageLevel.MEMORY_AND_DISK)
+    s = EV.with_split(df, label).persist(StorageLevel.MEMORY_AND_DISK)
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
@@ -111,7 +111,7 @@ def _feature_names(fitted: PipelineModel) -> list[str]:
 def fit_risk(features: DataFrame, num_trees: int = 50, max_depth: int = MAX_DEPTH, seed: int = SEED):
     """ML-10: binary failure-risk model over all payments (label actual_at_risk)."""
     data = _numeric(features, RISK_NUMERIC).withColumn("label", F.col("actual_at_risk").cast("double"))
-    train, test = split(data)
+    train, test = split(data, "actual_at_risk")
     pipe = Pipeline(stages=[*_features(["method"], RISK_NUMERIC),
                             RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed)])
     train = train.persist(StorageLevel.MEMORY_AND_DISK)

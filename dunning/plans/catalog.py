@@ -165,7 +165,7 @@ FROM attempts a LEFT JOIN lookup l ON a.payment_id = l.payment_id
 WHERE a.action_taken = 'retry_now' AND a.execution_status = 'sent'"""))
 def retry_requests(spark, sf_dir):
     L = Layers.of(spark, sf_dir)
-    return execution.retry_requests(L.attempts, L.payments)
+    return execution.retry_requests(L.attempts, L.failed)
 
 
 # --- outcomes / metrics ----------------------------------------------------------------

@@ -41,12 +41,12 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
     sinks.write_table(policy.decide(spark, preds, policy_params), dec_path)
     decisions = spark.read.parquet(dec_path)
 
-    attempts = execution.route(decisions, pay, executed_at=executed_at)
+    attempts = execution.route(decisions, failed, executed_at=executed_at)  # lookup: failed payments
     log_path = os.path.join(out_dir, "attempts_log")
     sinks.append_attempts(attempts, log_path)
     attempts_log = spark.read.parquet(log_path).drop("execution_date")
 
-    out = outcomes.label_outcomes(decisions, pay, outcome_params)
+    out = outcomes.label_outcomes(decisions, failed, outcome_params)
     sinks.write_table(out, os.path.join(out_dir, "recovery_outcomes"))
     out = spark.read.parquet(os.path.join(out_dir, "recovery_outcomes"))
 

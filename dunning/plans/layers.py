@@ -54,6 +54,9 @@ class Layers:
 
     @cached_property
     def failed(self) -> DataFrame:
+        """Failed payments; also the amount lookup of execution and outcomes
+        (the reference reads the failed-payments file there), so the status
+        filter reaches the scan and only failed rows are shuffled."""
         return P.failed_payments_scan(self.spark, self.sf_dir)
 
     @cached_property
@@ -70,15 +73,15 @@ class Layers:
 
     @cached_property
     def attempts(self) -> DataFrame:
-        return execution.route(self.decisions, self.payments, mode=self.execution_mode)
+        return execution.route(self.decisions, self.failed, mode=self.execution_mode)
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return _keep(outcomes.label_outcomes(self.decisions, self.payments, self.outcome_params))
+        return _keep(outcomes.label_outcomes(self.decisions, self.failed, self.outcome_params))
 
     @cached_property
     def attempts_log(self) -> DataFrame:
-        rerun = execution.route(self.decisions.filter(F.col("action") == "retry_now"), self.payments,
+        rerun = execution.route(self.decisions.filter(F.col("action") == "retry_now"), self.failed,
                                 mode=self.execution_mode, executed_at=self.rerun_at)
         return _keep(self.attempts.unionByName(rerun))
 

@@ -176,19 +176,20 @@ decisions AS (
   FROM dec_f)"""
 
 
-def cte_lookup() -> str:
-    return """
+def cte_lookup(source: str = "payments") -> str:
+    return f"""
 lookup AS (
   SELECT payment_id, amount, customer_id FROM (
     SELECT payment_id, amount, customer_id,
            row_number() OVER (PARTITION BY payment_id ORDER BY "timestamp", amount, customer_id) AS rn
-    FROM payments) WHERE rn = 1)"""
+    FROM {source}) WHERE rn = 1)"""
 
 
 def cte_attempts(name: str = "attempts", executed_at: str = ex.DEFAULT_EXECUTED_AT,
                  where: str = "TRUE", with_lookup: bool = True) -> str:
     link = "'plink_' || substr(sha256('link|' || r.payment_id), 1, 14)"
-    return (cte_lookup() + "," if with_lookup else "") + f"""
+    # the router looks amounts up in the failed-payments table (as the reference does)
+    return (cte_lookup("failed") + "," if with_lookup else "") + f"""
 {name} AS (
   SELECT r.payment_id,
          r.action AS action_taken,
@@ -239,7 +240,7 @@ outcomes AS (
          CASE WHEN {prob} < {threshold} THEN 'recovered' ELSE 'failed' END AS outcome,
          CAST(CASE WHEN {prob} < {threshold} THEN p.amount ELSE 0 END AS DECIMAL(18,2)) AS recovered_amount,
          CASE WHEN {prob} < {threshold} THEN {q(oc.REASON_RECOVERED)} ELSE {q(oc.REASON_FAILED)} END AS reason
-  FROM decisions d LEFT JOIN payments p ON d.payment_id = p.payment_id
+  FROM decisions d LEFT JOIN failed p ON d.payment_id = p.payment_id
   WHERE d.action = 'retry_now')"""
 
 
