@@ -56,11 +56,8 @@ def payments_failed(spark, sf_dir):
     return _payment_text(Layers.of(spark, sf_dir).failed)
 
 
-@register("payments_universe", O.with_ctes(O.cte_payments(), select=f"""
-SELECT {_PAY_SQL}, 'failed' AS source FROM failed
-UNION ALL
-SELECT {_PAY_SQL}, 'succeeded' AS source FROM payments
-WHERE status <> 'failed' AND payment_id NOT IN (SELECT payment_id FROM failed)"""))
+@register("payments_universe", O.with_ctes(O.cte_payments(), O.cte_universe(), select=f"""
+SELECT {_PAY_SQL}, source FROM universe"""))
 def payments_universe(spark, sf_dir):
     L = Layers.of(spark, sf_dir)
     u = P.payments_universe(L.failed, P.successful_payments(L.payments))
@@ -306,12 +303,7 @@ def audit_summary(spark, sf_dir):
 
 
 # --- cases (JON-7/10, QRY-6) --------------------------------------------------------------
-_CASE = (*_LOG, O.cte_outcomes(), f"""
-universe AS (
-  SELECT *, 'failed' AS source FROM failed
-  UNION ALL
-  SELECT *, 'succeeded' AS source FROM payments
-  WHERE status <> 'failed' AND payment_id NOT IN (SELECT payment_id FROM failed)),
+_CASE = (*_LOG, O.cte_outcomes(), O.cte_universe(), f"""
 cases AS (
   SELECT u.*, d.* EXCLUDE (payment_id), a.* EXCLUDE (payment_id),
          o.recovery_probability, o.outcome AS recovery_outcome,

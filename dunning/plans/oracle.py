@@ -176,6 +176,21 @@ decisions AS (
   FROM dec_f)"""
 
 
+def cte_universe() -> str:
+    """One record per payment id: failed row first, else the successful one."""
+    from dunning.sources.payments import PAYMENT_SCHEMA, universe_order
+    order = ", ".join(f'"{c}" NULLS FIRST' if c == "timestamp" else f"{c} NULLS FIRST"
+                      for c in universe_order([f.name for f in PAYMENT_SCHEMA.fields] + ["source", "__prio"]))
+    return f"""
+universe AS (
+  SELECT * EXCLUDE (__prio, __rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY {order}) AS __rn
+    FROM (SELECT *, 'failed' AS source, 0 AS __prio FROM failed
+          UNION ALL
+          SELECT *, 'succeeded' AS source, 1 AS __prio FROM payments WHERE status <> 'failed'))
+  WHERE __rn = 1)"""
+
+
 def cte_lookup(source: str = "payments") -> str:
     return f"""
 lookup AS (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dunning.functions.expr import salted_hash8
+from dunning.operators.joins import first_per_key
 from dunning.sources.tables import read_table, require_columns
 
 # ---------------------------------------------------------------------------
@@ -135,14 +136,24 @@ def successful_payments(pay: DataFrame) -> DataFrame:
 
 
 def payments_universe(failed: DataFrame, succeeded: DataFrame) -> DataFrame:
-    """SET-1 + JON-7: failed first, then successes whose id is not a failure.
-
-    ``source`` says which table answered. The anti join's right side is the
-    failed ids only (one narrow column)."""
-    f = failed.withColumn("source", F.lit("failed"))
-    s = (succeeded.join(failed.select("payment_id"), "payment_id", "left_anti")
-         .withColumn("source", F.lit("succeeded")))
-    return f.unionByName(s, allowMissingColumns=True)
+    """SET-1 + JON-7 + WIN-6: one record per payment id, the way a case lookup
+    answers: its failed row if it has one, else its successful row (first by
+    time, then the other fields, when a table repeats an id). ``source`` says
+    which table answered.
+
+    One aggregate over the tagged union (``min_by`` with map-side combine): a
+    single shuffle of the payments on ``payment_id``, whose partitioning the
+    case joins then reuse, instead of an anti join that shuffles the successes
+    once and a union that is shuffled again."""
+    f = failed.withColumns({"source": F.lit("failed"), "__prio": F.lit(0)})
+    s = succeeded.withColumns({"source": F.lit("succeeded"), "__prio": F.lit(1)})
+    u = f.unionByName(s, allowMissingColumns=True)
+    return first_per_key(u, "payment_id", universe_order(u.columns)).drop("__prio")
+
+
+def universe_order(columns) -> list[str]:
+    """Pick order of ``payments_universe``: source priority, time, then every other field."""
+    return ["__prio", "timestamp", *[c for c in columns if c not in ("payment_id", "__prio", "timestamp")]]
 
 
 def parse_timestamp(col: str) -> F.Column:

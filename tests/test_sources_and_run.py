@@ -68,3 +68,21 @@ def test_full_run_writes_products(spark):
     assert log.count() == spark.read.parquet(os.path.join(out, "webhook_results")).filter(
         "status = 'recovered'").count() > 0
     assert spark.read.parquet(os.path.join(out, "webhook_matches")).count() == log.count()
+
+
+def test_universe_one_record_per_id(spark):
+    """JON-7/WIN-6: failed row wins over a success with the same id; a repeated
+    id within one table gives its earliest row; ids in neither are absent."""
+    import datetime as dt
+    import decimal
+    from dunning.sources.payments import PAYMENT_SCHEMA, payments_universe
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+
+    def row(pid, ts, status, amount):
+        return (pid, "c", decimal.Decimal(amount), "card", ts, status, None, None, None, None)
+    failed = spark.createDataFrame([row("a", t1, "failed", 2), row("a", t0, "failed", 1), row("b", t0, "failed", 3)],
+                                   PAYMENT_SCHEMA)
+    ok = spark.createDataFrame([row("b", t0, "captured", 4), row("c", t1, "captured", 6),
+                                row("c", t0, "captured", 5)], PAYMENT_SCHEMA)
+    got = {r.payment_id: (r.source, float(r.amount)) for r in payments_universe(failed, ok).collect()}
+    assert got == {"a": ("failed", 1.0), "b": ("failed", 3.0), "c": ("succeeded", 5.0)}
