@@ -60,7 +60,7 @@ def payments_failed(spark, sf_dir):
 SELECT {_PAY_SQL}, source FROM universe"""))
 def payments_universe(spark, sf_dir):
     L = Layers.of(spark, sf_dir)
-    u = P.payments_universe(L.failed, P.successful_payments(L.payments))
+    u = P.payments_universe(L.failed, P.successful_payments_scan(spark, sf_dir))
     return _payment_text(u, ("source",))
 
 

@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
 
     aud = audit.audit_table(failed, decisions, attempts_log)
     sinks.write_table(aud, os.path.join(out_dir, "audit_log"))
-    universe = P.payments_universe(failed, P.successful_payments(pay))
+    universe = P.payments_universe(failed, P.successful_payments_scan(spark, sf_dir))
     sinks.write_table(cases.payment_cases(universe, decisions, attempts_log, out), os.path.join(out_dir, "cases"))
 
     if with_webhook:

@@ -87,7 +87,7 @@ class Layers:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return P.payments_universe(self.failed, P.successful_payments(self.payments))
+        return P.payments_universe(self.failed, P.successful_payments_scan(self.spark, self.sf_dir))
 
     @cached_property
     def envelopes(self) -> DataFrame:
