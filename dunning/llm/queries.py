@@ -5,26 +5,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dunning.llm import bpe, ngram_join
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that splits texts for it."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=80)
 
-    from dunning.llm import bpe
 
-    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.PATTERN)
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
