@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunning.llm import bpe, ngram_join
+from dunning.llm import bpe, ngram_join, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,17 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=80)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_array": op3_suffix_array,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
