@@ -240,10 +240,10 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, nodes: DataFrame, n: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
-    """(node, fragment, grams) of the classes that ``nodes`` may hold, one row per class and fragment."""
+    """(part, grams), part = struct(node, fragment): the sets of the classes in ``nodes``, cut at
+    the fragments' borders. One exchange on ``part`` serves the join with either end of a pair."""
     wanted = cut(nodes.select("node").distinct())
     bits = _filter_bits(wanted)
-    names = ["node", "fragment", "grams"]
 
     def run(batches):
         seen: set[int] = set()
@@ -256,15 +256,20 @@ def _segments(docs: DataFrame, nodes: DataFrame, n: int, bin_rank: np.ndarray, p
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 keys = _ordered(grams, bin_rank)
-                borders = np.searchsorted(keys, pivots)
-                rows += [(node, f, s.view("i8")) for f, s in enumerate(np.split(keys, borders)) if len(s)]
+                rows += [(node, f, s.view("i8")) for f, s in enumerate(np.split(keys, np.searchsorted(keys, pivots))) if len(s)]
             if rows:
                 node, fragment, grams = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()),
-                                                  pa.array(grams, pa.list_(pa.int64()))], names=names)
+                                                  pa.array(grams, pa.list_(pa.int64()))], names=["node", "fragment", "grams"])
 
     found = docs.mapInArrow(run, "node long, fragment int, grams array<long>")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node", "fragment"])
+    return (found.select(F.struct("node", "fragment").alias("part"), "grams")
+            .join(wanted.select(F.explode(_parts("node")).alias("part")), "part", "left_semi").dropDuplicates(["part"]))
+
+
+def _parts(node: str):
+    """struct(node, fragment) of every fragment."""
+    return F.array(*[F.struct(F.col(node).alias("node"), F.lit(f).alias("fragment")) for f in range(FRAGMENTS)])
 
 
 def _maybe(nodes: list[int], bits: np.ndarray) -> np.ndarray:
@@ -276,13 +281,15 @@ def _maybe(nodes: list[int], bits: np.ndarray) -> np.ndarray:
     return (bits[at // 64] >> (at % 64)) & 1 == 1 if len(at) else np.zeros(0, dtype=bool)
 
 
-def _links(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
     """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    parts = (pairs.join(left, "a").join(right, ["b", "fragment"])
-             .select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).alias("part")))
-    summed = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+    segments = _segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, bin_rank, pivots)
+    left, right = (segments.select(F.col("part").alias(f"part_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    each = pairs.select("*", F.posexplode(F.arrays_zip(_parts("a").alias("a"), _parts("b").alias("b"))).alias("k", "ends"))
+    each = each.select("a", "b", "na", "nb", F.col("ends.a").alias("part_a"), F.col("ends.b").alias("part_b"))
+    parts = (each.join(left, "part_a").join(right, "part_b")
+             .select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap")))
+    summed = parts.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return summed.where((100 + threshold) * F.col("overlap") >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
@@ -310,9 +317,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(_pairs(_prefixes(texts, n, threshold, bin_rank, buckets), threshold))
     pairs = cut(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct())
     members = found.where(F.col("gram").isNotNull()).select("gram", F.col("a").alias("node"), F.col("na").alias("size"), "pos")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    segments = cut(_segments(texts, ends.union(members.select("node")), n, bin_rank, pivots))
-    links = cut(_links(pairs, segments, threshold))
+    links = cut(_links(texts, pairs, n, threshold, bin_rank, pivots))
     roots = components(links)
 
     labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
@@ -327,7 +332,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .distinct().join(pairs, ["a", "b", "na", "nb"], "left_anti"))
     more = cut(more)
     if not more.isEmpty():
-        roots = components(links.union(_links(more, segments, threshold)))
+        roots = components(links.union(_links(texts, more, n, threshold, bin_rank, pivots)))
 
     classes = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
                .join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
