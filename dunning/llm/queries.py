@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunning.llm import bpe, ngram_join, suffix_dedup, toxicity
+from dunning.llm import bpe, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5).drop("spans", "kept_text")
+
+
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, power=0.5, seed=7)
+
+
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -39,7 +56,14 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_array": op3_suffix_array,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_poisson_mix": op7_poisson_mix,
+    "op8_quality_cascade": op8_quality_cascade,
+    "op9_stratified_shards": op9_stratified_shards,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_poisson_mix": mixing.ORACLE,
+    "op8_quality_cascade": quality.ORACLE,
+}
