@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunning.llm import bpe, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from dunning.llm import bpe, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=80)
 
@@ -53,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_va_file": op1_va_file,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_array": op3_suffix_array,
     "op5_toxicity": op5_toxicity,
@@ -64,6 +69,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_va_file": topk.ORACLE,
     "op7_poisson_mix": mixing.ORACLE,
     "op8_quality_cascade": quality.ORACLE,
 }
