@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunning.llm import bpe, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity
+from dunning.llm import bpe, html_text, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
 
 
+def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_array": op3_suffix_array,
+    "op4_style_tree": op4_style_tree,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_poisson_mix": op7_poisson_mix,
