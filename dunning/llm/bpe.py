@@ -241,12 +241,17 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
 
 
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.array(ids.split(b",") if ids else [], dtype=np.int32)
+
+
 class Encoder:
     """Encodes texts of one worker; remembers a bounded number of chunks."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep_ids: bool = False):
         import regex
 
+        self.keep_ids = keep_ids
         self.vocab = load_vocabulary(path)
         self.match = regex.compile(pattern)
         self.ids: dict[str, bytes] = {}
@@ -266,23 +271,27 @@ class Encoder:
             self.ids[chunk] = ",".join(map(str, own)).encode()
             self.raw[chunk] = decode(self.vocab, own)
 
-    def result(self, chunks: list[str]) -> tuple[int, str, str]:
+    def result(self, chunks: list[str]) -> tuple[int, str, str, np.ndarray | None]:
+        """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes, ids if kept)."""
         ids = b",".join(map(self.ids.__getitem__, chunks))
         raw = b"".join(map(self.raw.__getitem__, chunks))
-        return (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest())
+        return (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(),
+                _numbers(ids) if self.keep_ids else None)
 
-    def streamed(self, text: str) -> tuple[int, str, str]:
+    def streamed(self, text: str) -> tuple[int, str, str, np.ndarray | None]:
         """As ``result`` for a very long text, holding a part of its chunks at a time."""
-        n, ids_hash, raw_hash, found = 0, hashlib.sha256(), hashlib.sha256(), CHUNK.finditer(text)
+        n, ids_hash, raw_hash, found, kept = 0, hashlib.sha256(), hashlib.sha256(), CHUNK.finditer(text), []
         while part := [m.group() for m in islice(found, 100_000)]:
             self.learn(set(part))
             ids = b",".join([self.ids[p] for p in part])
             ids_hash.update(b"," + ids if n else ids)
             raw_hash.update(b"".join([self.raw[p] for p in part]))
             n += ids.count(b",") + 1
-        return n, ids_hash.hexdigest(), raw_hash.hexdigest()
+            if self.keep_ids:
+                kept.append(_numbers(ids))
+        return n, ids_hash.hexdigest(), raw_hash.hexdigest(), np.concatenate(kept) if kept else None
 
-    def many(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+    def many(self, texts: list[str]) -> Iterator[tuple[int, str, str, np.ndarray | None]]:
         lo = 0
         while lo < len(texts):
             if len(texts[lo]) > LONG_TEXT:
@@ -300,40 +309,23 @@ class Encoder:
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids_sha256`` (SHA-256 of the
-    decimal ids joined by commas), ``decoded_sha256`` (of the decoded bytes)."""
+                      text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per document: id, ``n_tokens``, ``ids_sha256`` (SHA-256 of the decimal ids joined by
+    commas), ``decoded_sha256`` (of the decoded bytes) and, with ``with_ids``, the ``ids``."""
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
-        encoder = Encoder(vocabulary_path, pattern)
+        encoder = Encoder(vocabulary_path, pattern, with_ids)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids, raw = zip(*encoder.many(texts)) if texts else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = list(zip(*encoder.many([t or "" for t in batch.column(1).to_pylist()]))) or [()] * 4
+            if with_ids:
+                columns[3] = [x if x is not None else [] for x in columns[3]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
-
-
-def token_ids(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """One row per document with its ids as an array (``ids``)."""
-
-    def run(batches):
-        encoder = Encoder(vocabulary_path, pattern)
-        for batch in batches:
-            ids = []
-            for text in batch.column(1).to_pylist():
-                chunks = CHUNK.findall(text or "")
-                encoder.learn(set(chunks))
-                ids.append([int(i) for c in chunks for i in encoder.ids[c].split(b",")])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
-                           T.StructField("ids", T.ArrayType(T.IntegerType()))])
+                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+                           T.StructField("ids", T.ArrayType(T.IntegerType()))][:4 + with_ids])
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
 

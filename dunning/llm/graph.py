@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Only a local session may leave it unset (tests); a cluster must name a
     folder that the driver and all executors share.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and not (sc.master or "").startswith("local"):
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not (sc.master or "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpus-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="corpus-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -68,19 +68,25 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
-        power: float = 0.5, seed: int = 7) -> DataFrame:
-    """The input's columns, each document as often as drawn, plus ``copy_no`` (from 1),
-    ``n_copies`` and ``shuffle_key`` (the global order), sorted by it."""
-    rates = source_rates(docs, source_col, weights, power).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_mix_source"]))
-    steps = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / STEP).cast("int"))
-    draws = F.transform(F.sequence(F.lit(1), steps),
-                        lambda k: poisson(F.col("_mix_rate") / steps, uniform(seed, F.col(id_col), k)))
-    drawn = joined.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long")).drop("_mix_source", "_mix_rate")
-    copies = drawn.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                                                               F.col("copy_no").cast("string"))))
-    return keyed.sort("shuffle_key", id_col)
+        power: float = 0.5, seed: int = 7, names: tuple[str, str, str] = ("n_copies", "copy_no", "shuffle_key")) -> DataFrame:
+    """The input's columns, each document as often as drawn, plus (unless the input has columns of
+    these ``names``, which then stay) the number of copies, the copy's number from 1, and the key
+    of the global order; sorted by that key."""
+    own = "_mix"
+    while any(c.startswith(own) for c in docs.columns):
+        own = "_" + own
+    rates = source_rates(docs, source_col, weights, power).select(F.col("source").alias(f"{own}_source"), F.col("rate").alias(f"{own}_rate"))
+    rate = F.col(f"{own}_rate")
+    joined = docs.join(rates, docs[source_col].eqNullSafe(rates[f"{own}_source"]))
+    steps = F.greatest(F.lit(1), F.ceil(rate / STEP).cast("int"))
+    draws = F.transform(F.sequence(F.lit(1), steps), lambda k: poisson(rate / steps, uniform(seed, F.col(id_col), k)))
+    n, copy, key = (f"{own}_{x}" for x in ("n", "copy", "key"))
+    drawn = joined.withColumn(n, F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long")).where(F.col(n) > 0)
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+                                                     F.col(copy).cast("string"))))
+    added = [F.col(c).alias(name) for c, name in zip((n, copy, key), names) if name not in docs.columns]
+    return keyed.sort(key, id_col).select(*[docs[c] for c in docs.columns], *added)
 
 
 ORACLE = """
