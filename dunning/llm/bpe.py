@@ -329,6 +329,11 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
 
+def token_ids(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id and ``ids``."""
+    return encode_and_decode(docs, vocabulary_path, pattern, id_col, text_col, with_ids=True).select(id_col, "ids")
+
+
 def decode_ids(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Inverse of ``token_ids``: one row per document with ``text`` (null ids: empty).
     Bytes that are no UTF-8 become U+FFFD."""

@@ -13,15 +13,18 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
    buckets as packed arrays, copies collapsed per task. In a bucket each class
    is paired with its next two classes of every n-gram; n-grams with more
    classes hand their members to step 6.
-4. The global order is cut into fragments of equal mass. A candidate's set is
-   cut at the same borders, partial overlaps are counted in each fragment on
-   their own and summed per pair; a pair links when the sum reaches
-   threshold * (|a| + |b|) / (100 + threshold).
+4. A class carries the parity bits of its n-grams (4 bits an n-gram): two sets
+   differ in at least as many n-grams as their bits differ, so a pair whose bits
+   differ too much is no link. What is left is counted: the global order is cut
+   into fragments of equal mass, a candidate's set is cut at the same borders,
+   partial overlaps are counted in each fragment on their own and summed per
+   pair; a pair links when the sum reaches threshold (|a| + |b|) / (100 + threshold).
 5. Links give connected components.
 6. Exact remainder: members of larger n-gram groups that now span several
-   components are joined on the n-gram across components only (same bounds),
-   counted as in 4, and the components are closed again. Pairs inside one
-   component can't change it, so a group of near copies is never squared.
+   components are compared across components only, in blocks of bounded size,
+   by the same bounds and parity bits; what is left is counted as in 4 and the
+   components are closed again. Pairs inside one component can't change it, so a
+   group of near copies is never squared.
 
 Nothing is capped. Driver-side state: the 65,536 bin counts and a 2^25-bit
 filter of candidate classes (it only spares shuffling sets that surely have no
@@ -51,7 +54,8 @@ from dunning.llm.graph import components, cut
 BINS = 1 << 16
 NEXT = 2                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
-FRAGMENTS = 8
+FRAGMENTS = 4
+BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
 FILTER_BITS = 1 << 25
 SLICE_BYTES = 4 << 20    # text handled at a time
 
@@ -108,27 +112,54 @@ def _slices(batches):
             yield batch.slice(at[0], len(at))
 
 
+def _parity(grams: np.ndarray) -> bytes:
+    """Bit k: parity of the number of n-grams that are k modulo the width (a power of two, 4 bits an n-gram at least)."""
+    width = 1 << max(6, (4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (rows of 64-bit words) at a smaller width."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _possible(bits_a: bytes, bits_b: bytes, na: int, nb: int, threshold: int) -> bool:
+    x, y = np.frombuffer(bits_a, dtype="u8")[None], np.frombuffer(bits_b, dtype="u8")[None]
+    words = min(x.shape[1], y.shape[1])
+    differ = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+    return na + nb - differ >= 2 * _needed(na, nb, threshold)
+
+
 def _needed(na, nb, threshold: int):
     """Least overlap of a link: ceil(threshold * (na + nb) / (100 + threshold))."""
     return -((-threshold * (na + nb)) // (100 + threshold))
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """(id, node, grams, bins): a row per document, and a row per task with its bin counts."""
+    """(id, node, grams, bits, bins): a row per document, and a row per task with its bin counts."""
 
     def run(batches):
         bins = np.zeros(BINS, dtype=np.int64)
-        schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("grams", pa.int64()), ("bins", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("grams", pa.int64()), ("bits", pa.binary()), ("bins", pa.binary())])
+        seen: set[int] = set()
         for part in _slices(batches):
             sets = gram_sets(part.column(1), n)
-            bins += np.bincount(np.concatenate(sets) >> np.uint64(48), minlength=BINS) if sets else 0
+            if sets:
+                bins += np.bincount(np.concatenate(sets) >> np.uint64(48), minlength=BINS)
+            nodes = [_node(s) if len(s) else None for s in sets]
+            bits = []
+            for node, grams in zip(nodes, sets):  # once per class and task, while the table of classes is small
+                bits.append(_parity(grams) if node is not None and node not in seen else None)
+                if node is not None and len(seen) < 1_000_000:
+                    seen.add(node)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                                          pa.array([bins.tobytes()], pa.binary())], schema=schema)
+                [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(bits, pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema)
+        void = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([void, void, void, pa.nulls(1, pa.binary()), pa.array([bins.tobytes()], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, node long, grams long, bins binary")
+    return docs.mapInArrow(run, "id long, node long, grams long, bits binary, bins binary")
 
 
 def _bin_counts(scan: DataFrame) -> np.ndarray:
@@ -229,6 +260,59 @@ def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
     return prefixes.groupBy("bucket").applyInArrow(run, "gram long, a long, na long, pos long, b long, nb long")
 
 
+def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose parity bits allow a link."""
+    names = ["a", "b", "na", "nb"]
+    both = (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
+            .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b").select(*names, "bits_a", "bits_b"))
+
+    def run(batches):
+        for batch in batches:
+            na, nb, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            ok = [_possible(*row, threshold) for row in zip(x, y, na, nb)]
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def _across(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, na, nb): pairs of classes of different components in one n-gram's group that
+    pass the bounds and whose parity bits allow a link. Groups are compared block by block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        node, size, pos, root, block = (table.column(k).to_numpy() for k in ("node", "size", "pos", "root", "block"))
+        bits = [np.frombuffer(b, dtype="u8") for b in table.column("bits").to_pylist()]
+        words = np.array([len(b) for b in bits])
+        at: dict[int, np.ndarray] = {}  # row in the matrix of each width, for rows of this width or more
+        matrix: dict[int, np.ndarray] = {}
+        for w in np.unique(words).tolist():
+            wide = np.nonzero(words >= w)[0]
+            matrix[w] = np.concatenate([_folded(bits[i][None], w) for i in wide])
+            at[w] = np.full(len(bits), -1)
+            at[w][wide] = np.arange(len(wide))
+        out = []
+        for i in np.nonzero(block == lo)[0].tolist():
+            other = (root != root[i]) & ((block == hi) if lo != hi else (np.arange(len(node)) > i))
+            need = _needed(size[i], size, threshold)
+            other &= 1 + np.minimum(size[i] - pos[i] - 1, size - pos - 1) >= need
+            j = np.nonzero(other)[0]
+            for w in np.unique(np.minimum(words[i], words[j])).tolist():
+                k = j[np.minimum(words[i], words[j]) == w]
+                differ = np.bitwise_count(matrix[w][at[w][k]] ^ matrix[w][at[w][i]]).sum(axis=1, dtype="i8")
+                k = k[size[i] + size[k] - differ >= 2 * need[k]]
+                out += [(node[i], node[x], size[i], size[x]) if (size[i], node[i]) < (size[x], node[x]) else
+                        (node[x], node[i], size[x], size[i]) for x in k.tolist()]
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "na", "nb"])
+
+    blocks = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("long").alias("blocks"))
+    dealt = (members.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "pos", "root", "bits"))
+    return dealt.groupBy("gram", "lo", "hi").applyInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
     """2^25-bit filter of a node column, merged by word on the executors."""
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
@@ -304,6 +388,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = cut(_scan(texts, n))
     rows = scan.where(F.col("bins").isNull()).select("id", "node", "grams")
+    bits = scan.where(F.col("bits").isNotNull()).groupBy("node").agg(F.first("bits").alias("bits"))
     counts = _bin_counts(scan)
     bin_rank = np.empty(BINS, dtype=np.uint64)
     by_count = np.lexsort((np.arange(BINS), counts))
@@ -315,22 +400,15 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(16, prefix_grams // BUCKET_GRAMS)
 
     found = cut(_pairs(_prefixes(texts, n, threshold, bin_rank, buckets), threshold))
-    pairs = cut(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct())
     members = found.where(F.col("gram").isNotNull()).select("gram", F.col("a").alias("node"), F.col("na").alias("size"), "pos")
+    pairs = cut(_likely(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct(), bits, threshold))
     links = cut(_links(texts, pairs, n, threshold, bin_rank, pivots))
     roots = components(links)
 
     labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
-    spread = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    open_members = cut(labelled.join(spread, "gram", "left_semi"))
-    x, y = (open_members.select("gram", *(F.col(c).alias(c + s) for c in ("node", "size", "pos", "root"))) for s in "ab")
-    need = F.expr(f"({threshold} * (sizea + sizeb) + {99 + threshold}) div {100 + threshold}")
-    more = (x.join(y, "gram")
-            .where("(sizea < sizeb or sizea = sizeb and nodea < nodeb) and roota <> rootb")
-            .where(1 + F.least(F.expr("sizea - posa - 1"), F.expr("sizeb - posb - 1")) >= need)
-            .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), F.col("sizea").alias("na"), F.col("sizeb").alias("nb"))
-            .distinct().join(pairs, ["a", "b", "na", "nb"], "left_anti"))
-    more = cut(more)
+    spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
+    open_members = labelled.join(spread, "gram", "left_semi").join(bits, "node")
+    more = cut(_across(open_members, threshold).join(pairs, ["a", "b", "na", "nb"], "left_anti"))
     if not more.isEmpty():
         roots = components(links.union(_links(texts, more, n, threshold, bin_rank, pivots)))
 
