@@ -37,7 +37,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +45,7 @@ from pyspark.sql import functions as F
 MAX_ROWS = 50_000     # labelled rows that learning uses at most
 MAX_TERMS = 20_000
 LEAST = 0.5           # least share of real terms at a word's counts
+UNSEEN = 0.6          # toxic share of a term's misspellings if the sample has none
 WINDOW = 6            # words of context on either side
 KNOWN_MAX = 400_000   # words that a worker remembers
 WORD_MAX = 48         # longer runs of characters are no words
@@ -69,7 +69,6 @@ class Lexicon:
     terms: dict[str, float] = field(default_factory=dict)
     alone: dict[str, float] = field(default_factory=dict)       # the only term of a document
     misspelled: dict[str, float] = field(default_factory=dict)
-    misspelled_else: float = 0.5
     quoted: float = 0.5
 
 
@@ -197,7 +196,7 @@ def score(lexicon: Lexicon, found) -> float:
     for term, edits, quoted in found:
         p = lexicon.alone.get(term, lexicon.terms[term]) if alone else lexicon.terms[term]
         if edits:
-            p *= lexicon.misspelled.get(term, lexicon.misspelled_else)
+            p *= lexicon.misspelled.get(term, UNSEEN)
         if quoted:
             p *= lexicon.quoted
         best[term] = max(best.get(term, 0.0), p)
@@ -328,17 +327,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .agg(F.sum("n").alias("n")).collect()):  # four rows a term at most
         measured[r["kind"]].setdefault(r["term"], [0, 0])[r["toxic"]] += r["n"]
 
-    def rates(kind: str, prior: float) -> tuple[dict[str, float], float]:
-        """Toxic share by term, drawn to the share over all terms, drawn to ``prior``."""
-        counts = measured[kind]
-        clean, toxic = np.sum(list(counts.values()), axis=0) if counts else (0, 0)
-        overall = float((toxic + prior) / (toxic + clean + 1))
-        return {t: (b + 2 * overall) / (a + b + 2) for t, (a, b) in counts.items()}, overall
-
-    lexicon.misspelled, lexicon.misspelled_else = rates("misspelled", 0.75)
-    lexicon.quoted = rates("quoted", 0.5)[1]
-    alone, overall = rates("alone", 0.75)
-    lexicon.alone = {t: alone.get(t, overall) for t in lexicon.terms}
+    def share(kind: str, term: str, prior: float, weight: float) -> float:
+        """Toxic share of the documents counted for a term, with ``weight`` documents of the prior share."""
+        clean, toxic = measured[kind].get(term, (0, 0))
+        return (toxic + weight * prior) / (toxic + clean + weight)
+
+    lexicon.quoted = share("quoted", "", 0.5, 1)
+    lexicon.misspelled = {t: share("misspelled", t, UNSEEN, 1) for t in measured["misspelled"]}
+    clean, toxic = (sum(c[k] for c in measured["alone"].values()) for k in (0, 1))
+    overall = (toxic + 0.75) / (toxic + clean + 1)
+    lexicon.alone = {t: share("alone", t, overall, 2) for t in lexicon.terms}
     return lexicon
 
 

@@ -76,7 +76,7 @@ def labelled(rng, n):
         toxic = k % 4 == 0
         words = prose(rng, 60, 3000).split()
         if toxic:
-            for _ in range(3):
+            for _ in range(1 + k % 3):
                 words.insert(rng.randrange(60), rng.choice(["horridword", "nastyterm", "vileinsult"]))
         rows.append((k, " ".join(words), "s"))
         labels.append((k, int(toxic)))
