@@ -259,14 +259,14 @@ def _real_shares(cells: list, base: float) -> dict[tuple[int, int], float]:
 
 
 def _tail(n: int, least: int, p: float) -> float:
-    """P(X >= least) for a binomial (n, p)."""
-    total = 0.0
-    for k in range(least, n + 1):
-        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-        total += term
-        if term < total * 1e-12:
-            break
-    return total
+    """P(X >= least) for a binomial (n, p); above 20 its Chernoff bound, which is never too small."""
+    if n < 20:
+        return sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(least, n + 1))
+    share = least / n
+    if share <= p:
+        return 1.0
+    rest = (1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0
+    return math.exp(-n * (share * math.log(share / p) + rest))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
