@@ -39,10 +39,6 @@ def to_minor_units(amount) -> Column:
     return F.rint(_c(amount).cast("double") * 100).cast("long")
 
 
-def from_minor_units(minor) -> Column:
-    return _c(minor).cast("double") / 100.0
-
-
 def hmac_pads(secret: str) -> tuple[bytes, bytes]:
     """Inner/outer HMAC-SHA-256 key blocks, computed once on the driver."""
     key = secret.encode("utf-8")
@@ -105,8 +101,8 @@ def fmt_inr(x) -> Column:
     # group the head in pairs from the right: reverse, comma after every 2, reverse
     grouped = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(head), r"(\d{2})", "$1,")), "^,", "")
     head_txt = F.when(n > 3, F.concat(grouped, F.lit(","))).otherwise(F.lit(""))
-    return F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), F.lit("\u20b9"), head_txt, tail,
-                    F.lit("."), fp)
+    return F.coalesce(F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), F.lit("\u20b9"), head_txt, tail,
+                               F.lit("."), fp), F.lit("not available"))
 
 
 def humanize(x) -> Column:

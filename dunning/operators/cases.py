@@ -83,8 +83,3 @@ def case_for_payment(spark: SparkSession, sf_dir: str, payment_id: str) -> DataF
     return payment_cases(universe, L.decisions.filter(F.col("payment_id") == payment_id),
                          L.attempts_log.filter(F.col("payment_id") == payment_id),
                          L.outcomes.filter(F.col("payment_id") == payment_id))
-
-
-def case_rows_text(cases: DataFrame) -> DataFrame:
-    """Case table with the timestamp as text (for exports)."""
-    return cases.withColumn("timestamp", ts_text("timestamp"))

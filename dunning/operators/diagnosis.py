@@ -2,11 +2,9 @@
 
 Two producers share one output schema (``PREDICTION_COLUMNS``):
 
-* ``stored_style_predictions`` — a deterministic scorer: each failed payment
-  gets a predicted bucket and a confidence from SHA-256 buckets of its id
-  (right bucket for about 62 % of rows, confidence in [0.2, 1.0) in steps of
-  0.001). It plays the role of the committed predictions file and makes every
-  downstream layer checkable against plain SQL.
+* ``class_share_predictions`` — counted from the data: for each (error code,
+  method) the bucket that the train split holds most often, with its share as
+  the confidence, applied to every failed payment. Plain SQL reproduces it.
 * ``operators.models.diagnosis_scores`` — a fitted Spark ML forest.
 """
 
@@ -15,14 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunning.functions.expr import hex_slice_int
 from dunning.operators.features import customer_fail_history
-from dunning.operators.rules import BUCKETS
 
-# Fixed values of the deterministic scorer.
-RIGHT_BUCKET_PERCENT = 62
-CONFIDENCE_FLOOR_MILLI = 200
-CONFIDENCE_SPAN_MILLI = 800
+SHARE_KEYS = ["error_code", "method"]
+SHARE_PLACES = 3
 
 FEATURES = ["error_code", "amount", "method", "hour_of_day", "day_of_week", "customer_fail_count"]
 LEAK_COLUMNS = ["error_reason", "error_description"]
@@ -37,20 +31,33 @@ def diagnosis_features(failed: DataFrame) -> DataFrame:
     return out
 
 
-def stored_style_predictions(failed: DataFrame) -> DataFrame:
-    """One SHA-256 of 'diag|' || id per row; its first three 8-hex-digit slices
-    decide right/wrong bucket, the wrong-bucket shift and the confidence."""
-    feats = diagnosis_features(failed).withColumn(
-        "__h", F.sha2(F.concat(F.lit("diag|"), F.col("payment_id")), 256))
-    buckets = F.array(*[F.lit(b) for b in BUCKETS])
-    actual_idx = F.array_position(buckets, F.col("actual_bucket")) - 1
-    right = F.pmod(hex_slice_int("__h", 0), F.lit(100)) < RIGHT_BUCKET_PERCENT
-    shift = F.pmod(hex_slice_int("__h", 1), F.lit(len(BUCKETS) - 1)) + 1
-    wrong = F.element_at(buckets, (F.pmod(actual_idx + shift, F.lit(len(BUCKETS))) + 1).cast("int"))
-    predicted = (F.when(right, F.col("actual_bucket"))
-                  .when(F.col("actual_bucket").isin(*BUCKETS), wrong)
-                  .otherwise(F.lit(None).cast("string")))
-    confidence = (F.lit(CONFIDENCE_FLOOR_MILLI)
-                  + F.pmod(hex_slice_int("__h", 2), F.lit(CONFIDENCE_SPAN_MILLI))) / F.lit(1000.0)
-    return feats.select(*[c for c in PREDICTION_COLUMNS if c not in ("predicted_bucket", "confidence")],
-                        predicted.alias("predicted_bucket"), confidence.alias("confidence"))
+def class_shares(failed: DataFrame) -> DataFrame:
+    """(error_code, method, predicted_bucket, confidence): most frequent bucket of the train
+    split (ties: smallest name) and its share."""
+    from dunning.operators.evaluation import with_split
+    labelled = failed.select("payment_id", *SHARE_KEYS, F.col("root_cause_bucket").alias("actual_bucket"))
+    train = with_split(labelled).filter((F.col("split") == "train") & F.col("actual_bucket").isNotNull())
+    counts = train.groupBy(*SHARE_KEYS, "actual_bucket").agg(F.count(F.lit(1)).alias("n"))
+    return (counts.groupBy(*SHARE_KEYS)
+            .agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("actual_bucket").alias("b"))).alias("top"), F.sum("n").alias("total"))
+            .select(*SHARE_KEYS, F.col("top.b").alias("predicted_bucket"),
+                    F.round(-F.col("top.m") / F.col("total"), SHARE_PLACES).alias("confidence")))
+
+
+def with_class_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """``rows`` with predicted_bucket and confidence; both null where the train split lacks the keys."""
+    s = shares.select(*[F.col(k).alias(f"__{k}") for k in SHARE_KEYS], "predicted_bucket", "confidence")
+    on = F.lit(True)
+    for k in SHARE_KEYS:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(s, on, "left").drop(*[f"__{k}" for k in SHARE_KEYS])
+
+
+def class_share_predictions(failed: DataFrame) -> DataFrame:
+    return with_class_shares(diagnosis_features(failed), class_shares(failed)).select(*PREDICTION_COLUMNS)
+
+
+def class_share_scores(failed: DataFrame) -> DataFrame:
+    """What the policy reads (id, amount, bucket, confidence), without the history windows."""
+    rows = failed.select("payment_id", "amount", *SHARE_KEYS)
+    return with_class_shares(rows, class_shares(failed)).select("payment_id", "amount", "predicted_bucket", "confidence")

@@ -89,7 +89,7 @@ def confusion_matrix(spark: SparkSession, scored: DataFrame, labels=None, actual
 
 def sorted_labels(df: DataFrame, col: str = "actual_bucket") -> DataFrame:
     """SRT-5."""
-    return df.select(F.col(col).alias("label")).filter(F.col("label").isNotNull()).distinct()
+    return df.select(F.col(col).alias("label")).filter(F.col("label").isNotNull()).distinct().orderBy("label")
 
 
 def with_split(df: DataFrame, label: str = "actual_bucket", seed: int = SPLIT_SEED,
@@ -113,7 +113,7 @@ def with_split(df: DataFrame, label: str = "actual_bucket", seed: int = SPLIT_SE
                           block=F.shiftright(F.col("__h"), 32 - SPLIT_BLOCK_BITS))
     sizes = src.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
     n_test = F.floor((F.col("__n") * F.lit(test_percent) + F.lit(99)) / F.lit(100))
-    out = ranked.join(sizes, cls, "inner")
+    out = ranked.join(F.broadcast(sizes), cls, "inner")  # one row per class
     return out.select(*df.columns, F.when(F.col("__rank") < n_test, F.lit("test")).otherwise(F.lit("train"))
                       .alias("split"))
 
@@ -134,11 +134,11 @@ def class_weights(train: DataFrame, label: str = "actual_bucket") -> DataFrame:
                                                  METRIC_PLACES).alias("weight"))
 
 
-def stored_style_risk_scores(features: DataFrame) -> DataFrame:
-    """ML-10 / FLT-6 (deterministic scorer): risk = half the customer's prior
-    failure rate + half a SHA-256 bucket of the id; flagged when >= 0.5."""
-    h = F.pmod(salted_hash8("risk|", F.col("payment_id")), F.lit(1000)) / F.lit(1000.0)
-    score = F.lit(0.5) * F.col("customer_prior_fail_rate") + F.lit(0.5) * h
+def smoothed_risk_scores(features: DataFrame) -> DataFrame:
+    """ML-10 / FLT-6 from the data alone: the customer's prior failure rate, smoothed by one
+    failed and one paid payment; flagged from ``RISK_FLAG_THRESHOLD``."""
+    n = F.col("customer_txn_count_so_far")
+    score = (F.round(F.col("customer_prior_fail_rate") * n) + 1) / (n + 2)
     return (features.withColumn("risk_score", score)
             .withColumn("flagged_at_risk", (F.col("risk_score") >= RISK_FLAG_THRESHOLD).cast("int")))
 

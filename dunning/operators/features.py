@@ -22,36 +22,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_UNIT = "hour"
+HEAVY_ROWS = 100_000  # rows of one key above which its history is cut into blocks
 
 
 def prior_totals(df: DataFrame, key: str, order_by: list[str], values: dict[str, Column],
-                 ts: str, block_unit: str = DEFAULT_BLOCK_UNIT, block: Column | None = None) -> DataFrame:
+                 ts: str, block_unit: str = DEFAULT_BLOCK_UNIT, block: Column | None = None,
+                 heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Add, per row, the sum of each ``values`` column over the rows of the same
     ``key`` that come strictly earlier in ``order_by`` order (0 if none).
 
+    No row is lost: a null key is a key of its own, and nulls of ``order_by``
+    come last. Rows are the same whatever ``heavy_rows``; it only decides which
+    keys are cut into blocks.
+
     ``order_by[0]`` must be ``ts``. Blocks are time ranges of ``ts``
     (``block_unit``), or the given ``block`` expression, which must never
     decrease along ``order_by`` (e.g. a leading slice of a hash that is
     ``order_by[0]``)."""
     assert order_by and order_by[0] == ts
-    blk = "__blk"
-    src = df.withColumn(blk, block if block is not None else F.date_trunc(block_unit, F.col(ts)))
+    blk, hk = "__blk", "__heavy_key"
+    src = df
     for name, expr in values.items():
         src = src.withColumn(f"__v_{name}", expr.cast("long"))
-
-    totals = src.groupBy(key, blk).agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in values])
-    before = Window.partitionBy(key).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        key, blk, *[F.coalesce(F.sum(f"__bt_{n}").over(before), F.lit(0)).alias(f"__off_{n}")
-                    for n in values])
-
-    inblock = Window.partitionBy(key, blk).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = src.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inblock), F.lit(0)).alias(f"__in_{n}")
-                               for n in values])
-    out = ranked.join(offsets, [key, blk], "inner")
-    result_cols = [(F.col(f"__off_{n}") + F.col(f"__in_{n}")).alias(n) for n in values]
-    keep = [c for c in df.columns]
-    return out.select(*keep, *result_cols)
+    heavy = (src.groupBy(F.col(key).alias(hk)).agg(F.count(F.lit(1)).alias("__rows"))
+             .filter(F.col("__rows") > heavy_rows).select(hk, F.lit(True).alias("__is_heavy")))
+    part = block if block is not None else F.date_trunc(block_unit, F.col(ts))
+    src = (src.join(heavy, F.col(key).eqNullSafe(F.col(hk)), "left").drop(hk)
+           .withColumn(blk, F.when(F.col("__is_heavy"), part)))
+
+    totals = src.filter(F.col("__is_heavy")).groupBy(F.col(key).alias("__ok"), F.col(blk).alias("__ob")).agg(
+        *[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in values])
+    before = Window.partitionBy("__ok").orderBy(F.col("__ob").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__ok", "__ob", *[F.sum(f"__bt_{n}").over(before).alias(f"__off_{n}") for n in values])
+
+    inblock = (Window.partitionBy(key, blk).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = src.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inblock), F.lit(0)).alias(f"__in_{n}") for n in values])
+    out = ranked.join(offsets, F.col(key).eqNullSafe(F.col("__ok")) & F.col(blk).eqNullSafe(F.col("__ob"))
+                      & F.col("__is_heavy"), "left")
+    result_cols = [(F.coalesce(F.col(f"__off_{n}"), F.lit(0)) + F.col(f"__in_{n}")).alias(n) for n in values]
+    return out.select(*df.columns, *result_cols)
 
 
 def with_time_parts(df: DataFrame, ts: str = "timestamp") -> DataFrame:

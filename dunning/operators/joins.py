@@ -1,14 +1,9 @@
 """Join and dedupe building blocks that stay balanced under key skew.
 
-* ``first_per_key`` / ``latest_per_key`` (WIN-4/5/6) use a hash aggregate with
-  ``min_by``/``max_by`` instead of ``row_number() OVER (PARTITION BY key)``:
+* ``first_per_key`` / ``latest_per_key`` (WIN-4/5/6) use an aggregate with
+  ``min_by``/``max_by`` (a sort aggregate, as the values are structs) instead of ``row_number() OVER (PARTITION BY key)``:
   partial aggregation runs map-side, so a key holding a third of all rows
   is reduced to one row per map task before the shuffle.
-* ``skew_safe_left_join`` (JON-2 with fan-out) keeps all matches of a 1:N left
-  join while letting AQE split a hot key on either side: an inner join (both
-  sides splittable) plus the unmatched left rows from an anti join against the
-  right side's *distinct* keys (a partial aggregate, so a hot right key is one
-  row).
 * ``suffix_clashes`` (PRJ-4) renames right-side columns that clash.
 """
 
@@ -39,11 +34,3 @@ def latest_per_key(df: DataFrame, key, order_by: list[str]) -> DataFrame:
 def suffix_clashes(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
     clash = (set(left.columns) & set(right.columns)) - set(on)
     return right.select(*[F.col(c).alias(c + suffix) if c in clash else F.col(c) for c in right.columns])
-
-
-def skew_safe_left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """``left LEFT JOIN right USING (on)`` with every match kept (1:N)."""
-    matched = left.join(right, on, "inner")
-    right_keys = right.select(*on).distinct()
-    unmatched = left.join(right_keys, on, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)

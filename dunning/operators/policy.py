@@ -67,17 +67,12 @@ def decide(spark: SparkSession, preds: DataFrame, params: PolicyParams | None =
 
     default_reason = F.create_map(*[x for kv in ACTION_REASONS.items() for x in map(F.lit, kv)])
     reason = (F.when(F.col("__gate") == "low_confidence",
-                     F.concat(F.lit("Diagnosis confidence "), round2_text(conf),
-                              F.lit(f" is under the {p.confidence_threshold} threshold; "
-                                    "not acting on it automatically.")))
+                     F.concat(F.lit("low_confidence:"), round2_text(conf), F.lit(f"<{p.confidence_threshold}")))
                .when(F.col("__gate") == "high_value",
-                     F.concat(F.lit("High-value payment (INR "), dec2_text("amount"),
-                              F.lit(") with confidence "), round2_text(conf),
-                              F.lit("; needs human sign-off.")))
+                     F.concat(F.lit("high_value:amount="), dec2_text("amount"), F.lit(",confidence="), round2_text(conf)))
                .when(F.col("__gate") == "attempt_cap",
-                     F.concat(F.lit("Attempt cap ("), F.col("__cap").cast("string"),
-                              F.lit(") reached for bucket '"), F.coalesce(F.col("predicted_bucket"), F.lit("")),
-                              F.lit("'; escalating.")))
+                     F.concat(F.lit("attempt_cap:"), F.coalesce(F.col("predicted_bucket"), F.lit("")), F.lit("="),
+                              F.col("__cap").cast("string")))
                .otherwise(F.coalesce(default_reason[F.col("action")], F.lit(""))))
     reason_code = F.when(F.col("__gate").isin("low_confidence", "high_value", "attempt_cap"),
                          F.col("__gate")).otherwise(F.lit("default"))

@@ -415,8 +415,7 @@ def eval_confusion(spark, sf_dir):
 
 _RISK_SQL = O.with_ctes(O.cte_payments(), """
 feat AS (
-  SELECT payment_id, status,
-    CASE WHEN txn > 0 THEN CAST(fails AS DOUBLE) / CAST(txn AS DOUBLE) ELSE 0.0 END AS customer_prior_fail_rate
+  SELECT payment_id, status, CAST(fails + 1 AS DOUBLE) / CAST(txn + 2 AS DOUBLE) AS risk_score
   FROM (
     SELECT *, count(*) OVER w AS txn,
       COALESCE(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w, 0) AS fails
@@ -424,16 +423,13 @@ feat AS (
     WINDOW w AS (PARTITION BY customer_id ORDER BY "timestamp", payment_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
 risk AS (
-  SELECT payment_id, CAST(status = 'failed' AS INTEGER) AS actual_at_risk,
-         0.5 * customer_prior_fail_rate + 0.5 * ((""" + O.h8("'risk|' || payment_id") + """ % 1000) / 1000.0)
-           AS risk_score
-  FROM feat),
+  SELECT payment_id, CAST(status = 'failed' AS INTEGER) AS actual_at_risk, risk_score FROM feat),
 scored AS (SELECT *, CAST(risk_score >= 0.5 AS INTEGER) AS flagged_at_risk FROM risk)""", select="{select}")
 
 
 def _risk(spark, sf_dir):
     f = features.customer_risk_features(Layers.of(spark, sf_dir).payments)
-    return EV.stored_style_risk_scores(f)
+    return EV.smoothed_risk_scores(f)
 
 
 @register("detection_scores", _RISK_SQL.format(select="SELECT * FROM scored"))

@@ -35,7 +35,7 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
         scored = models.score_diagnosis(fitted, test)
         preds = scored.join(feats.select("payment_id", "amount"), "payment_id", "left")
     else:
-        preds = diagnosis.stored_style_predictions(failed)
+        preds = diagnosis.class_share_scores(failed)
 
     dec_path = os.path.join(out_dir, "policy_decisions")
     sinks.write_table(policy.decide(spark, preds, policy_params), dec_path)
@@ -61,10 +61,10 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, use_model: bool = False,
     if with_webhook:
         # entry B in batch form: the event stream of this data set, classified
         # against the recovery log so far, matched to the attempts just written
-        env = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id"))
+        env = W.envelopes_from_events(read_table(spark, sf_dir, "events", W.EVENT_COLUMNS), W.TEST_SECRET)
         log_dir = os.path.join(out_dir, "recovery_log")
         res_dir = os.path.join(out_dir, "webhook_results")
-        guarded = W.guard_stage(env).persist(StorageLevel.MEMORY_AND_DISK)   # read 3x by classify
+        guarded = W.guard_stage(env, W.TEST_SECRET).persist(StorageLevel.MEMORY_AND_DISK)   # read 3x by classify
         try:
             sinks.write_table(W.classify_guarded(guarded, processed_ids=W.read_log(spark, log_dir)), res_dir)
         finally:

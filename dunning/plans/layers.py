@@ -42,7 +42,7 @@ class Layers:
     def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Layers":
         """One layer graph per (session, data dir, parameters): queries served
         from the same run share the already-analyzed sub-plans."""
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, repr(sorted(params.items())))
         hit = _CACHE.get(key)
         if hit is None:
             hit = _CACHE[key] = cls(spark, sf_dir, **params)
@@ -61,7 +61,7 @@ class Layers:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return _keep(diagnosis.stored_style_predictions(self.failed))
+        return diagnosis.class_share_predictions(self.failed)
 
     # The layer products read by several stages/queries are persisted
     # (MEMORY_AND_DISK: spills instead of failing; a lost block is recomputed
@@ -69,7 +69,7 @@ class Layers:
     # payment / attempt / retry.
     @cached_property
     def decisions(self) -> DataFrame:
-        return _keep(policy.decide(self.spark, self.predictions.drop("attempt_count"), self.policy_params))
+        return _keep(policy.decide(self.spark, diagnosis.class_share_scores(self.failed), self.policy_params))
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -93,15 +93,15 @@ class Layers:
     def envelopes(self) -> DataFrame:
         from dunning.sources.tables import read_table
         from dunning.streaming import webhook as W
-        events = read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS, spread_key="event_id")
-        return W.envelopes_from_events(events)
+        events = read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS)
+        return W.envelopes_from_events(events, W.TEST_SECRET)
 
     @cached_property
     def guarded(self) -> DataFrame:
         """Per-delivery guard results (one HMAC and one JSON parse per delivery,
         no body column); read twice by ``classified``."""
         from dunning.streaming import webhook as W
-        return _keep(W.guard_stage(self.envelopes))
+        return _keep(W.guard_stage(self.envelopes, W.TEST_SECRET))
 
     @cached_property
     def classified(self) -> DataFrame:

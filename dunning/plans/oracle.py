@@ -10,8 +10,8 @@ from __future__ import annotations
 from dunning.operators import execution as ex
 from dunning.operators import outcomes as oc
 from dunning.operators import rules as R
-from dunning.operators.diagnosis import (CONFIDENCE_FLOOR_MILLI, CONFIDENCE_SPAN_MILLI,
-                                         RIGHT_BUCKET_PERCENT)
+from dunning.operators import evaluation as ev
+from dunning.operators.diagnosis import SHARE_PLACES
 from dunning.sources import payments as P
 
 AS_OF = R.PolicyParams().as_of
@@ -110,25 +110,26 @@ history AS (
   FROM failed)"""
 
 
-def hex_slice(hex_expr: str, part: int) -> str:
-    return f"CAST(('0x' || substr({hex_expr}, {part * 8 + 1}, 8)) AS BIGINT)"
-
-
 def cte_predictions() -> str:
-    b = R.BUCKETS
-    k = len(b)
-    pos = f"(COALESCE(list_position({list_lit(b)}, root_cause_bucket), 0) - 1)"
-    shift = f"(({hex_slice('h', 1)} % {k - 1}) + 1)"
-    wrong = f"{list_lit(b)}[((({pos} + {shift}) % {k}) + {k}) % {k} + 1]"
+    h = h8(q(f"split|{ev.SPLIT_SEED}|") + " || payment_id")
     return f"""
+train AS (
+  SELECT error_code, method, root_cause_bucket FROM (
+    SELECT *, row_number() OVER (PARTITION BY root_cause_bucket ORDER BY h, payment_id) AS rn,
+           count(*) OVER (PARTITION BY root_cause_bucket) AS n
+    FROM (SELECT *, {h} AS h FROM failed))
+  WHERE rn > (n * {ev.TEST_PERCENT} + 99) // 100 AND root_cause_bucket IS NOT NULL),
+shares AS (
+  SELECT error_code, method, root_cause_bucket AS predicted_bucket, round(CAST(n AS DOUBLE) / total, {SHARE_PLACES}) AS confidence
+  FROM (SELECT *, sum(n) OVER (PARTITION BY error_code, method) AS total,
+               row_number() OVER (PARTITION BY error_code, method ORDER BY n DESC, root_cause_bucket) AS rn
+        FROM (SELECT error_code, method, root_cause_bucket, count(*) AS n FROM train GROUP BY ALL))
+  WHERE rn = 1),
 preds AS (
-  SELECT payment_id, error_code, amount, method, hour_of_day, day_of_week, customer_fail_count,
-         root_cause_bucket AS actual_bucket,
-         CASE WHEN {hex_slice('h', 0)} % 100 < {RIGHT_BUCKET_PERCENT}
-              THEN root_cause_bucket
-              WHEN root_cause_bucket IN ({", ".join(q(x) for x in b)}) THEN {wrong} END AS predicted_bucket,
-         ({CONFIDENCE_FLOOR_MILLI} + {hex_slice('h', 2)} % {CONFIDENCE_SPAN_MILLI}) / 1000.0 AS confidence
-  FROM (SELECT *, sha256('diag|' || payment_id) AS h FROM history))"""
+  SELECT p.payment_id, p.error_code, p.amount, p.method, p.hour_of_day, p.day_of_week, p.customer_fail_count,
+         p.root_cause_bucket AS actual_bucket, s.predicted_bucket, s.confidence
+  FROM history p LEFT JOIN shares s
+    ON p.error_code IS NOT DISTINCT FROM s.error_code AND p.method IS NOT DISTINCT FROM s.method)"""
 
 
 def cte_decisions(attempt_count: str = "0") -> str:
@@ -159,12 +160,9 @@ decisions AS (
   SELECT payment_id, predicted_bucket AS diagnosed_bucket, round(confidence, 3) AS confidence,
          final_bucket_used, action,
          CASE gate
-           WHEN 'low_confidence' THEN 'Diagnosis confidence ' || {round2_text('confidence')}
-                || ' is under the {p.confidence_threshold} threshold; not acting on it automatically.'
-           WHEN 'high_value' THEN 'High-value payment (INR ' || {dec2_text('amount')}
-                || ') with confidence ' || {round2_text('confidence')} || '; needs human sign-off.'
-           WHEN 'attempt_cap' THEN 'Attempt cap (' || CAST(cap AS VARCHAR) || ') reached for bucket '''
-                || COALESCE(predicted_bucket, '') || '''; escalating.'
+           WHEN 'low_confidence' THEN 'low_confidence:' || {round2_text('confidence')} || '<{p.confidence_threshold}'
+           WHEN 'high_value' THEN 'high_value:amount=' || {dec2_text('amount')} || ',confidence=' || {round2_text('confidence')}
+           WHEN 'attempt_cap' THEN 'attempt_cap:' || COALESCE(predicted_bucket, '') || '=' || CAST(cap AS VARCHAR)
            ELSE {default_reason} END AS reason,
          CASE WHEN gate IN ('low_confidence', 'high_value', 'attempt_cap') THEN gate ELSE 'default' END
            AS reason_code,
@@ -219,7 +217,7 @@ def cte_attempts(name: str = "attempts", executed_at: str = ex.DEFAULT_EXECUTED_
                 CASE WHEN r.payment_id IS NULL THEN {q(ex.NOTE_MISSING_ID)}
                      WHEN trim(r.payment_id) = '' THEN {q(ex.NOTE_EMPTY_ID)}
                      WHEN l.amount IS NULL THEN {q(ex.NOTE_MISSING_AMOUNT)}
-                     WHEN l.amount <= 0 THEN 'Invalid amount: ' || CAST(l.amount AS VARCHAR)
+                     WHEN l.amount <= 0 THEN 'error=amount_not_positive:' || CAST(l.amount AS VARCHAR)
                      WHEN round(l.amount * 100) <= 0 THEN {q(ex.NOTE_ZERO_MINOR)}
                      ELSE 'payment_link_id=' || {link}
                           || '; reference_id=recovery_' || r.payment_id || '; amount=' || {dec2_text('l.amount')}
@@ -227,7 +225,7 @@ def cte_attempts(name: str = "attempts", executed_at: str = ex.DEFAULT_EXECUTED_
               WHEN r.action = 'retry_later' THEN {q(ex.NOTE_RETRY_LATER)}
               WHEN r.action = 'send_reminder' THEN {q(ex.NOTE_REMINDER)}
               WHEN r.action = 'escalate_human' THEN {q(ex.NOTE_HUMAN)}
-              ELSE 'Unknown action: ' || COALESCE(r.action, 'None') END AS notes,
+              ELSE 'error=action_unknown:' || COALESCE(r.action, 'None') END AS notes,
          {q(executed_at)} AS execution_timestamp
   FROM (SELECT trim(CAST(payment_id AS VARCHAR)) AS payment_id, trim(CAST(action AS VARCHAR)) AS action
         FROM decisions WHERE {where}) r

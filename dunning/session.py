@@ -1,11 +1,11 @@
-"""SparkSession construction and lineage-cut helpers."""
+"""SparkSession construction and the checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on. UTC is required so that hour/weekday features
 # and text timestamps agree with the SQL oracle; AQE re-plans joins from
@@ -21,41 +21,6 @@ BASE_CONF = {
 }
 
 
-# Partition sizing for a large cluster (~100 TB input, ~1000 executors).
-# Applied only on a non-local master and only to keys the cluster did not set
-# itself. Scans: 256 MB splits (~400k tasks for 100 TB before column pruning).
-# Shuffles: start wide (AQE needs enough initial partitions to split a big
-# stage) and let AQE coalesce to ~256 MB; a partition 5x the median and over
-# 512 MB is split by the skew-join rule. Broadcasts stay under the measured-size
-# thresholds (10 MB static, 64 MB at runtime), so nothing that grows with the
-# data is broadcast.
-CLUSTER_CONF = {
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.autoBroadcastJoinThreshold": "10m",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-}
-
-
-def apply_cluster_defaults(spark: SparkSession) -> dict:
-    """Set ``CLUSTER_CONF`` keys the cluster left unset (non-local masters only);
-    returns what was set."""
-    sc = spark.sparkContext
-    if (sc.master or "").startswith("local"):
-        return {}
-    conf = sc.getConf()
-    applied = {}
-    for k, v in CLUSTER_CONF.items():
-        if not conf.contains(k):
-            spark.conf.set(k, v)
-            applied[k] = v
-    return applied
-
-
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "dunning", extra: dict | None = None) -> SparkSession:
     """Return the active session or build a local one (tests, bench)."""
@@ -71,7 +36,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    apply_cluster_defaults(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -94,9 +58,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="dunning-ckpt-")
     sc.setCheckpointDir(path)
     return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

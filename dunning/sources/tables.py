@@ -20,33 +20,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               spread_key: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan of a driver table; projections/filters applied later are
-    pushed into the scan by Catalyst (ReadSchema / PushedFilters).
-
-    ``spread_key``: see ``spread``."""
+    pushed into the scan by Catalyst (ReadSchema / PushedFilters)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    return spread(df, spread_key) if spread_key else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy per-row stages (SHA-256, HMAC, JSON) every core.
-
-    A scan yields one task per file split; a table stored as a few small
-    single-row-group files therefore runs its row functions on a few cores.
-    Only in that case the scan is hash-partitioned on its (unique) key to the
-    cluster's default parallelism — deterministic on retry, balanced. A large
-    table already has at least that many splits and is left untouched (no
-    extra shuffle)."""
-    if os.environ.get("DUNNING_NO_SPREAD"):
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
+    return df
 
 
 def require_columns(df: DataFrame, required, table: str) -> DataFrame:

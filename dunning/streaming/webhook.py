@@ -23,6 +23,7 @@ twice. ``dedupe_within_watermark`` is the bounded-state alternative.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +69,8 @@ ENVELOPE_SCHEMA = T.StructType([
 
 ENTITY = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("amount", T.LongType()),
-    T.StructField("amount_paid", T.LongType()), T.StructField("currency", T.StringType()),
+    # as text: the amount may be any JSON number or a numeric text
+    T.StructField("amount_paid", T.StringType()), T.StructField("currency", T.StringType()),
     T.StructField("reference_id", T.StringType()), T.StructField("status", T.StringType()),
 ])
 BODY_SCHEMA = T.StructType([
@@ -88,7 +90,7 @@ def _in(b: F.Column, rng: tuple[int, int]) -> F.Column:
     return (b >= rng[0]) & (b < rng[1])
 
 
-def envelopes_from_events(events: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
+def envelopes_from_events(events: DataFrame, secret: str) -> DataFrame:
     """SRC-6 stand-in: one signed delivery per ``events`` row (a second copy for
     the duplicate bucket), each about payment 'pay_<event_id>'.
 
@@ -134,7 +136,15 @@ def envelopes_from_events(events: DataFrame, secret: str = TEST_SECRET) -> DataF
     return once.unionByName(again).drop("fault")
 
 
-def guard_stage(env: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
+def is_json_object(body: F.Column) -> F.Column:
+    """True if the whole text is one JSON object. The parser stops at the closing
+    brace; inside an array and inside an object, what follows it can't be valid in both."""
+    in_array = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"body":'), body, F.lit("}")))) == 1
+    return F.coalesce(F.json_object_keys(body).isNotNull() & in_array & in_object, F.lit(False))
+
+
+def guard_stage(env: DataFrame, secret: str) -> DataFrame:
     """Stateless part of the rules (checks 1-5, 7, 8) per delivery: one HMAC
     and one JSON parse per body (staged projections). Adds ``__key`` (the
     event id, or a unique key for a rejected delivery — never NULL, so
@@ -142,7 +152,7 @@ def guard_stage(env: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
     with the guard tree inlined) and ``__would_recover``."""
     body = F.col("body")
     s1 = env.select("delivery_id", "received_at", "event_id", "signature", "body",
-                    F.json_object_keys(body).isNotNull().alias("__valid"),
+                    is_json_object(body).alias("__valid"),
                     (hmac_sha256_hex(secret, body) == F.col("signature")).alias("__sig_ok"))
     s2 = s1.select("*", F.when(F.col("__valid"), F.from_json(body, BODY_SCHEMA)).alias("__p"))
     guard = (F.when(body.isNull() | (body == ""), F.lit("rejected_empty_body"))
@@ -158,18 +168,20 @@ def guard_stage(env: DataFrame, secret: str = TEST_SECRET) -> DataFrame:
         F.col(ent).isNotNull().alias("__has_entity"),
         F.col(f"{ent}.id").alias("payment_link_id"),
         F.coalesce(F.col("__p.payload.payment.entity.id"), F.lit("")).alias("payment_id"),
-        (F.coalesce(F.col(f"{ent}.amount_paid"), F.lit(0)).cast("double") / 100.0).alias("amount"),
+        F.col(f"{ent}.amount_paid").alias("__paid"),
+        (F.coalesce(F.col(f"{ent}.amount_paid").try_cast("decimal(30,4)"), F.lit(0)).cast("double") / 100.0).alias("amount"),
         F.coalesce(F.col(f"{ent}.currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
         F.coalesce(F.col(f"{ent}.reference_id"), F.lit("")).alias("reference_id"),
         "event_id", "body")
     key = F.coalesce(F.when(F.col("__guard").isNull(), ev),
                      F.concat(F.lit("rejected#"), F.col("delivery_id").cast("string")), F.lit("rejected#"))
-    d = s3.select("*", key.alias("__key")).drop("event_id", "body")
+    readable = F.col("__paid").isNull() | F.col("__paid").try_cast("decimal(30,4)").isNotNull()
+    d = s3.select("*", key.alias("__key"), readable.alias("__amount_ok")).drop("event_id", "body", "__paid")
     return d.withColumn("__would_recover", F.coalesce(
-        F.col("__guard").isNull() & (F.col("event") == PAID_EVENT) & F.col("__has_entity"), F.lit(False)))
+        F.col("__guard").isNull() & (F.col("event") == PAID_EVENT) & F.col("__has_entity") & F.col("__amount_ok"), F.lit(False)))
 
 
-def classify(env: DataFrame, secret: str = TEST_SECRET, processed_ids: DataFrame | None = None) -> DataFrame:
+def classify(env: DataFrame, secret: str, processed_ids: DataFrame | None = None) -> DataFrame:
     """STR-1..3, STR-6: status per delivery + the parsed fields.
 
     ``processed_ids`` (column ``event_id``) is the recovery log so far (JON-8)."""
@@ -202,6 +214,7 @@ def classify_guarded(d: DataFrame, processed_ids: DataFrame | None = None) -> Da
                .when(dup, F.lit("already_processed"))
                .when(F.coalesce(F.col("event"), F.lit("")) != PAID_EVENT, F.lit("ignored"))
                .when(~F.col("__has_entity"), F.lit("rejected_missing_entity"))
+               .when(~F.col("__amount_ok"), F.lit("rejected_bad_amount"))
                .otherwise(F.lit("recovered")))
     return d.select("delivery_id", "received_at",
                     F.when(F.col("__guard").isNull(), F.col("__key")).alias("event_id"), "event", status.alias("status"),
@@ -245,7 +258,7 @@ def dedupe_within_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFra
 
 
 def start_recovery_log_stream(spark: SparkSession, landing_dir: str, log_dir: str, checkpoint: str,
-                              secret: str = TEST_SECRET, available_now: bool = True):
+                              secret: str, available_now: bool = True):
     """SNK-3 with the dedupe state in Spark's state store: stateless guards,
     then ``dropDuplicates(event_id)`` (exact across restarts — the seen ids
     live in the checkpointed state, like the reference's ever-growing log), then
@@ -274,14 +287,16 @@ def write_landing(envelopes: DataFrame, landing_dir: str, files: int = 4) -> Non
     envelopes.repartition(files).write.mode("append").json(landing_dir)
 
 
-def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
-                 attempts: DataFrame | None = None, secret: str = TEST_SECRET,
+def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str, secret: str,
+                 attempts: DataFrame | None = None,
                  available_now: bool = True, max_files_per_trigger: int | None = None):
     """Run the consumer: landing JSON files -> classified rows per epoch.
 
-    Outputs (parquet): out_dir/recovery_log/epoch=N (the recovery log),
-    out_dir/results/epoch=N (one status row per delivery), and, when
-    ``attempts`` is given, out_dir/matches/epoch=N."""
+    Outputs (parquet): out_dir/recovery_log/run=R/epoch=N (the recovery log),
+    out_dir/results/run=R/epoch=N (one status row per delivery), and, when
+    ``attempts`` is given, out_dir/matches/run=R/epoch=N. R is the id that the
+    checkpoint gave the query: a replayed epoch overwrites itself, and a run
+    with a fresh checkpoint, whose epochs start at 0 again, adds to the log."""
     reader = spark.readStream.schema(ENVELOPE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -290,18 +305,20 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         sp = batch.sparkSession
-        prior = read_log(sp, log_dir, exclude_epoch=epoch_id)
+        run = json.loads(sp.read.text(os.path.join(checkpoint, "metadata")).first()[0])["id"]
+        part = f"run={run}/epoch={epoch_id}"
+        prior = read_log(sp, log_dir, exclude=(run, epoch_id))
         # one HMAC + JSON parse per delivery: the (bounded) micro-batch's guard
         # table is kept for the three reads inside classify_guarded
         g = guard_stage(batch, secret).persist()
         c = classify_guarded(g, prior).persist()
         try:
             rec = recoveries(c)
-            rec.write.mode("overwrite").parquet(os.path.join(log_dir, f"epoch={epoch_id}"))
-            c.write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"epoch={epoch_id}"))
+            rec.write.mode("overwrite").parquet(os.path.join(log_dir, part))
+            c.write.mode("overwrite").parquet(os.path.join(out_dir, "results", part))
             if attempts is not None:
                 match_recoveries(rec, attempts).write.mode("overwrite").parquet(
-                    os.path.join(out_dir, "matches", f"epoch={epoch_id}"))
+                    os.path.join(out_dir, "matches", part))
         finally:
             c.unpersist()
             g.unpersist()
@@ -311,13 +328,14 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
     return w.start()
 
 
-def read_log(spark: SparkSession, log_dir: str, exclude_epoch: int | None = None) -> DataFrame | None:
+def read_log(spark: SparkSession, log_dir: str, exclude: tuple[str, int] | None = None) -> DataFrame | None:
+    """Event ids of the log, without those of one (run, epoch)."""
     from dunning.sources.tables import _exists
     if not _exists(spark, log_dir):
         return None
     log = spark.read.parquet(log_dir)
     if "epoch" not in log.columns:
         return log.select("event_id")
-    if exclude_epoch is not None:
-        log = log.filter(F.col("epoch") != exclude_epoch)  # a replayed epoch must not see itself
+    if exclude is not None:  # a replayed epoch must not see itself
+        log = log.filter((F.col("run") != exclude[0]) | (F.col("epoch") != exclude[1]))
     return log.select("event_id")

@@ -50,7 +50,7 @@ def test_routing_edge_rows(spark):
     assert ("p1", "retry_now", "sent") in [b[:3] for b in by]
     sent = [b for b in by if b[0] == "p1" and b[1] == "retry_now"][0]
     assert "amount=10.00" in sent[3]              # first payment row by time wins (T7)
-    assert ("p2", "retry_now", "failed", "Invalid amount: 0.000") in by
+    assert ("p2", "retry_now", "failed", "error=amount_not_positive:0.000") in by
     assert ("p3", "retry_now", "failed", execution.NOTE_ZERO_MINOR) in by
     assert ("zz", "retry_now", "failed", execution.NOTE_NOT_FOUND) in by
     assert ("p1", "mystery", "skipped", "Unknown action: mystery") in by

@@ -46,7 +46,7 @@ def test_gates(spark):
     assert d["delay"].action == "retry_later" and d["delay"].retry_at == "2024-06-02 00:00:00"
     assert d["remind"].action == "send_reminder" and d["remind"].retry_at == "2024-06-01 02:00:00"
     assert d["capped"].action == "escalate_human" and d["capped"].attempt_number == 3
-    assert d["capped"].max_attempts_allowed == 2 and "(2)" in d["capped"].reason
+    assert d["capped"].max_attempts_allowed == 2 and "=2" in d["capped"].reason
     assert d["unknown"].action == "escalate_human" and d["unknown"].reason_code == "attempt_cap"
     assert d["human"].retry_at is None
 

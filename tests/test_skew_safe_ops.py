@@ -2,11 +2,12 @@
 when one key holds a large share of all rows."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dunning.operators.features import prior_totals
-from dunning.operators.joins import first_per_key, latest_per_key, skew_safe_left_join
+from dunning.operators.joins import first_per_key, latest_per_key
 
 
 def _events(spark):
@@ -21,25 +22,36 @@ def _events(spark):
     return spark.createDataFrame(rows, "payment_id string, customer_id string, timestamp timestamp, f int")
 
 
-def test_prior_totals_equals_window(spark):
+def _nulls(spark):
+    """The events plus rows with a null customer, a null time and a null id."""
+    extra = [("n1", None, dt.datetime(2024, 1, 2), 1), ("n2", None, dt.datetime(2024, 1, 1), 1), ("n3", "c1", None, 1),
+             ("n4", None, None, 0), (None, "c1", dt.datetime(2024, 1, 3), 1), ("n5", "hot", None, 1)]
     df = _events(spark)
-    got = prior_totals(df, "customer_id", ["timestamp", "payment_id"],
-                       {"n": F.lit(1), "fails": F.col("f")}, ts="timestamp")
-    w = Window.partitionBy("customer_id").orderBy("timestamp", "payment_id").rowsBetween(Window.unboundedPreceding, -1)
+    return df.union(spark.createDataFrame(extra, df.schema))
+
+
+@pytest.mark.parametrize("heavy_rows", [0, 500, 10 ** 9])  # every key, the hot one, none cut into blocks
+@pytest.mark.parametrize("block_unit", ["hour", "day"])
+def test_prior_totals_equals_window(spark, heavy_rows, block_unit):
+    df = _nulls(spark)
+    got = prior_totals(df, "customer_id", ["timestamp", "payment_id"], {"n": F.lit(1), "fails": F.col("f")}, ts="timestamp",
+                       block_unit=block_unit, heavy_rows=heavy_rows)
+    w = (Window.partitionBy("customer_id").orderBy(F.col("timestamp").asc_nulls_last(), F.col("payment_id").asc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, -1))
     want = df.select("payment_id", F.count(F.lit(1)).over(w).alias("n"),
                      F.coalesce(F.sum("f").over(w), F.lit(0)).alias("fails"))
-    a = sorted((r.payment_id, r.n, r.fails) for r in got.select("payment_id", "n", "fails").collect())
-    b = sorted((r.payment_id, r.n, r.fails) for r in want.collect())
-    assert a == b
+    a = sorted(((r.payment_id, r.n, r.fails) for r in got.select("payment_id", "n", "fails").collect()), key=str)
+    b = sorted(((r.payment_id, r.n, r.fails) for r in want.collect()), key=str)
+    assert a == b and len(a) == df.count()
     assert dict((r[0], r[1]) for r in a)["tie_a"] < dict((r[0], r[1]) for r in a)["tie_b"]
 
 
-def test_prior_totals_hour_blocks(spark):
-    df = _events(spark)
-    a = prior_totals(df, "customer_id", ["timestamp", "payment_id"], {"n": F.lit(1)}, ts="timestamp")
-    b = prior_totals(df, "customer_id", ["timestamp", "payment_id"], {"n": F.lit(1)}, ts="timestamp",
-                     block_unit="hour")
-    assert sorted(a.select("payment_id", "n").collect()) == sorted(b.select("payment_id", "n").collect())
+def test_split_keeps_rows_without_id_or_label(spark):
+    from dunning.operators.evaluation import with_split
+    rows = [(None, "x"), ("a", None), ("b", "x"), (None, None), ("c", "x"), ("c", "x")]
+    df = spark.createDataFrame(rows, "payment_id string, actual_bucket string")
+    got = sorted(((r.payment_id, r.actual_bucket) for r in with_split(df).collect()), key=str)
+    assert got == sorted(rows, key=str)
 
 
 def test_first_and_latest_per_key(spark):
@@ -48,11 +60,3 @@ def test_first_and_latest_per_key(spark):
     first = {r.k: r.v for r in first_per_key(df, "k", ["t"]).collect()}
     last = {r.k: r.v for r in latest_per_key(df, "k", ["t"]).collect()}
     assert first == {"a": "x", "b": "q"} and last == {"a": "y", "b": "q"}
-
-
-def test_skew_safe_left_join_keeps_all_matches(spark):
-    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, l int")
-    right = spark.createDataFrame([("a", 10)] * 50 + [("b", 20), ("d", 40)], "k string, r int")
-    got = sorted(skew_safe_left_join(left, right, ["k"]).collect(), key=str)
-    want = sorted(left.join(right, "k", "left").collect(), key=str)
-    assert [tuple(sorted(r.asDict().items())) for r in got] == [tuple(sorted(r.asDict().items())) for r in want]

@@ -86,11 +86,3 @@ def test_universe_one_record_per_id(spark):
                                 row("c", t0, "captured", 5)], PAYMENT_SCHEMA)
     got = {r.payment_id: (r.source, float(r.amount)) for r in payments_universe(failed, ok).collect()}
     assert got == {"a": ("failed", 1.0), "b": ("failed", 3.0), "c": ("succeeded", 5.0)}
-
-
-def test_cluster_defaults_never_apply_locally(spark):
-    from dunning.session import CLUSTER_CONF, apply_cluster_defaults
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    assert apply_cluster_defaults(spark) == {}
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-    assert all(isinstance(v, str) for v in CLUSTER_CONF.values())

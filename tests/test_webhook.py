@@ -44,31 +44,31 @@ def test_each_rule(spark):
         (8, t, "e7", _sign(""), ""),
         (9, t, None, _sign(_body(link="plink_y")), _body(link="plink_y")),    # fallback id
     ]
-    c = {r.delivery_id: r for r in W.classify(_env(spark, rows)).collect()}
+    c = {r.delivery_id: r for r in W.classify(_env(spark, rows), W.TEST_SECRET).collect()}
     assert [c[i].status for i in range(1, 10)] == [
         "recovered", "already_processed", "rejected_missing_signature", "rejected_bad_signature",
         "rejected_bad_json", "ignored", "rejected_missing_entity", "rejected_empty_body", "recovered"]
     assert c[9].event_id == "local_" + hashlib.sha256(_body(link="plink_y").encode()).hexdigest()
     assert c[1].amount == 1.0 and c[1].payment_id == "pay_evt_1"
     prior = spark.createDataFrame([("e1",)], "event_id string")
-    c2 = {r.delivery_id: r.status for r in W.classify(_env(spark, rows), processed_ids=prior).collect()}
+    c2 = {r.delivery_id: r.status for r in W.classify(_env(spark, rows), W.TEST_SECRET, prior).collect()}
     assert c2[1] == "already_processed" and c2[2] == "already_processed"
 
 
 def test_stream_replay_changes_nothing(spark):
     base = tempfile.mkdtemp(prefix="dunning-wh-")
     landing, out, ckpt = (os.path.join(base, x) for x in ("landing", "out", "ckpt"))
-    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"), W.TEST_SECRET)
     W.write_landing(env, landing)
     L = Layers(spark, SF_SMALL)
-    q = W.start_stream(spark, landing, out, ckpt, attempts=L.attempts_log)
+    q = W.start_stream(spark, landing, out, ckpt, W.TEST_SECRET, attempts=L.attempts_log)
     q.awaitTermination()
     log1 = spark.read.parquet(os.path.join(out, "recovery_log")).count()
-    batch = W.recoveries(W.classify(env)).count()
+    batch = W.recoveries(W.classify(env, W.TEST_SECRET)).count()
     assert log1 == batch > 0
     # the same deliveries land again: every one is a duplicate now
     W.write_landing(env, landing)
-    q = W.start_stream(spark, landing, out, ckpt, attempts=L.attempts_log)
+    q = W.start_stream(spark, landing, out, ckpt, W.TEST_SECRET, attempts=L.attempts_log)
     q.awaitTermination()
     log2 = spark.read.parquet(os.path.join(out, "recovery_log")).count()
     assert log2 == log1
@@ -93,14 +93,14 @@ def _brute_force_contains(recovered, attempts):
 
 def test_equi_match_equals_contains_match(spark):
     L = Layers.of(spark, SF_SMALL)
-    rec = W.recoveries(W.classify(W.envelopes_from_events(read_table(spark, SF_SMALL, "events"))))
+    rec = W.recoveries(W.classify(W.envelopes_from_events(read_table(spark, SF_SMALL, "events"), W.TEST_SECRET), W.TEST_SECRET))
     a = {r.event_id: r.matched_payment_id for r in W.match_recoveries(rec, L.attempts_log).collect()}
     assert a == _brute_force_contains(rec, L.attempts_log)
     assert any(v is not None for v in a.values())
 
 
 def test_watermark_dedupe_is_a_stream_op(spark):
-    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events")).filter(F.col("event_id").isNotNull())
+    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"), W.TEST_SECRET).filter(F.col("event_id").isNotNull())
     d = tempfile.mkdtemp(prefix="dunning-wm-")
     env.write.json(os.path.join(d, "in"))
     s = spark.readStream.schema(W.ENVELOPE_SCHEMA).json(os.path.join(d, "in"))
@@ -120,7 +120,7 @@ def test_hot_event_id_dedupes_exactly(spark):
     ok = _body()
     rows = [(i, t + dt.timedelta(seconds=i % 50), "hot", _sign(ok), ok) for i in range(600)]
     rows += [(1000 + i, t, f"e{i}", _sign(ok), ok) for i in range(200)]
-    c = W.classify(_env(spark, rows))
+    c = W.classify(_env(spark, rows), W.TEST_SECRET)
     got = {r.status: r["count"] for r in c.filter(F.col("event_id") == "hot").groupBy("status").count().collect()}
     assert got == {"recovered": 1, "already_processed": 599}
     first = c.filter((F.col("event_id") == "hot") & (F.col("status") == "recovered")).first()
@@ -131,12 +131,39 @@ def test_hot_event_id_dedupes_exactly(spark):
 def test_state_store_dedupe_stream(spark):
     base = tempfile.mkdtemp(prefix="dunning-ss-")
     landing, log, ckpt = (os.path.join(base, x) for x in ("landing", "log", "ckpt"))
-    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    env = W.envelopes_from_events(read_table(spark, SF_SMALL, "events"), W.TEST_SECRET)
     W.write_landing(env, landing)
-    W.start_recovery_log_stream(spark, landing, log, ckpt).awaitTermination()
-    want = W.recoveries(W.classify(env)).select("event_id").distinct().count()
+    W.start_recovery_log_stream(spark, landing, log, ckpt, W.TEST_SECRET).awaitTermination()
+    want = W.recoveries(W.classify(env, W.TEST_SECRET)).select("event_id").distinct().count()
     assert spark.read.parquet(log).count() == want > 0
     W.write_landing(env, landing)                      # every delivery again
-    W.start_recovery_log_stream(spark, landing, log, ckpt).awaitTermination()
+    W.start_recovery_log_stream(spark, landing, log, ckpt, W.TEST_SECRET).awaitTermination()
     got = spark.read.parquet(log)
     assert got.count() == want and got.select("event_id").distinct().count() == want
+
+
+def test_amounts_and_text_after_the_body(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    def paid(value):
+        return _body().replace('"amount_paid":100', f'"amount_paid":{value}')
+    bodies = [paid('"50000"'), paid("50000.0"), paid("50000"), paid('"abc"'), paid("null"), _body() + " junk", _body() + "]", _body() + "}",
+              _body() + _body(), " " + _body() + " "]
+    rows = [(k, t, f"e{k}", _sign(b), b) for k, b in enumerate(bodies)]
+    got = {r.delivery_id: (r.status, r.amount) for r in W.classify(_env(spark, rows), W.TEST_SECRET).collect()}
+    assert [got[k] for k in range(3)] == [("recovered", 500.0)] * 3
+    assert got[3][0] == "rejected_bad_amount" and got[4] == ("recovered", 0.0)
+    assert [got[k][0] for k in range(5, 9)] == ["rejected_bad_json"] * 4 and got[9] == ("recovered", 1.0)
+
+
+def test_fresh_checkpoint_keeps_the_log(spark):
+    base = tempfile.mkdtemp(prefix="dunning-fresh-")
+    import datetime as dt
+    out = os.path.join(base, "out")
+    for run, ids in enumerate((range(0, 5), range(3, 8))):
+        landing, ckpt = os.path.join(base, f"landing{run}"), os.path.join(base, f"ckpt{run}")
+        rows = [(i + 100 * run, dt.datetime(2024, 1, 1), f"e{i}", _sign(_body()), _body()) for i in ids]
+        W.write_landing(_env(spark, rows), landing)
+        W.start_stream(spark, landing, out, ckpt, W.TEST_SECRET).awaitTermination()
+    log = [r.event_id for r in spark.read.parquet(os.path.join(out, "recovery_log")).collect()]
+    assert sorted(log) == [f"e{i}" for i in range(8)]
