@@ -61,10 +61,10 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
             raise ValueError("target weights must not be negative and not all zero")
         table = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
         weighted = counts.withColumn("w", F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0)))
-    total = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))  # one row
-    return (weighted.crossJoin(F.broadcast(total))
-            .select("source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n"))
-                    .otherwise(F.lit(0.0)).alias("rate")))
+    all_n, all_w = weighted.agg(F.sum("n"), F.sum("w")).first()  # two numbers
+    if not all_w:
+        return weighted.select("source", F.lit(0.0).alias("rate"))
+    return weighted.select("source", (F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
