@@ -53,7 +53,7 @@ def test_routing_edge_rows(spark):
     assert ("p2", "retry_now", "failed", "error=amount_not_positive:0.000") in by
     assert ("p3", "retry_now", "failed", execution.NOTE_ZERO_MINOR) in by
     assert ("zz", "retry_now", "failed", execution.NOTE_NOT_FOUND) in by
-    assert ("p1", "mystery", "skipped", "Unknown action: mystery") in by
+    assert ("p1", "mystery", "skipped", "error=action_unknown:mystery") in by
     tally = {r.execution_status: r["count"] for r in execution.tally(spark, execution.route(dec, pay)).collect()}
     assert tally == {"sent": 1, "failed": 3, "skipped": 2}
 
