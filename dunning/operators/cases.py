@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from dunning.functions.expr import fmt_inr, fmt_percent, ts_text
 from dunning.operators.audit import latest_attempts
 
-SUCCEEDED_NOTE = "This payment succeeded; it is not in the failed-payments data."
+SUCCEEDED_NOTE = "state=succeeded"
+ABSENT = "-"  # a field without a value in a case text
 RECOVERY_FIELDS = ["outcome", "recovered_amount", "reason"]
 
 
@@ -41,18 +42,16 @@ def case_text(cases: DataFrame) -> DataFrame:
     """QRY-6 without the remote model: a grounded summary per payment plus
     the prompt-ready record of a failed case as JSON text."""
     pid = F.col("payment_id")
-    succeeded = F.concat(
-        F.lit("Payment "), pid, F.lit(" succeeded: captured for "), fmt_inr("amount"), F.lit(" via "),
-        F.coalesce(F.col("method"), F.lit("an unknown payment method")),
-        F.lit(". It is not in the failed-payments data, so there is no failure to explain."))
-    failed = F.concat(
-        F.lit("Payment "), pid, F.lit(" of "), fmt_inr("amount"), F.lit(" failed with "),
-        F.coalesce(F.col("error_code"), F.lit("an unknown error")), F.lit(". Diagnosis: "),
-        F.coalesce(F.col("diagnosed_bucket"), F.lit("not available")), F.lit(" at "),
-        fmt_percent("confidence"), F.lit(" confidence. Decision: "),
-        F.coalesce(F.col("action"), F.lit("none")), F.lit(". Execution: "),
-        F.coalesce(F.col("execution_status"), F.lit("not executed")), F.lit(". Recovery: "),
-        F.coalesce(F.col("recovery_outcome"), F.lit("not available yet")), F.lit("."))
+
+    def text(state: str, **fields) -> F.Column:
+        parts = [F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(ABSENT))) for k, v in fields.items()]
+        return F.concat_ws("; ", F.concat(F.lit("payment="), pid), F.lit(f"state={state}"), *parts)
+
+    paid = {"amount": fmt_inr("amount"), "method": F.col("method")}
+    succeeded = text("succeeded", **paid)
+    failed = text("failed", **paid, error=F.col("error_code"), diagnosis=F.col("diagnosed_bucket"),
+                  confidence=fmt_percent("confidence"), action=F.col("action"), execution=F.col("execution_status"),
+                  recovery=F.col("recovery_outcome"))
     record = F.to_json(F.struct(
         pid.alias("payment_id"), F.col("customer_id"), F.col("amount").cast("string").alias("amount"),
         F.col("method"), F.col("error_code"), F.col("diagnosed_bucket"), F.col("confidence"),
@@ -64,17 +63,22 @@ def case_text(cases: DataFrame) -> DataFrame:
         F.when(F.col("source") == "failed", record).alias("case_json"))
 
 
-def not_found_text(payment_id: str) -> str:
-    return (f"No record of payment {payment_id}: it is in neither the failed nor the "
-            "successful payments data, so there is nothing to explain.")
+def lookup(spark: SparkSession, texts: DataFrame, ids: list[str]) -> DataFrame:
+    """QRY-6 for a list of ids (each once): one row per id, ``found`` false and a text that
+    says so where it is in neither payments table."""
+    asked = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "payment_id string")
+    absent = F.concat(F.lit("payment="), F.col("payment_id"), F.lit("; state=unknown"))
+    return asked.join(texts, "payment_id", "left").select(
+        "payment_id", F.coalesce("found", F.lit(False)).alias("found"),
+        F.coalesce("explanation", absent).alias("explanation"), "case_json")
 
 
 def case_for_payment(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
     """QRY-6 for one id (the API's lookup): the bulk case plan restricted to
     one key. The order-key filter is pushed into the orders scan, and the
-    payment_id filter is pushed by Catalyst into the decision / attempt /
-    outcome sides (join-key constraint propagation), so only one id's rows
-    flow through the joins. An unknown id gives zero rows (not found)."""
+    payment_id filter stands above the layers' own products, which a first call
+    computes for all payments. An unknown id gives zero rows; ``lookup`` gives a
+    row for it."""
     from dunning.plans.layers import Layers
     from dunning.sources import payments as P
     L = Layers.of(spark, sf_dir)

@@ -326,29 +326,41 @@ def payment_cases(spark, sf_dir):
     return _cases(spark, sf_dir).withColumn("timestamp", ts_text("timestamp"))
 
 
-@register("case_text", O.with_ctes(*_CASE, select=f"""
+_CASE_TEXT_SELECT = f"""
 SELECT payment_id, found,
-  CASE WHEN source = 'succeeded' THEN
-    'Payment ' || payment_id || ' succeeded: captured for ' || {O.fmt_inr('amount')} || ' via '
-    || COALESCE(method, 'an unknown payment method')
-    || '. It is not in the failed-payments data, so there is no failure to explain.'
-  ELSE
-    'Payment ' || payment_id || ' of ' || {O.fmt_inr('amount')} || ' failed with '
-    || COALESCE(error_code, 'an unknown error') || '. Diagnosis: ' || COALESCE(diagnosed_bucket, 'not available')
-    || ' at ' || {O.fmt_percent('confidence')} || ' confidence. Decision: ' || COALESCE(action, 'none')
-    || '. Execution: ' || COALESCE(execution_status, 'not executed') || '. Recovery: '
-    || COALESCE(recovery_outcome, 'not available yet') || '.'
-  END AS explanation,
+  'payment=' || payment_id || '; state=' || source || '; amount=' || {O.fmt_inr('amount')}
+    || '; method=' || COALESCE(method, {O.q(C.ABSENT)})
+    || CASE WHEN source = 'succeeded' THEN '' ELSE
+       '; error=' || COALESCE(error_code, {O.q(C.ABSENT)}) || '; diagnosis=' || COALESCE(diagnosed_bucket, {O.q(C.ABSENT)})
+    || '; confidence=' || {O.fmt_percent('confidence')} || '; action=' || COALESCE(action, {O.q(C.ABSENT)})
+    || '; execution=' || COALESCE(execution_status, {O.q(C.ABSENT)})
+    || '; recovery=' || COALESCE(recovery_outcome, {O.q(C.ABSENT)}) END AS explanation,
   CASE WHEN source = 'failed' THEN CAST(json_object(
     'payment_id', payment_id, 'customer_id', customer_id, 'amount', CAST(amount AS VARCHAR),
     'method', method, 'error_code', error_code, 'diagnosed_bucket', diagnosed_bucket,
     'confidence', confidence, 'action', action, 'reason', reason, 'execution_status', execution_status,
     'recovery_outcome', recovery_outcome) AS VARCHAR) END AS case_json
-FROM cases"""))
+FROM cases"""
+
+
+@register("case_text", O.with_ctes(*_CASE, select=_CASE_TEXT_SELECT))
 def case_text(spark, sf_dir):
     return C.case_text(_cases(spark, sf_dir))
 
 
+#: Ids that the registered lookup asks for; the last two are in no table.
+LOOKUP_IDS = ["pay_1", "pay_2", "pay_3", "pay_4", "pay_5", "pay_6", "pay_7", "pay_32", "pay_-1", "none"]
+
+
+@register("case_lookup", O.with_ctes(*_CASE, f"asked AS (SELECT unnest({O.list_lit(LOOKUP_IDS)}) AS payment_id)", select=f"""
+SELECT a.payment_id, COALESCE(c.found, false) AS found,
+  COALESCE(t.explanation, 'payment=' || a.payment_id || '; state=unknown') AS explanation, t.case_json
+FROM asked a LEFT JOIN cases c ON a.payment_id = c.payment_id LEFT JOIN ({_CASE_TEXT_SELECT}) t ON a.payment_id = t.payment_id"""))
+def case_lookup(spark, sf_dir):
+    return C.lookup(spark, C.case_text(_cases(spark, sf_dir)), LOOKUP_IDS)
+
+
+
 # --- evaluation (EVL-1..4, AGG-13, ML-3) ------------------------------------------------------
 _PRED = (O.cte_payments(), O.cte_history(), O.cte_predictions())
 
