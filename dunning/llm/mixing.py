@@ -37,17 +37,21 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(rate: Column, at: Column) -> Column:
-    """Smallest k whose distribution function exceeds ``at`` (rate at most STEP)."""
-    state = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
+def distribution(rate: Column) -> Column:
+    """Array of the Poisson distribution function at 0, 1, ..., KINDS (rate at most STEP)."""
+    first = F.exp(-rate)
+    state = F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * rate / k.cast("double")
-        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"),
-                        F.when(at >= s["sum"], k).otherwise(s["k"]).alias("k"))
+        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), F.array_append(s["all"], s["sum"] + p).alias("all"))
 
-    kinds = F.sequence(F.lit(1), F.lit(KINDS))
-    return F.aggregate(kinds, state, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(KINDS)), state, step, lambda s: s["all"])
+
+
+def poisson(function: Column, at: Column) -> Column:
+    """Smallest k whose distribution function exceeds ``at``."""
+    return F.size(F.filter(function, lambda f: f <= at))
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, power: float) -> DataFrame:
@@ -75,13 +79,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     own = "_mix"
     while any(c.startswith(own) for c in docs.columns):
         own = "_" + own
-    rates = source_rates(docs, source_col, weights, power).select(F.col("source").alias(f"{own}_source"), F.col("rate").alias(f"{own}_rate"))
-    rate = F.col(f"{own}_rate")
+    rates = source_rates(docs, source_col, weights, power)
+    steps = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP).cast("int"))  # once per source
+    rates = rates.select(F.col("source").alias(f"{own}_source"), steps.alias(f"{own}_steps"), distribution(F.col("rate") / steps).alias(f"{own}_cdf"))
     joined = docs.join(rates, docs[source_col].eqNullSafe(rates[f"{own}_source"]))
-    steps = F.greatest(F.lit(1), F.ceil(rate / STEP).cast("int"))
-    draws = F.transform(F.sequence(F.lit(1), steps), lambda k: poisson(rate / steps, uniform(seed, F.col(id_col), k)))
+    uniforms = F.transform(F.sequence(F.lit(1), F.col(f"{own}_steps")), lambda k: uniform(seed, F.col(id_col), k))
+    draw = F.aggregate(uniforms, F.lit(0), lambda total, u: total + poisson(F.col(f"{own}_cdf"), u))
     n, copy, key = (f"{own}_{x}" for x in ("n", "copy", "key"))
-    drawn = joined.withColumn(n, F.aggregate(draws, F.lit(0), lambda a, b: a + b).cast("long")).where(F.col(n) > 0)
+    drawn = joined.withColumn(n, draw.cast("long")).where(F.col(n) > 0)
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     keyed = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                                                      F.col(copy).cast("string"))))

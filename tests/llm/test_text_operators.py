@@ -136,7 +136,7 @@ def test_mixing_hits_target_weights(spark):
 def test_poisson_inversion(spark):
     grid = spark.range(20000).select(((F.col("id") + 0.5) / 20000).alias("u"))
     for rate in (0.0, 0.3, 4.0, 16.0):
-        n = grid.select(mixing.poisson(F.lit(rate), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+        n = grid.select(mixing.poisson(mixing.distribution(F.lit(rate)), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
         assert n[0] == pytest.approx(rate, abs=0.01) and n[1] == pytest.approx(rate, abs=0.05)
 
 
