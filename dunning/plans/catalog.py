@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.functions.expr import ts_text
+from dunning.functions.expr import humanize, ts_text
 from dunning.operators import audit as A
 from dunning.operators import cases as C
 from dunning.operators import diagnosis as D
@@ -22,6 +22,7 @@ from dunning.operators.joins import first_per_key
 from dunning.plans import oracle as O
 from dunning.plans.layers import Layers
 from dunning.sources import payments as P
+from dunning.sources import sinks, tables
 from dunning.streaming import webhook as W
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +109,26 @@ def policy_decisions(spark, sf_dir):
     return Layers.of(spark, sf_dir).decisions
 
 
+_TRIES = "COALESCE((SELECT count(*) FROM lineitem l WHERE 'pay_' || CAST(l.l_orderkey AS VARCHAR) = preds.payment_id), 0)"
+
+
+@register("policy_with_attempts", O.with_ctes(O.cte_payments(), O.cte_history(), O.cte_predictions(), O.cte_decisions(_TRIES),
+                                              select="SELECT * FROM decisions"))
+def policy_with_attempts(spark, sf_dir):
+    """Gate 4 with attempts so far: one attempt per line item of the payment's order."""
+    tries = tables.read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).select(
+        F.concat(F.lit("pay_"), F.col("l_orderkey").cast("string")).alias("payment_id"))
+    return policy.decide(spark, D.class_share_scores(Layers.of(spark, sf_dir).failed), attempts=tries)
+
+
+@register("policy_action_titles", O.with_ctes(*_DEC, select="""
+SELECT action, array_to_string(list_transform(string_split(replace(action, '_', ' '), ' '),
+                                              lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title, count(*) AS count
+FROM decisions WHERE action IS NOT NULL GROUP BY action"""))
+def policy_action_titles(spark, sf_dir):
+    return policy.action_summary(Layers.of(spark, sf_dir).decisions).select("action", humanize("action").alias("title"), "count")
+
+
 @register("policy_action_summary", O.with_ctes(*_DEC, select="""
 SELECT action, count(*) AS count FROM decisions WHERE action IS NOT NULL GROUP BY action"""))
 def policy_action_summary(spark, sf_dir):
@@ -180,6 +201,15 @@ def recovery_exceptions(spark, sf_dir):
     return outcomes.failed_outcomes(Layers.of(spark, sf_dir).outcomes)
 
 
+@register("exceptions_listing", O.with_ctes(*_OUT, select="""
+SELECT (SELECT count(*) FROM outcomes WHERE lower(outcome) = 'failed') AS count,
+  CAST(json_object('payment_id', payment_id, 'action', action, 'outcome', outcome, 'reason', reason) AS VARCHAR) AS record
+FROM outcomes WHERE lower(outcome) = 'failed'"""))
+def exceptions_listing(spark, sf_dir):
+    listed = outcomes.failed_outcomes(Layers.of(spark, sf_dir).outcomes).select("payment_id", "action", "outcome", "reason")
+    return sinks.records_with_count(listed)
+
+
 _MET = (*_OUT, O.cte_metrics())
 
 

@@ -58,10 +58,11 @@ def json_safe(df: DataFrame) -> DataFrame:
 
 
 def records_with_count(df: DataFrame) -> DataFrame:
-    """SNK-5: the ``data`` part of a ``{count, data}`` listing as one JSON text
-    per row (NaN/Inf already NULL); the count is ``count()`` of the same frame."""
+    """SNK-5: a ``{count, data}`` listing, one row per record: its JSON text (NaN/Inf are
+    NULL) and the number of records."""
     safe = json_safe(df)
-    return safe.select(F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias("record"))
+    return safe.select(F.lit(safe.count()).cast("long").alias("count"),
+                       F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def read_metrics_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -103,7 +103,7 @@ def test_sinks_roundtrip(spark):
     doc = sinks.metrics_document(spark.read.json(os.path.join(d, "m")))
     assert doc["evaluation_type"] == "synthetic"
     nan = spark.createDataFrame([(float("nan"), "x")], "v double, s string")
-    assert sinks.records_with_count(nan).first()[0] == '{"v":null,"s":"x"}'
+    assert tuple(sinks.records_with_count(nan).first()) == (1, '{"v":null,"s":"x"}')
     outs = outcomes.failed_outcomes(L.outcomes.withColumn("outcome", F.upper("outcome")))
     assert outs.count() == L.outcomes.filter("outcome = 'failed'").count()
 
