@@ -11,9 +11,10 @@ Rates above ``STEP`` are drawn as sums of independent draws of at most ``STEP``,
 so that exp(-rate) never underflows.
 
 Scale: one aggregate of one row per source and task, a join of the documents
-with their source's rate (the small side has a row per source; the join is
-skew-split otherwise), and one range exchange for the shuffled order. A hot
-source is only read: no step groups its rows.
+with their source's rate (broadcast if the sources, which are counted first, are
+at most ``FEW_SOURCES``; else an equi join that adaptive execution splits), and
+one range exchange for the shuffled order. A hot source is only read: no step
+groups its rows.
 
 Defined results: a null source is a source of its own; a null id draws as the
 empty string; repeated rows draw the same number; sources without a target
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 16.0
+FEW_SOURCES = 10_000  # up to this many sources the table of rates (700 bytes each) is broadcast
 KINDS = 80  # counts above this have probability < 1e-30 at rate STEP
 
 
@@ -65,7 +67,9 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
             raise ValueError("target weights must not be negative and not all zero")
         table = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
         weighted = counts.withColumn("w", F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0)))
-    all_n, all_w = weighted.agg(F.sum("n"), F.sum("w")).first()  # two numbers
+    sources, all_n, all_w = weighted.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w")).first()  # three numbers
+    if sources <= FEW_SOURCES:
+        weighted = F.broadcast(weighted)
     if not all_w:
         return weighted.select("source", F.lit(0.0).alias("rate"))
     return weighted.select("source", (F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n")).alias("rate"))
