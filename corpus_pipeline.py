@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,9 +47,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     joined = ngram_join.similarity_join(docs, n=5, threshold=80)
     first = joined.where("doc_id = component_id").select("doc_id").distinct()
     row = _fresh(docs, "_row")
-    same_id = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    kept = docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
-    return kept.withColumn(row, F.row_number().over(same_id)).where(F.col(row) == 1).select(*docs.columns)
+
+    def one(rows: DataFrame, key: Column) -> DataFrame:
+        numbered = rows.withColumn(row, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64("text"))))
+        return numbered.where(F.col(row) == 1).select(*docs.columns)
+
+    # the window over ids needs no exchange beyond that of the join
+    kept = one(docs.join(first, "doc_id", "left_semi"), F.col("doc_id"))
+    return kept.union(one(docs.where(F.col("doc_id").isNull()), F.sha2("text", 256)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
