@@ -11,7 +11,7 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
 3. Candidates share an n-gram of both prefixes (the rarest n - ceil(t n) + 1)
    and pass the length and position bounds there. Prefix n-grams go to hash
    buckets as packed arrays, copies collapsed per task. In a bucket each class
-   is paired with its next two classes of every n-gram; n-grams with more
+   is paired with the next class of every n-gram (by size); n-grams with more
    classes hand their members to step 6.
 4. A class carries the parity bits of its n-grams (4 bits an n-gram): two sets
    differ in at least as many n-grams as their bits differ, so a pair whose bits
@@ -22,9 +22,11 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
 5. Links give connected components.
 6. Exact remainder: members of larger n-gram groups that now span several
    components are compared across components only, in blocks of bounded size,
-   by the same bounds and parity bits; what is left is counted as in 4 and the
-   components are closed again. Pairs inside one component can't change it, so a
-   group of near copies is never squared.
+   by the same bounds and parity bits. First every two components send only their
+   most similar pair, which joins up most of what belongs together; then every
+   pair across components that is still possible is
+   counted as in 4. Pairs inside one component can't change it, so a group of
+   near copies is never squared.
 
 Nothing is capped. Driver-side state: the 65,536 bin counts and a 2^25-bit
 filter of candidate classes (it only spares shuffling sets that surely have no
@@ -52,7 +54,7 @@ from pyspark.sql import types as T
 from dunning.llm.graph import components, cut
 
 BINS = 1 << 16
-NEXT = 2                 # classes that step 3 pairs each class with
+NEXT = 1                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
 FRAGMENTS = 4
 BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
@@ -275,9 +277,10 @@ def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def _across(members: DataFrame, threshold: int) -> DataFrame:
+def _across(members: DataFrame, threshold: int, best: bool) -> DataFrame:
     """(a, b, na, nb): pairs of classes of different components in one n-gram's group that
-    pass the bounds and whose parity bits allow a link. Groups are compared block by block."""
+    pass the bounds and whose parity bits allow a link; with ``best``, of every two components
+    only the most similar pair. Groups are compared block by block."""
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -291,19 +294,25 @@ def _across(members: DataFrame, threshold: int) -> DataFrame:
             matrix[w] = np.concatenate([_folded(bits[i][None], w) for i in wide])
             at[w] = np.full(len(bits), -1)
             at[w][wide] = np.arange(len(wide))
-        out = []
+        out: dict = {}
         for i in np.nonzero(block == lo)[0].tolist():
             other = (root != root[i]) & ((block == hi) if lo != hi else (np.arange(len(node)) > i))
             need = _needed(size[i], size, threshold)
             other &= 1 + np.minimum(size[i] - pos[i] - 1, size - pos - 1) >= need
             j = np.nonzero(other)[0]
+            differ = np.zeros(len(j), dtype="i8")
             for w in np.unique(np.minimum(words[i], words[j])).tolist():
-                k = j[np.minimum(words[i], words[j]) == w]
-                differ = np.bitwise_count(matrix[w][at[w][k]] ^ matrix[w][at[w][i]]).sum(axis=1, dtype="i8")
-                k = k[size[i] + size[k] - differ >= 2 * need[k]]
-                out += [(node[i], node[x], size[i], size[x]) if (size[i], node[i]) < (size[x], node[x]) else
-                        (node[x], node[i], size[x], size[i]) for x in k.tolist()]
-        columns = list(zip(*out)) or [[]] * 4
+                same = np.minimum(words[i], words[j]) == w
+                k = j[same]
+                differ[same] = np.bitwise_count(matrix[w][at[w][k]] ^ matrix[w][at[w][i]]).sum(axis=1, dtype="i8")
+            ok = size[i] + size[j] - differ >= 2 * need[j]
+            j, differ = j[ok], differ[ok]
+            for x, d in zip(j.tolist(), differ.tolist()):
+                a, b = (i, x) if (size[i], node[i]) < (size[x], node[x]) else (x, i)
+                key = (min(root[i], root[x]), max(root[i], root[x])) if best else (i, x)
+                if key not in out or (d, node[a], node[b]) < out[key][:3]:
+                    out[key] = (d, node[a], node[b], size[a], size[b])
+        columns = list(zip(*out.values()))[1:] or [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "na", "nb"])
 
     blocks = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("long").alias("blocks"))
@@ -405,12 +414,16 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_links(texts, pairs, n, threshold, bin_rank, pivots))
     roots = components(links)
 
-    labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
-    spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
-    open_members = labelled.join(spread, "gram", "left_semi").join(bits, "node")
-    more = cut(_across(open_members, threshold).join(pairs, ["a", "b", "na", "nb"], "left_anti"))
-    if not more.isEmpty():
-        roots = components(links.union(_links(texts, more, n, threshold, bin_rank, pivots)))
+    for best in (True, False):
+        labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+        spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
+        open_members = labelled.join(spread, "gram", "left_semi").join(bits, "node")
+        more = cut(_across(open_members, threshold, best).join(pairs, ["a", "b", "na", "nb"], "left_anti"))
+        if more.isEmpty():
+            continue
+        pairs = pairs.union(more)
+        links = cut(links.union(_links(texts, more, n, threshold, bin_rank, pivots)))
+        roots = components(links)
 
     classes = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
                .join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
