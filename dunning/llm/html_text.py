@@ -18,8 +18,8 @@ HTML marks as the article is kept whatever its statistics: copies of one article
 on a host are articles. If nothing would be left, the page's statistics are
 disregarded.
 
-Scale: pages are parsed where they are scanned; only (host, path, hashes) rows
-are counted, with partial sums in each task, so a host with a third of all pages
+Scale: pages are parsed where they are scanned; only (host, path, hashes) rows,
+written to the shared folder, are counted, with partial sums in each task, so a host with a third of all pages
 is counted by all tasks. Entropies are sums of c log c, so no node's features
 are gathered. Each page then gets the paths of its own low branches, and is
 parsed once more for its text; the html is shuffled once for that join.
@@ -34,7 +34,9 @@ are ignored.
 from __future__ import annotations
 
 import html as html_lib
+import os
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -42,6 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunning.llm.graph import shared_folder
+
 MIN_PAGES = 3
 LEAST = 0.25
 GAMMA = 0.9
@@ -248,6 +252,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.withColumn("key", F.xxhash64("id", "url", "html"))
     nodes = rows.select("key", "url", "html").mapInArrow(
         _nodes, "key long, host string, path string, style long, features array<long>, chars long")
+    # read by four aggregates and the join: parsed once, kept as a small table in the shared folder
+    folder = os.path.join(shared_folder(pages.sparkSession), f"style-tree-{uuid.uuid4().hex}")
+    nodes.write.parquet(folder)
+    nodes = pages.sparkSession.read.parquet(folder)
     low = style_tree(nodes).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path")
     own = nodes.join(low, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("low"))
 
