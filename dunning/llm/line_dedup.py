@@ -6,15 +6,18 @@ normalised (lower case, white-space runs to one space, trimmed) and hashed; the
 document id, then position) stays and every other one is removed. Units of
 fewer than ``min_words`` words are never compared: they carry no content.
 
-Scale: only (digest, id, position, offsets) leave the scan. Minima per digest
+Scale: only (digest, id, key, position, offsets) leave the scan. Minima per digest
 are pre-aggregated in each task; the join that marks later occurrences is a
 plain equi join, so a unit that a third of all documents hold is split by
 adaptive skew handling; each document then collects only its own spans, and its
 text is shuffled once to meet them.
 
+A row is known by its id and a 64-bit digest of id and text (``key``), which
+ranks rows of one id or of none: spans found in one text never reach another.
+
 Defined results: null and empty texts have no units and keep an empty text;
-documents with a null id rank last; of repeated rows (same id) the first
-occurrence in the first of them stays in each of them; an empty table gives an
+documents with a null id rank last; rows of the same id and text are one row: the
+first occurrence in it stays in each of them; an empty table gives an
 empty result; other columns are ignored. A removed line takes the \\n after it
 (the last line the one before it) with it; offsets count code points of the
 input and cover the unit alone.
@@ -62,32 +65,38 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return kept
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(given, text, id, key): the id as given, the id that ranks, the digest of id and text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("given", "text", F.coalesce("given", F.lit(NO_ID)).alias("id"), F.xxhash64("given", "text").alias("key"))
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                    min_words: int = 5) -> DataFrame:
-    """(id, position, start, end) of every unit that occurs earlier."""
+    """(id, key, position, start, end) of every unit that occurs earlier."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *u) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t
+            rows = [(i, k, *u) for i, k, t in zip(*(c.to_pylist() for c in batch.columns)) if t
                     for u in units_of(t, unit, min_words)]
-            columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*rows)) or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             names=["id", "position", "start", "end", "digest"])
+                                             names=["id", "key", "position", "start", "end", "digest"])
 
-    units = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-             .mapInArrow(run, "id long, position long, start long, end long, digest binary"))
-    first = (units.groupBy("digest").agg(F.min(F.struct("id", "position")).alias("first"), F.count(F.lit(1)).alias("n"))
+    units = (keyed(docs, id_col, text_col).select("id", "key", "text")
+             .mapInArrow(run, "id long, key long, position long, start long, end long, digest binary"))
+    first = (units.groupBy("digest").agg(F.min(F.struct("id", "key", "position")).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("digest", "first"))
-    return (units.join(first, "digest").where("struct(id, position) > first")
-            .select("id", "position", "start", "end").distinct())
+    return (units.join(first, "digest").where("struct(id, key, position) > first")
+            .select("id", "key", "position", "start", "end").distinct())
 
 
 def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                           min_words: int = 5) -> DataFrame:
     """One row per document: id, ``n_removed`` (units), ``n_chars_removed``, ``spans``
     (removed units in the input), ``kept_text``, ``kept_sha256``."""
-    spans = (repeated_units(docs, id_col, text_col, unit, min_words).groupBy("id")
+    spans = (repeated_units(docs, id_col, text_col, unit, min_words).groupBy("id", "key")
              .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -107,6 +116,5 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
             types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=out.names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"),
-                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
-    return texts.join(spans, "id", "left").select(id_col, "text", "spans").mapInArrow(run, out)
+    texts = keyed(docs, id_col, text_col)
+    return texts.join(spans, ["id", "key"], "left").select("given", "text", "spans").mapInArrow(run, out)

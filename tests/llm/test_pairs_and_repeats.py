@@ -135,6 +135,19 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.remove_repeated_units(documents(spark, [])).collect() == []
 
 
+def test_line_dedup_rows_without_id_or_of_one_id_keep_their_own_spans(spark):
+    both = "first here is a line of words"
+    texts = {None: [f"{both}\nalpha text that only this one has", f"{both}\nbeta and another text of some length here",
+                    f"gamma text stands in front of it\n{both}"],
+             7: [f"delta words in the front of it\n{both}", f"epsilon text has other words here\nand more\n{both}"]}
+    rows = [(i, t, "s") for i, ts in texts.items() for t in ts]
+    got = [(r["doc_id"], r["kept_text"]) for r in line_dedup.remove_repeated_units(documents(spark, rows).repartition(3), min_words=5).collect()]
+    assert len(got) == len(rows)
+    kept = [line for _, t in got for line in t.split("\n")]
+    assert sorted(kept) == sorted({line for _, t, _ in rows for line in t.split("\n")})
+    assert sum(both in t for i, t in got if i == 7) == 1  # an id ranks before none
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vectors = [(k, [rng.uniform(-2, 2) for _ in range(6)]) for k in range(260)]
