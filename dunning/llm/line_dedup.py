@@ -3,8 +3,9 @@
 A text is cut into units (lines at \\n, or paragraphs at blank lines). A unit is
 normalised (lower case, white-space runs to one space, trimmed) and hashed; the
 128-bit digests are grouped globally, the occurrence that ranks first (smallest
-document id, then position) stays and every other one is removed. Units of
-fewer than ``min_words`` words are never compared: they carry no content.
+document id, then position) stays and every other one is removed. Every unit that
+is not blank is compared, in scripts without spaces too; a larger ``min_words``
+spares units of fewer words.
 
 Scale: only (digest, id, key, position, offsets) leave the scan. Minima per digest
 are pre-aggregated in each task; the join that marks later occurrences is a
@@ -72,7 +73,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                   min_words: int = 5) -> DataFrame:
+                   min_words: int = 1) -> DataFrame:
     """(id, key, position, start, end) of every unit that occurs earlier."""
 
     def run(batches):
@@ -93,7 +94,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                          min_words: int = 5) -> DataFrame:
+                          min_words: int = 1) -> DataFrame:
     """One row per document: id, ``n_removed`` (units), ``n_chars_removed``, ``spans``
     (removed units in the input), ``kept_text``, ``kept_sha256``."""
     spans = (repeated_units(docs, id_col, text_col, unit, min_words).groupBy("id", "key")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from dunning.llm import graph, line_dedup, ngram_join, suffix_dedup, topk
+from dunning.llm import graph, line_dedup, ngram_join, queries, suffix_dedup, topk
 from tests.llm.helpers import documents, jaccard_components, prose, without_repeats
 
 
@@ -148,6 +148,24 @@ def test_line_dedup_rows_without_id_or_of_one_id_keep_their_own_spans(spark):
     assert sum(both in t for i, t in got if i == 7) == 1  # an id ranks before none
 
 
+def test_line_dedup_query_removes_repeats_of_any_length(spark, tmp_path):
+    rng = random.Random(10)
+    lines = [prose(rng, n, 30) for n in (1, 1, 2, 4, 5, 9)] + ["les.", " LES. ", "同じ行がここにもあります。", "", " \t"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    documents(spark, [(k, t, "s") for k, t in enumerate(texts)], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    seen = set()
+    for k, text in enumerate(texts):
+        gone, left = 0, []
+        for line in text.split("\n"):
+            norm = " ".join(line.lower().split())
+            gone += norm in seen
+            left += [] if norm in seen else [line]
+            seen |= {norm} - {""}
+        assert got[k]["n_removed"] == gone
+        assert got[k]["kept_sha256"] == hashlib.sha256("\n".join(left).encode()).hexdigest()
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vectors = [(k, [rng.uniform(-2, 2) for _ in range(6)]) for k in range(260)]
