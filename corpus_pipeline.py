@@ -24,7 +24,9 @@ from dunning.llm.graph import shared_folder
 from dunning.llm.queries import table, vocabulary
 
 REJECT = 0.5      # toxicity score from which a document goes
-LENGTH = 400      # bytes of a repeated passage
+WORDS = 51        # words of a repeated passage
+LENGTH = 2 * WORDS - 1  # bytes that so many words have at least
+LONG = 400        # bytes from which a passage of fewer words counts too (scripts without spaces)
 MIX_POWER = 0.5   # a source's target share goes with the root of its size
 SEED = 7
 
@@ -58,9 +60,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of ``LENGTH`` bytes that occur anywhere else; ``n_chars`` follows."""
+    """Texts without the passages of ``WORDS`` words or ``LONG`` bytes that occur anywhere else; ``n_chars`` follows.
+
+    Repeats are found from ``LENGTH`` bytes on, which no passage of ``WORDS`` words is below."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = suffix_dedup.remove_repeats(docs, length=LENGTH, keep=others, with_text=True)
+    done = suffix_dedup.remove_repeats(docs, length=LENGTH, keep=others, with_text=True, words=WORDS, long=LONG)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"),
                "n_chars": F.char_length("kept_text").cast("long").alias("n_chars")}
     return done.select(*[columns.get(c, F.col(f"kept.`{c}`").alias(c)) for c in docs.columns])

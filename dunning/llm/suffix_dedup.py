@@ -235,12 +235,13 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                   keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+                   keep: list[str] | None = None, with_text: bool = False, words: int = 0, long: int = 0) -> DataFrame:
     """One row per document: id, the columns ``keep`` names (as a struct ``kept``),
     ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (byte offsets of the maximal
     removed runs in the input), ``kept_sha256`` (of the remaining bytes) and, with
     ``with_text``, ``kept_text``: the remaining text, where a run that begins or
-    ends inside a UTF-8 character leaves that whole character in place."""
+    ends inside a UTF-8 character leaves that whole character in place. With
+    ``words``, a run of fewer words and fewer than ``long`` bytes stays."""
     keep = keep or []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     n_bytes = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
@@ -297,6 +298,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 lo = int(own.offsets[number[key]])
                 spans = _spans(covered[lo:lo + len(raw)])
+            if words:
+                spans = [(a, b) for a, b in spans if b - a >= long or len(raw[a:b].split()) >= words]
             left_over = _without(raw, spans)
             for column, value in zip(out, (
                     len(raw), len(raw) - len(left_over), len(spans), [{"start": a, "end": b} for a, b in spans],

@@ -283,6 +283,22 @@ def test_pipeline_stages(spark, tmp_path):
         (r["doc_id"], tuple(enc.encode_ordinary(r["text"]))) for r in d.collect())
 
 
+def test_pipeline_cuts_passages_of_51_short_words(spark):
+    import corpus_pipeline as P
+    rng = random.Random(13)
+    for width in (1, 3, 6):  # passages of 101, 203 and 356 bytes
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(width))
+        passage, shorter = (" ".join(word() for _ in range(n)) for n in (51, 45))
+        rows = [(k, f"{prose(rng, 30, 10 ** 6)} . {passage} ; {prose(rng, 20, 10 ** 6)}", "s") for k in range(2)]
+        rows += [(10 + k, f"{prose(rng, 30, 10 ** 6)} . {shorter} ; {prose(rng, 20, 10 ** 6)}", "s") for k in range(2)]
+        rows += [(20 + k, f"{prose(rng, 30, 10 ** 6)} . {'長い文' * 50} ; {prose(rng, 20, 10 ** 6)}", "s") for k in range(2)]
+        got = {r["doc_id"]: r["text"] for r in P.cut_repeats(spark, documents(spark, rows), "").collect()}
+        for k in range(2):
+            assert passage not in got[k] and len(got[k].split()) <= 52
+            assert got[10 + k] == rows[2 + k][1]
+            assert "長い文" not in got[20 + k]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as P
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
