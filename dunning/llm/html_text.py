@@ -11,12 +11,17 @@ the host's pages, and with m pages
 
 weights the content by characters. A branch seen on at least ``MIN_PAGES`` pages
 with importance below ``LEAST`` is a template: it is removed from each page.
-Branches that HTML itself marks as no article (navigation, header and footer of
-the page, asides, forms, scripts, adverts, notices, comments, ...) have
-importance 0 on every page, which also serves hosts of one page. The branch that
-HTML marks as the article is kept whatever its statistics: copies of one article
-on a host are articles. If nothing would be left, the page's statistics are
-disregarded.
+Elements and roles that are no article by HTML itself (navigation, header and
+footer of the page, asides, forms, scripts, ...) have importance 0 on every page.
+A listed word (ad, comments, cookie, ...) that is a whole class or id lowers the
+importance of its branch to 0 too, which also serves hosts of one page; but not of
+headings by their id, nor of a branch that holds the page's one article or, unless
+that article stands elsewhere, more than half of the text (a form counts as such a
+word, as some sites wrap the page in one).
+
+The branch that HTML marks as the article is kept whatever its statistics: copies
+of one article on a host are articles. If nothing would be left, the page's
+statistics are disregarded, then the words, then the elements.
 
 Scale: pages are parsed where they are scanned; only (host, path, hashes) rows,
 written to the shared folder, are counted, with partial sums in each task, so a host with a third of all pages
@@ -37,7 +42,7 @@ import html as html_lib
 import os
 import re
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,50 +72,76 @@ NOISE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising sp
                          "subscribe subscription comment comments disqus reply replies share sharing social related recommended widget toolbar "
                          "pagination pager login signup skip").split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_PARTS = frozenset("html body main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Node:
     tag: str
     path: str
-    noise: bool
-    main: bool
-    children: list[str] = field(default_factory=list)
+    noise: bool            # by an element, a role or a word
+    hard: bool             # by an element or a role
+    article: str           # path of the outermost <article> or <main> round it
+    number: int = 0        # order of the start tags
+    chars: int = 0         # of the text below, where the node is watched
 
 
 @dataclass
 class Block:
     path: str
     noise: bool
-    main: bool
+    hard: bool
+    article: str
     text: str
 
+    @property
+    def main(self) -> bool:
+        return bool(self.article)
+
 
-def _is_noise(tag: str, attributes: dict[str, str], parent: Node | None) -> bool:
+def _hard_noise(tag: str, attributes: dict[str, str], parent: Node) -> bool:
     if tag in NOISE_TAGS:
-        return True
-    if tag in PAGE_PARTS:
+        return tag != "form"
+    if tag in PAGE_PARTS or tag == "article":
         return False
-    words = set(WORD.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-    if tag == "article":
-        return bool(words & COMMENT_WORDS)
     if tag == "header":
-        return not (parent and parent.main)
-    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return not parent.article
+    return ("hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+            or attributes.get("role", "").lower() in NOISE_ROLES)
+
+
+def _listed(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a whole class or id says that the branch is no article (or it is a form)."""
+    if tag == "form":
         return True
-    return bool(words & NOISE_WORDS) or attributes.get("role", "").lower() in NOISE_ROLES
+    if tag in PAGE_PARTS or tag == "header":
+        return False
+    names = set(attributes.get("class", "").lower().split())
+    if tag not in HEADINGS:
+        names.update(attributes.get("id", "").lower().split())
+    return bool(names & (COMMENT_WORDS if tag == "article" else NOISE_WORDS))
 
 
 def parse(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     """The text blocks of a page in order, and the child tags of each path."""
+    blocks, styles, spared = _parse(html, frozenset())
+    return _parse(html, spared)[:2] if spared else (blocks, styles)
+
+
+def _parse(html: str | None, spare: frozenset[int]) -> tuple[list[Block], dict[str, list[str]], frozenset[int]]:
+    """Blocks, child tags, and the numbers of the listed nodes that hold the one article or most of the text;
+    nodes of ``spare`` are not listed."""
     blocks: list[Block] = []
     styles: dict[str, list[str]] = {}
-    stack: list[Node] = [Node("", "", False, False)]
+    stack: list[Node] = [Node("", "", False, False, "")]
+    watched: list[tuple[int, Node]] = []                # (depth, node) of open listed nodes and outermost articles
+    listed: list[Node] = []
+    articles: list[tuple[Node, list[int]]] = []         # with the listed nodes round them
+    total = 0
     text: list[str] = []
     owner = stack[0]
 
@@ -119,16 +150,23 @@ def parse(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             joined = " ".join(html_lib.unescape("".join(text)).split())
             text.clear()
             if joined:
-                blocks.append(Block(owner.path, owner.noise, owner.main, joined))
+                blocks.append(Block(owner.path, owner.noise, owner.hard, owner.article, joined))
 
     def close(depth: int) -> None:
         if any(n.tag in BLOCK for n in stack[depth:]):
             flush()
         del stack[depth:]
+        while watched and watched[-1][0] >= depth:
+            watched.pop()
 
     def add(raw: str) -> None:
-        nonlocal owner
+        nonlocal owner, total
         top = stack[-1]
+        if raw and not top.hard:
+            n = len(raw.strip())
+            total += n
+            for _, node in watched:
+                node.chars += n
         base = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
         if raw and (base.noise or not top.noise):  # else a marked phrase inside a block
             if base is not owner:
@@ -136,7 +174,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                 owner = base
             text.append(raw)
 
-    source, at = html or "", 0
+    source, at, number = html or "", 0, 0
     while at < len(source):
         found = TOKEN.search(source, at)
         if not found:
@@ -167,8 +205,11 @@ def parse(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)}
         classes = sorted(re.sub(r"\d+", "0", attributes.get("class", "")).split())
         path = parent.path + "/" + ".".join([tag, *classes]) if len(stack) <= DEPTH else parent.path  # deeper nodes merge
-        node = Node(tag, path, parent.noise or _is_noise(tag, attributes, parent),
-                    parent.main or tag in ("article", "main"))
+        number += 1
+        hard = parent.hard or _hard_noise(tag, attributes, parent)
+        word = number not in spare and _listed(tag, attributes)
+        marks = tag in ("article", "main") and not parent.article
+        node = Node(tag, path, parent.noise or hard or word, hard, parent.article or (path if marks else ""), number)
         styles.setdefault(parent.path, [])
         if styles[parent.path][-1:] != [tag]:
             styles[parent.path].append(tag)
@@ -178,9 +219,20 @@ def parse(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
+        if (word or marks) and not hard:
+            if marks and not word:
+                articles.append((node, [n.number for _, n in watched]))
+            if word:
+                listed.append(node)
+            watched.append((len(stack), node))
         stack.append(node)
     flush()
-    return blocks, styles
+    if len(articles) == 1 and articles[0][0].chars:
+        spared = {n.number for n in listed}.intersection(articles[0][1])
+        spared |= {n.number for n in listed if 2 * n.chars > total and n.article == articles[0][0].path}
+    else:
+        spared = {n.number for n in listed if 2 * n.chars > total}
+    return blocks, styles, frozenset(spared)
 
 
 def _prefixes(path: str) -> list[str]:
@@ -238,7 +290,8 @@ def style_tree(nodes: DataFrame) -> DataFrame:
 
 
 def page_text(html: str | None, low: list[str] | None) -> str:
-    blocks = [b for b in parse(html)[0] if not b.noise]
+    every = parse(html)[0]
+    blocks = [b for b in every if not b.noise] or [b for b in every if not b.hard] or every
     marked = [b for b in blocks if b.main] or blocks
     branches = set(low or ())
     kept = [b for b in marked if b.main or not branches.intersection(_prefixes(b.path))]

@@ -58,6 +58,24 @@ def test_main_text_is_the_article_of_the_given_pages(spark):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
+def test_listed_words_are_whole_classes_and_spare_the_article(spark):
+    cases = [("<body><div class='site has-sidebar'><p>the whole text</p></div>", "the whole text"),
+             ("<article class='post comments-open'><h1>t</h1><p>a story</p></article>", "t\na story"),
+             ("<article><p>a story of some words</p><h2 id='related-work'>x</h2><h2 id='related'>y</h2><section id='notice-period'>z</section>"
+              "<div class='social-impact'>v</div></article>", "a story of some words\nx\ny\nz\nv"),
+             ("<div id='sidebar'><article><p>a</p></article></div><div class='menu'>much more text than that</div>", "a"),
+             ("<div class='site overlay'><p>most of the text is here</p></div><p>little</p>", "most of the text is here\nlittle"),
+             ("<p><span class='notice'>a marked phrase holds the text</span> end</p>", "a marked phrase holds the text end"),
+             ("<form action=x><div class=page><article><p>a story</p></article></div></form>", "a story"),
+             ("<nav><a>only</a></nav><footer>links</footer>", "only\nlinks"),
+             ("<div class='menu'>one</div><div class='banner'>two</div>", "one\ntwo"),
+             ("<div class='x Sidebar'>gone</div><div id='comments'>gone too</div><p>the text that stays on the page</p>", "the text that stays on the page"),
+             ("<article><p>a story of some words</p><section class='comments'><article class='comment'>c</article></section></article>", "a story of some words")]
+    df = spark.createDataFrame([(k, f"http://h{k}.org", h) for k, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(cases)}
+
+
 def test_automaton_on_trie_is_the_edit_distance():
     rng = random.Random(2)
     terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 13))) for _ in range(60)}
