@@ -19,9 +19,12 @@ headings by their id, nor of a branch that holds the page's one article or, unle
 that article stands elsewhere, more than half of the text (a form counts as such a
 word, as some sites wrap the page in one).
 
-The branch that HTML marks as the article is kept whatever its statistics: copies
-of one article on a host are articles. If nothing would be left, the page's
-statistics are disregarded, then the words, then the elements.
+Below an <article> or <main> the tree decides as elsewhere, with a test on the
+whole: where the article's own node is of low importance (copies of one article
+on a host) its branches stay. What lies beside a marked article is left out when
+the marked blocks hold at least half of the remaining text, unless the tree has
+seen its branch on ``MIN_PAGES`` pages and found it important. If nothing would be
+left, the statistics are disregarded, then the words, then the elements.
 
 Scale: pages are parsed where they are scanned; only (host, path, hashes) rows,
 written to the shared folder, are counted, with partial sums in each task, so a host with a third of all pages
@@ -289,13 +292,23 @@ def style_tree(nodes: DataFrame) -> DataFrame:
                                    + (1 - GAMMA) * F.col("presentation")).alias("importance")))
 
 
-def page_text(html: str | None, low: list[str] | None) -> str:
+def page_text(html: str | None, low: list[str] | None, high: list[str] | None = None) -> str:
+    """The text without noise and branches ``low``; ``high`` are paths beside articles that the tree finds important."""
     every = parse(html)[0]
-    blocks = [b for b in every if not b.noise] or [b for b in every if not b.hard] or every
-    marked = [b for b in blocks if b.main] or blocks
-    branches = set(low or ())
-    kept = [b for b in marked if b.main or not branches.intersection(_prefixes(b.path))]
-    return "\n".join(b.text for b in (kept or marked))
+    blocks = [b for b in every if not b.noise]
+    branches, known = set(low or ()), set(high or ())
+
+    def stays(b: Block) -> bool:
+        if b.article in branches:  # copies of one article
+            return True
+        return not branches.intersection(p for p in _prefixes(b.path) if len(p) > len(b.article))
+
+    kept = [b for b in blocks if stays(b)]
+    marked = [b for b in kept if b.main]
+    if 2 * sum(len(b.text) for b in marked) >= sum(len(b.text) for b in kept):
+        kept = [b for b in kept if b.main or b.path in known] if marked else kept
+    fallback = [b for b in blocks if b.main] or blocks or [b for b in every if not b.hard] or every
+    return "\n".join(b.text for b in (kept or fallback))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -309,16 +322,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     folder = os.path.join(shared_folder(pages.sparkSession), f"style-tree-{uuid.uuid4().hex}")
     nodes.write.parquet(folder)
     nodes = pages.sparkSession.read.parquet(folder)
-    low = style_tree(nodes).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path")
-    own = nodes.join(low, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("low"))
+    known = (style_tree(nodes).where(F.col("pages") >= min_pages).select("host", "path", (F.col("importance") < least).alias("is_low"))
+             .where(F.col("is_low") | ~F.col("path").rlike(r"/(article|main)([./]|$)")))
+    own = (nodes.join(known, ["host", "path"]).where("is_low or chars > 0").groupBy("key")
+           .agg(F.collect_set(F.when(F.col("is_low"), F.col("path"))).alias("low"),
+                F.collect_set(F.when(~F.col("is_low"), F.col("path"))).alias("high")))
 
     out = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()),
                         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            texts = [page_text(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [page_text(*page) for page in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=out.names)
 
-    return rows.join(own, "key", "left").select("id", "url", "html", "low").mapInArrow(run, out)
+    return rows.join(own, "key", "left").select("id", "url", "html", "low", "high").mapInArrow(run, out)

@@ -76,6 +76,30 @@ def test_listed_words_are_whole_classes_and_spare_the_article(spark):
     assert got == {k: t for k, (_, t) in enumerate(cases)}
 
 
+def test_style_tree_decides_below_and_beside_the_article(spark):
+    rng = random.Random(4)
+    rows, truth = [], {}
+
+    def add(host, html, text):
+        truth[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+
+    for _ in range(12):
+        title, story, more = prose(rng, 6, 900), prose(rng, 60, 900), prose(rng, 25, 900)
+        box = "<div class=box>Join our many readers today</div>"
+        add("box.org", f"<article><h1>{title}</h1><p>{story}</p>{box}</article>", f"{title}\n{story}")
+        add("beside.org", f"<article><p>{story}</p></article><div class=rest>{more}</div><div class=end>Same on all pages</div>", f"{story}\n{more}")
+        add("cards.org", f"<div class=body><p>{story}</p></div><article class=card><p>{title}</p></article><article class=card><p>{more}</p></article>",
+            f"{story}\n{title}\n{more}")
+    copy = prose(rng, 60, 900)
+    for k in range(6):
+        add("copies.org", f"<article><p>{copy}</p><span>seen {k}</span><div class=box>Join us</div></article>", f"{copy}\nseen {k}\nJoin us")
+    add("alone.org", f"<article><p>{copy}</p></article><div class=rest>beside it</div>", copy)
+    add("card.org", f"<div class=body><p>{copy}</p></div><article><p>a card</p></article>", f"{copy}\na card")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == truth
+
+
 def test_automaton_on_trie_is_the_edit_distance():
     rng = random.Random(2)
     terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 13))) for _ in range(60)}
