@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunning.llm import bpe, html_text, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity
+from dunning.llm import (bpe, html_text, line_dedup, mixing, ngram_join, quality, secret_owners, sharding, suffix_dedup, token_alignment,
+                         topk, toxicity, vector_codes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_owners.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_ngram_join": op2_ngram_join,
@@ -71,10 +87,15 @@ QUERIES = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_secret_owners": op11_secret_owners,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
     "op1_va_file": topk.ORACLE,
     "op7_poisson_mix": mixing.ORACLE,
     "op8_quality_cascade": quality.ORACLE,
+    "op11_secret_owners": secret_owners.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
