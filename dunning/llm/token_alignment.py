@@ -4,14 +4,14 @@ A byte-level BPE (A) encodes a space and the text; a piece model (B) encodes the
 text, to which it adds the space itself. The running byte ends of A's tokens are
 the keys of a dictionary to their indexes, so are those of B; the keys that both
 hash sets hold, sorted, slice both id lists into groups. Every A token of a group is
-linked with every B token of it; a group's links are expanded as different id
-pairs with their number, never token by token.
+linked with every B token of it; links are expanded group by group, those of a group of more
+than ``GROUP`` links as different id pairs with their number.
 
 Units. Neither tokenizer joins a character that is not white space with a space behind it:
 A's pattern ends there, and no piece of B has its space mark behind another character
 (checked when the model is loaded; without that the whole text is one unit). A text is
 therefore aligned unit by unit, and every end of a unit ends a group. A task
-remembers at most ``UNITS`` short units, which is what makes words that recur cheap.
+remembers about twice ``UNITS`` short units at most, which is what makes words that recur cheap.
 
 Counts. A pair's count is the number of documents that hold it. A first pass writes
 each document's different pairs, packed, to the shared checkpoint folder; tasks
@@ -38,7 +38,10 @@ import hashlib
 import os
 import re
 import uuid
-from itertools import accumulate
+from array import array
+from collections import Counter
+from collections.abc import Iterable
+from itertools import accumulate, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,9 @@ from pyspark.sql import types as T
 
 from dunning.llm.graph import shared_folder
 
-UNITS = 150_000
+UNITS = 250_000
 UNIT_CHARS = 64
+GROUP = 256
 TEXTS = 64
 PARTIAL = 2_000_000
 KNOWN = 1 << 19
@@ -78,14 +82,17 @@ class Pair:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         symbol = byte_of_symbol()
-        self.a_bytes = {i: bytes(symbol[c] for c in t) if all(c in symbol for c in t) else b"" for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(symbol[c] for c in t) if all(c in symbol for c in t) else b""
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(names)]
         self.splits = not any(MARK in t.lstrip(MARK) for t in names)
         self.mark = self.b.piece_to_id(MARK)
         #: A pair of ids is the number a * n_b + b.
-        self.n_a, self.n_b = max(self.a_bytes) + 1, len(names)
+        self.n_a, self.n_b = len(self.a_bytes), len(names)
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
@@ -101,10 +108,10 @@ class Pair:
         return [" " + u for u in text.split(" ")]
 
 
-def groups(a_lengths: list[int], b_lengths: list[int]) -> list[tuple[int, int]]:
+def groups(a_lengths: Iterable[int], b_lengths: Iterable[int]) -> list[tuple[int, int]]:
     """Ends (index into A, index into B, both exclusive) of the groups of two token lists of the same bytes."""
-    a_end = dict(zip(accumulate(a_lengths), range(1, len(a_lengths) + 1)))
-    b_end = dict(zip(accumulate(b_lengths), range(1, len(b_lengths) + 1)))
+    a_end = dict(zip(accumulate(a_lengths), count(1)))
+    b_end = dict(zip(accumulate(b_lengths), count(1)))
     return [(a_end[e], b_end[e]) for e in sorted(a_end.keys() & b_end.keys())]
 
 
@@ -114,50 +121,58 @@ class Aligner:
     def __init__(self, byte_level: str, pieces: str):
         self.pair = Pair(byte_level, pieces)
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def unit(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """(groups as text, n_a, n_b, n_groups, pair codes as bytes of 8, their numbers or None if all 1); None if bytes differ."""
-        a_bytes, b_bytes = [self.pair.a_bytes[i] for i in a], [self.pair.b_bytes[i] for i in b]
-        raw = unit.encode()
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        """(groups as text, n_a, n_b, n_groups, pairs of 8 bytes each, their numbers or None if 1 each); None if bytes differ.
+        A pair may come several times."""
+        a_bytes, b_bytes = list(map(self.pair.a_bytes.__getitem__, a)), list(map(self.pair.b_bytes.__getitem__, b))
+        if not b"".join(a_bytes) == b"".join(b_bytes) == unit.encode():
             return None
-        at, bt, text, codes, times = 0, 0, [], [], []
-        for a_to, b_to in groups([len(x) for x in a_bytes], [len(x) for x in b_bytes]):
-            left, right = a[at:a_to], b[bt:b_to]
-            text.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            if len(left) == len(right) == 1:
-                codes.append(left[0] * self.pair.n_b + right[0])
+        n_b, at, bt, text, codes, times = self.pair.n_b, 0, 0, [], [], None
+        for a_to, b_to in groups(map(len, a_bytes), map(len, b_bytes)):
+            if a_to - at == b_to - bt == 1:
+                text.append(f"{a[at]}|{b[bt]}")
+                codes.append(a[at] * n_b + b[bt])
+            else:
+                left, right = a[at:a_to], b[bt:b_to]
+                text.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
+                if len(left) * len(right) > GROUP and times is None:
+                    times = [1] * len(codes)
+                if times is None:
+                    codes += [x * n_b + y for x in left for y in right]
+                else:  # from the first large group on: different ids and their numbers
+                    for (x, n), (y, m) in product(Counter(left).items(), Counter(right).items()):
+                        codes.append(x * n_b + y)
+                        times.append(n * m)
+            if times is not None and len(times) < len(codes):
                 times.append(1)
-            else:  # different ids and their numbers: a group's links are never expanded token by token
-                (x, n), (y, m) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
-                codes.extend((x.astype(np.int64)[:, None] * self.pair.n_b + y[None, :]).reshape(-1).tolist())
-                times.extend((n[:, None] * m[None, :]).reshape(-1).tolist())
             at, bt = a_to, b_to
-        return (";".join(text), len(a), len(b), len(text), np.array(codes, dtype=np.int64).tobytes(),
-                None if max(times) == 1 else np.array(times, dtype=np.int64).tobytes())
+        return (";".join(text), len(a), len(b), len(text), array("q", codes).tobytes(), None if times is None else array("q", times).tobytes())
 
     def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > UNITS and self.known:
-            self.known.clear()
+        known, older = self.known, self.older
+        new = [u for u in units if u not in known]
+        if len(known) + len(new) > UNITS and known:
+            # what was not asked for since the last turn is forgotten
+            self.known, self.older = known, older = {}, known
             new = list(units)
-        if new:
-            for u, a, b in zip(new, *self.pair.encode(new)):
-                self.known[u] = self.unit(u, a, b)
+        again = [u for u in new if u in older]
+        known.update(zip(again, map(older.__getitem__, again)))
+        if len(again) < len(new):
+            new = [u for u in new if u not in known]
+            known.update(zip(new, map(self.unit, new, *self.pair.encode(new))))
 
     def many(self, texts: list[str | None]):
         """(n_a, n_b, n_groups, n_links, groups as text, pair codes, numbers) of each text, None without tokens."""
         split = [self.pair.units(t) if t else [] for t in texts]
         self.learn({u for units in split for u in units if len(u) <= UNIT_CHARS})
         for units in split:
-            parts = []
-            for u in units:
-                part = self.known[u] if len(u) <= UNIT_CHARS else self.unit(u, *(ids[0] for ids in self.pair.encode([u])))
-                if part is None:
-                    parts = []
-                    break
-                parts.append(part)
-            if not parts:
+            if max(map(len, units), default=0) <= UNIT_CHARS:
+                parts = list(map(self.known.__getitem__, units))
+            else:
+                parts = [self.known[u] if len(u) <= UNIT_CHARS else self.unit(u, *(ids[0] for ids in self.pair.encode([u]))) for u in units]
+            if not parts or None in parts:
                 yield None
                 continue
             text, n_a, n_b, n_groups, codes, times = zip(*parts)

@@ -170,11 +170,21 @@ def test_groups_are_cut_at_common_ends():
 
 def test_long_group_is_not_expanded_token_by_token():
     aligner = token_alignment.Aligner(A_FILE, B_FILE)
-    a_id, b_id = aligner.pair.a.token_to_id("aa"), aligner.pair.b.piece_to_id("aaa")
-    aligner.pair.a_bytes, aligner.pair.b_bytes = {a_id: b"aa"}, {b_id: b"aaa"}
+    a_id, b_id, n_b = aligner.pair.a.token_to_id("aa"), aligner.pair.b.piece_to_id("aaa"), aligner.pair.n_b
+    aligner.pair.a_bytes[7], aligner.pair.b_bytes[8] = b"b", b"b"
     n = 30_001  # one end in common every six bytes
-    text, n_a, n_b, n_groups, codes, times = aligner.unit("a" * 6 * n, [a_id] * 3 * n, [b_id] * 2 * n)
-    assert (n_a, n_b, n_groups) == (3 * n, 2 * n, n) and len(codes) == 8 * n and set(np.frombuffer(times, dtype=np.int64)) == {6}
+    text, n_a, n_b_, n_groups, codes, times = aligner.unit("a" * 6 * n, [a_id] * 3 * n, [b_id] * 2 * n)
+    assert (n_a, n_b_, n_groups, times) == (3 * n, 2 * n, n, None) and set(np.frombuffer(codes, dtype=np.int64)) == {a_id * n_b + b_id} and len(codes) == 48 * n
+    aligner.pair.b_bytes[9] = b"a"
+    a, b = [7] + [a_id] * 50_000 + [7], [8, 9] + [b_id] * 33_333 + [8]
+    text, n_a, n_b_, n_groups, codes, times = aligner.unit("b" + "a" * 100_000 + "b", a, b)
+    ends = set(range(1, 100_002, 2)) & ({1, 2} | set(range(5, 100_002, 3)))
+    assert n_groups == len(ends) + 1 and times is None
+    aligner.pair.a_bytes[10], aligner.pair.b_bytes[9] = b"a", b"aa"  # none at all
+    a, b = [10] + [a_id] * 50_000 + [10], [9] * 50_001
+    text, n_a, n_b_, n_groups, codes, times = aligner.unit("a" * 100_002, a, b)
+    assert n_groups == 1 and len(codes) == 16
+    assert dict(zip(np.frombuffer(codes, dtype=np.int64).tolist(), np.frombuffer(times, dtype=np.int64).tolist())) == {10 * n_b + 9: 2 * 50_001, a_id * n_b + 9: 50_000 * 50_001}
 
 
 # --- operator 13 ---
