@@ -170,8 +170,8 @@ def test_groups_are_cut_at_common_ends():
 
 def test_long_group_is_not_expanded_token_by_token():
     aligner = token_alignment.Aligner(A_FILE, B_FILE)
-    a_id, b_id, n_b = aligner.pair.a.token_to_id("aa"), aligner.pair.b.piece_to_id("aaa"), aligner.pair.n_b
-    aligner.pair.a_bytes[7], aligner.pair.b_bytes[8] = b"b", b"b"
+    a_id, b_id, n_b = 5, 6, aligner.pair.n_b
+    aligner.pair.a_bytes[a_id], aligner.pair.b_bytes[b_id], aligner.pair.a_bytes[7], aligner.pair.b_bytes[8] = b"aa", b"aaa", b"b", b"b"
     n = 30_001  # one end in common every six bytes
     text, n_a, n_b_, n_groups, codes, times = aligner.unit("a" * 6 * n, [a_id] * 3 * n, [b_id] * 2 * n)
     assert (n_a, n_b_, n_groups, times) == (3 * n, 2 * n, n, None) and set(np.frombuffer(codes, dtype=np.int64)) == {a_id * n_b + b_id} and len(codes) == 48 * n
