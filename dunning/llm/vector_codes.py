@@ -154,13 +154,11 @@ def train(rows: DataFrame, parts: int, entries: int, rounds: int, scale: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["dim", "part", "entry", "n", "s"])
 
         partial = rows.select("v").mapInArrow(gather, "dim int, part int, entry int, n long, s array<decimal(38,0)>")
-        used = partial.groupBy("dim", "part", "entry").agg(F.sum("n").alias("n"))
-        means = (partial.select("dim", "part", "entry", F.posexplode("s").alias("pos", "x"))
-                 .groupBy("dim", "part", "entry", "pos").agg(F.sum("x").alias("x"))
-                 .groupBy("dim", "part", "entry").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("s")))
+        sums = (partial.select("dim", "part", "entry", "n", F.posexplode("s").alias("pos", "x"))
+                .groupBy("dim", "part", "entry", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
         new = {dim: [b.copy() for b in book] for dim, book in books.items()}
-        for r in used.join(means, ["dim", "part", "entry"]).collect():
-            new[r["dim"]][r["part"]][r["entry"]] = [int(x["x"]) // r["n"] for x in r["s"]]
+        for r in sums.collect():
+            new[r["dim"]][r["part"]][r["entry"], r["pos"]] = int(r["x"]) // r["n"]
         books = new
     return books
 
