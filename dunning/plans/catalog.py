@@ -560,6 +560,21 @@ def webhook_match(spark, sf_dir):
     return W.match_recoveries(rec, L.attempts_log)
 
 
+@register("webhook_match_contained", O.with_ctes(*_LOG, O.cte_webhook(), """
+texts AS (SELECT DISTINCT notes FROM attempts_log WHERE notes IS NOT NULL),
+ids AS (SELECT DISTINCT payment_link_id FROM recovered WHERE payment_link_id <> ''),
+hits AS (SELECT payment_link_id, notes FROM ids JOIN texts ON contains(notes, payment_link_id)),
+ranked AS (
+  SELECT h.payment_link_id, a.payment_id, a.execution_timestamp,
+    row_number() OVER (PARTITION BY h.payment_link_id ORDER BY a.execution_timestamp ASC NULLS FIRST, a.notes ASC NULLS FIRST,
+                       a.action_taken ASC NULLS FIRST, a.execution_status ASC NULLS FIRST, a.payment_id ASC NULLS FIRST) AS rn
+  FROM hits h JOIN attempts_log a ON a.notes = h.notes)""", select="""
+SELECT r.*, k.payment_id AS matched_payment_id, k.execution_timestamp AS matched_execution_timestamp, k.rn IS NOT NULL AS matched
+FROM recovered r LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) k ON r.payment_link_id = k.payment_link_id"""))
+def webhook_match_contained(spark, sf_dir):
+    return W.match_by_containment(W.recoveries(_classified(spark, sf_dir)), Layers.of(spark, sf_dir).attempts_log)
+
+
 # --- Spark ML (ML-4..10): rows-only checks (no SQL oracle for a fitted model) ---------------
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from dunning.functions.expr import hmac_sha256_hex, salted_hash8, ts_text
 from dunning.operators.audit import ATTEMPT_ORDER
+from dunning.operators.containment import first_containing
 from dunning.operators.execution import payment_link_id
 from dunning.operators.joins import first_per_key
 
@@ -252,6 +253,16 @@ def match_recoveries(recovered: DataFrame, attempts: DataFrame) -> DataFrame:
             .withColumn("matched", F.col("matched_payment_id").isNotNull()))
 
 
+def match_by_containment(recovered: DataFrame, attempts: DataFrame) -> DataFrame:
+    """STR-4 by the literal rule of JON-9: the first attempt (log order) whose notes contain the link id anywhere,
+    whatever else they hold. Same columns as ``match_recoveries``."""
+    found = first_containing(attempts.select(*ATTEMPT_ORDER, "payment_id"), "notes", ATTEMPT_ORDER,
+                             recovered.select(F.col("payment_link_id").alias("pattern")))
+    idx = found.select(F.col("pattern").alias("payment_link_id"), F.col("row.payment_id").alias("matched_payment_id"),
+                       F.col("row.execution_timestamp").alias("matched_execution_timestamp"), F.lit(True).alias("matched"))
+    return recovered.join(idx, "payment_link_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
 def dedupe_within_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """STR-3, bounded state: duplicates arriving within ``delay`` are dropped."""
     return stream.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])
