@@ -6,6 +6,8 @@ directory in full; column names are identical on both sides.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from dunning.plans import oracle as O
 from dunning.plans.layers import Layers
 from dunning.sources import payments as P
 from dunning.sources import sinks, tables
+from dunning.session import ensure_checkpoint_dir
+from dunning.streaming import dedupe, recovery_log
 from dunning.streaming import webhook as W
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -543,6 +547,38 @@ def webhook_recoveries(spark, sf_dir):
     return W.recoveries(_classified(spark, sf_dir))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+_STATUS_SQL = O.with_ctes(O.cte_webhook(), select="SELECT delivery_id, event_id, event, status, amount FROM classified")
+
+
+@register("webhook_stream_status", _STATUS_SQL)
+def webhook_stream_status(spark, sf_dir):
+    """STR-3: the deliveries land as JSON files, a stream with expiring state reports each of them."""
+    folder = _scratch(spark, "webhook-stream")
+    W.write_landing(Layers.of(spark, sf_dir).envelopes, f"{folder}/landing")
+    stream = dedupe.start_bounded_stream(spark, f"{folder}/landing", f"{folder}/results", f"{folder}/checkpoint", W.TEST_SECRET)
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/results").select("delivery_id", "event_id", "event", "status", "amount")
+
+
+@register("webhook_log_status", _STATUS_SQL)
+def webhook_log_status(spark, sf_dir):
+    """JON-8: the deliveries arrive in two parts, the second one is looked up in the log that the first one left."""
+    folder = _scratch(spark, "webhook-log")
+    guarded = Layers.of(spark, sf_dir).guarded
+    middle = guarded.agg(F.percentile_approx(F.unix_micros("received_at"), 0.5, 1000).alias("m")).first()["m"]
+    early = F.coalesce(F.unix_micros("received_at") < F.lit(middle), F.lit(True))
+    for epoch, part in enumerate((guarded.where(early), guarded.where(~early))):
+        seen = recovery_log.processed_ids(spark, f"{folder}/log", part)
+        W.classify_guarded(part, seen).write.parquet(f"{folder}/results/epoch={epoch}")
+        recovery_log.write_epoch(W.recoveries(spark.read.parquet(f"{folder}/results/epoch={epoch}")), f"{folder}/log", "batch", epoch)
+    return spark.read.parquet(f"{folder}/results").select("delivery_id", "event_id", "event", "status", "amount")
+
+
 @register("webhook_match", O.with_ctes(*_LOG, O.cte_webhook(), """
 links AS (
   SELECT link_id, payment_id, execution_timestamp FROM (

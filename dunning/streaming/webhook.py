@@ -35,6 +35,7 @@ from dunning.operators.audit import ATTEMPT_ORDER
 from dunning.operators.containment import first_containing
 from dunning.operators.execution import payment_link_id
 from dunning.operators.joins import first_per_key
+from dunning.streaming import recovery_log
 
 # Test-only signing key of the derived envelope stream (not a credential).
 TEST_SECRET = "dunning-test-webhook-secret"
@@ -145,14 +146,14 @@ def is_json_object(body: F.Column) -> F.Column:
     return F.coalesce(F.json_object_keys(body).isNotNull() & in_array & in_object, F.lit(False))
 
 
-def guard_stage(env: DataFrame, secret: str) -> DataFrame:
+def guard_stage(env: DataFrame, secret: str, keep: list[str] = ()) -> DataFrame:
     """Stateless part of the rules (checks 1-5, 7, 8) per delivery: one HMAC
     and one JSON parse per body (staged projections). Adds ``__key`` (the
     event id, or a unique key for a rejected delivery — never NULL, so
     Catalyst infers no IS NOT NULL filter that would be pushed to the scan
-    with the guard tree inlined) and ``__would_recover``."""
+    with the guard tree inlined) and ``__would_recover``; ``keep`` names columns to carry along."""
     body = F.col("body")
-    s1 = env.select("delivery_id", "received_at", "event_id", "signature", "body",
+    s1 = env.select("delivery_id", "received_at", "event_id", "signature", "body", *keep,
                     is_json_object(body).alias("__valid"),
                     (hmac_sha256_hex(secret, body) == F.col("signature")).alias("__sig_ok"))
     s2 = s1.select("*", F.when(F.col("__valid"), F.from_json(body, BODY_SCHEMA)).alias("__p"))
@@ -173,7 +174,7 @@ def guard_stage(env: DataFrame, secret: str) -> DataFrame:
         (F.coalesce(F.col(f"{ent}.amount_paid").try_cast("decimal(30,4)"), F.lit(0)).cast("double") / 100.0).alias("amount"),
         F.coalesce(F.col(f"{ent}.currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
         F.coalesce(F.col(f"{ent}.reference_id"), F.lit("")).alias("reference_id"),
-        "event_id", "body")
+        "event_id", "body", *keep)
     key = F.coalesce(F.when(F.col("__guard").isNull(), ev),
                      F.concat(F.lit("rejected#"), F.col("delivery_id").cast("string")), F.lit("rejected#"))
     readable = F.col("__paid").isNull() | F.col("__paid").try_cast("decimal(30,4)").isNotNull()
@@ -211,6 +212,11 @@ def classify_guarded(d: DataFrame, processed_ids: DataFrame | None = None) -> Da
         d = d.withColumn("__seen", F.lit(None).cast("boolean"))
     me = F.struct("received_at", "delivery_id")
     dup = F.coalesce(F.col("__seen"), F.lit(False)) | (F.col("__first").isNotNull() & (F.col("__first") < me))
+    return with_status(d, dup)
+
+
+def with_status(d: DataFrame, dup: F.Column) -> DataFrame:
+    """Status per row of ``guard_stage``, given whether it is a duplicate; the first rule that holds wins."""
     status = (F.when(F.col("__guard").isNotNull(), F.col("__guard"))
                .when(dup, F.lit("already_processed"))
                .when(F.coalesce(F.col("event"), F.lit("")) != PAID_EVENT, F.lit("ignored"))
@@ -300,10 +306,12 @@ def write_landing(envelopes: DataFrame, landing_dir: str, files: int = 4) -> Non
 
 def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str, secret: str,
                  attempts: DataFrame | None = None,
-                 available_now: bool = True, max_files_per_trigger: int | None = None):
+                 available_now: bool = True, max_files_per_trigger: int | None = None, horizon_days: int | None = None):
     """Run the consumer: landing JSON files -> classified rows per epoch.
 
-    Outputs (parquet): out_dir/recovery_log/run=R/epoch=N (the recovery log),
+    Each micro-batch is looked up in the buckets of its own ids, and with ``horizon_days`` in the
+    days since then only, so that what a batch reads does not grow with the log (``recovery_log``).
+    Outputs (parquet): out_dir/recovery_log/day=D/bucket=B/run=R/epoch=N (the recovery log),
     out_dir/results/run=R/epoch=N (one status row per delivery), and, when
     ``attempts`` is given, out_dir/matches/run=R/epoch=N. R is the id that the
     checkpoint gave the query: a replayed epoch overwrites itself, and a run
@@ -318,14 +326,14 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
         sp = batch.sparkSession
         run = json.loads(sp.read.text(os.path.join(checkpoint, "metadata")).first()[0])["id"]
         part = f"run={run}/epoch={epoch_id}"
-        prior = read_log(sp, log_dir, exclude=(run, epoch_id))
         # one HMAC + JSON parse per delivery: the (bounded) micro-batch's guard
-        # table is kept for the three reads inside classify_guarded
+        # table is kept for the reads of the lookup and inside classify_guarded
         g = guard_stage(batch, secret).persist()
+        prior = recovery_log.processed_ids(sp, log_dir, g, horizon_days, exclude=(run, epoch_id))
         c = classify_guarded(g, prior).persist()
         try:
             rec = recoveries(c)
-            rec.write.mode("overwrite").parquet(os.path.join(log_dir, part))
+            recovery_log.write_epoch(rec, log_dir, run, epoch_id)
             c.write.mode("overwrite").parquet(os.path.join(out_dir, "results", part))
             if attempts is not None:
                 match_recoveries(rec, attempts).write.mode("overwrite").parquet(
@@ -337,16 +345,3 @@ def start_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
     w = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
-
-
-def read_log(spark: SparkSession, log_dir: str, exclude: tuple[str, int] | None = None) -> DataFrame | None:
-    """Event ids of the log, without those of one (run, epoch)."""
-    from dunning.sources.tables import _exists
-    if not _exists(spark, log_dir):
-        return None
-    log = spark.read.parquet(log_dir)
-    if "epoch" not in log.columns:
-        return log.select("event_id")
-    if exclude is not None:  # a replayed epoch must not see itself
-        log = log.filter((F.col("run") != exclude[0]) | (F.col("epoch") != exclude[1]))
-    return log.select("event_id")
