@@ -14,12 +14,20 @@ from pyspark.sql import types as T
 
 from dunning.operators.joins import latest_per_key, suffix_clashes
 from dunning.operators.metrics import MONEY, guarded_pct
+from dunning.sources.tables import with_typed_nulls
 
+#: What the two optional layers add to an audit row, with or without a row or the layer itself.
 DECISION_NULLS = T.StructType([
     T.StructField("diagnosed_bucket", T.StringType()), T.StructField("confidence", T.DoubleType()),
     T.StructField("final_bucket_used", T.StringType()), T.StructField("action", T.StringType()),
-    T.StructField("reason", T.StringType()), T.StructField("attempt_number", T.IntegerType()),
-    T.StructField("escalate", T.BooleanType()),
+    T.StructField("reason", T.StringType()), T.StructField("reason_code", T.StringType()),
+    T.StructField("attempt_number", T.IntegerType()), T.StructField("max_attempts_allowed", T.IntegerType()),
+    T.StructField("escalate", T.BooleanType()), T.StructField("retry_at", T.StringType()),
+])
+ATTEMPT_NULLS = T.StructType([
+    T.StructField("action_taken", T.StringType()), T.StructField("execution_status", T.StringType()),
+    T.StructField("recovered_amount", T.DecimalType(18, 2)), T.StructField("notes", T.StringType()),
+    T.StructField("execution_timestamp", T.StringType()),
 ])
 SUCCESS_STATUSES = ("success",)
 ATTEMPT_ORDER = ["execution_timestamp", "notes", "action_taken", "execution_status"]
@@ -32,15 +40,14 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
 
 def audit_table(failed: DataFrame, decisions: DataFrame | None, attempts: DataFrame | None,
                 attempts_mode: str = "all") -> DataFrame:
+    """Absent layers (``None``) give the same columns as present ones, typed nulls; the recovered amount is then 0."""
     audit = failed
     if decisions is None:
-        for f in DECISION_NULLS.fields:
-            audit = audit.withColumn(f.name, F.lit(None).cast(f.dataType))
+        audit = with_typed_nulls(audit, DECISION_NULLS)
     else:
         audit = audit.join(suffix_clashes(audit, decisions, ["payment_id"], "_policy"), "payment_id", "left")
     if attempts is None:
-        audit = (audit.withColumn("execution_status", F.lit(None).cast("string"))
-                      .withColumn("recovered_amount", F.lit(0).cast(T.DecimalType(18, 2))))
+        audit = with_typed_nulls(audit, ATTEMPT_NULLS).withColumn("recovered_amount", F.lit(0).cast(T.DecimalType(18, 2)))
     else:
         att = attempts if attempts_mode == "all" else latest_attempts(attempts)
         att = suffix_clashes(audit, att, ["payment_id"], "_exec")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from dunning.functions.expr import fmt_inr, fmt_percent, ts_text
 from dunning.operators.audit import latest_attempts
+from dunning.operators.joins import override_join
+from dunning.sources import lookup_index
 
 SUCCEEDED_NOTE = "state=succeeded"
 ABSENT = "-"  # a field without a value in a case text
@@ -28,12 +30,13 @@ def recovery_fields(outcomes: DataFrame) -> DataFrame:
 
 def payment_cases(universe: DataFrame, decisions: DataFrame, attempts: DataFrame,
                   outcomes: DataFrame) -> DataFrame:
-    dec = decisions
-    att = latest_attempts(attempts)
-    rec = recovery_fields(outcomes)
-    case = (universe.join(dec, "payment_id", "left")
-            .join(att, "payment_id", "left")
-            .join(rec, "payment_id", "left"))
+    """Fields of later layers override those of the same name; decisions belong to failed payments only."""
+    case = override_join(universe, decisions, "payment_id")
+    # a decision on a payment that succeeded is no part of its case
+    decided = [c for c in decisions.columns if c not in universe.columns]
+    case = case.withColumns({c: F.when(F.col("source") == "failed", F.col(c)) for c in decided})
+    case = override_join(case, latest_attempts(attempts), "payment_id")
+    case = override_join(case, recovery_fields(outcomes), "payment_id")
     return (case.withColumn("found", F.lit(True))
                 .withColumn("note", F.when(F.col("source") == "succeeded", F.lit(SUCCEEDED_NOTE))))
 
@@ -73,6 +76,12 @@ def lookup(spark: SparkSession, texts: DataFrame, ids: list[str]) -> DataFrame:
         F.coalesce("explanation", absent).alias("explanation"), "case_json")
 
 
+def case_from_index(spark: SparkSession, cases_index: str, payment_id: str) -> DataFrame:
+    """QRY-6 for one id from cases laid out by ``lookup_index.write_index``: one bucket is read, no layer
+    is computed. An unknown id gives zero rows."""
+    return lookup_index.find(spark, cases_index, "payment_id", payment_id)
+
+
 def case_for_payment(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
     """QRY-6 for one id (the API's lookup): the bulk case plan restricted to
     one key. The order-key filter is pushed into the orders scan, and the

@@ -10,6 +10,7 @@ Two producers share one output schema (``PREDICTION_COLUMNS``):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from dunning.operators.features import customer_fail_history
 
 SHARE_KEYS = ["error_code", "method"]
 SHARE_PLACES = 3
+SHARES_BROADCAST = 100_000
 
 FEATURES = ["error_code", "amount", "method", "hour_of_day", "day_of_week", "customer_fail_count"]
 LEAK_COLUMNS = ["error_reason", "error_description"]
@@ -45,12 +47,23 @@ def class_shares(failed: DataFrame) -> DataFrame:
 
 
 def with_class_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    """``rows`` with predicted_bucket and confidence; both null where the train split lacks the keys."""
+    """``rows`` with predicted_bucket and confidence; both null where the train split lacks the keys.
+
+    One share per (error code, method): counted, and broadcast up to ``SHARES_BROADCAST`` rows, so that
+    no failed payment is shuffled by those few keys; beyond it a plain join."""
     s = shares.select(*[F.col(k).alias(f"__{k}") for k in SHARE_KEYS], "predicted_bucket", "confidence")
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    few = s.limit(SHARES_BROADCAST + 1).count() <= SHARES_BROADCAST
     on = F.lit(True)
     for k in SHARE_KEYS:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.join(s, on, "left").drop(*[f"__{k}" for k in SHARE_KEYS])
+    return rows.join(F.broadcast(s) if few else s, on, "left").drop(*[f"__{k}" for k in SHARE_KEYS])
+
+
+def held_out(predictions: DataFrame) -> DataFrame:
+    """The predictions of the test split: rows that no class share was counted on."""
+    from dunning.operators.evaluation import with_split
+    return with_split(predictions).where(F.col("split") == "test").drop("split")
 
 
 def class_share_predictions(failed: DataFrame) -> DataFrame:

@@ -34,3 +34,13 @@ def latest_per_key(df: DataFrame, key, order_by: list[str]) -> DataFrame:
 def suffix_clashes(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
     clash = (set(left.columns) & set(right.columns)) - set(on)
     return right.select(*[F.col(c).alias(c + suffix) if c in clash else F.col(c) for c in right.columns])
+
+
+def override_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join in which a found right row overrides fields of the same name, nulls included (JON-10);
+    ``right`` has at most one row per key."""
+    clash = [c for c in right.columns if c in left.columns and c != key]
+    hit = right.withColumn("__hit", F.lit(True)).withColumnsRenamed({c: f"__new_{c}" for c in clash})
+    joined = left.join(hit, key, "left")
+    own = [F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in clash else F.col(c) for c in left.columns]
+    return joined.select(*own, *[c for c in right.columns if c not in left.columns])

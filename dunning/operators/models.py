@@ -14,6 +14,9 @@ the training frame is persisted because every iteration rescans it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -22,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dunning.functions.expr import salted_hash8
 from dunning.operators import evaluation as EV
 
 CATEGORICAL = ["error_code", "method"]
@@ -129,6 +133,44 @@ def score_risk(fitted: PipelineModel, rows: DataFrame, threshold: float = EV.RIS
                       (score >= threshold).cast("int").alias("flagged_at_risk"))
 
 
+FOLDS = 3
+
+
+def with_fold(rows: DataFrame, folds: int = FOLDS, id_col: str = "payment_id") -> DataFrame:
+    """``fold`` 0 to folds - 1 by a salted hash of the id: equal ids share a fold, at any size."""
+    return rows.withColumn("fold", F.pmod(salted_hash8(f"fold|{SEED}|", F.coalesce(F.col(id_col), F.lit("\u0000null"))), F.lit(folds)).cast("int"))
+
+
+def cross_fitted(rows: DataFrame, fit: Callable[[DataFrame], PipelineModel], score: Callable[[PipelineModel, DataFrame], DataFrame],
+                 folds: int = FOLDS) -> DataFrame:
+    """Scores of every row (ML-7 / ML-10), each by a model fitted on the other folds only.
+
+    The folds are kept while ``folds`` models are fitted; scoring is one map per fold."""
+    held = with_fold(rows, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = [score(fit(held.where(F.col("fold") != k)), held.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def cross_fitted_diagnosis(features: DataFrame, folds: int = FOLDS, **kw) -> DataFrame:
+    """Predicted bucket and confidence of every failed payment."""
+
+    def fit(train: DataFrame) -> PipelineModel:
+        return diagnosis_pipeline(**kw).fit(with_class_weights(train.where(F.col("actual_bucket").isNotNull())))
+
+    return cross_fitted(_numeric(features, NUMERIC), fit, score_diagnosis, folds)
+
+
+def cross_fitted_risk(features: DataFrame, folds: int = FOLDS, num_trees: int = 50, max_depth: int = MAX_DEPTH, seed: int = SEED) -> DataFrame:
+    """Risk score and flag of every payment."""
+    data = _numeric(features, RISK_NUMERIC).withColumn("label", F.col("actual_at_risk").cast("double"))
+
+    def fit(train: DataFrame) -> PipelineModel:
+        forest = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed)
+        return Pipeline(stages=[*_features(["method"], RISK_NUMERIC), forest]).fit(train)
+
+    return cross_fitted(data, fit, score_risk, folds)
+
+
 def save(fitted: PipelineModel, path: str) -> None:
     """ML-9."""
     fitted.write().overwrite().save(path)

@@ -105,7 +105,8 @@ def action_labels(decisions: DataFrame) -> DataFrame:
     """AGG-2: client view — null action counted as 'unknown', display label."""
     k = F.coalesce(F.col("action"), F.lit("unknown"))
     return (decisions.groupBy(k.alias("action")).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("label", F.regexp_replace("action", "_", " ")))
+            .withColumn("label", F.regexp_replace("action", "_", " "))
+            .orderBy(F.desc("count"), F.asc("action")))  # a handful of rows
 
 
 def escalation_share(decisions: DataFrame) -> DataFrame:

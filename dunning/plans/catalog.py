@@ -24,7 +24,7 @@ from dunning.operators.joins import first_per_key
 from dunning.plans import oracle as O
 from dunning.plans.layers import Layers
 from dunning.sources import payments as P
-from dunning.sources import sinks, tables
+from dunning.sources import lookup_index, sinks, tables
 from dunning.session import ensure_checkpoint_dir
 from dunning.streaming import dedupe, recovery_log
 from dunning.streaming import webhook as W
@@ -43,6 +43,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 PAYMENT_OUT = ["payment_id", "customer_id", "amount", "method", "timestamp", "status", "error_code",
                "error_reason", "error_description", "root_cause_bucket"]
 
@@ -211,7 +216,7 @@ SELECT (SELECT count(*) FROM outcomes WHERE lower(outcome) = 'failed') AS count,
 FROM outcomes WHERE lower(outcome) = 'failed'"""))
 def exceptions_listing(spark, sf_dir):
     listed = outcomes.failed_outcomes(Layers.of(spark, sf_dir).outcomes).select("payment_id", "action", "outcome", "reason")
-    return sinks.records_with_count(listed)
+    return sinks.records_with_count(listed, _scratch(spark, "listing"))
 
 
 _MET = (*_OUT, O.cte_metrics())
@@ -395,19 +400,41 @@ def case_lookup(spark, sf_dir):
 
 
 
+@register("case_lookup_indexed", ORACLE["case_lookup"])
+def case_lookup_indexed(spark, sf_dir):
+    """FLT-5: the case texts laid out by id, then the buckets of the asked ids alone."""
+    folder = _scratch(spark, "case-index")
+    lookup_index.write_index(C.case_text(_cases(spark, sf_dir)), folder, "payment_id")
+    asked = spark.createDataFrame([(i,) for i in LOOKUP_IDS], "payment_id string")
+    return C.lookup(spark, lookup_index.find_all(spark, folder, "payment_id", asked), LOOKUP_IDS)
+
+
 # --- evaluation (EVL-1..4, AGG-13, ML-3) ------------------------------------------------------
 _PRED = (O.cte_payments(), O.cte_history(), O.cte_predictions())
 
 
-@register("eval_accuracy", O.with_ctes(*_PRED, select="""
+def _split_sql() -> str:
+    """preds + split: the plain-SQL form (a window per class; fine for the oracle)."""
+    h = O.h8(O.q(f'split|{EV.SPLIT_SEED}|') + ' || payment_id')
+    return f"""(SELECT * EXCLUDE (__h), CASE WHEN row_number() OVER (PARTITION BY actual_bucket ORDER BY __h, payment_id) - 1
+                 < (count(*) OVER (PARTITION BY actual_bucket) * {EV.TEST_PERCENT} + 99) // 100
+               THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT *, {h} AS __h FROM preds))"""
+
+
+#: Evaluated are the rows of the test split, which the shares were not counted on.
+_HELD = (*_PRED, f"held AS (SELECT * EXCLUDE (split) FROM {_split_sql()} WHERE split = 'test')")
+
+
+@register("eval_accuracy", O.with_ctes(*_HELD, select="""
 SELECT n, correct, CASE WHEN n > 0 THEN round(CAST(correct AS DOUBLE) / CAST(n AS DOUBLE), 6) ELSE 0.0 END AS accuracy
-FROM (SELECT count(*) AS n, count(*) FILTER (WHERE actual_bucket = predicted_bucket) AS correct FROM preds)"""))
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE actual_bucket = predicted_bucket) AS correct FROM held)"""))
 def eval_accuracy(spark, sf_dir):
-    return EV.accuracy(Layers.of(spark, sf_dir).predictions)
+    return EV.accuracy(Layers.of(spark, sf_dir).held_out)
 
 
-@register("eval_report", O.with_ctes(*_PRED, """
-pc AS (SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM preds GROUP BY 1, 2),
+@register("eval_report", O.with_ctes(*_HELD, """
+pc AS (SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM held GROUP BY 1, 2),
 labels AS (SELECT actual AS label FROM pc WHERE actual IS NOT NULL UNION SELECT predicted FROM pc WHERE predicted IS NOT NULL),
 per0 AS (
   SELECT l.label,
@@ -438,7 +465,7 @@ SELECT 'weighted avg', round(CASE WHEN s > 0 THEN wp / s ELSE 0.0 END, 6),
        round(CASE WHEN s > 0 THEN wr / s ELSE 0.0 END, 6), round(CASE WHEN s > 0 THEN wf / s ELSE 0.0 END, 6),
        CAST(s AS BIGINT) FROM agg"""))
 def eval_report(spark, sf_dir):
-    return EV.classification_report(Layers.of(spark, sf_dir).predictions)
+    return EV.classification_report(Layers.of(spark, sf_dir).held_out)
 
 
 def _confusion_sql() -> str:
@@ -450,13 +477,13 @@ def _confusion_sql() -> str:
 SELECT d.actual, {", ".join(f"COALESCE(w.{x}, 0) AS {x}" for x in labels)}
 FROM ({dim}) d LEFT JOIN (
   SELECT actual, {cols} FROM (
-    SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM preds GROUP BY 1, 2)
+    SELECT actual_bucket AS actual, predicted_bucket AS predicted, count(*) AS n FROM held GROUP BY 1, 2)
   GROUP BY actual) w ON d.actual = w.actual"""
 
 
-@register("eval_confusion", O.with_ctes(*_PRED, select=_confusion_sql()))
+@register("eval_confusion", O.with_ctes(*_HELD, select=_confusion_sql()))
 def eval_confusion(spark, sf_dir):
-    return EV.confusion_matrix(spark, Layers.of(spark, sf_dir).predictions)
+    return EV.confusion_matrix(spark, Layers.of(spark, sf_dir).held_out)
 
 
 _RISK_SQL = O.with_ctes(O.cte_payments(), """
@@ -496,15 +523,6 @@ def detection_confusion(spark, sf_dir):
     return EV.binary_confusion(_risk(spark, sf_dir))
 
 
-def _split_sql() -> str:
-    """preds + split: the plain-SQL form (a window per class; fine for the oracle)."""
-    h = O.h8(O.q(f'split|{EV.SPLIT_SEED}|') + ' || payment_id')
-    return f"""(SELECT * EXCLUDE (__h), CASE WHEN row_number() OVER (PARTITION BY actual_bucket ORDER BY __h, payment_id) - 1
-                 < (count(*) OVER (PARTITION BY actual_bucket) * {EV.TEST_PERCENT} + 99) // 100
-               THEN 'test' ELSE 'train' END AS split
-        FROM (SELECT *, {h} AS __h FROM preds))"""
-
-
 @register("stratified_split", O.with_ctes(*_PRED, select=f"""
 SELECT actual_bucket AS label, count(*) FILTER (WHERE split = 'train') AS n_train,
        count(*) FILTER (WHERE split = 'test') AS n_test
@@ -547,11 +565,6 @@ def webhook_recoveries(spark, sf_dir):
     return W.recoveries(_classified(spark, sf_dir))
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 _STATUS_SQL = O.with_ctes(O.cte_webhook(), select="SELECT delivery_id, event_id, event, status, amount FROM classified")
 
 
@@ -652,8 +665,27 @@ def model_confusion(spark, sf_dir):
 
 @register("risk_scores")
 def risk_scores(spark, sf_dir):
-    fitted, test = Layers.of(spark, sf_dir).risk_fit
-    return M.score_risk(fitted, test)
+    """ML-10: every payment, scored out of fold."""
+    return Layers.of(spark, sf_dir).risk_scores
+
+
+@register("cross_fit_folds", O.with_ctes(O.cte_payments(), select=f"""
+SELECT payment_id, CAST(status = 'failed' AS INTEGER) AS actual_at_risk,
+  CAST({O.h8(O.q(f'fold|{M.SEED}|') + ' || payment_id')} % {M.FOLDS} AS INTEGER) AS fold, true AS scored FROM payments"""))
+def cross_fit_folds(spark, sf_dir):
+    """ML-10: the fold whose model left out each payment, and that it has a score from 0 to 1 and a flag that follows it."""
+    s = Layers.of(spark, sf_dir).risk_scores
+    ok = F.col("risk_score").between(0, 1) & (F.col("flagged_at_risk") == (F.col("risk_score") >= EV.RISK_FLAG_THRESHOLD).cast("int"))
+    return s.select("payment_id", "actual_at_risk", "fold", ok.alias("scored"))
+
+
+@register("cross_fit_diagnosis", O.with_ctes(O.cte_payments(), select=f"""
+SELECT payment_id, root_cause_bucket AS actual_bucket, CAST({O.h8(O.q(f'fold|{M.SEED}|') + ' || payment_id')} % {M.FOLDS} AS INTEGER) AS fold, true AS scored FROM failed"""))
+def cross_fit_diagnosis(spark, sf_dir):
+    """ML-7: every failed payment has a bucket and a confidence from a forest that did not see it."""
+    s = Layers.of(spark, sf_dir).cross_scores
+    ok = F.col("predicted_bucket").isin(*O.R.BUCKETS) & (F.col("confidence") > 0) & (F.col("confidence") <= 1)
+    return s.select("payment_id", "actual_bucket", "fold", ok.alias("scored"))
 
 
 # --- previews / top-k reports (SRT-3/4/5) -------------------------------------------------------

@@ -63,6 +63,10 @@ class Layers:
     def predictions(self) -> DataFrame:
         return diagnosis.class_share_predictions(self.failed)
 
+    @cached_property
+    def held_out(self) -> DataFrame:
+        return diagnosis.held_out(self.predictions)
+
     # The layer products read by several stages/queries are persisted
     # (MEMORY_AND_DISK: spills instead of failing; a lost block is recomputed
     # from lineage). They are small next to the inputs: one row per failed
@@ -124,6 +128,13 @@ class Layers:
         return _keep(models.score_diagnosis(fitted, test))
 
     @cached_property
-    def risk_fit(self):
+    def risk_scores(self) -> DataFrame:
+        """Out-of-fold risk scores of all payments."""
         from dunning.operators import features, models
-        return models.fit_risk(features.customer_risk_features(self.payments))
+        return _keep(models.cross_fitted_risk(features.customer_risk_features(self.payments)))
+
+    @cached_property
+    def cross_scores(self) -> DataFrame:
+        """Out-of-fold diagnosis scores of all failed payments."""
+        from dunning.operators import models
+        return _keep(models.cross_fitted_diagnosis(diagnosis.diagnosis_features(self.failed)))

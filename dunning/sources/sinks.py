@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dunning.functions.expr import nan_to_null
+from dunning.sources import committed
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -26,11 +27,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
-def append_attempts(attempts: DataFrame, path: str) -> None:
-    """SNK-2: one bulk append of every attempt of a run, partitioned by the
-    execution day so later reads prune to the days they need."""
-    (attempts.withColumn("execution_date", F.substring("execution_timestamp", 1, 10))
-     .write.mode("append").partitionBy("execution_date").parquet(path))
+def append_attempts(attempts: DataFrame, path: str, run_id: str) -> None:
+    """SNK-2: every attempt of a run in one commit, partitioned by the execution day so
+    later reads prune to the days they need; a run tried again replaces itself."""
+    committed.write_run(attempts.withColumn("execution_date", F.substring("execution_timestamp", 1, 10)), path, run_id, ["execution_date"])
+
+
+def read_attempts(spark: SparkSession, path: str) -> DataFrame | None:
+    """The attempts of all published runs."""
+    log = committed.read_runs(spark, path)
+    return None if log is None else log.drop("run", "execution_date")
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
@@ -57,12 +63,15 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def records_with_count(df: DataFrame) -> DataFrame:
+def records_with_count(df: DataFrame, folder: str) -> DataFrame:
     """SNK-5: a ``{count, data}`` listing, one row per record: its JSON text (NaN/Inf are
-    NULL) and the number of records."""
+    NULL) and the number of records. The records are written to ``folder`` (shared), and counted
+    by an observation on the rows as they are written, so ``df`` is evaluated once."""
     safe = json_safe(df)
-    return safe.select(F.lit(safe.count()).cast("long").alias("count"),
-                       F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias("record"))
+    seen = Observation()
+    records = safe.select(F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias("record"))
+    records.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).select(F.lit(seen.get["n"]).cast("long").alias("count"), "record")
 
 
 def read_metrics_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

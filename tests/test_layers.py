@@ -95,15 +95,15 @@ def test_contracts_and_optional_tables(spark):
 def test_sinks_roundtrip(spark):
     L = Layers(spark, SF_SMALL)
     d = tempfile.mkdtemp(prefix="dunning-sink-")
-    sinks.append_attempts(L.attempts, os.path.join(d, "log"))
-    sinks.append_attempts(L.attempts, os.path.join(d, "log"))
-    assert spark.read.parquet(os.path.join(d, "log")).count() == 2 * L.attempts.count()
+    sinks.append_attempts(L.attempts, os.path.join(d, "log"), "a")
+    sinks.append_attempts(L.attempts, os.path.join(d, "log"), "b")
+    assert sinks.read_attempts(spark, os.path.join(d, "log")).count() == 2 * L.attempts.count()
     m = metrics.final_metrics(L.decisions, L.outcomes)
     sinks.write_metrics_json(m, os.path.join(d, "m"))
     doc = sinks.metrics_document(spark.read.json(os.path.join(d, "m")))
     assert doc["evaluation_type"] == "synthetic"
     nan = spark.createDataFrame([(float("nan"), "x")], "v double, s string")
-    assert tuple(sinks.records_with_count(nan).first()) == (1, '{"v":null,"s":"x"}')
+    assert tuple(sinks.records_with_count(nan, os.path.join(d, "listing")).first()) == (1, '{"v":null,"s":"x"}')
     outs = outcomes.failed_outcomes(L.outcomes.withColumn("outcome", F.upper("outcome")))
     assert outs.count() == L.outcomes.filter("outcome = 'failed'").count()
 

@@ -63,3 +63,37 @@ def test_split_with_a_dominant_class(spark):
                    (None, "test"): 50, (None, "train"): 150}
     plan = evaluation.with_split(df)._jdf.queryExecution().executedPlan().toString()
     assert "__blk" in plan     # the per-class rank runs in (class, hash block) partitions
+
+
+def test_every_row_is_scored_by_a_model_that_did_not_see_it(spark):
+    from dunning.operators import features
+    seen = {}
+    rows = models.with_fold(features.customer_risk_features(Layers.of(spark, SF_SMALL).payments))
+
+    def fit(train):
+        ids = {r.payment_id for r in train.select("payment_id").collect()}
+        return ids
+
+    def score(ids, test):
+        got = {r.payment_id for r in test.select("payment_id").collect()}
+        assert got and not got & ids
+        seen.update(dict.fromkeys(got, len(ids)))
+        return test.select("payment_id")
+
+    out = models.cross_fitted(rows.drop("fold"), fit, score, folds=4)
+    assert out.count() == len(seen) == rows.count()
+    assert min(seen.values()) > rows.count() // 2
+    twice = models.with_fold(spark.createDataFrame([("a",), ("a",), (None,), ("",)], "payment_id string"), 5).collect()
+    assert twice[0].fold == twice[1].fold and all(0 <= r.fold < 5 for r in twice)
+
+
+def test_policy_decides_every_payment_with_the_model(spark):
+    import tempfile
+    from dunning.plans import full_run
+    from dunning.sources import committed
+    out = tempfile.mkdtemp(prefix="dunning-model-")
+    doc = full_run.run(spark, SF_SMALL, out, use_model=True, with_webhook=False)
+    failed = Layers.of(spark, SF_SMALL).failed
+    decisions = committed.read_runs(spark, out + "/policy_decisions")
+    assert decisions.count() == failed.count() == doc["records_evaluated"]
+    assert decisions.join(failed, "payment_id", "left_anti").count() == 0 and decisions.where("confidence is null").count() == 0

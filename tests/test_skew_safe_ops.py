@@ -60,3 +60,34 @@ def test_first_and_latest_per_key(spark):
     first = {r.k: r.v for r in first_per_key(df, "k", ["t"]).collect()}
     last = {r.k: r.v for r in latest_per_key(df, "k", ["t"]).collect()}
     assert first == {"a": "x", "b": "q"} and last == {"a": "y", "b": "q"}
+
+
+def test_later_fields_override_in_a_case(spark):
+    from dunning.operators.joins import override_join
+    left = spark.createDataFrame([("a", 1, "l", "f"), ("b", 2, "l", "f")], "payment_id string, amount int, note string, source string")
+    right = spark.createDataFrame([("a", None, 9)], "payment_id string, note string, extra int")
+    got = {r.payment_id: tuple(r) for r in override_join(left, right, "payment_id").collect()}
+    assert got == {"a": ("a", 1, None, "f", 9), "b": ("b", 2, "l", "f", None)}
+
+
+def test_audit_has_one_schema_with_and_without_layers(spark):
+    from conftest import SF_SMALL
+    from dunning.operators import audit
+    from dunning.plans.layers import Layers
+    L = Layers.of(spark, SF_SMALL)
+    full = audit.audit_table(L.failed, L.decisions, L.attempts_log)
+    want = [(f.name, f.dataType) for f in full.schema.fields]
+    for d, a in ((None, None), (L.decisions, None), (None, L.attempts_log)):
+        part = audit.audit_table(L.failed, d, a)
+        assert sorted((f.name, str(f.dataType)) for f in part.schema.fields) == sorted((n, str(t)) for n, t in want)
+        assert part.count() >= L.failed.count()
+
+
+def test_class_shares_are_broadcast(spark):
+    from conftest import SF_SMALL
+    from dunning.operators import diagnosis
+    from dunning.plans.layers import Layers
+    df = diagnosis.class_share_scores(Layers.of(spark, SF_SMALL).failed)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    executed = df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed, plan
