@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(seen)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _free() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def freeing(work):
+    """``work`` (a function of one group or of two cogrouped ones) which afterwards gives memory back to the
+    system: the Python workers live on, and what each stage leaves in them would add up."""
+
+    def one(table):
+        result = work(table)
+        _free()
+        return result
+
+    def two(left, right):
+        result = work(left, right)
+        _free()
+        return result
+
+    return one if len(inspect.signature(work).parameters) == 1 else two

@@ -16,10 +16,11 @@ A suffix matters only up to ``length`` bytes: two suffixes tie when their first
 4. Each block reads its marks back, joins the marked ranges into runs and
    hashes what is left.
 
-Prefixes are compared by 64-bit fingerprints (the order inside and between
-buckets is the order of the fingerprints, so buckets are even whatever the
-texts); two different prefixes among m candidates meet with probability about
-m^2 / 2^65.
+Prefixes are compared by fingerprints (the order inside and between buckets is the
+order of the fingerprints, so buckets are even whatever the texts): the value of the
+prefix, read as a polynomial, at a random point modulo the prime 2^61 - 1. The point is drawn
+anew for each call, so no pair of texts is built to collide; two given different prefixes of n bytes
+meet with probability below n / 2^61, and among m candidates about m^2 / 2^62 pairs do.
 
 Bounded memory: a block holds about ``BLOCK_BYTES`` of text, a bucket about
 ``BUCKET_PRINTS`` fingerprints. Every block sends a fingerprint once however
@@ -38,6 +39,7 @@ is removed, the first included.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import lru_cache
 
 import numpy as np
@@ -46,9 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunning.llm.graph import freeing
+
 BLOCK_BYTES = 2 << 20
 BUCKET_PRINTS = 2 << 20
-BASE = 0x9E3779B97F4A7C15          # odd multiplier of the rolling fingerprint
+PRIME = (1 << 61) - 1              # modulus of the rolling fingerprint
 PRIMES = (17, 13, 11, 7, 5, 3, 2)  # orders q of the difference covers, v = q^2 + q + 1
 
 
@@ -83,28 +87,56 @@ def _singer(q: int) -> np.ndarray:
     raise ValueError(f"no difference set of order {q}")
 
 
+_P, _LOW, _29 = np.uint64(PRIME), np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME for x below 2^64."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 32 and 29 bits (2^61 is 1, so 2^64 is 8)."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW, b >> np.uint64(32), b & _LOW
+    low, middle = a0 * b0, a1 * b0 + a0 * b1
+    return _reduced((low & _P) + (low >> np.uint64(61)) + (middle >> np.uint64(29)) + ((middle & _29) << np.uint64(32)) + np.uint64(8) * (a1 * b1))
+
+
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    power = np.full(max(n, 1), base, dtype=np.uint64)
-    power[0] = 1
-    return np.cumprod(power, out=power)[:n]
+    """base^0 ... base^(n - 1) modulo PRIME. A worker keeps the tables of one call (two points), each as
+    long as its longest block, rounded up to a power of two."""
+    power = _TABLES.get(base, np.ones(1, dtype=np.uint64))
+    while len(power) < n:
+        power = np.concatenate([power, _times(power, np.full(1, pow(base, len(power), PRIME), dtype=np.uint64))])
+    if base not in _TABLES and len(_TABLES) >= 2:
+        _TABLES.clear()
+    _TABLES[base] = power
+    return power[:n]
 
 
 class Block:
-    """The texts of one block, in one buffer, with rolling fingerprints."""
+    """The texts of one block, in one buffer, with rolling fingerprints at the point ``base``."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, base: int):
         self.length, self.texts = length, texts
         self.lens = np.array([len(t) for t in texts], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lens)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         n = len(data)
+        power, values = _powers(base, n), data.astype(np.uint64) + np.uint64(1)
+        # running sums of byte * power, high and low half apart: neither leaves 64 bits
+        high, low = np.cumsum(values * (power >> np.uint64(32))), np.cumsum(values * (power & _LOW))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.sums[1:])
-        self.shift = _powers(pow(BASE, -1, 1 << 64), n)
+        self.sums[1:] = _reduced(_times(_reduced(high), np.full(1, 1 << 32, dtype=np.uint64)) + _reduced(low))
+        self.shift = _powers(pow(base, -1, PRIME), n)
 
     def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprint of the ``size`` bytes at each start."""
-        h = (self.sums[starts + size] - self.sums[starts]) * self.shift[starts]
+        """Fingerprint of the ``size`` bytes at each start, mixed so that its high bits are even."""
+        h = _times(_reduced(self.sums[starts + size] + (_P - self.sums[starts])), self.shift[starts])
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
@@ -181,7 +213,7 @@ SENT = "block long, bucket long, prints binary, twice binary"
 MARKS = "block long, bucket long, marks binary"
 
 
-def _load(left: pa.Table, right: pa.Table, length: int):
+def _load(left: pa.Table, right: pa.Table, length: int, base: int):
     """One block: (marks by stage and bucket, digests with copies, row -> text number, Block).
 
     ``right`` holds rows (stage, bucket, marks): 'rank' and 'tie' are what buckets sent
@@ -196,7 +228,7 @@ def _load(left: pa.Table, right: pa.Table, length: int):
         if digest not in marks["copy"]:
             row_of.setdefault(digest, row)
     number = {digest: k for k, digest in enumerate(sorted(row_of))}
-    return marks, digests, number, Block([texts[row_of[d]].as_py() for d in number], length)
+    return marks, digests, number, Block([texts[row_of[d]].as_py() for d in number], length, base)
 
 
 def _tied_starts(block: Block, marks: dict, rank_buckets: int) -> np.ndarray:
@@ -243,6 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends inside a UTF-8 character leaves that whole character in place. With
     ``words``, a run of fewer words and fewer than ``long`` bytes stays."""
     keep = keep or []
+    base = secrets.randbelow(PRIME - (1 << 32)) + (1 << 31)  # one point for all tasks of this call
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     n_bytes = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     blocks = max(16, n_bytes // BLOCK_BYTES)
@@ -264,13 +297,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def rank_stage(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _sent(0, np.zeros(0, np.uint64), rank_buckets)
-        _, _, _, own = _load(left, right, length)
+        _, _, _, own = _load(left, right, length, base)
         return _sent(left.column("block")[0].as_py(), own.sampled()[1], rank_buckets)
 
     def tie_stage(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _sent(0, np.zeros(0, np.uint64), tie_buckets)
-        marks, _, _, own = _load(left, right, length)
+        marks, _, _, own = _load(left, right, length, base)
         starts = _tied_starts(own, marks, rank_buckets)
         return _sent(left.column("block")[0].as_py(), own.prints(starts, length), tie_buckets)
 
@@ -282,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def mark_stage(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, digests, number, own = _load(left, right, length)
+        marks, digests, number, own = _load(left, right, length, base)
         starts = _tied_starts(own, marks, rank_buckets)
         starts = starts[_incoming(own.prints(starts, length), marks["tie"], tie_buckets)]
         cover_of = np.zeros(len(own.sums) + 1, dtype=np.int64)
@@ -314,10 +347,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return marks.select("block", F.lit(stage).alias("stage"), "bucket", "marks")
 
     by_block = rows.groupBy("block")
-    ranks = by_block.cogroup(copies.groupBy("block")).applyInArrow(rank_stage, SENT).groupBy("bucket").applyInArrow(_ties, MARKS)
+    ranks = by_block.cogroup(copies.groupBy("block")).applyInArrow(freeing(rank_stage), SENT).groupBy("bucket").applyInArrow(freeing(_ties), MARKS)
     known = copies.unionByName(staged(ranks, "rank"))
-    ties = by_block.cogroup(known.groupBy("block")).applyInArrow(tie_stage, SENT).groupBy("bucket").applyInArrow(_ties, MARKS)
+    ties = by_block.cogroup(known.groupBy("block")).applyInArrow(freeing(tie_stage), SENT).groupBy("bucket").applyInArrow(freeing(_ties), MARKS)
     known = known.unionByName(staged(ties, "tie"))
-    done = by_block.cogroup(known.groupBy("block")).applyInArrow(mark_stage, result)
+    done = by_block.cogroup(known.groupBy("block")).applyInArrow(freeing(mark_stage), result)
     dropped = [] if with_text else ["kept_text"]
     return done.drop(*dropped, *([] if keep else ["kept"]))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
 from dunning.llm import graph, line_dedup, ngram_join, queries, suffix_dedup, topk
@@ -188,3 +189,30 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     got = [tuple(r) for r in topk.search(df).collect()]
     assert set(got) == truth and len(got) == len(truth)
     assert topk.search(df.limit(0)).collect() == []
+
+
+def test_built_collisions_of_a_fixed_base_are_no_repeats(spark):
+    """Texts whose bytes differ by a product of (B^a - 1), 0 modulo 2^64 for any odd B: equal fingerprints under a
+    polynomial modulo 2^64, but no common string of 400 bytes."""
+    signs = np.ones(1, dtype=np.int64)
+    for a in (1, 2, 4, 8, 16, 32, 64, 128, 1, 2, 4, 8, 16):
+        wider = np.zeros(len(signs) + a, dtype=np.int64)
+        wider[a:] += signs
+        wider[:len(signs)] -= signs
+        signs = wider
+    assert np.abs(signs).max() <= 60
+    middle = ord("@") + np.zeros(len(signs), dtype=np.int64)
+    one, two = (bytes((middle + d).astype(np.uint8)).decode() for d in (np.maximum(signs, 0), np.maximum(-signs, 0)))
+    tail = "".join(random.Random(5).choice("abcdefghij ") for _ in range(300))
+    rows = [(1, "x" * 60 + one + tail, "s"), (2, "y" * 60 + two + tail, "s")]
+    assert without_repeats([t for _, t, _ in rows], 400)[0][1] == 0
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(documents(spark, rows), length=400).collect()}
+    assert got == {1: 0, 2: 0}
+
+
+def test_products_modulo_the_prime_are_exact():
+    rng = random.Random(6)
+    numbers = [0, 1, suffix_dedup.PRIME - 1, (1 << 32) - 1, 1 << 32, 1 << 60] + [rng.randrange(suffix_dedup.PRIME) for _ in range(500)]
+    a, b = np.array(numbers, dtype=np.uint64), np.array(numbers[::-1], dtype=np.uint64)
+    assert suffix_dedup._times(a, b).tolist() == [x * y % suffix_dedup.PRIME for x, y in zip(numbers, numbers[::-1])]
+    assert suffix_dedup._powers(12345, 3000).tolist() == [pow(12345, k, suffix_dedup.PRIME) for k in range(3000)]
