@@ -88,6 +88,5 @@ def test_class_shares_are_broadcast(spark):
     from dunning.operators import diagnosis
     from dunning.plans.layers import Layers
     df = diagnosis.class_share_scores(Layers.of(spark, SF_SMALL).failed)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    executed = df._jdf.queryExecution().sparkPlan().toString()
-    assert "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed, plan
+    above = df._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0]  # without how the shares were counted
+    assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above and "Exchange hashpartitioning" not in above
