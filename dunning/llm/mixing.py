@@ -76,10 +76,12 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
-        power: float = 0.5, seed: int = 7, names: tuple[str, str, str] = ("n_copies", "copy_no", "shuffle_key")) -> DataFrame:
+        power: float = 0.5, seed: int = 7, names: tuple[str, str, str] = ("n_copies", "copy_no", "shuffle_key"),
+        text_col: str = "text") -> DataFrame:
     """The input's columns, each document as often as drawn, plus (unless the input has columns of
     these ``names``, which then stay) the number of copies, the copy's number from 1, and the key
-    of the global order; sorted by that key."""
+    of the global order; sorted by that key. A document without an id draws by a digest of its
+    text, where there is such a column."""
     own = "_mix"
     while any(c.startswith(own) for c in docs.columns):
         own = "_" + own
@@ -87,12 +89,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     steps = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP).cast("int"))  # once per source
     rates = rates.select(F.col("source").alias(f"{own}_source"), steps.alias(f"{own}_steps"), distribution(F.col("rate") / steps).alias(f"{own}_cdf"))
     joined = docs.join(rates, docs[source_col].eqNullSafe(rates[f"{own}_source"]))
-    uniforms = F.transform(F.sequence(F.lit(1), F.col(f"{own}_steps")), lambda k: uniform(seed, F.col(id_col), k))
+    name = F.col(id_col).cast("string")
+    if text_col in docs.columns:
+        name = F.coalesce(name, F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    uniforms = F.transform(F.sequence(F.lit(1), F.col(f"{own}_steps")), lambda k: uniform(seed, F.col(f"{own}_name"), k))
     draw = F.aggregate(uniforms, F.lit(0), lambda total, u: total + poisson(F.col(f"{own}_cdf"), u))
     n, copy, key = (f"{own}_{x}" for x in ("n", "copy", "key"))
-    drawn = joined.withColumn(n, draw.cast("long")).where(F.col(n) > 0)
+    drawn = joined.withColumn(f"{own}_name", name).withColumn(n, draw.cast("long")).where(F.col(n) > 0)
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
-    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(f"{own}_name", F.lit("")),
                                                      F.col(copy).cast("string"))))
     added = [F.col(c).alias(name) for c, name in zip((n, copy, key), names) if name not in docs.columns]
     return keyed.sort(key, id_col).select(*[docs[c] for c in docs.columns], *added)
@@ -105,10 +110,10 @@ s AS (SELECT source, rate, CAST(greatest(1, ceil(rate / 16.0)) AS BIGINT) AS ste
 cdf AS (SELECT source, k, sum(CASE WHEN k = 0 THEN exp(-rate / steps)
           ELSE exp(-rate / steps + k * ln(rate / steps) - lgamma(k + 1)) END) OVER (PARTITION BY source ORDER BY k) AS f
         FROM s, (SELECT unnest(range(0, 81)) AS k)),
-u AS (SELECT doc_id, source, step, CAST(('0x' || substr(md5('7|' || doc_id || '|' || step), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
-      FROM (SELECT doc_id, d.source, unnest(range(1, steps + 1)) AS step FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source)),
-k AS (SELECT doc_id, source, step, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.f <= u.u) AS k FROM u),
-c AS (SELECT doc_id, source, CAST(sum(k) AS BIGINT) AS n_copies FROM k GROUP BY doc_id, source)
-SELECT doc_id, source, n_copies, copy_no, md5('order7|' || doc_id || '|' || copy_no) AS shuffle_key
-FROM (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy_no FROM c WHERE n_copies > 0)
+u AS (SELECT doc_id, source, text, step, CAST(('0x' || substr(md5('7|' || doc_id || '|' || step), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+      FROM (SELECT doc_id, d.source, d.text, unnest(range(1, steps + 1)) AS step FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source)),
+k AS (SELECT doc_id, source, text, step, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.f <= u.u) AS k FROM u),
+c AS (SELECT doc_id, source, text, CAST(sum(k) AS BIGINT) AS n_copies FROM k GROUP BY doc_id, source, text)
+SELECT doc_id, source, n_copies, copy_no, md5('order7|' || doc_id || '|' || copy_no) AS shuffle_key, sha256(text) AS text_sha256
+FROM (SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1)) AS copy_no FROM c WHERE n_copies > 0)
 """

@@ -4,6 +4,7 @@ production parameters to its whole table and derives the digest columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dunning.llm import (bpe, html_text, line_dedup, mixing, ngram_join, quality, secret_owners, sharding, suffix_dedup, token_alignment,
                          topk, toxicity, vector_codes)
@@ -45,8 +46,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, power=0.5, seed=7)
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), power=0.5, seed=7)
+    return mixed.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

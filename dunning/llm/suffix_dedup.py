@@ -53,6 +53,7 @@ from dunning.llm.graph import freeing
 BLOCK_BYTES = 2 << 20
 BUCKET_PRINTS = 2 << 20
 PRIME = (1 << 61) - 1              # modulus of the rolling fingerprint
+SLICE = 1 << 16
 PRIMES = (17, 13, 11, 7, 5, 3, 2)  # orders q of the difference covers, v = q^2 + q + 1
 
 
@@ -97,10 +98,16 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo PRIME, by halves of 32 and 29 bits (2^61 is 1, so 2^64 is 8)."""
-    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW, b >> np.uint64(32), b & _LOW
-    low, middle = a0 * b0, a1 * b0 + a0 * b1
-    return _reduced((low & _P) + (low >> np.uint64(61)) + (middle >> np.uint64(29)) + ((middle & _29) << np.uint64(32)) + np.uint64(8) * (a1 * b1))
+    """a * b modulo PRIME, by halves of 32 and 29 bits (2^61 is 1, so 2^64 is 8); slice by slice, which
+    bounds what is held between. ``b`` may be one number."""
+    out = np.empty(len(a), dtype=np.uint64)
+    for lo in range(0, len(a), SLICE):
+        x, y = a[lo:lo + SLICE], b if len(b) == 1 else b[lo:lo + SLICE]
+        x1, x0, y1, y0 = x >> np.uint64(32), x & _LOW, y >> np.uint64(32), y & _LOW
+        low, middle = x0 * y0, x1 * y0 + x0 * y1
+        out[lo:lo + SLICE] = _reduced((low & _P) + (low >> np.uint64(61)) + (middle >> np.uint64(29)) + ((middle & _29) << np.uint64(32))
+                                      + np.uint64(8) * (x1 * y1))
+    return out
 
 
 _TABLES: dict[int, np.ndarray] = {}

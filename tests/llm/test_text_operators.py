@@ -346,3 +346,11 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    docs = documents(spark, [(None, f"text {k}", "s") for k in range(300)] + [(k, f"text {k}", "t") for k in range(300)])
+    got = collections.Counter((r["doc_id"] is None, r["text"]) for r in mixing.mix(docs, weights={"s": 3.0, "t": 1.0}).collect())
+    drawn = [got[True, f"text {k}"] for k in range(300)]
+    assert 380 < sum(drawn) < 520 and len(set(drawn)) > 3  # 450 expected, no common number
+    assert sum(n for (none, _), n in got.items() if not none) < 200
