@@ -248,10 +248,10 @@ def _numbers(ids: bytes) -> np.ndarray:
 class Encoder:
     """Encodes texts of one worker; remembers a bounded number of chunks."""
 
-    def __init__(self, path: str, pattern: str, keep_ids: bool = False):
+    def __init__(self, path: str, pattern: str, keep_ids: bool = False, remembered: int = KNOWN_MAX):
         import regex
 
-        self.keep_ids = keep_ids
+        self.keep_ids, self.remembered = keep_ids, remembered
         self.vocab = load_vocabulary(path)
         self.match = regex.compile(pattern)
         self.ids: dict[str, bytes] = {}
@@ -259,7 +259,7 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > KNOWN_MAX and self.ids:
+        if len(self.ids) + len(new) > self.remembered and self.ids:
             self.ids.clear()
             self.raw.clear()
             new = list(chunks)
@@ -309,14 +309,15 @@ class Encoder:
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id",
-                      text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                      text_col: str = "text", with_ids: bool = False, remembered: int = KNOWN_MAX) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``ids_sha256`` (SHA-256 of the decimal ids joined by
-    commas), ``decoded_sha256`` (of the decoded bytes) and, with ``with_ids``, the ``ids``."""
+    commas), ``decoded_sha256`` (of the decoded bytes) and, with ``with_ids``, the ``ids``. A worker
+    remembers ``remembered`` chunks at most: fewer take less memory and more time."""
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     types = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
-        encoder = Encoder(vocabulary_path, pattern, with_ids)
+        encoder = Encoder(vocabulary_path, pattern, with_ids, remembered)
         for batch in batches:
             columns = list(zip(*encoder.many([t or "" for t in batch.column(1).to_pylist()]))) or [()] * 4
             if with_ids:

@@ -106,7 +106,7 @@ def automaton_matches(trie: dict, word: str, most: int) -> list[tuple[str, int]]
 class Matcher:
     """Looks words up in a lexicon; remembers a bounded number of them."""
 
-    def __init__(self, terms):
+    def __init__(self, terms, remembered: int = KNOWN_MAX):
         self.terms = set(terms)
         self.trie: dict = {}
         self.heads: dict[int, set[str]] = {}
@@ -128,6 +128,7 @@ class Matcher:
                 self.middles.setdefault(len(parts[1]), set()).add(parts[1])
         self.lengths = {len(t) for t in self.terms}
         self.known: dict[str, list[tuple[str, int]]] = {}
+        self.remembered = remembered
 
     def possible(self, word: str) -> bool:
         return (any(word[:k] in parts for k, parts in self.heads.items())
@@ -153,7 +154,7 @@ class Matcher:
         """Matches by token."""
         known = self.known
         distinct = set(tokens)
-        if len(known) > KNOWN_MAX:
+        if len(known) > self.remembered:
             known.clear()
         found = {}
         for token in distinct:
@@ -340,12 +341,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return lexicon
 
 
-def score_column(lexicon: Lexicon, text_col: str):
-    """Column of scores (0 to 1) of a text column."""
+def score_column(lexicon: Lexicon, text_col: str, remembered: int = KNOWN_MAX):
+    """Column of scores (0 to 1) of a text column. A worker remembers ``remembered`` words at most."""
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(lexicon.terms)
+        matcher = Matcher(lexicon.terms, remembered)
         for texts in batches:
             yield pd.Series([score(lexicon, matches(matcher, t)) for t in texts], dtype="float64")
 
