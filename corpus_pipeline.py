@@ -29,6 +29,7 @@ LENGTH = 2 * WORDS - 1  # bytes that so many words have at least
 LONG = 400        # bytes from which a passage of fewer words counts too (scripts without spaces)
 MIX_POWER = 0.5   # a source's target share goes with the root of its size
 SEED = 7
+REMEMBERED = 100_000  # words or chunks that a worker remembers: all stages share the workers' memory
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -41,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below ``REJECT``; the score is learned from the labels of rows not held out."""
     labels = table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out("doc_id")))
-    return docs.where(toxicity.score_column(lexicon, "text") < REJECT)
+    return docs.where(toxicity.score_column(lexicon, "text", remembered=REMEMBERED) < REJECT)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of ``WORDS`` words or ``LONG`` bytes that occur anywhere else; ``n_chars`` follows.
+    Every occurrence goes, the first included, so nothing of such a passage stays in the corpus.
 
     Repeats are found from ``LENGTH`` bytes on, which no passage of ``WORDS`` words is below."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -77,7 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every text."""
-    return bpe.encode_and_decode(docs, *vocabulary(), with_ids=True)
+    return bpe.encode_and_decode(docs, *vocabulary(), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [
