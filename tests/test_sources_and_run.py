@@ -141,7 +141,7 @@ def test_point_lookup_reads_one_bucket(spark):
     assert got == [("pay_1", 2), ("pay_7", -1), ("pay_7", 14)]
 
 
-def test_listing_counts_as_it_writes(spark):
+def test_listing_evaluates_its_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(k, float("nan")) for k in range(7)], "k int, v double")
 
