@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FOREST_EDGES = 200_000  # edges of one spanning forest
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -34,18 +37,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _forest(batches):
+    """The edges (u, v) that join something new in a run of ``FOREST_EDGES`` edges: a spanning forest of each run."""
+    parent: dict[int, int] = {}
+    taken = 0
+
+    def find(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for batch in batches:
+        if taken > FOREST_EDGES:
+            parent.clear()
+            taken = 0
+        taken += batch.num_rows
+        keep = []
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            keep.append(a != b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``links`` (a, b): rows (node, root), root the
     smallest node of the component. Nodes without a link are absent; null ends
     and loops are ignored.
 
-    Alternating large-star and small-star steps: every node hangs its larger
+    First each task keeps a spanning forest of its own links, which connects the same nodes
+    with fewer rows than nodes, whatever the number of links. Then alternating large-star and small-star steps: every node hangs its larger
     (smaller) neighbours on its smallest neighbour, until each component is one
     star. Minima are pre-aggregated, so a node with very many links costs one
     row per task; edges never leave the executors.
     """
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    pairs = ends.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    edges = cut(pairs.mapInArrow(_forest, "u long, v long").distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -22,7 +22,9 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
 5. Links give connected components.
 6. Exact remainder: members of larger n-gram groups that now span several
    components are compared across components only, in blocks of bounded size,
-   by the same bounds and parity bits. First every two components send only their
+   by the same bounds and by sketches (parity bits folded to one bit an n-gram,
+   4,096 at most, so what a member carries does not grow with a long text); what
+   passes meets the whole parity bits pair by pair. First every two components send only their
    most similar pair, which joins up most of what belongs together; then every
    pair across components that is still possible is
    counted as in 4. Pairs inside one component can't change it, so a group of
@@ -51,13 +53,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.llm.graph import components, cut
+from dunning.llm.graph import components, cut, freeing
 
 BINS = 1 << 16
 NEXT = 1                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
 FRAGMENTS = 4
 BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
+SKETCH_WORDS = 64        # 64-bit words of parity bits that a member of step 6 carries at most
+PAIR_WORDS = 1 << 20     # words compared at a time
 FILTER_BITS = 1 << 25
 SLICE_BYTES = 4 << 20    # text handled at a time
 
@@ -277,49 +281,98 @@ def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def _across(members: DataFrame, threshold: int, best: bool) -> DataFrame:
+def _sketch(bits: bytes) -> bytes:
+    """Parity bits folded to about one bit an n-gram, ``SKETCH_WORDS`` words at most. Folding keeps the bound."""
+    whole = np.frombuffer(bits, dtype="u8")
+    return _folded(whole[None], max(1, min(len(whole) // 4, SKETCH_WORDS)))[0].tobytes()
+
+
+def _sketches(bits: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_sketch(b) for b in batch.column(1).to_pylist()], pa.binary())],
+                                             names=["node", "sketch"])
+
+    return bits.select("node", "bits").mapInArrow(run, "node long, sketch binary")
+
+
+def _differ(flat: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing sketch bits of rows i and j, the wider sketch folded to the narrower one."""
+    out = np.zeros(len(i), dtype="i8")
+    for wi, wj in set(zip(words[i].tolist(), words[j].tolist())) if len(i) < 64 else np.unique(np.stack([words[i], words[j]]), axis=1).T.tolist():
+        at = np.nonzero((words[i] == wi) & (words[j] == wj))[0]
+        w, step = min(wi, wj), max(1, PAIR_WORDS // max(wi, wj))
+        for k in range(0, len(at), step):
+            part = at[k:k + step]
+            x = _folded(flat[start[i[part]][:, None] + np.arange(wi)], w)
+            y = _folded(flat[start[j[part]][:, None] + np.arange(wj)], w)
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
+    return out
+
+
+def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> DataFrame:
     """(a, b, na, nb): pairs of classes of different components in one n-gram's group that
-    pass the bounds and whose parity bits allow a link; with ``best``, of every two components
-    only the most similar pair. Groups are compared block by block."""
+    pass the bounds and whose sketches allow a link; with ``best``, of every two components
+    only the most similar pair. Large groups are dealt in pairs of blocks; a task takes the
+    blocks of one bucket, sorted by size, and compares rows k apart, all groups at once, for
+    k = 1, 2, ... until no row has a partner of fitting size left."""
 
     def run(table: pa.Table) -> pa.Table:
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        node, size, pos, root, block = (table.column(k).to_numpy() for k in ("node", "size", "pos", "root", "block"))
-        bits = [np.frombuffer(b, dtype="u8") for b in table.column("bits").to_pylist()]
-        words = np.array([len(b) for b in bits])
-        at: dict[int, np.ndarray] = {}  # row in the matrix of each width, for rows of this width or more
-        matrix: dict[int, np.ndarray] = {}
-        for w in np.unique(words).tolist():
-            wide = np.nonzero(words >= w)[0]
-            matrix[w] = np.concatenate([_folded(bits[i][None], w) for i in wide])
-            at[w] = np.full(len(bits), -1)
-            at[w][wide] = np.arange(len(wide))
-        out: dict = {}
-        for i in np.nonzero(block == lo)[0].tolist():
-            other = (root != root[i]) & ((block == hi) if lo != hi else (np.arange(len(node)) > i))
-            need = _needed(size[i], size, threshold)
-            other &= 1 + np.minimum(size[i] - pos[i] - 1, size - pos - 1) >= need
-            j = np.nonzero(other)[0]
-            differ = np.zeros(len(j), dtype="i8")
-            for w in np.unique(np.minimum(words[i], words[j])).tolist():
-                same = np.minimum(words[i], words[j]) == w
-                k = j[same]
-                differ[same] = np.bitwise_count(matrix[w][at[w][k]] ^ matrix[w][at[w][i]]).sum(axis=1, dtype="i8")
-            ok = size[i] + size[j] - differ >= 2 * need[j]
-            j, differ = j[ok], differ[ok]
-            for x, d in zip(j.tolist(), differ.tolist()):
-                a, b = (i, x) if (size[i], node[i]) < (size[x], node[x]) else (x, i)
-                key = (min(root[i], root[x]), max(root[i], root[x])) if best else (i, x)
-                if key not in out or (d, node[a], node[b]) < out[key][:3]:
-                    out[key] = (d, node[a], node[b], size[a], size[b])
-        columns = list(zip(*out.values()))[1:] or [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "na", "nb"])
+        table = table.combine_chunks()
+        gram, lo, hi, block, node, size, pos, root = (table.column(k).to_numpy() for k in
+                                                      ("gram", "lo", "hi", "block", "node", "size", "pos", "root"))
+        order = np.lexsort((node, size, hi, lo, gram))
+        raw = table.column("sketch").to_pylist()
+        words = np.array([len(b) // 8 for b in raw], dtype="i8")
+        start = (np.cumsum(words) - words)[order]
+        flat, words = np.frombuffer(b"".join(raw), dtype="u8"), words[order]
+        del raw
+        gram, lo, hi, block, node, size, pos, root = (x[order] for x in (gram, lo, hi, block, node, size, pos, root))
+        new = np.append(True, (gram[1:] != gram[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+        group = np.cumsum(new)
+        found, held = [], 0
+
+        def best_of(rows: np.ndarray) -> np.ndarray:
+            """The distinct pairs, or the most similar one of every two components."""
+            d, a, b, na, nb, r, s = rows
+            by = np.lexsort((b, a, d, s, r)) if best else np.lexsort((b, a))
+            rows = rows[:, by]
+            key = rows[5:7] if best else rows[1:3]
+            return rows[:, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))]
+
+        i, k = np.arange(len(group)), 0
+        while len(i):
+            k += 1
+            i = i[i + k < len(group)]
+            j = i + k
+            fits = (group[i] == group[j]) & (100 * size[i] >= threshold * size[j])  # sizes ascend: who fails once fails from here on
+            i = i[fits]
+            j = i + k
+            need = _needed(size[i], size[j], threshold)
+            ok = ((root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+                  & (1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= need))
+            x, y, need = i[ok], j[ok], need[ok]
+            d = _differ(flat, start, words, x, y)
+            ok = size[x] + size[y] - d >= 2 * need
+            x, y, d = x[ok], y[ok], d[ok]
+            if len(x):
+                swap = (size[x] == size[y]) & (node[x] > node[y])
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                found.append(np.stack([d, node[x], node[y], size[x], size[y], np.minimum(root[x], root[y]), np.maximum(root[x], root[y])]))
+                held += len(x)
+                if held > 1_000_000:
+                    found = [best_of(np.concatenate(found, axis=1))]
+                    held = -found[0].shape[1]
+        rows = best_of(np.concatenate(found, axis=1)) if found else np.zeros((7, 0), dtype="i8")
+        return pa.table([pa.array(rows[c]) for c in range(1, 5)], names=["a", "b", "na", "nb"])
 
     blocks = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("long").alias("blocks"))
     dealt = (members.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "pos", "root", "bits"))
-    return dealt.groupBy("gram", "lo", "hi").applyInArrow(run, "a long, b long, na long, nb long").distinct()
+             .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+             .select(F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(buckets)).alias("bucket"), "gram", "lo", "hi", "block", "node", "size",
+                     "pos", "root", "sketch"))
+    return dealt.groupBy("bucket").applyInArrow(freeing(run), "a long, b long, na long, nb long").distinct()
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -414,11 +467,13 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_links(texts, pairs, n, threshold, bin_rank, pivots))
     roots = components(links)
 
+    sketches = _sketches(bits)
     for best in (True, False):
         labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
         spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
-        open_members = labelled.join(spread, "gram", "left_semi").join(bits, "node")
-        more = cut(_across(open_members, threshold, best).join(pairs, ["a", "b", "na", "nb"], "left_anti"))
+        open_members = labelled.join(spread, "gram", "left_semi").join(sketches, "node")
+        across = _across(open_members, threshold, best, buckets).join(pairs, ["a", "b", "na", "nb"], "left_anti")
+        more = cut(_likely(cut(across), bits, threshold))
         if more.isEmpty():
             continue
         pairs = pairs.union(more)
