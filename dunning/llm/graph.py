@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import tempfile
 
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage collection finds
+    that no plan refers to them any more, which without a call may be long after the step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _forest(batches):
     """The edges (u, v) that join something new in a run of ``FOREST_EDGES`` edges: a spanning forest of each run."""
     parent: dict[int, int] = {}

@@ -24,17 +24,18 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
    components are compared across components only, in blocks of bounded size,
    by the same bounds and by sketches (parity bits folded to one bit an n-gram,
    4,096 at most, so what a member carries does not grow with a long text); what
-   passes meets the whole parity bits pair by pair. First every two components send only their
-   most similar pair, which joins up most of what belongs together; then every
-   pair across components that is still possible is
-   counted as in 4. Pairs inside one component can't change it, so a group of
-   near copies is never squared.
+   passes meets the whole parity bits pair by pair. First every component sends
+   only its most similar pair, as long as most of what is sent links; then every
+   pair across components that is still possible is counted as in 4. Pairs
+   inside one component can't change it, so a group of near copies is never
+   squared. Groups are cut where the sizes leap too far for a link across.
 
 Nothing is capped. Driver-side state: the 65,536 bin counts and a 2^25-bit
 filter of candidate classes (it only spares shuffling sets that surely have no
 candidate; false positives are dropped by the join).
 
-Fingerprints are 64-bit: two different n-grams of one pair of texts meet with
+Fingerprints and text digests are 64-bit (a digest only chooses the texts to look at
+again): two different n-grams of one pair of texts meet with
 probability about |a| |b| / 2^64.
 
 Defined results: null, empty or word-less texts have 0 n-grams and link with
@@ -53,14 +54,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.llm.graph import components, cut, freeing
+from dunning.llm.graph import components, cut, freeing, release
 
 BINS = 1 << 16
 NEXT = 1                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
 FRAGMENTS = 4
 BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
-SKETCH_WORDS = 64        # 64-bit words of parity bits that a member of step 6 carries at most
+SKETCH_LEAST = 8         # 64-bit words of parity bits that a member of step 6 carries, if it has as many
+SKETCH_WORDS = 64        # and at most
 PAIR_WORDS = 1 << 20     # words compared at a time
 FILTER_BITS = 1 << 25
 SLICE_BYTES = 4 << 20    # text handled at a time
@@ -108,6 +110,13 @@ def _node(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), seed=1)).astype(np.int64))
 
 
+def _digests(texts: pa.Array) -> np.ndarray:
+    """64-bit digest of each text's bytes."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts.cast(pa.binary()).to_pylist()], dtype="u8").view("i8")
+
+
 def _slices(batches):
     """(ids, texts) of bounded bytes from Arrow batches."""
     for batch in batches:
@@ -143,11 +152,12 @@ def _needed(na, nb, threshold: int):
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """(id, node, grams, bits, bins): a row per document, and a row per task with its bin counts."""
+    """(id, node, text, grams, bits, bins): a row per document (text is a digest), and a row per task with its bin counts."""
 
     def run(batches):
         bins = np.zeros(BINS, dtype=np.int64)
-        schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("grams", pa.int64()), ("bits", pa.binary()), ("bins", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("text", pa.int64()), ("grams", pa.int64()), ("bits", pa.binary()),
+                            ("bins", pa.binary())])
         seen: set[int] = set()
         for part in _slices(batches):
             sets = gram_sets(part.column(1), n)
@@ -160,12 +170,12 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 if node is not None and len(seen) < 1_000_000:
                     seen.add(node)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column(0), pa.array(nodes, pa.int64()), pa.array(_digests(part.column(1))), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(bits, pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema)
         void = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([void, void, void, pa.nulls(1, pa.binary()), pa.array([bins.tobytes()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([void, void, void, void, pa.nulls(1, pa.binary()), pa.array([bins.tobytes()], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, node long, grams long, bits binary, bins binary")
+    return docs.mapInArrow(run, "id long, node long, text long, grams long, bits binary, bins binary")
 
 
 def _bin_counts(scan: DataFrame) -> np.ndarray:
@@ -228,7 +238,8 @@ def _prefixes(docs: DataFrame, n: int, threshold: int, bin_rank: np.ndarray, buc
 
 
 def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
-    """Rows (a, b, na, nb) of candidates, and rows (gram, a, na, pos) of members left to step 6."""
+    """Rows (a, b, na, nb) of candidates, and rows (gram, a, na, pos) of members left to step 6,
+    where gram names an n-gram and a run of its classes' sizes without a leap."""
     schema = pa.schema([("gram", pa.int64()), ("a", pa.int64()), ("na", pa.int64()), ("pos", pa.int64()),
                         ("b", pa.int64()), ("nb", pa.int64())])
 
@@ -252,9 +263,11 @@ def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
             ok = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= need
             found.append(np.stack([node[i][ok], node[j][ok], size[i][ok], size[j][ok]]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        starts = np.nonzero(np.append(True, gram[1:] != gram[:-1]))[0] if len(gram) else np.zeros(0, "i8")
+        apart = gram[1:] != gram[:-1]  # a group ends where sizes leap too far for any link across
+        starts = np.nonzero(np.append(True, apart | (100 * size[:-1] < threshold * size[1:])))[0] if len(gram) else np.zeros(0, "i8")
         count = np.diff(np.append(starts, len(gram)))
         rest = np.repeat(count > NEXT + 1, count)
+        gram = _mix(gram + np.repeat(size[starts], count).view("u8"))
         n_pairs, n_rest = pairs.shape[1], int(rest.sum())
         void = lambda k: pa.nulls(k, pa.int64())
         return pa.concat_tables([
@@ -282,9 +295,9 @@ def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
 
 
 def _sketch(bits: bytes) -> bytes:
-    """Parity bits folded to about one bit an n-gram, ``SKETCH_WORDS`` words at most. Folding keeps the bound."""
+    """Parity bits folded to about one bit an n-gram, but ``SKETCH_LEAST`` to ``SKETCH_WORDS`` words. Folding keeps the bound."""
     whole = np.frombuffer(bits, dtype="u8")
-    return _folded(whole[None], max(1, min(len(whole) // 4, SKETCH_WORDS)))[0].tobytes()
+    return _folded(whole[None], min(len(whole), max(SKETCH_LEAST, min(len(whole) // 4, SKETCH_WORDS))))[0].tobytes()
 
 
 def _sketches(bits: DataFrame) -> DataFrame:
@@ -312,10 +325,11 @@ def _differ(flat: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarra
 
 def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> DataFrame:
     """(a, b, na, nb): pairs of classes of different components in one n-gram's group that
-    pass the bounds and whose sketches allow a link; with ``best``, of every two components
-    only the most similar pair. Large groups are dealt in pairs of blocks; a task takes the
+    pass the bounds and whose sketches allow a link; with ``best``, of every component
+    only the most similar pair that it takes part in. Large groups are dealt in pairs of blocks; a task takes the
     blocks of one bucket, sorted by size, and compares rows k apart, all groups at once, for
     k = 1, 2, ... until no row has a partner of fitting size left."""
+    names = ["a", "b", "na", "nb"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -333,12 +347,15 @@ def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> Dat
         found, held = [], 0
 
         def best_of(rows: np.ndarray) -> np.ndarray:
-            """The distinct pairs, or the most similar one of every two components."""
-            d, a, b, na, nb, r, s = rows
-            by = np.lexsort((b, a, d, s, r)) if best else np.lexsort((b, a))
-            rows = rows[:, by]
-            key = rows[5:7] if best else rows[1:3]
-            return rows[:, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))]
+            """The distinct pairs, or the most similar one of every component."""
+            if best:
+                ends = np.concatenate([rows, rows], axis=1)
+                own = np.concatenate([rows[5], rows[6]])
+                by = np.lexsort((ends[2], ends[1], ends[0], own))
+                own = own[by]
+                rows = ends[:, by][:, np.append(True, own[1:] != own[:-1])]
+            rows = rows[:, np.lexsort((rows[2], rows[1]))]
+            return rows[:, np.append(True, (rows[1:3, 1:] != rows[1:3, :-1]).any(axis=0))]
 
         i, k = np.arange(len(group)), 0
         while len(i):
@@ -364,7 +381,7 @@ def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> Dat
                     found = [best_of(np.concatenate(found, axis=1))]
                     held = -found[0].shape[1]
         rows = best_of(np.concatenate(found, axis=1)) if found else np.zeros((7, 0), dtype="i8")
-        return pa.table([pa.array(rows[c]) for c in range(1, 5)], names=["a", "b", "na", "nb"])
+        return pa.table([pa.array(row) for row in rows], names=["d", *names, "r", "s"])
 
     blocks = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("long").alias("blocks"))
     dealt = (members.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -372,32 +389,41 @@ def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> Dat
              .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
              .select(F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(buckets)).alias("bucket"), "gram", "lo", "hi", "block", "node", "size",
                      "pos", "root", "sketch"))
-    return dealt.groupBy("bucket").applyInArrow(freeing(run), "a long, b long, na long, nb long").distinct()
+    found = dealt.groupBy("bucket").applyInArrow(freeing(run), "d long, a long, b long, na long, nb long, r long, s long")
+    if best:
+        found = (found.select(F.explode(F.array("r", "s")).alias("own"), F.struct("d", *names).alias("pair"))
+                 .groupBy("own").agg(F.min("pair").alias("pair")).select("pair.*"))
+    return found.select(*names).distinct()
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """2^25-bit filter of a node column, merged by word on the executors."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = (nodes.select(F.floor(bit / 64).cast("long").alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
+def _filter_bits(texts: DataFrame) -> np.ndarray:
+    """2^25-bit filter of a column of text digests, merged by word on the executors."""
+    bit = F.pmod(F.col("text"), F.lit(FILTER_BITS))
+    words = (texts.select(F.floor(bit / 64).cast("long").alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
              .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas())
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[words["word"].to_numpy(dtype="i8")] = words["bits"].to_numpy(dtype="i8")
     return bits
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, n: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
+def _segments(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
     """(part, grams), part = struct(node, fragment): the sets of the classes in ``nodes``, cut at
-    the fragments' borders. One exchange on ``part`` serves the join with either end of a pair."""
-    wanted = cut(nodes.select("node").distinct())
+    the fragments' borders. Only texts whose digest may be that of such a class are cut into
+    n-grams. One exchange on ``part`` serves the join with either end of a pair."""
+    wanted = cut(nodes.select("node").distinct().join(classes.select("node", "text"), "node"))
     bits = _filter_bits(wanted)
 
     def run(batches):
         seen: set[int] = set()
         for part in _slices(batches):
-            sets = [(g, _node(g)) for g in gram_sets(part.column(1), n) if len(g)]
+            digests = _digests(part.column(1))
+            at = digests % FILTER_BITS
+            chosen = np.nonzero((bits[at // 64] >> (at % 64)) & 1)[0]
+            if not len(chosen):
+                continue
             rows = []
-            for (grams, node), ok in zip(sets, _maybe([k for _, k in sets], bits)):
-                if not ok or node in seen:
+            for grams in gram_sets(part.column(1).take(pa.array(chosen)), n):
+                if not len(grams) or (node := _node(grams)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
@@ -418,18 +444,9 @@ def _parts(node: str):
     return F.array(*[F.struct(F.col(node).alias("node"), F.lit(f).alias("fragment")) for f in range(FRAGMENTS)])
 
 
-def _maybe(nodes: list[int], bits: np.ndarray) -> np.ndarray:
-    """Filter test on the bit positions that ``_filter_bits`` computed (xxhash64 of the node, seed 42)."""
-    import xxhash
-
-    at = np.array([xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed=42) % FILTER_BITS
-                   for x in nodes], dtype="i8")
-    return (bits[at // 64] >> (at % 64)) & 1 == 1 if len(at) else np.zeros(0, dtype=bool)
-
-
-def _links(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, threshold: int, bin_rank: np.ndarray, pivots: np.ndarray) -> DataFrame:
     """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
-    segments = _segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, bin_rank, pivots)
+    segments = _segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, n, bin_rank, pivots)
     left, right = (segments.select(F.col("part").alias(f"part_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     each = pairs.select("*", F.posexplode(F.arrays_zip(_parts("a").alias("a"), _parts("b").alias("b"))).alias("k", "ends"))
     each = each.select("a", "b", "na", "nb", F.col("ends.a").alias("part_a"), F.col("ends.b").alias("part_b"))
@@ -450,7 +467,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = cut(_scan(texts, n))
     rows = scan.where(F.col("bins").isNull()).select("id", "node", "grams")
-    bits = scan.where(F.col("bits").isNotNull()).groupBy("node").agg(F.first("bits").alias("bits"))
+    classes = cut(scan.where(F.col("bits").isNotNull()).groupBy("node").agg(F.min("text").alias("text"), F.first("bits").alias("bits")))
     counts = _bin_counts(scan)
     bin_rank = np.empty(BINS, dtype=np.uint64)
     by_count = np.lexsort((np.arange(BINS), counts))
@@ -463,27 +480,34 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = cut(_pairs(_prefixes(texts, n, threshold, bin_rank, buckets), threshold))
     members = found.where(F.col("gram").isNotNull()).select("gram", F.col("a").alias("node"), F.col("na").alias("size"), "pos")
-    pairs = cut(_likely(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct(), bits, threshold))
-    links = cut(_links(texts, pairs, n, threshold, bin_rank, pivots))
+    release(spark)
+    pairs = cut(_likely(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct(), classes, threshold))
+    links = cut(_links(texts, pairs, classes, n, threshold, bin_rank, pivots))
     roots = components(links)
+    release(spark)
 
-    sketches = _sketches(bits)
-    for best in (True, False):
+    sketches, best = cut(_sketches(classes)), True
+    while True:
         labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
         spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
         open_members = labelled.join(spread, "gram", "left_semi").join(sketches, "node")
         across = _across(open_members, threshold, best, buckets).join(pairs, ["a", "b", "na", "nb"], "left_anti")
-        more = cut(_likely(cut(across), bits, threshold))
-        if more.isEmpty():
-            continue
-        pairs = pairs.union(more)
-        links = cut(links.union(_links(texts, more, n, threshold, bin_rank, pivots)))
-        roots = components(links)
-
-    classes = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
-               .join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
-    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(named, "root").select("node", "component_id")
-    return (rows.join(classes, "node", "left")
+        more = cut(_likely(across, classes, threshold))
+        sent, linked = more.count(), 0
+        if sent:
+            new = cut(_links(texts, more, classes, n, threshold, bin_rank, pivots))
+            linked = new.count()
+            pairs = pairs.union(more)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+        release(spark)
+        if not best:
+            break
+        best = 0 < sent <= 2 * linked
+
+    firsts = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
+              .join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    named = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    firsts = firsts.join(named, "root").select("node", "component_id")
+    return (rows.join(firsts, "node", "left")
             .select(F.col("id").alias(id_col), F.coalesce("grams", F.lit(0)).cast("long").alias("n_shingles"),
                     F.col("node").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")))
