@@ -25,7 +25,7 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
    by the same bounds and by sketches (parity bits folded to one bit an n-gram,
    4,096 at most, so what a member carries does not grow with a long text); what
    passes meets the whole parity bits pair by pair. First every component sends
-   only its most similar pair, as long as most of what is sent links; then every
+   only its most similar pair, and once more if most of what was sent links; then every
    pair across components that is still possible is counted as in 4. Pairs
    inside one component can't change it, so a group of near copies is never
    squared. Groups are cut where the sizes leap too far for a link across.
@@ -61,6 +61,7 @@ NEXT = 1                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
 FRAGMENTS = 4
 BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
+NEAREST_PASSES = 2       # passes of step 6 in which components send their most similar pair only
 SKETCH_LEAST = 8         # 64-bit words of parity bits that a member of step 6 carries, if it has as many
 SKETCH_WORDS = 64        # and at most
 PAIR_WORDS = 1 << 20     # words compared at a time
@@ -486,8 +487,9 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     release(spark)
 
-    sketches, best = cut(_sketches(classes)), True
+    sketches, best, passes = cut(_sketches(classes)), True, 0
     while True:
+        passes += 1
         labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
         spread = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
         open_members = labelled.join(spread, "gram", "left_semi").join(sketches, "node")
@@ -502,7 +504,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(spark)
         if not best:
             break
-        best = 0 < sent <= 2 * linked
+        best = 0 < sent <= 2 * linked and passes < NEAREST_PASSES
 
     firsts = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
               .join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
