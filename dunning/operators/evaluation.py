@@ -17,7 +17,6 @@ from dunning.sources.tables import literal_table
 
 SPLIT_SEED = 42
 TEST_PERCENT = 25          # per class, ceil(25 % of its rows) go to test
-SPLIT_BLOCK_BITS = 16      # rank blocks: the leading 16 of the 32 hash bits
 RISK_FLAG_THRESHOLD = 0.5
 METRIC_PLACES = 6
 
@@ -100,17 +99,14 @@ def with_split(df: DataFrame, label: str = "actual_bucket", seed: int = SPLIT_SE
     (then the id); the first ceil(test_percent % of n_c) rows are the test set,
     so every class keeps its exact share (integer arithmetic, no sampling).
 
-    The rank inside a class is ``prior_totals`` over hash blocks, not a window
-    ``PARTITION BY class``: with five classes such a window would put a fifth
-    (or, for a dominant class, most) of the data into one task. Blocks are the
-    leading ``SPLIT_BLOCK_BITS`` bits of the hash, so a class is spread over
-    65,536 window partitions, and the per-block counts are a partial
-    aggregate. Class sizes come from one more partial aggregate (k rows)."""
+    The rank inside a class is ``prior_totals``, a parallel scan of range-partitioned
+    rows, not a window ``PARTITION BY class``: with five classes such a window would put a
+    fifth (or, for a dominant class, most) of the data into one task. Class sizes come from
+    one more partial aggregate (k rows)."""
     h = salted_hash8(f"split|{seed}|", F.col("payment_id"))
     cls = "__cls"   # null labels form their own class (the join keys must not be NULL)
     src = df.withColumns({"__h": h, cls: F.coalesce(F.col(label), F.lit("\u0000null"))})
-    ranked = prior_totals(src, cls, ["__h", "payment_id"], {"__rank": F.lit(1)}, ts="__h",
-                          block=F.shiftright(F.col("__h"), 32 - SPLIT_BLOCK_BITS))
+    ranked = prior_totals(src, cls, ["__h", "payment_id"], {"__rank": F.lit(1)})
     sizes = src.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
     n_test = F.floor((F.col("__n") * F.lit(test_percent) + F.lit(99)) / F.lit(100))
     out = ranked.join(F.broadcast(sizes), cls, "inner")  # one row per class

@@ -43,6 +43,11 @@ def final_metrics(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("revenue_at_risk"),
         F.coalesce(F.sum("recovered_amount"), F.lit(0)).cast(MONEY).alias("revenue_recovered"),
     )
+    return kpi_document(m)
+
+
+def kpi_document(m: DataFrame) -> DataFrame:
+    """The KPI row from its counts and sums."""
     return m.select(
         "records_evaluated", "policy_decisions", "retry_now", "retry_later", "send_reminder",
         "human_escalations", "recovery_attempts", "successful_recoveries", "failed_recoveries",

@@ -26,7 +26,7 @@ from dunning.plans.layers import Layers
 from dunning.sources import payments as P
 from dunning.sources import lookup_index, sinks, tables
 from dunning.session import ensure_checkpoint_dir
-from dunning.streaming import dedupe, recovery_log
+from dunning.streaming import dedupe, live_metrics, recovery_log
 from dunning.streaming import webhook as W
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +228,25 @@ def final_metrics(spark, sf_dir):
     return metrics.final_metrics(L.decisions, L.outcomes)
 
 
+@register("final_metrics_live", O.with_ctes(*_MET, select="SELECT * FROM metrics"))
+def final_metrics_live(spark, sf_dir):
+    """AGG-6 kept up to date: decisions that count line items as attempts come first, then the decisions without attempts
+    replace them; outcomes of payments that are no longer retried are withdrawn."""
+    L = Layers.of(spark, sf_dir)
+    first = policy_with_attempts(spark, sf_dir)
+    first_outcomes = outcomes.label_outcomes(first, L.payments)
+    gone = first_outcomes.select("payment_id").join(L.outcomes, "payment_id", "left_anti")
+    folder = _scratch(spark, "metrics-live")
+    steps = [[live_metrics.changes(first, live_metrics.DECISION, 1), live_metrics.changes(first_outcomes, live_metrics.OUTCOME, 1)],
+             [live_metrics.changes(L.decisions, live_metrics.DECISION, 2), live_metrics.changes(L.outcomes, live_metrics.OUTCOME, 2),
+              live_metrics.changes(gone, live_metrics.OUTCOME, 2, deleted=True)]]
+    for parts in steps:
+        for rows in parts:
+            rows.write.mode("append").parquet(f"{folder}/feed")
+        live_metrics.start(spark, f"{folder}/feed", f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return live_metrics.document(spark, f"{folder}/counts")
+
+
 @register("revenue_long", O.with_ctes(*_MET, select="""
 SELECT ord, label, amount,
        CASE WHEN revenue_at_risk > 0

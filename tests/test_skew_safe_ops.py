@@ -30,12 +30,35 @@ def _nulls(spark):
     return df.union(spark.createDataFrame(extra, df.schema))
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 500, 10 ** 9])  # every key, the hot one, none cut into blocks
-@pytest.mark.parametrize("block_unit", ["hour", "day"])
-def test_prior_totals_equals_window(spark, heavy_rows, block_unit):
+@pytest.fixture(params=[1, 7, 40])
+def partitions(spark, request):
+    names = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield request.param
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_hot_hour_of_one_customer_is_cut(spark, partitions):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"p{k:05d}", "hot", base + dt.timedelta(seconds=(k * 7) % 3600)) for k in range(4000)] + [("q", "cold", base)]
+    got = prior_totals(spark.createDataFrame(rows, "payment_id string, customer_id string, timestamp timestamp"), "customer_id",
+                       ["timestamp", "payment_id"], {"n": F.lit(1)})
+    sizes = [r["c"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert partitions == 1 or max(sizes) < 3 * 4001 / partitions
+    hot = sorted((r for r in got.collect() if r.customer_id == "hot"), key=lambda r: (r.timestamp, r.payment_id))
+    assert [r.n for r in hot] == list(range(4000))
+
+
+def test_prior_totals_of_an_empty_table(spark):
+    assert prior_totals(_events(spark).limit(0), "customer_id", ["timestamp"], {"n": F.lit(1)}).collect() == []
+
+
+def test_prior_totals_equals_window(spark, partitions):
     df = _nulls(spark)
-    got = prior_totals(df, "customer_id", ["timestamp", "payment_id"], {"n": F.lit(1), "fails": F.col("f")}, ts="timestamp",
-                       block_unit=block_unit, heavy_rows=heavy_rows)
+    got = prior_totals(df, "customer_id", ["timestamp", "payment_id"], {"n": F.lit(1), "fails": F.col("f")})
     w = (Window.partitionBy("customer_id").orderBy(F.col("timestamp").asc_nulls_last(), F.col("payment_id").asc_nulls_last())
          .rowsBetween(Window.unboundedPreceding, -1))
     want = df.select("payment_id", F.count(F.lit(1)).over(w).alias("n"),
