@@ -117,3 +117,12 @@ def customer_risk_features(pay: DataFrame) -> DataFrame:
     return (out.withColumn("customer_prior_fail_rate", rate)
                .withColumn("actual_at_risk", is_failed)
                .drop("__prior_fails"))
+
+
+def customer_odds(pay: DataFrame) -> DataFrame:
+    """Failed and paid payments of every customer and the odds of failure, failed / paid
+    (infinite without a paid one; rows of no customer are one group)."""
+    counts = pay.groupBy("customer_id").agg(F.count_if(F.col("status") == "failed").alias("failed"),
+                                            F.count_if(F.col("status") != "failed").alias("paid"))
+    odds = F.col("failed") * F.pow(F.col("paid").cast("double"), F.lit(-1.0))
+    return counts.withColumn("odds", F.round(odds, 6))

@@ -97,8 +97,8 @@ def score_diagnosis(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
                       F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
-def feature_importance(fitted: PipelineModel, top: int = 10) -> list[tuple[str, float]]:
-    """ML-8 / SRT-2: names from the assembled vector's attribute metadata."""
+def feature_importance(fitted: PipelineModel, top: int | None = 10) -> list[tuple[str, float]]:
+    """ML-8 / SRT-2: the ``top`` features (all for None), by importance, then name."""
     forest = fitted.stages[-1]
     imp = forest.featureImportances.toArray().tolist()
     return sorted(zip(_feature_names(fitted), imp), key=lambda t: (-t[1], t[0]))[:top]
@@ -112,6 +112,22 @@ def _feature_names(fitted: PipelineModel) -> list[str]:
     return names + NUMERIC
 
 
+def fit_encoder(train: DataFrame) -> PipelineModel:
+    """ML-4 alone: the feature stages of the diagnosis pipeline."""
+    return Pipeline(stages=_features(CATEGORICAL, NUMERIC)).fit(_numeric(train, NUMERIC))
+
+
+def encoded(encoder: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The feature vector of every row by name: ``active`` lists the one-hot slots that are 1 (none for a value
+    that the encoder has not seen, or null), joined by commas; the numeric slots follow under their own names."""
+    names = _feature_names(encoder)
+    slots = F.col("__slots")
+    hot = [F.when(slots[i] == 1, F.lit(n)) for i, n in enumerate(names[:-len(NUMERIC)])]
+    numbers = [slots[len(hot) + i].alias(n) for i, n in enumerate(NUMERIC)]
+    out = encoder.transform(_numeric(rows, NUMERIC)).withColumn("__slots", vector_to_array("features"))
+    return out.select("payment_id", F.concat_ws(",", *hot).alias("active"), *numbers)
+
+
 def fit_risk(features: DataFrame, num_trees: int = 50, max_depth: int = MAX_DEPTH, seed: int = SEED):
     """ML-10: binary failure-risk model over all payments (label actual_at_risk)."""
     data = _numeric(features, RISK_NUMERIC).withColumn("label", F.col("actual_at_risk").cast("double"))

@@ -743,3 +743,155 @@ SELECT payment_id, amount, customer_id FROM lookup"""))
 def first_per_payment(spark, sf_dir):
     """WIN-4 / JON-3 lookup side: first payment row per id (by time, then amount, customer)."""
     return execution.payment_lookup(Layers.of(spark, sf_dir).payments).drop("__found")
+
+
+# --- products written and read again (SRC-1..3, SRC-5, SNK-1, SNK-4, SNK-5, FN-1, FN-15) -------------
+@register("payments_csv", O.with_ctes(O.cte_payments(), select=f"SELECT {_PAY_SQL} FROM payments"))
+def payments_csv(spark, sf_dir):
+    """SRC-1, SNK-1: all payments as a headed CSV, typed again while it is read (FN-1)."""
+    folder = _scratch(spark, "payments-csv")
+    sinks.write_table(Layers.of(spark, sf_dir).payments.select(*PAYMENT_OUT), folder, fmt="csv")
+    return _payment_text(P.payments_from_csv(spark, folder))
+
+
+@register("decisions_csv", O.with_ctes(*_DEC, select="SELECT * FROM decisions"))
+def decisions_csv(spark, sf_dir):
+    """SRC-2, SNK-1: the decisions as a headed CSV, read with their declared schema."""
+    folder = _scratch(spark, "decisions-csv")
+    decisions = Layers.of(spark, sf_dir).decisions
+    sinks.write_table(decisions, folder, fmt="csv")
+    return tables.read_result(spark, folder, decisions.schema, "csv")
+
+
+@register("final_metrics_json", O.with_ctes(*_MET, select="SELECT * FROM metrics"))
+def final_metrics_json(spark, sf_dir):
+    """SNK-4, SRC-5: the metrics document as one JSON file, read with its declared schema."""
+    folder = _scratch(spark, "metrics-json")
+    document = final_metrics(spark, sf_dir)
+    sinks.write_metrics_json(document, folder)
+    return sinks.read_metrics_json(spark, folder, document.schema)
+
+
+@register("odds_listing", O.with_ctes(O.cte_payments(), """
+odds AS (
+  SELECT customer_id, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status <> 'failed') AS paid
+  FROM payments GROUP BY customer_id)""", select="""
+SELECT (SELECT count(*) FROM odds) AS count, CAST(json_object('customer_id', customer_id, 'failed', failed, 'paid', paid,
+  'odds', CASE WHEN paid > 0 THEN round(CAST(failed AS DOUBLE) / paid, 6) END) AS VARCHAR) AS record FROM odds"""))
+def odds_listing(spark, sf_dir):
+    """SNK-5, FN-15: odds of customers that never paid are infinite, and null in the listing."""
+    return sinks.records_with_count(features.customer_odds(Layers.of(spark, sf_dir).payments), _scratch(spark, "odds"))
+
+
+_NULL_LAYERS = ", ".join(f"CAST({v} AS {t}) AS {c}" for c, t, v in [
+    *[(f.name, {"string": "VARCHAR", "int": "INTEGER"}.get(f.dataType.simpleString(), f.dataType.simpleString()), "NULL")
+      for f in A.DECISION_NULLS.fields],
+    *[(f.name, "VARCHAR", "NULL") for f in A.ATTEMPT_NULLS.fields if f.name != "recovered_amount"],
+    ("recovered_amount", "DECIMAL(18,2)", "0")])
+
+
+@register("audit_without_layers", O.with_ctes(O.cte_payments(), select=f"SELECT {_PAY_SQL}, {_NULL_LAYERS} FROM failed"))
+def audit_without_layers(spark, sf_dir):
+    """SRC-3, PRJ-3: neither decisions nor attempts exist; the audit has the columns that it has with them."""
+    audit = A.audit_table(Layers.of(spark, sf_dir).failed, None, None)
+    return audit.withColumn("timestamp", ts_text("timestamp"))
+
+
+@register("audit_with_clashes", O.with_ctes(*_LOG, select=f"""
+SELECT f.* EXCLUDE ("timestamp"), {O.ts_text('f."timestamp"')} AS "timestamp", d.* EXCLUDE (payment_id),
+  ld.amount AS amount_policy, a.* EXCLUDE (payment_id), CASE WHEN a.payment_id IS NOT NULL THEN ld.amount END AS amount_exec
+FROM failed f LEFT JOIN decisions d ON f.payment_id = d.payment_id
+LEFT JOIN lookup ld ON d.payment_id = ld.payment_id LEFT JOIN attempts_log a ON f.payment_id = a.payment_id"""))
+def audit_with_clashes(spark, sf_dir):
+    """PRJ-4: decisions and attempts carry an amount of their own, which keeps its layer's suffix."""
+    L = Layers.of(spark, sf_dir)
+    decided = execution.amounts_with_default(L.decisions, L.failed)
+    tried = execution.amounts_with_default(L.attempts_log, L.failed)
+    return A.audit_table(L.failed, decided, tried).withColumn("timestamp", ts_text("timestamp"))
+
+
+@register("reference_amounts", O.with_ctes(O.cte_payments(), O.cte_lookup("failed"), O.cte_webhook(), select="""
+SELECT r.event_id, r.payment_id, COALESCE(l.amount, CAST(0 AS DECIMAL(18,2))) AS amount
+FROM (SELECT event_id, replace(reference_id, 'recovery_', '') AS payment_id FROM recovered) r
+LEFT JOIN lookup l ON r.payment_id = l.payment_id"""))
+def reference_amounts(spark, sf_dir):
+    """JON-4: amount of the failed payment that a recovery refers to, 0 where it is none."""
+    L = Layers.of(spark, sf_dir)
+    asked = W.recoveries(_classified(spark, sf_dir)).select("event_id", F.replace("reference_id", F.lit("recovery_"), F.lit("")).alias("payment_id"))
+    return execution.amounts_with_default(asked, L.failed)
+
+
+@register("activity_records", O.with_ctes(*_OUT, O.cte_attempts(), select="""
+SELECT 'decision' AS kind, * FROM decisions
+UNION ALL BY NAME SELECT 'attempt' AS kind, * FROM attempts
+UNION ALL BY NAME SELECT 'outcome' AS kind, * FROM outcomes"""))
+def activity_records(spark, sf_dir):
+    """SET-2: decisions, attempts and outcomes in one table with the columns of all three."""
+    L = Layers.of(spark, sf_dir)
+    parts = {"decision": L.decisions, "attempt": L.attempts, "outcome": L.outcomes}
+    return tables.union_all_columns(*[rows.withColumn("kind", F.lit(kind)) for kind, rows in parts.items()])
+
+
+# --- the webhook consumer as streams (SRC-6, SNK-3, STR-4, STR-5) -------------------------------------
+@register("webhook_recovery_stream", O.with_ctes(O.cte_webhook(), select="SELECT * EXCLUDE (recovered_at) FROM recovered"))
+def webhook_recovery_stream(spark, sf_dir):
+    """SRC-6, SNK-3, STR-5: deliveries land as JSON files, a stream that remembers event ids appends each recovery once.
+    (Of deliveries with one event id in one batch any may be the kept one, so its time is not returned.)"""
+    folder = _scratch(spark, "recovery-stream")
+    W.write_landing(Layers.of(spark, sf_dir).envelopes, f"{folder}/landing")
+    W.start_recovery_log_stream(spark, f"{folder}/landing", f"{folder}/log", f"{folder}/checkpoint", W.TEST_SECRET).awaitTermination()
+    return spark.read.parquet(f"{folder}/log").drop("recovered_at")
+
+
+@register("webhook_stream_match", ORACLE["webhook_match"])
+def webhook_stream_match(spark, sf_dir):
+    """STR-4 over the stream: each batch's recoveries are matched to the attempts as they arrive."""
+    folder = _scratch(spark, "match-stream")
+    L = Layers.of(spark, sf_dir)
+    W.write_landing(L.envelopes, f"{folder}/landing")
+    W.start_stream(spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", W.TEST_SECRET,
+                   attempts=L.attempts_log).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/matches").drop("run", "epoch")
+
+
+# --- what SQL can say of a fitted model (ML-4..9, SRT-2, FN-22) -----------------------------------------
+_CATEGORY_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{c}_' || {c} AS feature FROM train WHERE {c} IS NOT NULL" for c in M.CATEGORICAL)
+_NUMBER_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in M.NUMERIC)
+
+
+@register("encoded_features", O.with_ctes(*_PRED, f"seen AS ({_CATEGORY_SQL})", select=f"""
+SELECT payment_id, concat_ws(',', {", ".join(f"(SELECT feature FROM seen WHERE feature = '{c}_' || p.{c})" for c in M.CATEGORICAL)}) AS active,
+  {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in M.NUMERIC)} FROM preds p"""))
+def encoded_features(spark, sf_dir):
+    """ML-4: every failed payment as the models see it, by an encoder of the train split."""
+    rows = _diag_features(spark, sf_dir)
+    train, _ = M.split(rows)
+    return M.encoded(M.fit_encoder(train), rows)
+
+
+@register("importance_names", O.with_ctes(*_PRED, select=f"SELECT feature, true AS ordered FROM ({_CATEGORY_SQL} UNION ALL {_NUMBER_SQL})"))
+def importance_names(spark, sf_dir):
+    """ML-8, SRT-2: all features of the forest by name; importances are shares of 1 and fall along the listing."""
+    pairs = M.feature_importance(Layers.of(spark, sf_dir).diagnosis_fit[0], None)
+    values = [v for _, v in pairs]
+    ordered = values == sorted(values, reverse=True) and min(values) >= 0 and abs(sum(values) - 1) < 1e-6
+    return M.importance_frame(spark, pairs).select("feature", F.lit(ordered).alias("ordered"))
+
+
+@register("model_holdout", O.with_ctes(*_HELD, select="""
+SELECT model, payment_id, actual_bucket, true AS scored FROM held, (VALUES ('forest'), ('logistic')) m(model)
+WHERE actual_bucket IS NOT NULL"""))
+def model_holdout(spark, sf_dir):
+    """ML-5..7, ML-9, FN-22: the forest, saved and loaded, and the baseline score exactly the held-out payments: each with a
+    known bucket and a confidence above 0; the loaded forest says what the fitted one said."""
+    L = Layers.of(spark, sf_dir)
+    fitted, test = L.diagnosis_fit
+    folder = _scratch(spark, "forest")
+    M.save(fitted, folder)
+    said = L.diagnosis_scores.select("payment_id", F.col("predicted_bucket").alias("said"), F.col("confidence").alias("sure"))
+    known = F.col("predicted_bucket").isin(*O.R.BUCKETS) & (F.col("confidence") > 0) & (F.col("confidence") <= 1)
+    forest = M.score_diagnosis(M.load(folder), test).join(said, "payment_id").select(
+        F.lit("forest").alias("model"), "payment_id", "actual_bucket",
+        (known & (F.col("said") == F.col("predicted_bucket")) & (F.abs(F.col("sure") - F.col("confidence")) < 1e-9)).alias("scored"))
+    baseline, held = M.fit_diagnosis(_diag_features(spark, sf_dir), model="logistic")
+    return forest.unionByName(M.score_diagnosis(baseline, held).select(F.lit("logistic").alias("model"), "payment_id", "actual_bucket", known.alias("scored")))

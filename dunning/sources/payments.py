@@ -163,14 +163,17 @@ def universe_order(columns) -> list[str]:
     return ["__prio", "timestamp", *[c for c in columns if c not in ("payment_id", "__prio", "timestamp")]]
 
 
+#: Date, time, a fraction of any length, zone: what Spark's cast reads, without its bare years and bare times.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?\s*(Z|[+-]\d{2}:\d{2})?$"
+
+
 def parse_timestamp(col: str) -> F.Column:
-    """FN-1: text -> timestamp (ISO forms with 'T' or space, optional fraction);
-    unparseable text gives NULL instead of failing the job."""
-    t = F.regexp_replace(F.trim(F.col(col)), "T", " ")
-    return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
+    """FN-1: text -> timestamp (ISO forms with 'T' or space, optional fraction and zone;
+    without a zone the session's); unparseable text gives NULL instead of failing the job."""
+    given = F.trim(F.col(col))
+    return F.coalesce(F.when(given.rlike(ISO_TIME), given.try_cast("timestamp")),
+                      F.try_to_timestamp(F.regexp_replace(given, "T", " "), F.lit("yyyy-MM-dd HH:mm")),
+                      F.try_to_timestamp(given, F.lit("yyyy-MM-dd")))
 
 
 CSV_SCHEMA = T.StructType([

@@ -54,3 +54,26 @@ def test_minor_units_and_humanize(spark):
 def test_nan_to_null(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,)], "v double")
     assert [r[0] for r in df.select(X.nan_to_null("v")).collect()] == [None, None, 1.5]
+
+
+def test_timestamps_with_fractions_and_zones(spark):
+    from dunning.functions.expr import ts_text
+    from dunning.sources.payments import parse_timestamp
+    texts = ["2024-05-06T07:08:09.000Z", "2024-05-06 07:08:09.5", "2024-05-06T07:08:09+02:00", "2024-05-06 07:08:09",
+             "2024-05-06 07:08", "2024-05-06", " 2024-05-06T07:08:09 ", "2024", "07:08:09", "2024-13-01", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(ts_text(parse_timestamp("t"))).collect()]
+    day = "2024-05-06 "
+    assert got == [day + "07:08:09", day + "07:08:09", day + "05:08:09", day + "07:08:09", day + "07:08:00", day + "00:00:00",
+                   day + "07:08:09", None, None, None, None, None]
+
+
+def test_odds_without_a_paid_payment_are_infinite_and_null_in_records(spark, tmp_path):
+    from dunning.operators.features import customer_odds
+    from dunning.sources.sinks import records_with_count
+    pay = spark.createDataFrame([("a", "failed"), ("a", "captured"), ("a", "captured"), ("b", "failed"), (None, "captured")], "customer_id string, status string")
+    odds = customer_odds(pay)
+    assert {r.customer_id: r.odds for r in odds.collect()} == {"a": 0.5, "b": float("inf"), None: 0.0}
+    assert sorted(r.record for r in records_with_count(odds, str(tmp_path / "odds")).collect()) == [
+        '{"customer_id":"a","failed":1,"paid":2,"odds":0.5}', '{"customer_id":"b","failed":1,"paid":0,"odds":null}',
+        '{"customer_id":null,"failed":0,"paid":1,"odds":0.0}']

@@ -98,3 +98,12 @@ def test_policy_decides_every_payment_with_the_model(spark):
     decisions = committed.read_runs(spark, out + "/policy_decisions")
     assert decisions.count() == failed.count() == doc["records_evaluated"]
     assert decisions.join(failed, "payment_id", "left_anti").count() == 0 and decisions.where("confidence is null").count() == 0
+
+
+def test_encoder_leaves_unseen_and_null_values_without_a_slot(spark):
+    cols = "payment_id string, error_code string, method string, amount double, hour_of_day int, day_of_week int, customer_fail_count long"
+    train = spark.createDataFrame([("a", "E1", "card", 1.0, 2, 3, 4), ("b", "E2", "upi", 5.0, 6, 0, 0)], cols)
+    rows = spark.createDataFrame([("c", "E2", "card", 7.0, 1, 1, 9), ("d", "new", "upi", 0.0, 0, 0, 0), ("e", None, "new", 0.0, 0, 0, 0)], cols)
+    got = {r.payment_id: r for r in models.encoded(models.fit_encoder(train), rows).collect()}
+    assert [got[k].active for k in "cde"] == ["error_code_E2,method_card", "method_upi", ""]
+    assert (got["c"].amount, got["c"].hour_of_day, got["c"].day_of_week, got["c"].customer_fail_count) == (7.0, 1.0, 1.0, 9.0)
