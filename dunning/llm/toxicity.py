@@ -14,19 +14,23 @@ plain exact match but a misspelled one (by term) or a quoted one (overall).
 Scoring: each distinct word of a text runs as a Levenshtein automaton (its
 states are bit masks, one mask per error) along the trie of the terms, after
 sets of term parts have excluded most words: one of k + 1 parts of a term must
-be intact if k edits suffice. Allowed edits: 0 below five letters, 1 below nine,
+be intact if k edits suffice. Allowed edits of a term: 0 below five letters, 1 below nine,
 else 2. A match counts as quoted if a quotation mark opens before and closes
 after it inside the window, or a word of report stands in the window. The score
 is 1 - prod(1 - p) over the matched terms, each with its best match.
 
 Scale: whole texts are scored in one map over the scan, no shuffle of texts;
-what travels is the sample's word counts. The lexicon holds at most
-``max_terms`` terms. A worker's word table is bounded.
+what travels is the sample's word counts. The lexicon holds words of the sample
+only, so it is bounded by ``max_rows``, whatever the table. A worker's word table is bounded.
+
+Words: a text is cut at white space; a token counts as the word between its outer
+marks and, where marks stand inside, as the words between these too. No length is cut.
 
 Defined results: null, empty and word-less texts score 0; null labels and labels
 of unknown ids teach nothing; a document labelled twice counts as toxic if one
 label says so; without toxic labels every score is 0; repeated rows get equal
-scores; other columns are ignored.
+scores; very long texts and tokens are scored whole, in time linear in their length
+for a given lexicon; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,19 +47,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 50_000     # labelled rows that learning uses at most
-MAX_TERMS = 20_000
 LEAST = 0.5           # least share of real terms at a word's counts
 UNSEEN = 0.6          # toxic share of a term's misspellings if the sample has none
 WINDOW = 6            # words of context on either side
 KNOWN_MAX = 400_000   # words that a worker remembers
-WORD_MAX = 48         # longer runs of characters are no words
+LONG_TOKEN = 64       # longer tokens are looked up each time, not remembered
 
 # Quotation marks, words of report and digit-for-letter spellings.
 QUOTES = "\"“”„«»‹›"
 REPORT = {"said", "says", "called", "calls", "wrote", "writes", "quote", "quoted", "quotes", "quoting", "word", "term"}
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = re.compile(r"[\W_]+")
+
+
+def bare(token: str) -> str:
+    """A token without its outer marks."""
+    if token.isalnum():
+        return token
+    a, b = 0, len(token)
+    while a < b and not token[a].isalnum():
+        a += 1
+    while a < b and not token[b - 1].isalnum():
+        b -= 1
+    return token[a:b]
 
 
 def allowed(length: int) -> int:
@@ -126,8 +141,10 @@ class Matcher:
             self.tails.setdefault(len(parts[-1]), set()).add(parts[-1])
             if edits == 2:
                 self.middles.setdefault(len(parts[1]), set()).add(parts[1])
-        self.lengths = {len(t) for t in self.terms}
-        self.known: dict[str, list[tuple[str, int]]] = {}
+        self.longest = max(map(len, self.terms), default=0)
+        self.found: dict[str, list[tuple[str, int]]] = {}  # matches of tokens that have some
+        self.hit: set[str] = set()
+        self.clean: set[str] = set()
         self.remembered = remembered
 
     def possible(self, word: str) -> bool:
@@ -135,35 +152,46 @@ class Matcher:
                 or any(word[-k:] in parts for k, parts in self.tails.items())
                 or any(word[i:i + k] in parts for k, parts in self.middles.items() for i in range(len(word) - k + 1)))
 
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """(term, edits) of a word, with at least one edit."""
+        # a term of nine letters is the shortest that allows two edits: seven letters may be left of it
+        if 4 <= len(word) <= self.longest + 2 and self.possible(word):
+            return automaton_matches(self.trie, word, 2 if len(word) >= 7 else 1)
+        return []
+
     def look_up(self, token: str) -> list[tuple[str, int]]:
-        """(term, edits) of a token as it stands between spaces, lower case."""
-        if len(token) > WORD_MAX:
-            return []
-        word = EDGE.sub("", token)
+        """(term, edits) of a token as it stands between spaces, lower case: the word itself, its plain
+        spelling, the words between its inner marks, else what is near the word, else near those."""
+        word = bare(token)
         if word in self.terms:
             return [(word, 0)]
-        if not word.isalpha():
-            plain = re.sub(r"[\W_]+", "", token.translate(LOOKALIKE))
-            if plain in self.terms:
-                return [(plain, 1)]
-        if len(word) >= 4 and self.possible(word):
-            return automaton_matches(self.trie, word, min(2, len(word) // 4))
-        return []
+        if word.isalpha():
+            return self.near(word)
+        plain = MARKS.sub("", token.translate(LOOKALIKE))
+        if plain in self.terms:
+            return [(plain, 1)]
+        parts = set() if word.isalnum() else set(MARKS.split(word))
+        return sorted((part, 0) for part in parts & self.terms) or self.near(word) or sorted({m for part in parts for m in self.near(part)})
 
     def hits(self, tokens: list[str]) -> dict[str, list[tuple[str, int]]]:
         """Matches by token."""
-        known = self.known
         distinct = set(tokens)
-        if len(known) > self.remembered:
-            known.clear()
-        found = {}
-        for token in distinct:
-            match = known.get(token)
-            if match is None:
-                match = known[token] = self.look_up(token)
+        if len(self.clean) + len(self.found) > self.remembered:
+            self.clean.clear()
+            self.found.clear()
+            self.hit.clear()
+        out = {token: self.found[token] for token in distinct & self.hit}
+        for token in distinct - self.clean - self.hit:
+            match = self.look_up(token)
             if match:
-                found[token] = match
-        return found
+                out[token] = match
+            if len(token) <= LONG_TOKEN:
+                if match:
+                    self.found[token] = match
+                    self.hit.add(token)
+                else:
+                    self.clean.add(token)
+        return out
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -174,7 +202,7 @@ def is_quoted(tokens: list[str], at: int) -> bool:
     lo, hi = max(0, at - WINDOW), min(len(tokens), at + WINDOW + 1)
     before = any(q in t for t in tokens[lo:at] for q in QUOTES) or tokens[at][:1] in QUOTES
     after = any(q in t for t in tokens[at + 1:hi] for q in QUOTES) or tokens[at][-1:] in QUOTES
-    return before and after or any(EDGE.sub("", t) in REPORT for t in tokens[lo:hi])
+    return before and after or any(bare(t) in REPORT for t in tokens[lo:hi])
 
 
 def matches(matcher: Matcher, text: str | None) -> dict[tuple[str, int, bool], int]:
@@ -229,7 +257,7 @@ def _word_counts(batches):
 
     for batch in batches:
         for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for word in {EDGE.sub("", x) for x in tokens_of(text) if len(x) <= WORD_MAX}:
+            for word in {bare(x) for x in set(tokens_of(text))}:
                 if len(word) >= 2:
                     counts.setdefault(word, [0, 0])[toxic] += 1
             if len(counts) > 500_000:
@@ -271,7 +299,7 @@ def _tail(n: int, least: int, p: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
+          max_rows: int = MAX_ROWS) -> Lexicon:
     """Lexicon from at most ``max_rows`` labelled rows, chosen by a hash of the id."""
     spark = docs.sparkSession
     marked = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -300,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words.unpersist()
         return Lexicon()
     keep = F.broadcast(spark.createDataFrame([(*k, v) for k, v in shares.items()], "d long, t long, share double"))
-    terms = words.join(keep, ["d", "t"]).orderBy(F.desc("share"), F.desc("t"), "word").limit(max_terms).collect()
+    terms = words.join(keep, ["d", "t"]).orderBy(F.desc("share"), F.desc("t"), "word").collect()  # words of the sample
     lexicon = Lexicon({r["word"]: r["share"] for r in terms})
     words.unpersist()
 

@@ -108,10 +108,59 @@ def test_automaton_on_trie_is_the_edit_distance():
         word = "".join(rng.choice("abc") for _ in range(rng.randrange(4, 13)))
         if word in terms:
             continue
-        truth = {(t, d) for t in terms if (d := edit_distance(t, word)) <= min(toxicity.allowed(len(t)), 2, len(word) // 4) and toxicity.allowed(len(t))}
+        truth = {(t, d) for t in terms if (d := edit_distance(t, word)) <= toxicity.allowed(len(t)) and toxicity.allowed(len(t))}
         assert set(matcher.look_up(word)) == truth
 
 
+def plain_matches(terms, token):
+    """(term, edits) of a token by the rules of the module's docstring, comparing every word with every term."""
+    def strip(text):
+        return re.sub(r"^[\W_]+|[\W_]+$", "", text)
+
+    def near(word):
+        return {(t, d) for t in terms if abs(len(t) - len(word)) < 3 and (d := edit_distance(t, word)) <= toxicity.allowed(len(t)) and toxicity.allowed(len(t))}
+
+    word = strip(token)
+    if word in terms:
+        return {(word, 0)}
+    if not word.isalpha():
+        plain = re.sub(r"[\W_]+", "", token.translate(toxicity.LOOKALIKE))
+        if plain in terms:
+            return {(plain, 1)}
+    parts = [x for x in re.split(r"[\W_]+", word) if x]
+    return {(x, 0) for x in parts if x in terms} or near(word) or set().union(*map(near, parts))
+
+
+def test_toxicity_score_equals_plain_comparison():
+    rng = random.Random(31)
+    terms = {"horridword": 0.9, "vile": 0.7, "nasty": 0.8, "abominations": 0.6}
+    lexicon = toxicity.Lexicon(terms, {"vile": 0.65}, {"nasty": 0.5}, 0.3)
+    matcher = toxicity.Matcher(terms, remembered=40)
+    pieces = ["horridword", "horidword", "hrrdword", "vile", "vole", "nasty", "nastyy", "n4sty", "abomintion", "bominations", "plain", "words", "said", '"', "q" * 90]
+    for _ in range(150):
+        tokens = ["".join(rng.choice(pieces) + rng.choice(["", "", ".", "/", "_", "-"]) for _ in range(rng.choice([1, 1, 1, 2, 12])))
+                  for _ in range(rng.randrange(0, 20))]
+        best = {}
+        found = [(at, t, e) for at, token in enumerate(tokens) for t, e in plain_matches(terms, token)]
+        lone = len({t for at, t, e in found if not e and not toxicity.is_quoted(tokens, at)}) < 2
+        for at, t, e in found:
+            p = lexicon.alone.get(t, terms[t]) if lone else terms[t]
+            p *= (lexicon.misspelled.get(t, toxicity.UNSEEN) if e else 1) * (lexicon.quoted if toxicity.is_quoted(tokens, at) else 1)
+            best[t] = max(best.get(t, 0), p)
+        truth = 1.0
+        for p in best.values():
+            truth *= 1 - p
+        assert abs(toxicity.score(lexicon, toxicity.matches(matcher, " ".join(tokens))) - (1 - truth)) < 1e-12, tokens
+
+
+def test_toxicity_cuts_no_token_and_no_term():
+    matcher = toxicity.Matcher({"horridword", "abominations", "x" * 60})
+    for token in ("horridword.next", "x.horridword/" + "y" * 500, "horridword" + "," * 200_000 + "z", "_" * 100_000 + "horridword"):
+        assert matcher.look_up(token) == [("horridword", 0)]
+    assert matcher.look_up("x" * 59) == [("x" * 60, 1)] and matcher.look_up("x" * 60) == [("x" * 60, 0)]
+    assert toxicity.Matcher({"ninechars"}).look_up("ninechr") == [("ninechars", 2)]  # seven letters, two of nine missing
+
+
 def labelled(rng, n):
     rows, labels = [], []
     for k in range(n):
@@ -213,6 +262,25 @@ def test_quality_measures_and_cascade(spark):
     assert quality.judge(documents(spark, [])).collect() == []
 
 
+def test_cascade_counts_rejections_of_the_rows_that_are_left():
+    sets = [(frozenset("a"), 10), (frozenset("ab"), 30), (frozenset("b"), 5), (frozenset("c"), 8), (frozenset(), 100)]
+    # a first (40 rows a second); b then has 5 of its 35 left and c, at twice the cost, 8: 5 a second against 4
+    assert quality.greedy_order(sets, {"a": 1.0, "b": 1.0, "c": 2.0}) == ["a", "b", "c"]
+    assert quality.greedy_order(sets, {"a": 1.0, "b": 1.0, "c": 1.0}) == ["a", "c", "b"]
+    assert quality.greedy_order(sets, {"a": 9.0, "b": 1.0, "c": 1.0}) == ["b", "c", "a"]
+    assert quality.greedy_order([], {"b": 1.0, "a": 1.0, "c": 0.5}) == ["c", "a", "b"]
+
+
+def test_cascade_is_ordered_on_rows_that_pass_the_base_rule(spark):
+    rng = random.Random(41)
+    # the costly rule rejects most rows, but only rows that the base rule has rejected before
+    texts = ["short text"] * 300 + [prose(rng, 30, 500) for _ in range(60)] + [prose(rng, 30, 500) + " ###" for _ in range(60)]
+    docs = documents(spark, [(None if k % 2 else k, t, "s") for k, t in enumerate(texts)])
+    slow = " or ".join(f"size(filter(words, w -> rlike(w, '^(s{k}|t)ext$'))) > 0" for k in range(6))
+    assert quality.order_rules(docs, "doc_id", "text", {"short": slow, "marked": "n_symbols > 2"}, 10_000) == ["marked", "short"]
+    assert quality.order_rules(docs, "doc_id", "text", {}, 10_000) == []
+
+
 def test_quality_keeps_labelled_good_documents(spark):
     rows = quality.judge(spark.read.parquet(f"{SF_MID}/documents.parquet")).join(spark.read.parquet(f"{SF_MID}/labels.parquet"), "doc_id").collect()
     assert all(r["kept"] or r["base_failed"] for r in rows if r["quality"] == 1)
