@@ -45,6 +45,28 @@ def test_window_opens_closes_and_survives_a_restart(spark):
                                               15: "recovered"}
 
 
+def test_python_is_called_per_bucket_and_buckets_keep_ids_apart(spark):
+    base = tempfile.mkdtemp(prefix="dunning-buckets-")
+    paid = [(k, k % 7, f"e{k % 400}", "paid") for k in range(1200)]
+    W.write_landing(_env(spark, _rows(paid)), os.path.join(base, "landing"), files=2)
+    reader = spark.readStream.schema(W.ENVELOPE_SCHEMA).json(os.path.join(base, "landing"))
+    out = dedupe.classified_stream(reader, W.TEST_SECRET, buckets=3)
+    with_rocks = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", dedupe.STATE_STORE)
+    try:
+        query = (out.writeStream.format("parquet").option("path", os.path.join(base, "results"))
+                 .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", with_rocks)
+    told = _statuses(spark, base)
+    assert len(told) == 1200 and sum(v == "recovered" for v in told.values()) == 400
+    assert {k for k, v in told.items() if v == "recovered"} == {
+        min((k for k, _, e, _ in paid if e == f"e{i}"), key=lambda k: (k % 7, k)) for i in range(400)}
+    # one state value a bucket, not one an id
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2 * 3  # value and timer
+
+
 def test_stream_equals_batch_on_given_events(spark):
     base = tempfile.mkdtemp(prefix="dunning-bounded-")
     env = Layers.of(spark, SF_SMALL).envelopes
