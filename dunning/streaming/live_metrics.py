@@ -2,7 +2,9 @@
 
 A change names a row by (kind, payment_id) and carries a version. The latest version counts:
 keyed state holds each row as it counts now, and a change gives a signed row for what it
-replaces (-1) and one for what it puts there (+1). A micro-batch's signed rows are summed to one
+replaces (-1) and one for what it puts there (+1). Rows are dealt to ``BUCKETS`` buckets by hash
+and a bucket's rows are one state value, so that calls into Python are one a bucket, not one a row;
+the number of buckets belongs to the checkpoint. A micro-batch's signed rows are summed to one
 row, published as a run of its epoch (an epoch tried again replaces itself), and the document is
 the sum of the published rows: one small row an epoch, no decision is read again.
 
@@ -30,7 +32,10 @@ CONTENT = ["action", "outcome", "amount", "recovered_amount"]
 CHANGE_SCHEMA = ("kind string, payment_id string, version long, deleted boolean, action string, outcome string, "
                  "amount string, recovered_amount string")
 SIGNED_SCHEMA = "kind string, action string, outcome string, amount string, recovered_amount string, sign long"
-STATE_SCHEMA = "version long, deleted boolean, action string, outcome string, amount string, recovered_amount string"
+STATE_SCHEMA = ("kinds array<string>, payment_ids array<string>, versions array<long>, deleted array<boolean>, actions array<string>, "
+                "outcomes array<string>, amounts array<string>, recovered_amounts array<string>")
+BUCKETS, BUCKET = 4096, "__bucket"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OLDEST = -(1 << 63)
 
 
@@ -41,28 +46,38 @@ def changes(rows: DataFrame, kind: str, version: int, deleted: bool = False) ->
                        F.lit(deleted).alias("deleted"), *content)
 
 
+def _order(row: tuple) -> tuple:
+    return (-row[0], row[1], *[(v is not None, v or "") for v in row[2:]])
+
+
 def _replace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed rows that lead from the row that counted to the one that counts now."""
-    old = tuple(state.get) if state.exists else None
-    now = old
-    order = lambda r: (-r[0], r[1], *[(v is not None, v or "") for v in r[2:]])
+    """Signed rows that lead from the rows of a bucket that counted to those that count now."""
+    held: dict = {}
+    if state.exists:
+        kinds, ids, *columns = state.get
+        held = dict(zip(zip(kinds, ids), zip(*columns)))
+    now: dict = {}
     for batch in batches:
-        for version, deleted, *content in batch[["version", "deleted", *CONTENT]].itertuples(index=False, name=None):
-            row = (int(version), bool(deleted), *[None if pd.isna(v) else v for v in content])
-            if (old is None or row[0] > old[0]) and (now is old or order(row) < order(now)):
-                now = row
-    if now is not old:
-        state.update(now)
-        signed = [(key[0], *row[2:], sign) for row, sign in ((old, -1), (now, 1)) if row is not None and not row[1]]
+        given = batch[["kind", "payment_id", "version", "deleted", *CONTENT]].astype(object)
+        for kind, pid, *row in given.where(given.notna(), None).itertuples(index=False, name=None):
+            name, row = (kind, pid), (int(row[0]), bool(row[1]), *row[2:])
+            old, new = held.get(name), now.get(name)
+            if (old is None or row[0] > old[0]) and (new is None or _order(row) < _order(new)):
+                now[name] = row
+    if now:
+        signed = [(name[0], *row[2:], sign) for name, new in now.items() for row, sign in ((held.get(name), -1), (new, 1))
+                  if row is not None and not row[1]]
+        held.update(now)
+        state.update((*map(list, zip(*held)), *map(list, zip(*held.values()))))
         if signed:
             yield pd.DataFrame(signed, columns=["kind", *CONTENT, "sign"])
 
 
-def signed_rows(feed: DataFrame) -> DataFrame:
+def signed_rows(feed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Signed rows of a streamed change feed."""
     clean = feed.withColumns({"version": F.coalesce("version", F.lit(OLDEST)), "deleted": F.coalesce("deleted", F.lit(False))})
-    named = (clean.where(F.col("payment_id").isNotNull()).groupBy("kind", "payment_id")
-             .applyInPandasWithState(_replace, SIGNED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    named = (clean.where(F.col("payment_id").isNotNull()).withColumn(BUCKET, F.pmod(F.xxhash64("kind", "payment_id"), F.lit(buckets)))
+             .groupBy(BUCKET).applyInPandasWithState(_replace, SIGNED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
     nameless = clean.where(F.col("payment_id").isNull() & ~F.col("deleted")).select("kind", *CONTENT, F.lit(1).cast("long").alias("sign"))
     return named.union(nameless)
 
@@ -97,7 +112,13 @@ def start(spark: SparkSession, feed_dir: str, out_dir: str, checkpoint: str, ava
         committed.write_run(signed_counts(batch), out_dir, f"epoch-{epoch}")
 
     writer = signed_rows(reader.parquet(feed_dir)).writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)  # rows that count stay out of the heap; a query keeps the settings it starts with
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def document(spark: SparkSession, out_dir: str) -> DataFrame | None:

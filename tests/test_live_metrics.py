@@ -54,3 +54,15 @@ def test_document_follows_replacements_and_withdrawals(spark):
             os.remove(f"{base}/ckpt/commits/{name}")
     LM.start(spark, f"{base}/feed", f"{base}/counts", f"{base}/ckpt").awaitTermination()
     assert LM.document(spark, f"{base}/counts").first() == before
+
+
+def test_state_is_one_value_a_bucket(spark):
+    base = tempfile.mkdtemp(prefix="dunning-live-buckets-")
+    rows = [("decision", f"p{k}", 1, False, "retry_now", None, None, None) for k in range(500)]
+    spark.createDataFrame(rows, LM.CHANGE_SCHEMA).write.parquet(f"{base}/feed")
+    signed = LM.signed_rows(spark.readStream.schema(LM.CHANGE_SCHEMA).parquet(f"{base}/feed"), buckets=5)
+    query = (signed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == 500
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) == 5
