@@ -665,7 +665,7 @@ def feature_importance(spark, sf_dir):
 def model_accuracy(spark, sf_dir):
     L = Layers.of(spark, sf_dir)
     forest = EV.accuracy(L.diagnosis_scores).withColumn("model", F.lit("forest"))
-    fitted, test = M.fit_diagnosis(_diag_features(spark, sf_dir), model="logistic")
+    fitted, test = L.baseline_fit
     logistic = EV.accuracy(M.score_diagnosis(fitted, test)).withColumn("model", F.lit("logistic"))
     return forest.unionByName(logistic)
 
@@ -893,5 +893,5 @@ def model_holdout(spark, sf_dir):
     forest = M.score_diagnosis(M.load(folder), test).join(said, "payment_id").select(
         F.lit("forest").alias("model"), "payment_id", "actual_bucket",
         (known & (F.col("said") == F.col("predicted_bucket")) & (F.abs(F.col("sure") - F.col("confidence")) < 1e-9)).alias("scored"))
-    baseline, held = M.fit_diagnosis(_diag_features(spark, sf_dir), model="logistic")
+    baseline, held = L.baseline_fit
     return forest.unionByName(M.score_diagnosis(baseline, held).select(F.lit("logistic").alias("model"), "payment_id", "actual_bucket", known.alias("scored")))

@@ -115,11 +115,25 @@ class Layers:
         return _keep(W.classify_guarded(self.guarded))
 
     # --- fitted models (fit once per session / data dir) -------------------
+    @cached_property
+    def diagnosis_split(self):
+        """(train, test) rows of the diagnosis models."""
+        from dunning.operators import models
+        return models.split_diagnosis(diagnosis.diagnosis_features(self.failed))
+
     @cached_property
     def diagnosis_fit(self):
         """(PipelineModel, held-out test rows) of the 200-tree forest."""
         from dunning.operators import models
-        return models.fit_diagnosis(diagnosis.diagnosis_features(self.failed))
+        train, test = self.diagnosis_split
+        return models.fit_train(train), test
+
+    @cached_property
+    def baseline_fit(self):
+        """(PipelineModel, held-out test rows) of the logistic baseline, on the same split."""
+        from dunning.operators import models
+        train, test = self.diagnosis_split
+        return models.fit_train(train, model="logistic"), test
 
     @cached_property
     def diagnosis_scores(self) -> DataFrame:

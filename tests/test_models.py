@@ -32,6 +32,26 @@ def test_forest_invariants(spark):
     assert sorted(again.collect()) == sorted(scored.collect())
 
 
+def test_training_rows_are_dealt_evenly_and_like_rows_lie_together(spark):
+    feats = diagnosis.diagnosis_features(Layers(spark, SF_SMALL).failed)
+    train, test = models.split_diagnosis(feats.coalesce(1))
+    sizes = [r["count"] for r in train.unionByName(test).groupBy(F.spark_partition_id() % train.rdd.getNumPartitions()).count().collect()]
+    assert len(sizes) == 2 * spark.sparkContext.defaultParallelism
+    assert max(sizes) <= 1.3 * sum(sizes) / len(sizes)
+    keys = ["error_code", "method", "actual_bucket", "hour_of_day"]
+    for part in train.select(*keys).rdd.glom().collect():
+        assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)
+    assert sorted(r.payment_id for r in train.unionByName(test).collect()) == sorted(r.payment_id for r in feats.collect())
+    assert models.laid_out(feats, 10 * models.ROWS_PER_TASK * spark.sparkContext.defaultParallelism).rdd.getNumPartitions() == (
+        10 * spark.sparkContext.defaultParallelism)
+
+
+def test_models_share_one_split(spark):
+    layers = Layers(spark, SF_SMALL)
+    split = layers.diagnosis_split
+    assert layers.baseline_fit[1] is split[1] and layers.diagnosis_split is split
+
+
 def test_split_is_exact_per_class_and_repeatable(spark):
     p = Layers(spark, SF_SMALL).predictions
     s = evaluation.split_summary(p).collect()
