@@ -95,9 +95,9 @@ class Layers:
 
     @cached_property
     def envelopes(self) -> DataFrame:
-        from dunning.sources.tables import read_table
+        from dunning.sources.tables import read_table, spread
         from dunning.streaming import webhook as W
-        events = read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS)
+        events = spread(read_table(self.spark, self.sf_dir, "events", W.EVENT_COLUMNS))  # a JSON text and two HMACs a row
         return W.envelopes_from_events(events, W.TEST_SECRET)
 
     @cached_property

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ DRIVER_TABLES = ("region nation customer supplier part orders lineitem events do
                  "embeddings pages benchmark labels conversations").split()
 
 
+#: Rows a task at most, for work that is heavy per row.
+ROWS_PER_TASK = 50_000
+
+
 class SourceContractError(ValueError):
     pass
 
@@ -29,6 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows of a scan dealt evenly over tasks of ``rows_per_task`` rows at most, over all cores from two such tasks on: a
+    scan has one task a file split, and compact files put millions of rows in one. The count reads file footers."""
+    tasks = math.ceil(df.count() / rows_per_task)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else df
+
+
 def require_columns(df: DataFrame, required, table: str) -> DataFrame:
     """SRC-4: fail early, naming the first missing column."""
     have = set(df.columns)

@@ -167,3 +167,15 @@ def test_fresh_checkpoint_keeps_the_log(spark):
         W.start_stream(spark, landing, out, ckpt, W.TEST_SECRET).awaitTermination()
     log = [r.event_id for r in spark.read.parquet(os.path.join(out, "recovery_log")).collect()]
     assert sorted(log) == [f"e{i}" for i in range(8)]
+
+
+def test_rows_of_one_file_split_are_spread_over_tasks(spark, tmp_path):
+    from dunning.sources import tables
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    scan = tables.read_table(spark, str(tmp_path), "events")
+    assert scan.rdd.getNumPartitions() == 1
+    dealt = tables.spread(scan, rows_per_task=50)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 60
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert tables.spread(scan).rdd.getNumPartitions() == 1  # small tables stay as they are
