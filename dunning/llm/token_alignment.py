@@ -12,6 +12,8 @@ A's pattern ends there, and no piece of B has its space mark behind another char
 (checked when the model is loaded; without that the whole text is one unit). A text is
 therefore aligned unit by unit, and every end of a unit ends a group. A task
 remembers about twice ``UNITS`` short units at most, which is what makes words that recur cheap.
+The units that it does not know are encoded by A as one text and aligned in arrays over all their
+tokens; where bytes differ, or a group is large, units are aligned one by one.
 
 Counts. A pair's count is the number of documents that hold it. A first pass writes
 each document's different pairs, packed, to the shared checkpoint folder; tasks
@@ -41,7 +43,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable
-from itertools import accumulate, count, product
+from itertools import accumulate, chain, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,7 @@ KNOWN = 1 << 19
 SPACES = "\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = re.compile(f"(?<=[^{SPACES}])(?= )")
 UNSAFE = re.compile(f"[{SPACES}] ")
+ENDS_BLANK = re.compile(f".*[{SPACES}]\\Z", re.DOTALL).match
 MARK = "▁"
 
 
@@ -91,6 +94,13 @@ class Pair:
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(names)]
         self.splits = not any(MARK in t.lstrip(MARK) for t in names)
         self.mark = self.b.piece_to_id(MARK)
+        added = [t.content for t in self.a.get_added_tokens_decoder().values()]
+        #: Whether units of A may be encoded as one text: no added token crosses a space.
+        self.joins = self.splits and not any(" " in t for t in added)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        #: The ids as text with the mark that follows them: inside a group, and at the end of A's or B's part.
+        self.a_text = [np.array([f"{i}{end}" for i in range(len(self.a_bytes))], dtype=object) for end in ",|"]
+        self.b_text = [np.array([f"{i}{end}" for i in range(len(names))], dtype=object) for end in ",;"]
         #: A pair of ids is the number a * n_b + b.
         self.n_a, self.n_b = len(self.a_bytes), len(names)
 
@@ -100,6 +110,13 @@ class Pair:
         b = [ids or [self.mark] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
         return a, b
 
+    def encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of units that end in no white space, one after another; B's; how many of these each unit has."""
+        a = self.a.encode("".join(units), add_special_tokens=False).ids
+        b = [ids or [self.mark] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
+        return (np.array(a, dtype=np.int64), np.fromiter(chain.from_iterable(b), dtype=np.int64),
+                np.fromiter(map(len, b), dtype=np.int64, count=len(b)))
+
     def units(self, text: str) -> list[str]:
         if not self.splits:
             return [" " + text]
@@ -150,6 +167,66 @@ class Aligner:
             at, bt = a_to, b_to
         return (";".join(text), len(a), len(b), len(text), array("q", codes).tobytes(), None if times is None else array("q", times).tobytes())
 
+    def together(self, units: list[str]) -> list[tuple | None] | None:
+        """``unit`` of many units that end in no white space, in arrays over all their tokens; None if one of them
+        needs to be looked at by itself (bytes differ, tokens without bytes, a large group)."""
+        pair = self.pair
+        a, b, n_b = pair.encode_joined(units)
+        raw = list(map(str.encode, units))
+        whole = b"".join(raw)
+        if b"".join(map(pair.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(pair.b_bytes.__getitem__, b.tolist())) != whole:
+            return None
+        a_size, b_size = pair.a_sizes[a], pair.b_sizes[b]
+        if not a_size.all() or not b_size.all():
+            return None
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        a_end, b_end, b_to = np.cumsum(a_size), np.cumsum(b_size), np.cumsum(n_b)
+        a_to = np.searchsorted(a_end, ends) + 1
+        if (a_end[a_to - 1] != ends).any() or (b_end[b_to - 1] != ends).any():
+            return None
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        in_a, in_b = np.bincount(a_group), np.bincount(b_group)
+        if (in_a * in_b).max() > GROUP:
+            return None
+        a_stop, b_stop = np.cumsum(in_a), np.cumsum(in_b)
+        b_start = b_stop - in_b
+        # links: every A token with the B tokens of its group
+        times = in_b[a_group]
+        link_to = np.cumsum(times)
+        b_of_link = np.arange(link_to[-1]) + np.repeat(b_start[a_group] - (link_to - times), times)
+        codes = (np.repeat(a, times) * pair.n_b + b[b_of_link]).tobytes()
+        # text: a group's A tokens, then its B tokens
+        parts = np.empty(len(a) + len(b), dtype=object)
+        a_last, b_last = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+        a_last[a_stop - 1] = b_last[b_stop - 1] = True
+        parts[np.arange(len(a)) + b_start[a_group]] = np.where(a_last, pair.a_text[1][a], pair.a_text[0][a])
+        parts[np.arange(len(b)) + a_stop[b_group]] = np.where(b_last, pair.b_text[1][b], pair.b_text[0][b])
+        parts = parts.tolist()
+        out, at, link_at = [], 0, 0
+        n_a, n_groups = np.diff(a_to, prepend=0).tolist(), np.diff(np.searchsorted(common, ends) + 1, prepend=0).tolist()
+        for to, link, *numbers in zip((a_to + b_to).tolist(), (8 * link_to[a_to - 1]).tolist(), n_a, n_b.tolist(), n_groups):
+            out.append(("".join(parts[at:to])[:-1], *numbers, codes[link_at:link], None))
+            at, link_at = to, link
+        return out
+
+    def aligned(self, units: list[str], parts: int = 16) -> list[tuple | None]:
+        """``unit`` of every unit: all at once, else in ``parts`` parts, else one by one."""
+        if self.pair.joins and len(units) > 1:
+            if not any(map(ENDS_BLANK, units)):
+                found = self.together(units)
+                if found is not None:
+                    return found
+                if parts > 1:
+                    size = max(1, len(units) // parts)
+                    return [x for lo in range(0, len(units), size) for x in self.aligned(units[lo:lo + size], 1)]
+            else:
+                plain = [u for u in units if not ENDS_BLANK(u)]
+                blank = [u for u in units if ENDS_BLANK(u)]
+                found = dict(zip(plain, self.aligned(plain, parts))) | dict(zip(blank, map(self.unit, blank, *self.pair.encode(blank))))
+                return list(map(found.__getitem__, units))
+        return list(map(self.unit, units, *self.pair.encode(units)))
+
     def learn(self, units: set[str]) -> None:
         known, older = self.known, self.older
         new = [u for u in units if u not in known]
@@ -161,7 +238,7 @@ class Aligner:
         known.update(zip(again, map(older.__getitem__, again)))
         if len(again) < len(new):
             new = [u for u in new if u not in known]
-            known.update(zip(new, map(self.unit, new, *self.pair.encode(new))))
+            known.update(zip(new, self.aligned(new)))
 
     def many(self, texts: list[str | None]):
         """(n_a, n_b, n_groups, n_links, groups as text, pair codes, numbers) of each text, None without tokens."""

@@ -265,3 +265,18 @@ def test_byte_symbols_cover_all_bytes():
     vocabulary = json.load(open(A_FILE))["model"]["vocab"]
     symbol = token_alignment.byte_of_symbol()
     assert sorted(symbol.values()) == list(range(256)) and {c for t in vocabulary for c in t} <= set(symbol) | set("<|endoftext|>")
+
+
+def test_units_aligned_together_are_units_aligned_alone():
+    aligner, rng = token_alignment.Aligner(A_FILE, B_FILE), random.Random(5)
+    letters = "abcdefgxyzäßжд漢字é🙂0123456789.,;:'\"-_/<|>#"
+    clean = [" " + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(800)]
+    odd = [" ", " x ", " \n", " a\nb", " ﬁn", " é", " ▁", " a▁b", " \x00", " <|endoftext|>", " </s>", " <0x41>", " " + "=" * 60, " a\t"]
+    alone = lambda units: [aligner.unit(u, *(ids[0] for ids in aligner.pair.encode([u]))) for u in units]
+    assert aligner.pair.joins
+    for units in (clean, odd, clean[:300] + odd + clean[300:], clean[:1], []):
+        assert aligner.aligned(list(units)) == alone(units)
+    assert sum(x is not None for x in alone(clean)) > 400
+    # units of plain words need no call each
+    words = [f" word{k}" for k in range(500)]
+    assert aligner.together(words) == alone(words)
