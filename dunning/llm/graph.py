@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 FOREST_EDGES = 200_000  # edges of one spanning forest
+TASK_EDGES = 50_000     # edges from which a step gets one task more than there are cores
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,24 +82,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with fewer rows than nodes, whatever the number of links. Then alternating large-star and small-star steps: every node hangs its larger
     (smaller) neighbours on its smallest neighbour, until each component is one
     star. Minima are pre-aggregated, so a node with very many links costs one
-    row per task; edges never leave the executors.
+    row per task; edges never leave the executors. Forests are far smaller than what the session's number of shuffle
+    partitions is set for, so each step runs in as many tasks as its edges need: every task leaves files and log lines behind.
     """
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     pairs = ends.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     edges = cut(pairs.mapInArrow(_forest, "u long, v long").distinct())
-    state = None
+    cores, state = links.sparkSession.sparkContext.defaultParallelism, None
+    rows = edges.count()
     while True:
+        tasks = max(cores, rows // TASK_EDGES + 1)
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = (both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+                 .distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(least).distinct())
+                 .union(least).coalesce(tasks).distinct().coalesce(tasks))
         edges = cut(small)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
-        state = tuple(seen)
+        state, rows = tuple(seen), seen[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -20,8 +20,10 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
    partial overlaps are counted in each fragment on their own and summed per
    pair; a pair links when the sum reaches threshold (|a| + |b|) / (100 + threshold).
 5. Links give connected components.
-6. Exact remainder: members of larger n-gram groups that now span several
-   components are compared across components only, in blocks of bounded size,
+6. Exact remainder: groups of the same classes, as the n-grams of one shared
+   passage have them, are taken once, at the first of their n-grams. Members of
+   larger n-gram groups that now span several components are
+   compared across components only, in blocks of bounded size,
    by the same bounds and by sketches (parity bits folded to one bit an n-gram,
    4,096 at most, so what a member carries does not grow with a long text); what
    passes meets the whole parity bits pair by pair. First every component sends
@@ -280,6 +282,16 @@ def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
     return prefixes.groupBy("bucket").applyInArrow(run, "gram long, a long, na long, pos long, b long, nb long")
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """The members without those of n-grams whose group has the same classes as that of an n-gram before it: positions
+    are smaller there in every class, so the bounds pass whatever pair they pass in a later group. Groups are
+    compared by their number of classes and 128 bits."""
+    sets = members.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum("pos").alias("pos"))
+    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("pos", "gram")).alias("first")).select("first.gram")
+    return members.join(first, "gram", "left_semi")
+
+
 def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose parity bits allow a link."""
     names = ["a", "b", "na", "nb"]
@@ -480,14 +492,18 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(16, prefix_grams // BUCKET_GRAMS)
 
     found = cut(_pairs(_prefixes(texts, n, threshold, bin_rank, buckets), threshold))
-    members = found.where(F.col("gram").isNotNull()).select("gram", F.col("a").alias("node"), F.col("na").alias("size"), "pos")
     release(spark)
+    members = cut(_distinct_groups(found.where(F.col("gram").isNotNull())
+                                   .select("gram", F.col("a").alias("node"), F.col("na").alias("size"), "pos")))
     pairs = cut(_likely(found.where(F.col("gram").isNull()).select("a", "b", "na", "nb").distinct(), classes, threshold))
+    del found
+    release(spark)
     links = cut(_links(texts, pairs, classes, n, threshold, bin_rank, pivots))
     roots = components(links)
     release(spark)
 
-    sketches, best, passes = cut(_sketches(classes)), True, 0
+    sketches = cut(_sketches(classes).join(members.select("node").distinct(), "node", "left_semi"))
+    best, passes = True, 0
     while True:
         passes += 1
         labelled = members.join(roots, "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
@@ -495,6 +511,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_members = labelled.join(spread, "gram", "left_semi").join(sketches, "node")
         across = _across(open_members, threshold, best, buckets).join(pairs, ["a", "b", "na", "nb"], "left_anti")
         more = cut(_likely(across, classes, threshold))
+        release(spark)
         sent, linked = more.count(), 0
         if sent:
             new = cut(_links(texts, more, classes, n, threshold, bin_rank, pivots))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dunning.llm import graph, line_dedup, ngram_join, queries, suffix_dedup, topk
@@ -59,6 +60,54 @@ def test_ngram_join_matches_all_pairs(spark, monkeypatch):
     assert empty[3]["component_id"] == empty[4]["component_id"] == 3
 
 
+def test_ngram_join_compares_a_shared_passage_once(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = prose(rng, 14, 10 ** 6)
+    rows = [(k, passage + " " + prose(rng, 200 + k, 10 ** 6), "s") for k in range(6)]
+    rows += [(20 + k, rows[k][1] + f" end{k}", "s") for k in range(3)]
+    groups, across = [], ngram_join._across
+
+    def counted(members, *rest):
+        groups.append(members.select("gram").distinct().count())
+        return across(members, *rest)
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    counts = np.ones(ngram_join.BINS, dtype=np.int64)  # the passage's n-grams are the rarest: all lie in every prefix
+    counts[ngram_join.gram_sets(pa.array([passage]), 5)[0] >> np.uint64(48)] = 0
+    monkeypatch.setattr(ngram_join, "_bin_counts", lambda scan: counts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_join(documents(spark, rows)).collect()}
+    assert got == jaccard_components(rows)
+    assert groups and max(groups) == 1  # 10 n-grams of the passage, all with the same classes
+
+
+def test_equal_groups_keep_the_first_ngram(spark):
+    members = [(1, 7, 50, 3), (1, 8, 60, 9), (2, 7, 50, 2), (2, 8, 60, 4), (3, 7, 50, 1), (4, 8, 60, 0), (4, 9, 61, 0), (4, 7, 50, 0)]
+    got = ngram_join._distinct_groups(spark.createDataFrame(members, "gram long, node long, size long, pos long")).collect()
+    assert {tuple(r) for r in got} == {m for m in members if m[0] != 1}
+
+
+def test_components_of_few_edges_run_in_few_tasks(spark, monkeypatch):
+    cut, parts = graph.cut, []
+
+    def counted(df):
+        done = cut(df)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(graph, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+        assert {r["root"] for r in graph.components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2 and max(parts[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_ngram_join_null_id_and_empty_table(spark):
     rows = [(None, "a b c d e f", "s"), (8, "a b c d e f", "s"), (None, "alone it stands here now", "s")]
     got = {(r["doc_id"], r["component_id"]) for r in ngram_join.similarity_join(documents(spark, rows)).collect()}
