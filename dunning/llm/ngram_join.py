@@ -27,7 +27,7 @@ non-space characters); two texts link when 100 * overlap >= threshold * union.
    by the same bounds and by sketches (parity bits folded to one bit an n-gram,
    4,096 at most, so what a member carries does not grow with a long text); what
    passes meets the whole parity bits pair by pair. First every component sends
-   only its most similar pair, and once more if most of what was sent links; then every
+   only its most similar pair, and again (4 times at most) if most of what was sent links; then every
    pair across components that is still possible is counted as in 4. Pairs
    inside one component can't change it, so a group of near copies is never
    squared. Groups are cut where the sizes leap too far for a link across.
@@ -63,7 +63,7 @@ NEXT = 1                 # classes that step 3 pairs each class with
 BUCKET_GRAMS = 400_000   # prefix n-grams of one bucket
 FRAGMENTS = 4
 BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares with as many
-NEAREST_PASSES = 2       # passes of step 6 in which components send their most similar pair only
+NEAREST_PASSES = 4       # passes of step 6 in which components send their most similar pair only
 SKETCH_LEAST = 8         # 64-bit words of parity bits that a member of step 6 carries, if it has as many
 SKETCH_WORDS = 64        # and at most
 PAIR_WORDS = 1 << 20     # words compared at a time
@@ -479,9 +479,11 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = cut(_scan(texts, n))
-    rows = scan.where(F.col("bins").isNull()).select("id", "node", "grams")
+    rows = cut(scan.where(F.col("bins").isNull()).select("id", "node", "grams"))
     classes = cut(scan.where(F.col("bits").isNotNull()).groupBy("node").agg(F.min("text").alias("text"), F.first("bits").alias("bits")))
     counts = _bin_counts(scan)
+    del scan  # its parity bits: ``classes`` holds them once per class
+    release(spark)
     bin_rank = np.empty(BINS, dtype=np.uint64)
     by_count = np.lexsort((np.arange(BINS), counts))
     bin_rank[by_count] = np.arange(BINS, dtype=np.uint64)
