@@ -12,8 +12,10 @@ table gives an empty result; extra columns are carried along.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,6 +31,7 @@ LENGTH = 2 * WORDS - 1  # bytes that so many words have at least
 LONG = 400        # bytes from which a passage of fewer words counts too (scripts without spaces)
 MIX_POWER = 0.5   # a source's target share goes with the root of its size
 SEED = 7
+BATCH_BYTES = 4 << 20  # of rows that go to a Python worker at once, where the session allows more
 REMEMBERED = 100_000  # words or chunks that a worker remembers: all stages share the workers' memory
 
 
@@ -82,13 +85,28 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(docs, *vocabulary(), with_ids=True, remembered=REMEMBERED)
 
 
-STAGES = [
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with Arrow batches of ``BATCH_BYTES`` at most: JVM and Python each hold a batch several times over for
+    every task, and the JVM keeps such memory once taken for all stages after it."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        allowed = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if allowed > BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, in_small_batches(stage)) for name, stage in (
     ("toxicity", drop_toxic),
     ("ngram_join", keep_one_of_near_copies),
     ("suffix_array", cut_repeats),
     ("mixing", mix_sources),
     ("byte_bpe", encode),
-]
+)]
 
 #: Levenshtein automata, byte-wise suffixes and BPE merges have no SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunning.llm.graph import freeing
+
 INF = np.int64(2**62)
 BATCH_BYTES = 32      # pre-tokens up to this many bytes are merged in matrices
 BATCH_ROWS = 1 << 11  # rows of one matrix
@@ -327,7 +329,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType()))][:4 + with_ids])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(freeing(run), schema)
 
 
 def token_ids(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

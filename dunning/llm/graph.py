@@ -118,8 +118,14 @@ def _free() -> None:
 
 
 def freeing(work):
-    """``work`` (a function of one group or of two cogrouped ones) which afterwards gives memory back to the
-    system: the Python workers live on, and what each stage leaves in them would add up."""
+    """``work`` (a function of one group, of two cogrouped ones, or a generator over batches) which afterwards gives
+    memory back to the system: the Python workers live on, and what each stage leaves in them would add up."""
+
+    def over_batches(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _free()
 
     def one(table):
         result = work(table)
@@ -131,4 +137,6 @@ def freeing(work):
         _free()
         return result
 
+    if inspect.isgeneratorfunction(work):
+        return over_batches
     return one if len(inspect.signature(work).parameters) == 1 else two

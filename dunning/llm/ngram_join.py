@@ -66,7 +66,8 @@ BLOCK_MEMBERS = 2048     # members of an n-gram group that one task compares wit
 NEAREST_PASSES = 4       # passes of step 6 in which components send their most similar pair only
 SKETCH_LEAST = 8         # 64-bit words of parity bits that a member of step 6 carries, if it has as many
 SKETCH_WORDS = 64        # and at most
-PAIR_WORDS = 1 << 20     # words compared at a time
+PAIR_WORDS = 1 << 18     # words compared at a time
+HELD_PAIRS = 200_000     # pairs a task of step 6 gathers before it drops the worse and repeated ones
 FILTER_BITS = 1 << 25
 SLICE_BYTES = 4 << 20    # text handled at a time
 
@@ -178,7 +179,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         void = pa.nulls(1, pa.int64())
         yield pa.RecordBatch.from_arrays([void, void, void, void, pa.nulls(1, pa.binary()), pa.array([bins.tobytes()], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, node long, text long, grams long, bits binary, bins binary")
+    return docs.mapInArrow(freeing(run), "id long, node long, text long, grams long, bits binary, bins binary")
 
 
 def _bin_counts(scan: DataFrame) -> np.ndarray:
@@ -237,7 +238,7 @@ def _prefixes(docs: DataFrame, n: int, threshold: int, bin_rank: np.ndarray, buc
                                                   for a in arrays],
                 names=["bucket", *PACKED])
 
-    return docs.mapInArrow(run, "bucket long, gram binary, node binary, size binary, pos binary")
+    return docs.mapInArrow(freeing(run), "bucket long, gram binary, node binary, size binary, pos binary")
 
 
 def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
@@ -279,7 +280,7 @@ def _pairs(prefixes: DataFrame, threshold: int) -> DataFrame:
             pa.Table.from_arrays([pa.array(gram[rest].view("i8")), pa.array(node[rest]), pa.array(size[rest]),
                                   pa.array(pos[rest]), void(n_rest), void(n_rest)], schema=schema)])
 
-    return prefixes.groupBy("bucket").applyInArrow(run, "gram long, a long, na long, pos long, b long, nb long")
+    return prefixes.groupBy("bucket").applyInArrow(freeing(run), "gram long, a long, na long, pos long, b long, nb long")
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
@@ -304,7 +305,7 @@ def _likely(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
             ok = [_possible(*row, threshold) for row in zip(x, y, na, nb)]
             yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long")
+    return both.mapInArrow(freeing(run), "a long, b long, na long, nb long")
 
 
 def _sketch(bits: bytes) -> bytes:
@@ -319,7 +320,7 @@ def _sketches(bits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_sketch(b) for b in batch.column(1).to_pylist()], pa.binary())],
                                              names=["node", "sketch"])
 
-    return bits.select("node", "bits").mapInArrow(run, "node long, sketch binary")
+    return bits.select("node", "bits").mapInArrow(freeing(run), "node long, sketch binary")
 
 
 def _differ(flat: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -390,7 +391,7 @@ def _across(members: DataFrame, threshold: int, best: bool, buckets: int) -> Dat
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
                 found.append(np.stack([d, node[x], node[y], size[x], size[y], np.minimum(root[x], root[y]), np.maximum(root[x], root[y])]))
                 held += len(x)
-                if held > 1_000_000:
+                if held > HELD_PAIRS:
                     found = [best_of(np.concatenate(found, axis=1))]
                     held = -found[0].shape[1]
         rows = best_of(np.concatenate(found, axis=1)) if found else np.zeros((7, 0), dtype="i8")
@@ -447,7 +448,7 @@ def _segments(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, bin
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()),
                                                   pa.array(grams, pa.list_(pa.int64()))], names=["node", "fragment", "grams"])
 
-    found = docs.mapInArrow(run, "node long, fragment int, grams array<long>")
+    found = docs.mapInArrow(freeing(run), "node long, fragment int, grams array<long>")
     return (found.select(F.struct("node", "fragment").alias("part"), "grams")
             .join(wanted.select(F.explode(_parts("node")).alias("part")), "part", "left_semi").dropDuplicates(["part"]))
 

@@ -110,18 +110,12 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n - 1) modulo PRIME. A worker keeps the tables of one call (two points), each as
-    long as its longest block, rounded up to a power of two."""
-    power = _TABLES.get(base, np.ones(1, dtype=np.uint64))
+    """base^0 ... base^(n - 1) modulo PRIME."""
+    power = np.ones(1, dtype=np.uint64)
     while len(power) < n:
         power = np.concatenate([power, _times(power, np.full(1, pow(base, len(power), PRIME), dtype=np.uint64))])
-    if base not in _TABLES and len(_TABLES) >= 2:
-        _TABLES.clear()
-    _TABLES[base] = power
     return power[:n]
 
 
@@ -129,73 +123,114 @@ class Block:
     """The texts of one block, in one buffer, with rolling fingerprints at the point ``base``."""
 
     def __init__(self, texts: list[bytes], length: int, base: int):
-        self.length, self.texts = length, texts
+        self.length, self.texts, self.base = length, texts, base
         self.lens = np.array([len(t) for t in texts], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lens)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         n = len(data)
-        power, values = _powers(base, n), data.astype(np.uint64) + np.uint64(1)
-        # running sums of byte * power, high and low half apart: neither leaves 64 bits
-        high, low = np.cumsum(values * (power >> np.uint64(32))), np.cumsum(values * (power & _LOW))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        self.sums[1:] = _reduced(_times(_reduced(high), np.full(1, 1 << 32, dtype=np.uint64)) + _reduced(low))
-        self.shift = _powers(pow(base, -1, PRIME), n)
+        back, first = pow(base, -1, PRIME), _powers(base, SLICE)
+        self.back, self.far = _powers(back, SLICE), np.array([pow(back, lo, PRIME) for lo in range(0, n + 1, SLICE)], dtype=np.uint64)
+        # running sums of byte * power, high and low half apart: neither leaves 64 bits
+        high = low = np.zeros(1, dtype=np.uint64)
+        for lo in range(0, n, SLICE):
+            values = data[lo:lo + SLICE].astype(np.uint64) + np.uint64(1)
+            power = _times(first[:len(values)], np.full(1, pow(base, lo, PRIME), dtype=np.uint64))
+            high = high[-1] + np.cumsum(values * (power >> np.uint64(32)))
+            low = low[-1] + np.cumsum(values * (power & _LOW))
+            self.sums[lo + 1:lo + len(values) + 1] = _reduced(_times(_reduced(high), np.full(1, 1 << 32, dtype=np.uint64)) + _reduced(low))
 
     def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprint of the ``size`` bytes at each start, mixed so that its high bits are even."""
-        h = _times(_reduced(self.sums[starts + size] + (_P - self.sums[starts])), self.shift[starts])
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
-    def starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """All starts with ``size`` bytes before the text's end, and their positions in the text."""
+        """Fingerprint of the ``size`` bytes at each start, mixed so that its high bits are even; slice by slice."""
+        out = np.empty(len(starts), dtype=np.uint64)
+        for lo in range(0, len(starts), SLICE):
+            at = starts[lo:lo + SLICE]
+            h = _times(_reduced(self.sums[at + size] + (_P - self.sums[at])), _times(self.back[at % SLICE], self.far[at // SLICE]))
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[lo:lo + SLICE] = h ^ (h >> np.uint64(32))
+        return out
+
+    def starts(self, size: int):
+        """All starts with ``size`` bytes before the text's end, and their positions in the text; slice by slice."""
         counts = np.maximum(self.lens - size + 1, 0)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(self.offsets[:-1], counts) + at, at
+        ends = np.cumsum(counts)
+        total = int(counts.sum())
+        for lo in range(0, total, SLICE):
+            hi = min(lo + SLICE, total)
+            a, b = np.searchsorted(ends, [lo, hi - 1], side="right").tolist()
+            own = counts[a:b + 1].copy()
+            own[0] = ends[a] - lo
+            own[-1] -= ends[b] - hi
+            at = np.arange(lo, hi) - np.repeat((ends - counts)[a:b + 1], own)
+            yield np.repeat(self.offsets[a:b + 1], own) + at, at
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the cover sample and the fingerprints that rank them."""
         v, cover = difference_cover(self.length)
         size = self.length - v + 1
-        starts, at = self.starts(size)
         inside = np.zeros(v, dtype=bool)
         inside[cover] = True
-        starts = starts[inside[at % v]]
+        starts = _joined(starts[inside[at % v]] for starts, at in self.starts(size))
         return starts, self.prints(starts, size)
 
     def candidates(self, tied: np.ndarray) -> np.ndarray:
         """Starts of suffixes with a tied sampled suffix among their next v positions."""
         v, _ = difference_cover(self.length)
-        reach = np.zeros(len(self.sums) + 1, dtype=np.int64)
-        np.add.at(reach, np.maximum(tied - v + 1, 0), 1)
-        np.add.at(reach, tied + 1, -1)
-        starts, _ = self.starts(self.length)
-        return starts[np.cumsum(reach)[starts] > 0]
+        near = _within(np.maximum(tied - v + 1, 0), tied + 1, len(self.sums) + 1)
+        return _joined(starts[near[starts]] for starts, _ in self.starts(self.length))
+
+
+def _joined(parts) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+
+
+def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each of n positions, whether a range from a start up to its end holds it."""
+    change = np.zeros(n, dtype=np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
+    return np.cumsum(change, out=change) > 0
 
 
 def _outgoing(prints: np.ndarray, buckets: int):
     """Distinct fingerprints by bucket: (bucket, bytes of the sorted fingerprints, bits: held twice here)."""
-    values, counts = np.unique(prints, return_counts=True)
-    bucket = _bucket(values, buckets)
-    found, first = np.unique(bucket, return_index=True)
-    for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(values)]):
-        yield b, values[lo:hi].tobytes(), np.packbits(counts[lo:hi] > 1).tobytes()
+    values = np.sort(prints)
+    new = _first_of_equals(values)
+    twice = np.append(~new[1:], False)[new]
+    values = values[new]
+    for b, lo, hi in _ranges(values, buckets):
+        yield b, values[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()
 
 
-def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of the suffix order: ranges of the fingerprint, so buckets ascend with it."""
-    return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _first_of_equals(values: np.ndarray) -> np.ndarray:
+    """For each of sorted values, whether it differs from the one before."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
+
+
+def _ranges(values: np.ndarray, buckets: int):
+    """(bucket, from, to) of sorted fingerprints: a bucket of the suffix order is a range of the fingerprint, so buckets
+    ascend with it."""
+    borders = np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], dtype=np.uint64)
+    cuts = [0, *np.searchsorted(values, borders).tolist(), len(values)]
+    return [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
 
 
 def _incoming(prints: np.ndarray, marks: dict[int, bytes], buckets: int) -> np.ndarray:
     """For each fingerprint, whether its bucket found it tied."""
-    values, where = np.unique(prints, return_inverse=True)
-    bucket = _bucket(values, buckets)
-    found, first = np.unique(bucket, return_index=True)
-    tied = [np.unpackbits(np.frombuffer(marks[b], dtype=np.uint8), count=hi - lo) if b in marks
-            else np.zeros(hi - lo, dtype=np.uint8)
-            for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(values)])]
-    return np.concatenate(tied).astype(bool)[where] if tied else np.zeros(0, dtype=bool)
+    order = np.argsort(prints)
+    values = prints[order]
+    new = _first_of_equals(values)
+    values = values[new]
+    tied = np.zeros(len(values), dtype=bool)
+    for b, lo, hi in _ranges(values, buckets):
+        if b in marks:
+            tied[lo:hi] = np.unpackbits(np.frombuffer(marks[b], dtype=np.uint8), count=hi - lo)
+    del values
+    out = np.zeros(len(prints), dtype=bool)
+    out[order] = np.repeat(tied, np.diff(np.append(np.nonzero(new)[0], len(new))))
+    return out
 
 
 def _ties(table: pa.Table) -> pa.Table:
@@ -205,9 +240,12 @@ def _ties(table: pa.Table) -> pa.Table:
     own = [np.frombuffer(p, dtype=np.uint64) for p in prints]
     every = np.concatenate(own)
     order = np.argsort(every)
-    same = every[order][1:] == every[order][:-1]
+    ordered = every[order]
+    same = ordered[1:] == ordered[:-1]
+    del ordered
     tied = np.zeros(len(every), dtype=bool)
     tied[order[1:][same]] = tied[order[:-1][same]] = True
+    del order
     tied |= np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=len(o)) for t, o in zip(twice, own)]) == 1
     ends = np.cumsum([len(o) for o in own]).tolist()
     rows = [(blk, np.packbits(tied[e - len(o):e]).tobytes()) for blk, o, e in zip(blocks, own, ends) if tied[e - len(o):e].any()]
@@ -325,10 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         marks, digests, number, own = _load(left, right, length, base)
         starts = _tied_starts(own, marks, rank_buckets)
         starts = starts[_incoming(own.prints(starts, length), marks["tie"], tie_buckets)]
-        cover_of = np.zeros(len(own.sums) + 1, dtype=np.int64)
-        np.add.at(cover_of, starts, 1)
-        np.add.at(cover_of, starts + length, -1)
-        covered = np.cumsum(cover_of) > 0
+        covered = _within(starts, starts + length, len(own.sums) + 1)
         texts = left.column("text").combine_chunks()
         out: list[list] = [[], [], [], [], [], []]
         for row, key in enumerate(digests):

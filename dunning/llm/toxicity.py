@@ -46,6 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunning.llm.graph import freeing
+
 MAX_ROWS = 50_000     # labelled rows that learning uses at most
 LEAST = 0.5           # least share of real terms at a word's counts
 UNSEEN = 0.6          # toxic share of a term's misspellings if the sample has none
@@ -314,13 +316,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not (chosen["toxic"] > 0).any() or not (chosen["toxic"] <= 0).any():
         return Lexicon()
     chosen["toxic"] = (chosen["toxic"] > 0).astype("int32")
-    families = rows(chosen).mapInArrow(_families, "id long, toxic int, key1 long, key2 long").toPandas()
+    families = rows(chosen).mapInArrow(freeing(_families), "id long, toxic int, key1 long, key2 long").toPandas()
     families = families.sort_values("id").drop_duplicates("key1").drop_duplicates("key2")[["id", "toxic"]].drop_duplicates("id")
     n_toxic, n = int(families["toxic"].sum()), len(families)
     if not 0 < n_toxic < n:
         return Lexicon()
 
-    words = (rows(families).mapInArrow(_word_counts, "word string, t long, c long").groupBy("word")
+    words = (rows(families).mapInArrow(freeing(_word_counts), "word string, t long, c long").groupBy("word")
              .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("d", F.col("t") + F.col("c")).persist())
     cells = [(r["d"], r["t"], r["n"]) for r in words.groupBy("d", "t").agg(F.count(F.lit(1)).alias("n")).collect()]
     shares = {k: v for k, v in _real_shares(cells, n_toxic / n).items() if v >= LEAST}  # cells: bounded by max_rows
@@ -352,7 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                          names=["kind", "term", "toxic", "n"])
 
     measured: dict[str, dict[str, list[int]]] = {"alone": {}, "quoted": {}, "misspelled": {}}
-    for r in (rows(families).mapInArrow(second, "kind string, term string, toxic long, n long").groupBy("kind", "term", "toxic")
+    for r in (rows(families).mapInArrow(freeing(second), "kind string, term string, toxic long, n long").groupBy("kind", "term", "toxic")
               .agg(F.sum("n").alias("n")).collect()):  # four rows a term at most
         measured[r["kind"]].setdefault(r["term"], [0, 0])[r["toxic"]] += r["n"]
 
@@ -374,6 +376,9 @@ def score_column(lexicon: Lexicon, text_col: str, remembered: int = KNOWN_MAX):
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freeing(scored)(batches)
+
+    def scored(batches):
         matcher = Matcher(lexicon.terms, remembered)
         for texts in batches:
             yield pd.Series([score(lexicon, matches(matcher, t)) for t in texts], dtype="float64")

@@ -265,3 +265,61 @@ def test_products_modulo_the_prime_are_exact():
     a, b = np.array(numbers, dtype=np.uint64), np.array(numbers[::-1], dtype=np.uint64)
     assert suffix_dedup._times(a, b).tolist() == [x * y % suffix_dedup.PRIME for x, y in zip(numbers, numbers[::-1])]
     assert suffix_dedup._powers(12345, 3000).tolist() == [pow(12345, k, suffix_dedup.PRIME) for k in range(3000)]
+
+
+def test_a_block_of_text_takes_little_memory_besides_it():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes() for _ in range(250)]
+    every = b"".join(texts)
+    tracemalloc.start()
+    block = suffix_dedup.Block(texts, 101, 987654321)
+    sampled, prints = block.sampled()
+    starts = block.candidates(sampled)
+    sent = list(suffix_dedup._outgoing(block.prints(starts, 101), 64))
+    marks = {b: np.packbits(np.frombuffer(p, dtype="u8") % 2 == 0).tobytes() for b, p, _ in sent}
+    found = suffix_dedup._incoming(block.prints(starts, 101), marks, 64)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(starts) == 250 * 1900 and most < 70 * len(every)
+    base, prime = 987654321, suffix_dedup.PRIME
+    for at in (0, 1, 70_000, 499_890):  # in the first slice of powers and in later ones
+        value = sum((c + 1) * pow(base, k, prime) for k, c in enumerate(every[at:at + 5])) % prime
+        value = (value ^ (value >> 32)) * 0xD6E8FEB86659FD93 % (1 << 64)
+        assert int(block.prints(np.array([at]), 5)[0]) == value ^ (value >> 32)
+    assert (found == (block.prints(starts, 101) % np.uint64(2) == 0)).all()
+
+
+def test_memory_is_given_back_after_the_batches_of_a_task(monkeypatch):
+    from dunning.llm import graph
+
+    freed = []
+    monkeypatch.setattr(graph, "_free", lambda: freed.append(1))
+
+    def work(batches):
+        for x in batches:
+            yield x + 1
+
+    assert list(graph.freeing(work)([1, 2])) == [2, 3] and freed == [1]
+
+
+def test_the_stages_of_the_pipeline_hold_small_arrow_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name)
+    docs = documents(spark, [(k, "word " * 2000, "a") for k in range(2000)], extra=False)
+    try:
+        for session, wanted in (("64m", corpus_pipeline.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(name, session)
+            assert dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").count()
+
+            def sizes(batches):
+                for batch in batches:
+                    yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+            most = docs.select("text").mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+            assert most <= 1.1 * wanted
+    finally:
+        spark.conf.set(name, given)
