@@ -30,7 +30,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_text=True)
+    return found.drop("spans").withColumnRenamed("kept_text", "text")
 
 
 def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

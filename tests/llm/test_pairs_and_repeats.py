@@ -323,3 +323,18 @@ def test_the_stages_of_the_pipeline_hold_small_arrow_batches(spark):
             assert most <= 1.1 * wanted
     finally:
         spark.conf.set(name, given)
+
+
+def test_op3_returns_the_text_that_is_left(spark, tmp_path):
+    rng = random.Random(8)
+    shared = prose(rng, 200, 4000)
+    rows = [(1, f"{prose(rng, 30, 4000)} {shared}", "a"), (2, f"{shared} \u00e9t\u00e9", "a"), (3, prose(rng, 120, 4000), "a"), (4, None, "a"), (5, shared[:399], "a")]
+    documents(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op3_suffix_array(spark, str(tmp_path))
+    assert found.columns[:6] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    for (doc, _, _), (n_bytes, n_removed, n_spans, sha) in zip(rows, without_repeats([t for _, t, _ in rows], 400)):
+        row = got[doc]
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (n_bytes, n_removed, n_spans, sha)
+        assert hashlib.sha256(row["text"].encode()).hexdigest() == sha and len(row["text"].encode()) == n_bytes - n_removed
+    assert got[3]["text"] == rows[2][1] and got[2]["text"].endswith("\u00e9t\u00e9") and len(got[2]["text"]) < 50 and got[4]["text"] == ""
