@@ -338,3 +338,71 @@ def test_op3_returns_the_text_that_is_left(spark, tmp_path):
         assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (n_bytes, n_removed, n_spans, sha)
         assert hashlib.sha256(row["text"].encode()).hexdigest() == sha and len(row["text"].encode()) == n_bytes - n_removed
     assert got[3]["text"] == rows[2][1] and got[2]["text"].endswith("\u00e9t\u00e9") and len(got[2]["text"]) < 50 and got[4]["text"] == ""
+
+
+def plain_passages(rows, size):
+    """doc_id -> spans of the words in windows of ``size`` words that a row of another id or text holds too."""
+    def windows(text):
+        words = text.lower().split()
+        return [tuple(words[k:k + size]) for k in range(len(words) - size + 1)]
+
+    holders, out = {}, {}
+    for i, t, _ in rows:
+        for w in windows(t or ""):
+            holders.setdefault(w, set()).add((i, t))
+    for i, t, _ in rows:
+        gone = [False] * len((t or "").split())
+        for k, w in enumerate(windows(t or "")):
+            if len(holders[w]) > 1:
+                gone[k:k + size] = [True] * size
+        spans, at = [], 0
+        for k, word in enumerate((t or "").split()):
+            start = t.index(word, at)
+            at = start + len(word)
+            if gone[k] and k and gone[k - 1]:
+                spans[-1] = (spans[-1][0], at)
+            elif gone[k]:
+                spans.append((start, at))
+        out.setdefault(i, []).append(spans)
+    return {i: sorted(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("size, block_bytes", [(51, 2 << 20), (7, 300), (1, 300)])
+def test_shared_passages_match_brute_force(spark, monkeypatch, size, block_bytes):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(11)
+    shared = [prose(rng, n, 4000) for n in (size - 1, size, size + 1, size + 20)] + ["\u0130\u03a3 " * (size + 3), prose(rng, 2 * size, 1)]
+    rows = [(None, shared[3], "s"), (None, shared[2] + " x", "s"), (1, None, "s"), (2, "", "s"), (3, " \n\t", "s")]
+    once = prose(rng, 2 * size + 40, 4000)
+    rows += [(4, f"{once}\n{once}", "s"), (5, f"own {once[:40]} text", "s"), (5, f"own {once[:40]} text", "s")]
+    for k in range(40):
+        parts = []
+        for passage in rng.sample(shared, rng.randrange(3)):
+            words = passage.split()
+            parts += [prose(rng, rng.randrange(9), 4000), "".join(w.upper() + rng.choice([" ", " ", "\n", "\t "]) for w in words)]
+        rows.append((10 + k, " ".join([*parts, prose(rng, rng.randrange(30), 4000)]), "s"))
+    got = line_dedup.remove_repeated_units(documents(spark, rows).repartition(3), passage_words=size).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append([(s["start"], s["end"]) for s in r["passages"]])
+        assert r["n_passages"] == len(r["passages"]) and r["n_passage_chars"] == sum(s["end"] - s["start"] for s in r["passages"])
+    truth = plain_passages(rows, size)
+    assert {i: sorted(x) for i, x in found.items()} == truth
+    assert sum(len(s) > 0 for x in truth.values() for s in x) > 20
+    plain = line_dedup.remove_repeated_units(documents(spark, rows))
+    assert sorted((r["kept_sha256"], r["n_removed"]) for r in plain.collect()) == sorted((r["kept_sha256"], r["n_removed"]) for r in got)
+    assert line_dedup.remove_repeated_units(documents(spark, []), passage_words=size).collect() == []
+
+
+def test_op6_reports_passages_inside_and_across_lines(spark, tmp_path):
+    rng = random.Random(12)
+    passage = prose(rng, 60, 4000)
+    across = " ".join(w + ("\n" if k % 17 == 3 else "") for k, w in enumerate(passage.split()))
+    rows = [(1, f"{prose(rng, 9, 4000)} {passage} {prose(rng, 5, 4000)}", "s"), (2, f"{prose(rng, 4, 4000)} {across}\nend", "s"),
+            (3, prose(rng, 90, 4000) + "\nsame short line", "s"), (4, prose(rng, 90, 4000) + "\nsame short line", "s")]
+    documents(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[k]["n_removed"], got[k]["n_passages"]) for k in (1, 2, 3, 4)] == [(0, 1), (0, 1), (0, 0), (1, 0)]
+    for k in (1, 2):
+        (span,) = got[k]["passages"]
+        assert rows[k - 1][1][span["start"]:span["end"]].split() == passage.split()
