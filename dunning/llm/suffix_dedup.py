@@ -16,6 +16,9 @@ A suffix matters only up to ``length`` bytes: two suffixes tie when their first
 4. Each block reads its marks back, joins the marked ranges into runs and
    hashes what is left.
 
+Passages of a number of words (``passage_words``) are found alike, with word starts in
+place of bytes and from the same exchange of the text; their fingerprints go to further buckets.
+
 Prefixes are compared by fingerprints (the order inside and between buckets is the
 order of the fingerprints, so buckets are even whatever the texts): the value of the
 prefix, read as a polynomial, at a random point modulo the prime 2^61 - 1. The point is drawn
@@ -140,12 +143,13 @@ class Block:
             low = low[-1] + np.cumsum(values * (power & _LOW))
             self.sums[lo + 1:lo + len(values) + 1] = _reduced(_times(_reduced(high), np.full(1, 1 << 32, dtype=np.uint64)) + _reduced(low))
 
-    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprint of the ``size`` bytes at each start, mixed so that its high bits are even; slice by slice."""
-        out = np.empty(len(starts), dtype=np.uint64)
+    def prints(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """Fingerprint of the ``size`` bytes (one number, or one a start) at each start, mixed so that its high bits are even;
+        slice by slice."""
+        out, sizes = np.empty(len(starts), dtype=np.uint64), np.broadcast_to(size, len(starts))
         for lo in range(0, len(starts), SLICE):
             at = starts[lo:lo + SLICE]
-            h = _times(_reduced(self.sums[at + size] + (_P - self.sums[at])), _times(self.back[at % SLICE], self.far[at // SLICE]))
+            h = _times(_reduced(self.sums[at + sizes[lo:lo + SLICE]] + (_P - self.sums[at])), _times(self.back[at % SLICE], self.far[at // SLICE]))
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             out[lo:lo + SLICE] = h ^ (h >> np.uint64(32))
         return out
@@ -180,6 +184,55 @@ class Block:
         return _joined(starts[near[starts]] for starts, _ in self.starts(self.length))
 
 
+class Words:
+    """The words of a block's texts and, as for bytes, the suffixes of ``size`` words that start at one."""
+
+    def __init__(self, block: Block, size: int):
+        self.block, self.size = block, size
+        data = np.frombuffer(b"".join(block.texts), dtype=np.uint8)
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        border = np.zeros(len(data) + 1, dtype=bool)
+        border[block.offsets] = True
+        self.starts = np.nonzero(inside & (border[:-1] | ~np.append(False, inside[:-1])[:len(data)]))[0]
+        self.ends = np.nonzero(inside & (border[1:] | ~np.append(inside[1:], False)[:len(data)]))[0] + 1
+        self.first = np.searchsorted(self.starts, block.offsets)  # word number of each text's first word
+        self.text = np.searchsorted(block.offsets, self.starts, side="right") - 1
+
+    def at(self, size: int) -> np.ndarray:
+        """Numbers of the words with ``size`` words before the text's end."""
+        number = np.arange(len(self.starts))
+        return number[number + size <= self.first[self.text + 1]]
+
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        return self.block.prints(self.starts[at], self.ends[at + size - 1] - self.starts[at])
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        v, cover = difference_cover(self.size)
+        inside = np.zeros(v, dtype=bool)
+        inside[cover] = True
+        at = self.at(self.size - v + 1)
+        at = at[inside[(at - self.first[self.text[at]]) % v]]
+        return at, self.prints(at, self.size - v + 1)
+
+    def candidates(self, tied: np.ndarray) -> np.ndarray:
+        v, _ = difference_cover(self.size)
+        near = _within(np.maximum(tied - v + 1, 0), tied + 1, len(self.starts) + 1)
+        at = self.at(self.size)
+        return at[near[at]]
+
+    def once(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The fingerprints, each once for every text that holds it."""
+        order = np.lexsort((prints, self.text[at]))
+        values, texts = prints[order], self.text[at][order]
+        return values[_first_of_equals(values) | _first_of_equals(texts)]
+
+    def passages(self, at: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each text, the runs of words (spans of bytes) in the suffixes ``at``."""
+        covered = _within(at, at + self.size, len(self.starts) + 1)
+        return [[(int(self.starts[lo + a]) - at, int(self.ends[lo + b - 1]) - at) for a, b in _spans(covered[lo:hi])]
+                for at, lo, hi in zip(self.block.offsets.tolist(), self.first.tolist(), self.first[1:].tolist())]
+
+
 def _joined(parts) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
 
@@ -202,6 +255,18 @@ def _outgoing(prints: np.ndarray, buckets: int):
         yield b, values[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()
 
 
+def _packed(sorted_prints: bytes) -> bytes:
+    """Sorted fingerprints as the gaps between them, byte plane by byte plane: the high planes of gaps are nearly all zero,
+    which the compression of shuffles takes out."""
+    gaps = np.diff(np.frombuffer(sorted_prints, dtype=np.uint64), prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    gaps = np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _first_of_equals(values: np.ndarray) -> np.ndarray:
     """For each of sorted values, whether it differs from the one before."""
     new = np.ones(len(values), dtype=bool)
@@ -217,16 +282,16 @@ def _ranges(values: np.ndarray, buckets: int):
     return [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
 
 
-def _incoming(prints: np.ndarray, marks: dict[int, bytes], buckets: int) -> np.ndarray:
-    """For each fingerprint, whether its bucket found it tied."""
+def _incoming(prints: np.ndarray, marks: dict[int, bytes], buckets: int, first: int = 0) -> np.ndarray:
+    """For each fingerprint, whether its bucket (they are numbered from ``first``) found it tied."""
     order = np.argsort(prints)
     values = prints[order]
     new = _first_of_equals(values)
     values = values[new]
     tied = np.zeros(len(values), dtype=bool)
     for b, lo, hi in _ranges(values, buckets):
-        if b in marks:
-            tied[lo:hi] = np.unpackbits(np.frombuffer(marks[b], dtype=np.uint8), count=hi - lo)
+        if first + b in marks:
+            tied[lo:hi] = np.unpackbits(np.frombuffer(marks[first + b], dtype=np.uint8), count=hi - lo)
     del values
     out = np.zeros(len(prints), dtype=bool)
     out[order] = np.repeat(tied, np.diff(np.append(np.nonzero(new)[0], len(new))))
@@ -237,7 +302,7 @@ def _ties(table: pa.Table) -> pa.Table:
     """Sort one bucket; for every block, one bit for each fingerprint it sent: tied with a
     neighbour (of another block, or sent as held twice)."""
     blocks, prints, twice = (table.column(k).to_pylist() for k in ("block", "prints", "twice"))
-    own = [np.frombuffer(p, dtype=np.uint64) for p in prints]
+    own = [_unpacked(p) for p in prints]
     every = np.concatenate(own)
     order = np.argsort(every)
     ordered = every[order]
@@ -276,15 +341,15 @@ def _load(left: pa.Table, right: pa.Table, length: int, base: int):
     return marks, digests, number, Block([texts[row_of[d]].as_py() for d in number], length, base)
 
 
-def _tied_starts(block: Block, marks: dict, rank_buckets: int) -> np.ndarray:
+def _tied_starts(block: Block | Words, marks: dict, rank_buckets: int, first: int = 0) -> np.ndarray:
     starts, prints = block.sampled()
-    return block.candidates(starts[_incoming(prints, marks["rank"], rank_buckets)])
+    return block.candidates(starts[_incoming(prints, marks["rank"], rank_buckets, first)])
 
 
-def _sent(block_id: int, prints: np.ndarray, buckets: int) -> pa.Table:
+def _sent(block_id: int, prints: np.ndarray, buckets: int, first: int = 0) -> pa.Table:
     rows = list(_outgoing(prints, buckets))
-    return pa.table([pa.array([block_id] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
-                     pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+    return pa.table([pa.array([block_id] * len(rows), pa.int64()), pa.array([first + r[0] for r in rows], pa.int64()),
+                     pa.array([_packed(r[1]) for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                     names=["block", "bucket", "prints", "twice"])
 
 
@@ -312,13 +377,17 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                   keep: list[str] | None = None, with_text: bool = False, words: int = 0, long: int = 0) -> DataFrame:
+                   keep: list[str] | None = None, with_text: bool = False, words: int = 0, long: int = 0,
+                   passage_words: int = 0) -> DataFrame:
     """One row per document: id, the columns ``keep`` names (as a struct ``kept``),
     ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (byte offsets of the maximal
     removed runs in the input), ``kept_sha256`` (of the remaining bytes) and, with
     ``with_text``, ``kept_text``: the remaining text, where a run that begins or
     ends inside a UTF-8 character leaves that whole character in place. With
-    ``words``, a run of fewer words and fewer than ``long`` bytes stays."""
+    ``words``, a run of fewer words and fewer than ``long`` bytes stays. With
+    ``passage_words``, ``n_passages``, ``n_passage_bytes`` and ``passages`` (byte spans)
+    follow: the maximal runs of words covered by a string of that many words that also
+    stands, between the same white space, in another document; these are not removed."""
     keep = keep or []
     base = secrets.randbelow(PRIME - (1 << 32)) + (1 << 31)  # one point for all tasks of this call
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -343,20 +412,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not left.num_rows:
             return _sent(0, np.zeros(0, np.uint64), rank_buckets)
         _, _, _, own = _load(left, right, length, base)
-        return _sent(left.column("block")[0].as_py(), own.sampled()[1], rank_buckets)
+        block_id = left.column("block")[0].as_py()
+        sent = _sent(block_id, own.sampled()[1], rank_buckets)
+        if not passage_words:
+            return sent
+        by_word = Words(own, passage_words)
+        at, prints = by_word.sampled()
+        return pa.concat_tables([sent, _sent(block_id, by_word.once(prints, at), rank_buckets, rank_buckets)])
 
     def tie_stage(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _sent(0, np.zeros(0, np.uint64), tie_buckets)
         marks, _, _, own = _load(left, right, length, base)
         starts = _tied_starts(own, marks, rank_buckets)
-        return _sent(left.column("block")[0].as_py(), own.prints(starts, length), tie_buckets)
+        block_id = left.column("block")[0].as_py()
+        sent = _sent(block_id, own.prints(starts, length), tie_buckets)
+        if not passage_words:
+            return sent
+        by_word = Words(own, passage_words)
+        at = _tied_starts(by_word, marks, rank_buckets, rank_buckets)
+        prints = by_word.once(by_word.prints(at, passage_words), at)
+        return pa.concat_tables([sent, _sent(block_id, prints, tie_buckets, tie_buckets)])
 
     result = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("kept", rows.schema["kept"].dataType),
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
+        T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()),
+        T.StructField("n_passages", T.LongType()), T.StructField("n_passage_bytes", T.LongType()),
+        T.StructField("passages", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def mark_stage(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -365,23 +449,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         starts = starts[_incoming(own.prints(starts, length), marks["tie"], tie_buckets)]
         covered = _within(starts, starts + length, len(own.sums) + 1)
         texts = left.column("text").combine_chunks()
-        out: list[list] = [[], [], [], [], [], []]
+        found: list[list[tuple[int, int]]] = []
+        if passage_words:
+            by_word = Words(own, passage_words)
+            at = _tied_starts(by_word, marks, rank_buckets, rank_buckets)
+            found = by_word.passages(at[_incoming(by_word.prints(at, passage_words), marks["tie"], tie_buckets, tie_buckets)])
+        out: list[list] = [[], [], [], [], [], [], [], [], []]
         for row, key in enumerate(digests):
             raw = texts[row].as_py()
             if key in marks["copy"] or key in marks["first"]:
                 spans = [(0, len(raw))] if len(raw) >= length else []
+                whole = [(len(raw) - len(raw.lstrip()), len(raw.rstrip()))]
+                passages = whole if passage_words and len(raw.split()) >= passage_words else []
             else:
                 lo = int(own.offsets[number[key]])
                 spans = _spans(covered[lo:lo + len(raw)])
+                passages = found[number[key]] if passage_words else []
             if words:
                 spans = [(a, b) for a, b in spans if b - a >= long or len(raw[a:b].split()) >= words]
             left_over = _without(raw, spans)
             for column, value in zip(out, (
                     len(raw), len(raw) - len(left_over), len(spans), [{"start": a, "end": b} for a, b in spans],
                     hashlib.sha256(left_over).hexdigest(),
-                    _without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace") if with_text else None)):
+                    _without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace") if with_text else None,
+                    len(passages), sum(b - a for a, b in passages), [{"start": a, "end": b} for a, b in passages])):
                 column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), span_type, pa.string(), pa.string())
+        types = (pa.int64(), pa.int64(), pa.int64(), span_type, pa.string(), pa.string(), pa.int64(), pa.int64(), span_type)
         return pa.table([left.column("id"), left.column("kept"), *(pa.array(c, t) for c, t in zip(out, types))],
                         names=result.names)
 
@@ -394,5 +487,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ties = by_block.cogroup(known.groupBy("block")).applyInArrow(freeing(tie_stage), SENT).groupBy("bucket").applyInArrow(freeing(_ties), MARKS)
     known = known.unionByName(staged(ties, "tie"))
     done = by_block.cogroup(known.groupBy("block")).applyInArrow(freeing(mark_stage), result)
-    dropped = [] if with_text else ["kept_text"]
+    dropped = ([] if with_text else ["kept_text"]) + ([] if passage_words else ["n_passages", "n_passage_bytes", "passages"])
     return done.drop(*dropped, *([] if keep else ["kept"]))

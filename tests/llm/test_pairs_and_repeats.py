@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -406,3 +407,63 @@ def test_op6_reports_passages_inside_and_across_lines(spark, tmp_path):
     for k in (1, 2):
         (span,) = got[k]["passages"]
         assert rows[k - 1][1][span["start"]:span["end"]].split() == passage.split()
+
+
+def plain_byte_passages(texts, size):
+    """For each text, the spans of bytes of the runs of words in strings of ``size`` words that another text holds as well."""
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    cut = [[t[w[k][0]:w[k + size - 1][1]] for k in range(len(w) - size + 1)] for t, w in zip(texts, words)]
+    holders = {}
+    for n, strings in enumerate(cut):
+        for x in strings:
+            holders.setdefault(x, set()).add(n)
+    out = []
+    for w, strings in zip(words, cut):
+        spans, last = [], -1
+        for k, x in enumerate(strings):
+            if len(holders[x]) > 1:
+                spans = [*spans[:-1], (spans[-1][0], w[k + size - 1][1])] if spans and k <= last else [*spans, (w[k][0], w[k + size - 1][1])]
+                last = k + size
+        out.append(spans)
+    return out
+
+
+@pytest.mark.parametrize("size, block_bytes", [(51, 2 << 20), (12, 400), (1, 400)])
+def test_suffix_dedup_finds_passages_of_words(spark, monkeypatch, size, block_bytes):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(13)
+    shared = [prose(rng, n, 4000) for n in (size - 1, size, size + 1, size + 25)] + ["\u00e9t\u00e9\n " * (size + 2), prose(rng, 2 * size, 1)]
+    once = prose(rng, 2 * size + 30, 4000)
+    texts = [None, "", " \n\t", f"{once}\n{once}", f"  {shared[3]} ", f"  {shared[3]} ", prose(rng, size, 4000) + "\u00a0x"]
+    for _ in range(40):
+        parts = [x for passage in rng.sample(shared, rng.randrange(3)) for x in (prose(rng, rng.randrange(1, 9), 4000), passage)]
+        texts.append(rng.choice([" ", "\n"]).join([*parts, prose(rng, rng.randrange(1, 30), 4000)]))
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(documents(spark, rows), length=60, passage_words=size).collect()}
+    truth = plain_byte_passages([(t or "").encode() for t in texts], size)
+    for k, spans in enumerate(truth):
+        assert [(s["start"], s["end"]) for s in got[k]["passages"]] == spans, k
+        assert (got[k]["n_passages"], got[k]["n_passage_bytes"]) == (len(spans), sum(b - a for a, b in spans))
+    assert sum(map(bool, truth)) > 20
+    for k, (_, n_removed, n_spans, sha) in enumerate(without_repeats(texts, 60)):
+        assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (n_removed, n_spans, sha)
+    assert suffix_dedup.remove_repeats(documents(spark, []), length=60, passage_words=size).collect() == []
+
+
+def test_op3_reports_passages_below_400_bytes(spark, tmp_path):
+    rng = random.Random(14)
+    passage = prose(rng, 60, 4000)
+    assert len(passage) < 400
+    rows = [(k, f"{prose(rng, 9 + k, 4000)} {passage} {prose(rng, 5, 4000)}", "s") for k in (1, 2)] + [(3, prose(rng, 200, 4000), "s")]
+    documents(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op3_suffix_array(spark, str(tmp_path)).collect()}
+    assert [(got[k]["n_removed"], got[k]["n_passages"], got[k]["n_passage_bytes"]) for k in (1, 2, 3)] == [(0, 1, len(passage))] * 2 + [(0, 0, 0)]
+
+
+def test_packed_fingerprints_are_the_same_and_smaller():
+    import zlib
+
+    values = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
+    for some in (values, values[:1], values[:0], np.array([0, (1 << 64) - 1], dtype=np.uint64)):
+        assert (suffix_dedup._unpacked(suffix_dedup._packed(some.tobytes())) == some).all()
+    assert len(zlib.compress(suffix_dedup._packed(values.tobytes()), 1)) < 0.9 * len(zlib.compress(values.tobytes(), 1))
