@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from dunning.functions.expr import salted_hash8
 from dunning.operators import evaluation as EV
+from dunning.operators.forest import CellForest
 
 CATEGORICAL = ["error_code", "method"]
 NUMERIC = ["amount", "hour_of_day", "day_of_week", "customer_fail_count"]
@@ -64,7 +65,9 @@ def with_class_weights(train: DataFrame, label: str = "actual_bucket") -> DataFr
 def diagnosis_pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED,
                        model: str = "forest") -> Pipeline:
     label = StringIndexer(inputCol="actual_bucket", outputCol="label", handleInvalid="skip")
-    if model == "forest":
+    if model == "cell_forest":
+        clf = CellForest(num_trees, max_depth, seed, weight="class_weight")
+    elif model == "forest":
         clf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                      weightCol="class_weight", labelCol="label", featuresCol="features")
     else:
@@ -192,7 +195,7 @@ def cross_fitted_diagnosis(features: DataFrame, folds: int = FOLDS, **kw) -> Dat
     """Predicted bucket and confidence of every failed payment."""
 
     def fit(train: DataFrame) -> PipelineModel:
-        return diagnosis_pipeline(**kw).fit(with_class_weights(train.where(F.col("actual_bucket").isNotNull())))
+        return diagnosis_pipeline(model="cell_forest", **kw).fit(with_class_weights(train.where(F.col("actual_bucket").isNotNull())))
 
     return cross_fitted(_numeric(features, NUMERIC), fit, score_diagnosis, folds)
 
