@@ -49,6 +49,11 @@ COUNT_SCHEMA = "tree int, chunk int, counts binary, width int"
 SPLIT_SCHEMA = "tree int, node int, feature int, cut int, gain double, here array<double>, left array<double>"
 NODE_SCHEMA = ("treeID int, nodeData struct<id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double,"
                " leftChild int, rightChild int, split struct<featureIndex int, leftCategoriesOrThreshold array<double>, numCategories int>>")
+_DOUBLES = pa.list_(pa.float64())
+_SPLIT = pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", _DOUBLES), ("numCategories", pa.int32())])
+NODE_COLUMNS = pa.schema([("treeID", pa.int32()), ("nodeData", pa.struct([
+    ("id", pa.int32()), ("prediction", pa.float64()), ("impurity", pa.float64()), ("impurityStats", _DOUBLES), ("rawCount", pa.int64()),
+    ("gain", pa.float64()), ("leftChild", pa.int32()), ("rightChild", pa.int32()), ("split", _SPLIT)]))])
 
 
 class CellForest(Estimator):
@@ -137,7 +142,9 @@ class CellForest(Estimator):
                            "paramMap": params | {"numTrees": len(trees)}}
         one = [json.dumps(shared | {"class": kind + "DecisionTreeClassificationModel", "uid": f"{self.uid}_{t}", "paramMap": params})
                for t in range(len(trees))]
-        nodes = pa.Table.from_pylist([{"treeID": t, "nodeData": n} for t, tree in enumerate(trees) for n in _preorder(tree, cuts, weights)])
+        # tree by tree into columns: nodes as Python objects take far more room
+        nodes = pa.concat_tables([pa.Table.from_pylist([{"treeID": t, "nodeData": n} for n in _preorder(tree, cuts, weights)], NODE_COLUMNS)
+                                  for t, tree in enumerate(trees)])
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
         spark.createDataFrame([(json.dumps(forest),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
         spark.createDataFrame([(t, m, 1.0) for t, m in enumerate(one)], "treeID int, metadata string, weights double").coalesce(1).write.parquet(
